@@ -140,3 +140,10 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM d
 """
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"), with_text=False)
