@@ -147,3 +147,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import scan_secrets
 
     return scan_secrets(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"), with_text=False).drop("found")
