@@ -154,3 +154,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_personal_data
 
     return find_personal_data(table(spark, sf_dir, "documents"), with_text=False).drop("found")
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
