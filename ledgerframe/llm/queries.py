@@ -161,3 +161,32 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score_quality
 
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import linked_components
+
+    return linked_components(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op4_embedding_dedup"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL
+), n AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+), reach AS (
+  SELECT a AS x, a AS y FROM links
+  UNION
+  SELECT r.x, l.b FROM reach r JOIN links l ON r.y = l.a
+), least AS (
+  SELECT x, min(y) AS c FROM reach GROUP BY x
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(coalesce(c, vec_id) AS BIGINT) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN least ON x = vec_id LEFT JOIN counts ON a = vec_id
+"""
