@@ -11,19 +11,21 @@ two documents with ``match`` common postings share one among the
 merged, and the rest of the count skips to the signatures.  Candidates are
 confirmed on full shingle sets.
 
-Scale.  Documents with equal sets are one class from the start.  Inside a posting
-not all pairs are made: first every member meets one hub member, links are
-confirmed and joined to components, and then only members of different
-components meet; that repeats with other hubs while it finds links, and a last
-round compares what is still apart.  So a group of thousands of near copies costs
-a few comparisons a member, and no link that could change a component is left
-out.
+Scale.  Documents with equal sets are one class from the start.  Postings are
+also split by set size, since similar sets have similar sizes.  Two members of a
+small posting meet as a pair, and pairs that collide on fewer than ``meet``
+prefix postings go before anything is attached to them.  A large posting makes no
+pairs: its members first meet one central hub, confirmed links are contracted to
+components, and members outside the main component are compared in blocks of
+bounded bytes, on full sets, against all members; a block gives back a spanning
+forest of its links.  So a group of thousands of near copies makes a few rows a
+member, in many tasks, and loses no link that could change a component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import floor, sqrt
+from math import floor, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -140,12 +142,78 @@ def _matching(least: int):
     return run
 
 
+def _intersections(sets: list[np.ndarray], dense_from: int = 32, columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections: common shingles as matrix products, rarer ones pair by pair."""
+    n = len(sets)
+    out = np.zeros((n, n), np.float32)
+    doc = np.repeat(np.arange(n), [len(x) for x in sets])
+    value = np.concatenate(sets)
+    order = np.argsort(value, kind="stable")
+    value, doc = value[order], doc[order]
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    run = np.cumsum(new) - 1
+    size = np.bincount(run)[run]
+    often = size > dense_from
+    column = np.unique(run[often], return_inverse=True)[1]
+    member = doc[often]
+    for at in range(0, int(column.max(initial=-1)) + 1, columns):
+        here = (column >= at) & (column < at + columns)
+        m = np.zeros((n, columns), np.float32)
+        m[member[here], column[here] - at] = 1
+        out += m @ m.T
+    few = np.flatnonzero(~often)
+    for d in range(1, dense_from):
+        ok = few[few + d < len(run)]
+        ok = ok[run[ok + d] == run[ok]]
+        if not len(ok):
+            break
+        np.add.at(out, (doc[ok], doc[ok + d]), 1)
+        np.add.at(out, (doc[ok + d], doc[ok]), 1)
+    return out
+
+
+def _block(table: pa.Table) -> pa.Table:
+    """The sets of one block of a posting in one row."""
+    sink = pa.BufferOutputStream()
+    inner = table.select(["rep", "shingles"])
+    with pa.ipc.new_stream(sink, inner.schema) as out:
+        out.write_table(inner)
+    first = table.slice(0, 1).select(["key", "bucket", "outside", "mine", "outer_blocks", "main_blocks"])
+    return first.append_column("block", pa.array([sink.getvalue().to_pybytes()], pa.binary()))
+
+
+def _forest(percent: int):
+    """Links inside two blocks of sets, as edges to the least member of their component there."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("block")])
+        reps = np.asarray(table.column("rep"))
+        reps, first = np.unique(reps, return_index=True)
+        blobs = table.column("shingles")
+        sets = [np.frombuffer(blobs[int(i)].as_buffer(), U) for i in first]
+        size = np.array([len(x) for x in sets])
+        common = _intersections(sets)
+        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        label = np.arange(len(reps))
+        while True:
+            least = np.where(linked, label[None, :], len(reps)).min(axis=1)
+            least = np.minimum(label, least)
+            if (least == label).all():
+                break
+            label = least
+        moved = np.flatnonzero(label != np.arange(len(reps)))
+        return pa.table({"a": pa.array(reps[label[moved]], pa.int64()), "b": pa.array(reps[moved], pa.int64())})
+
+    return run
+
+
 def match_threshold(coordinates: int, percent: int) -> int:
     j = percent / 100
     return max(1, floor(coordinates * j - 5 * sqrt(coordinates * j * (1 - j))))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = 64, meet: int = 3, small: int = 32, block_bytes: int = 8 << 20) -> DataFrame:
     """Components of documents whose shingle sets are similar.
 
     ``docs`` has ``doc_id`` and ``text``.  A-Z are lower-cased; words are runs of
@@ -160,7 +228,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     component_id, and are kept.
     """
     least = match_threshold(coordinates, percent)
-    prefix = coordinates - least + 1
+    meet = min(meet, least)
+    prefix = coordinates - least + meet
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(narrow.mapInArrow(_signed(words, coordinates), "doc_id long, n_shingles long, set_a long, set_b long, signature binary"), "signed")
 
@@ -171,57 +240,82 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     copies = materialize(full.join(several, ["n_shingles", "set_a", "set_b"]).filter("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "copies")
     key = ["n_shingles", "set_a", "set_b", "doc_id"]
     reps = full.join(classes.withColumnRenamed("rep", "doc_id").drop("last"), key).groupBy(*key).agg(F.first("signature").alias("signature"))
-    reps = materialize(reps.select(F.xxhash64("doc_id", "set_a", "set_b").alias("node"), F.col("doc_id").alias("rep"), "signature"), "reps")
+    reps = materialize(reps.select(F.xxhash64("doc_id", "set_a", "set_b").alias("node"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "signature"), "reps")
 
     # Postings under (coordinate, value); those with one member only count as rarest.
     value = F.conv(F.hex(F.substring("signature", F.col("c") * 4 + 1, F.lit(4))), 16, 10).cast("long")
-    posted = reps.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(coordinates - 1)))).select("node", "rep", (F.col("c").cast("long") * F.lit(1 << 32) + value).alias("key"))
+    posted = reps.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(coordinates - 1)))).select("node", "rep", "n", (F.col("c").cast("long") * F.lit(1 << 32) + value).alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
-    found = posted.join(shared, "key").groupBy("node", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("ps"))
+    found = posted.join(shared, "key").groupBy("node", "rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("ps"))
     found = found.withColumn("take", F.lit(prefix - coordinates) + F.size("ps")).filter("take > 0")
-    postings = materialize(found.select("rep", "node", F.explode(F.slice("ps", F.lit(1), F.col("take"))).alias("p")).select("rep", "node", F.col("p.key").alias("key")), "postings")
-
-    links, joined, tried = copies, None, None
-    turn = 0
-    while True:
-        # The component of each member of a posting so far.
-        if joined is None:
-            now = postings.withColumn("comp", F.col("rep"))
-        else:
-            now = postings.join(joined.select(F.col("node").alias("rep"), F.col("component").alias("comp0")), "rep", "left").withColumn("comp", F.coalesce("comp0", "rep")).drop("comp0")
-        by_comp = now.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("one"))
-        apart = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", "one", "comp")).alias("hub")).filter("comps > 1")
-        if turn < 3:
-            hubs = apart.select("key", F.col("hub.one.rep").alias("hub"), F.col("hub.comp").alias("hub_comp"))
-            pairs = now.join(hubs, "key").filter("comp != hub_comp").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        else:
-            left = now.join(apart.select("key"), "key", "left_semi")
-            pairs = left.alias("l").join(left.alias("r"), "key").filter("l.comp < r.comp").select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"))
-        pairs = pairs.filter("a != b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        confirmed = _linked(pairs, reps, narrow, words, percent, least)
-        links = materialize(links.unionByName(confirmed), "links")
-        joined = materialize(components(links), "components")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if turn == 3:
-            break
-        turn = turn + 1 if turn < 2 and confirmed.take(1) else 3
+    # Similar sets differ in size by less than one bucket, so they share one.
+    bucket = F.floor(F.log("n") / F.lit(-log(percent / 100) if percent < 100 else 1.0)).cast("int")
+    posts = found.select("rep", "n", bucket.alias("own"), F.explode(F.slice("ps", F.lit(1), F.col("take"))).alias("p"))
+    posts = posts.select("rep", "n", "own", F.col("p.key").alias("key"), F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("bucket"))
+    sizes = posts.groupBy("key", "bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    posts = materialize(posts.join(sizes, ["key", "bucket"]), "postings")
+
+    # Small postings: pairs with enough collisions.
+    few = posts.filter(F.col("members") <= small)
+    l, r = few.alias("l"), few.select("key", "bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("own").alias("own2"))
+    met = l.join(r, ["key", "bucket"]).filter("rep < rep2 AND bucket = greatest(own, own2)").filter(F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2"))
+    pairs = met.groupBy(F.col("rep").alias("a"), F.col("rep2").alias("b")).agg(F.count("*").alias("hits")).filter(F.col("hits") >= meet).select("a", "b")
+
+    # Large postings: every member and the most central one.
+    many = posts.filter(F.col("members") > small)
+    weight = many.groupBy("rep").agg(F.sum("members").alias("weight"))
+    hubs = many.join(weight, "rep").groupBy("key", "bucket").agg(F.max(F.struct("weight", "rep")).alias("hub")).select("key", "bucket", F.col("hub.rep").alias("hub"))
+    to_hub = many.join(hubs, ["key", "bucket"]).filter("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    likely = _likely(pairs.unionByName(to_hub).distinct(), reps, least)
+    sets = materialize(_needed_sets(likely, many, narrow, words), "sets")
+    links = materialize(copies.unionByName(_confirmed(likely, sets, percent)), "links")
+    joined = components(links)
+    if many.take(1):
+        links = materialize(links.unionByName(_within(many, joined, sets, percent, block_bytes)), "links")
+        joined = components(links)
+    joined = materialize(joined, "components")
     out = signed.select("doc_id", "n_shingles").join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    discard(classes, reps, postings)
+    discard(classes, reps, posts, sets, likely)
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component").isNull() | (F.col("component") == F.col("doc_id")), F.lit(True)).alias("kept"))
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int, least: int) -> DataFrame:
-    """Pairs that match on enough coordinates and, by their full sets, are similar."""
+def _likely(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
+    """Pairs whose whole signatures match on enough coordinates."""
     sig = reps.select("rep", "signature")
     with_sig = pairs.join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("x")), "a").join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("y")), "b")
-    likely = materialize(with_sig.select("a", "b", "x", "y").mapInArrow(_matching(least), "a long, b long").distinct(), "likely")
-    ends = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    sets = docs.join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(words), "rep long, shingles binary")
-    sets = materialize(sets, "sets")
+    return materialize(with_sig.select("a", "b", "x", "y").mapInArrow(_matching(least), "a long, b long").distinct(), "likely")
+
+
+def _needed_sets(likely: DataFrame, many: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    ends = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(many.select("rep")).distinct()
+    return docs.join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(words), "rep long, shingles binary")
+
+
+def _confirmed(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     checked = likely.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-    out = materialize(checked.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long").distinct(), "confirmed")
-    discard(sets, likely)
-    return out
+    return checked.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long").distinct()
+
+
+def _within(many: DataFrame, joined: DataFrame, sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
+    """Links inside large postings between members that are still apart."""
+    group = ["key", "bucket"]
+    comp = F.coalesce("component", "rep").alias("comp")
+    # Two sets of the lower size meet in their own bucket.
+    many = many.join(many.filter("own = bucket").select(*group).distinct(), group, "left_semi")
+    now = many.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(*group, "rep", comp)
+    by_comp = now.groupBy(*group, "comp").agg(F.count("*").alias("n_comp"))
+    main = by_comp.groupBy(*group).agg(F.max(F.struct("n_comp", "comp")).alias("main"), F.sum("n_comp").alias("total"), F.count("*").alias("comps")).filter("comps > 1")
+    # Blocks of at most 1024 sets and about half of block_bytes.
+    size = F.greatest(F.lit(4), F.least(F.lit(1024), (F.lit(block_bytes // 16) * F.pow(F.lit(percent / 100), F.col("bucket"))).cast("int")))
+    main = main.select(*group, F.col("main.comp").alias("main"), F.ceil((F.col("total") - F.col("main.n_comp")) / size).cast("int").alias("outer_blocks"), F.ceil(F.col("main.n_comp") / size).cast("int").alias("main_blocks"))
+    now = now.join(main, group)
+    outside = F.col("comp") != F.col("main")
+    mine = F.pmod(F.xxhash64("rep"), F.when(outside, F.col("outer_blocks")).otherwise(F.col("main_blocks"))).cast("int")
+    now = now.withColumns({"mine": mine, "outside": outside})
+    packed = now.join(sets, "rep").groupBy(*group, "outside", "mine", "outer_blocks", "main_blocks").applyInArrow(_block, "key long, bucket int, outside boolean, mine int, outer_blocks int, main_blocks int, block binary")
+    outer = F.sequence(F.lit(0), F.col("outer_blocks") - 1)
+    with_outer = F.transform(outer, lambda j: F.struct(F.least(F.col("mine"), j).alias("i"), F.greatest(F.col("mine"), j).alias("j")))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("main_blocks") - 1), lambda j: F.struct(F.col("mine").alias("i"), (-1 - j).alias("j")))
+    from_main = F.transform(outer, lambda i: F.struct(i.alias("i"), (-1 - F.col("mine")).alias("j")))
+    tasks = packed.select(*group, "block", F.explode(F.when(F.col("outside"), F.concat(with_outer, with_main)).otherwise(from_main)).alias("task"))
+    return tasks.select(*group, "block", "task.i", "task.j").groupBy(*group, "i", "j").applyInArrow(_forest(percent), "a long, b long").distinct()
