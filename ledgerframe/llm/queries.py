@@ -190,3 +190,10 @@ WITH RECURSIVE v AS (
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(coalesce(c, vec_id) AS BIGINT) AS component_id, coalesce(c, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN least ON x = vec_id LEFT JOIN counts ON a = vec_id
 """
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
