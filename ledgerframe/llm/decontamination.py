@@ -97,12 +97,12 @@ def occurrences(words: Words, p: Phrases) -> Iterator[tuple[int, np.ndarray, np.
             yield n, np.repeat(which, count), back[index.locate(rows)], bounds, items
 
 
-def _search(block, finish: bool, shard_bytes: int, with_text: bool):
+def _search(block, finish: bool, shard_bytes: int, with_text: bool, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: Phrases = block.value
         for batch in batches:
-            for piece in pieces(batch, "text", shard_bytes):
-                words = Words(*buffers(piece.column("text")), ALNUM, True)
+            for piece in pieces(batch, "_text", shard_bytes):
+                words = Words(*buffers(piece.column("_text")), ALNUM, True)
                 n_docs = len(piece)
                 row = np.repeat(np.arange(n_docs), words.counts)
                 hit = np.zeros(len(words), bool)
@@ -117,18 +117,18 @@ def _search(block, finish: bool, shard_bytes: int, with_text: bool):
                 cut = np.searchsorted(pair[0], np.arange(n_docs + 1))
                 names = [[p.items[k] for k in pair[1, a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 b = words.bounds
-                for i, (earlier, old) in enumerate(zip(piece.column("hits").to_pylist(), piece.column("items").to_pylist(), strict=True)):
+                for i, (earlier, old) in enumerate(zip(piece.column("_hits").to_pylist(), piece.column("_items").to_pylist(), strict=True)):
                     if earlier is not None:
                         hit[b[i] : b[i + 1]] |= np.unpackbits(np.frombuffer(earlier, np.uint8), count=int(words.counts[i])).astype(bool)
                         names[i] = sorted({*names[i], *old})
                 if not finish:
                     marks = [np.packbits(hit[b[i] : b[i + 1]]).tobytes() for i in range(n_docs)]
-                    yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "text": piece.column("text"), "hits": pa.array(marks, pa.binary()), "items": pa.array(names, pa.list_(pa.string()))})
+                    yield pa.RecordBatch.from_pydict({**{c: piece.column(c) for c in kept}, "_text": piece.column("_text"), "_hits": pa.array(marks, pa.binary()), "_items": pa.array(names, pa.list_(pa.string()))})
                     continue
                 total = np.concatenate([[0], np.cumsum(hit)])
                 n_hit = total[b[1:]] - total[b[:-1]]
                 made = {
-                    "doc_id": piece.column("doc_id"),
+                    **{c: piece.column(c) for c in kept},
                     "n_words": pa.array(words.counts, pa.int64()),
                     "n_hit": pa.array(n_hit, pa.int64()),
                     "n_items": pa.array([len(x) for x in names], pa.int64()),
@@ -136,7 +136,7 @@ def _search(block, finish: bool, shard_bytes: int, with_text: bool):
                     "contaminated": pa.array(n_hit > 0, pa.bool_()),
                 }
                 if with_text:
-                    made["clean_text"] = _without(piece.column("text"), words, hit, n_hit)
+                    made["clean_text"] = _without(piece.column("_text"), words, hit, n_hit)
                 yield pa.RecordBatch.from_pydict(made)
 
     return run
@@ -161,14 +161,14 @@ def _without(text: pa.Array, words: Words, hit: np.ndarray, n_hit: np.ndarray) -
     return pa.array(out, pa.string())
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, shard_bytes: int = 4 << 20, with_text: bool = True) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, shard_bytes: int = 4 << 20, with_text: bool = True, keep: list[str] | None = None) -> DataFrame:
     """Which words of each document lie in a passage of the benchmark.
 
     ``docs`` has ``doc_id`` and ``text``, ``benchmark`` has ``item_id`` and
     ``text``.  A-Z are lower-cased; words are runs of digits, letters a-z and
     characters beyond ASCII.  A phrase is ``window`` consecutive words of an item,
-    or all words of an item with fewer.  Returns per row doc_id, n_words, n_hit
-    (words inside an occurrence), n_items and items_sha256 (items with an
+    or all words of an item with fewer.  Returns per row the columns of ``keep``
+    (of ``docs``; doc_id by default), n_words, n_hit (words inside an occurrence), n_items and items_sha256 (items with an
     occurrence), contaminated, and with ``with_text`` clean_text: the text
     without its removal spans.
 
@@ -180,12 +180,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    keep = keep or ["doc_id"]
+    out = docs.select(*keep, F.col("text").cast("string").alias("_text"), F.lit(None).cast("binary").alias("_hits"), F.lit(None).cast("array<string>").alias("_items"))
+    kept = "".join(f"`{n}` {t}, " for n, t in docs.select(*keep).dtypes)
     for k in range(blocks):
         # At most about block_bytes come to the driver and are broadcast at a time.
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         sent = spark.sparkContext.broadcast(phrases([r.item_id for r in rows], [r.text for r in rows], window))
         last = k == blocks - 1
-        schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", clean_text string" * with_text if last else "doc_id long, text string, hits binary, items array<string>"
-        out = out.mapInArrow(_search(sent, last, shard_bytes, with_text), schema)
+        schema = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", clean_text string" * with_text if last else "_text string, _hits binary, _items array<string>"
+        out = out.mapInArrow(_search(sent, last, shard_bytes, with_text, keep), kept + schema)
     return out

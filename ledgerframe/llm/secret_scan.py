@@ -302,12 +302,12 @@ def train(docs: DataFrame, sample_docs: int = 300, sample_chars: int = 20_000, s
     return fit(*_tagged(generated() + own))
 
 
-def _scan(model, shard_bytes: int, with_text: bool):
+def _scan(model, shard_bytes: int, with_text: bool, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field: Field = model.value
         for batch in batches:
-            for piece in pieces(batch, "text", shard_bytes):
-                data, offsets = buffers(piece.column("text"))
+            for piece in pieces(batch, "_text", shard_bytes):
+                data, offsets = buffers(piece.column("_text"))
                 found = _base_of_shard(data, offsets)
                 w = Words(data, offsets, _TOKEN, False)
                 f, line = features(w)
@@ -338,9 +338,9 @@ def _scan(model, shard_bytes: int, with_text: bool):
                     spans_out[i] = ",".join(named)
                     if with_text:
                         cleaned[i] = _redacted(raw.tobytes(), [(v, b) for _, _, b, v in spans])
-                made = {"doc_id": piece.column("doc_id"), **{f"n_{k}": pa.array(counts[j], pa.int64()) for j, k in enumerate(KINDS[:3])}, "base_sha256": pa.array(shas, pa.string()), "spans": pa.array(spans_out, pa.string())}
+                made = {**{c: piece.column(c) for c in kept}, **{f"n_{k}": pa.array(counts[j], pa.int64()) for j, k in enumerate(KINDS[:3])}, "base_sha256": pa.array(shas, pa.string()), "spans": pa.array(spans_out, pa.string())}
                 if with_text:
-                    made["clean_text"] = pa.array([cleaned.get(i, t.as_py()) for i, t in enumerate(piece.column("text"))], pa.string())
+                    made["clean_text"] = pa.array([cleaned.get(i, t.as_py()) for i, t in enumerate(piece.column("_text"))], pa.string())
                 yield pa.RecordBatch.from_pydict(made)
 
     return run
@@ -378,15 +378,15 @@ def _redacted(raw: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "replace")
 
 
-def scan_secrets(docs: DataFrame, model: Field | None = None, shard_bytes: int = 4 << 20, with_text: bool = True) -> DataFrame:
+def scan_secrets(docs: DataFrame, model: Field | None = None, shard_bytes: int = 4 << 20, with_text: bool = True, keep: list[str] | None = None) -> DataFrame:
     """Secrets in every whole text.
 
     ``docs`` has ``doc_id`` and ``text``.  Pattern spans are whole matches, in
     code points, end exclusive: ``assign`` (a keyword, an assignment and a value
     of 6 or more characters), ``access`` (AKIA keys of 20 or more), ``hex`` (24 or
     more hex digits).  Spans that only the field finds have the kind ``crf`` and
-    overlap no other.  Returns per row doc_id, n_assign, n_access, n_hex,
-    base_sha256 (of the pattern spans as kind:start:end by start, then kind,
+    overlap no other.  Returns per row the columns of ``keep``
+    (of ``docs``; doc_id by default), n_assign, n_access, n_hex, base_sha256 (of the pattern spans as kind:start:end by start, then kind,
     comma-joined), spans (all, joined likewise), and with ``with_text``
     clean_text, where secret values read ``[SECRET]``.
 
@@ -395,6 +395,8 @@ def scan_secrets(docs: DataFrame, model: Field | None = None, shard_bytes: int =
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model or train(docs))
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", clean_text string" * with_text
-    return narrow.mapInArrow(_scan(sent, shard_bytes, with_text), schema)
+    keep = keep or ["doc_id"]
+    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    kept = "".join(f"`{n}` {t}, " for n, t in docs.select(*keep).dtypes)
+    schema = kept + "n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", clean_text string" * with_text
+    return rows.mapInArrow(_scan(sent, shard_bytes, with_text, keep), schema)
