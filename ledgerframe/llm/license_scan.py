@@ -94,20 +94,28 @@ def _map(values: dict[str, float]) -> Column:
 
 
 def _best(terms: Column, w: _Weights) -> Column:
-    """The best template of a piece as (score, place), by its terms."""
+    """The best template of a piece as (score, place), by its terms.
+
+    Only the distinct terms that some template holds are looked up; the others
+    add to the length of the vector by their counts.
+    """
     idf = _map(w.idf)
-    weight = lambda x: F.coalesce(F.try_element_at(idf, x), F.lit(w.unseen))
+    present = F.array_intersect(terms, F.array(*(F.lit(t) for t in sorted(w.idf))))
+    count = lambda t: F.size(F.filter(terms, lambda x: x == t)).cast("double")
+    held = F.transform(present, lambda t: F.struct(t.alias("term"), count(t).alias("n"), F.element_at(idf, t).alias("idf")))
     start = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("n"), F.lit(0.0).alias("s"))
-    square = lambda a: F.when(a["term"] == "", 0.0).otherwise(F.pow(a["n"] * weight(a["term"]), F.lit(2.0)))
-    step = lambda a, x: F.when(a["term"] == x, F.struct(a["term"].alias("term"), (a["n"] + 1.0).alias("n"), a["s"].alias("s"))).otherwise(F.struct(x.alias("term"), F.lit(1.0).alias("n"), (a["s"] + square(a)).alias("s")))
-    norm = F.sqrt(F.aggregate(F.array_sort(terms), start, step, lambda a: a["s"] + square(a)))
-
-    def dot(vector: dict[str, float]) -> Column:
-        held = _map(vector)
-        return F.aggregate(terms, F.lit(0.0), lambda a, x: a + F.coalesce(F.try_element_at(held, x), F.lit(0.0)) * weight(x))
-
-    scores = [F.struct(F.round(dot(v) / norm, 9).alias("score"), F.lit(-i).alias("place")) for i, v in enumerate(w.vectors)]
-    return F.array_max(F.array(*scores))
+    step = lambda a, x: F.when(a["term"] == x, F.struct(a["term"].alias("term"), (a["n"] + 1.0).alias("n"), a["s"].alias("s"))).otherwise(F.struct(x.alias("term"), F.lit(1.0).alias("n"), (a["s"] + a["n"] * a["n"]).alias("s")))
+    squares = F.aggregate(F.array_sort(terms), start, step, lambda a: a["s"] + a["n"] * a["n"])
+
+    def scored(held: Column, squares: Column) -> Column:
+        known = lambda f: F.aggregate(held, F.lit(0.0), lambda a, e: a + f(e))
+        norm = F.sqrt(known(lambda e: e["n"] * e["n"] * e["idf"] * e["idf"]) + (squares - known(lambda e: e["n"] * e["n"])) * w.unseen**2)
+        dot = lambda v: known(lambda e: e["n"] * e["idf"] * F.coalesce(F.try_element_at(_map(v), e["term"]), F.lit(0.0)))
+        return F.array_max(F.array(*(F.struct(F.round(dot(v) / norm, 9).alias("score"), F.lit(-i).alias("place")) for i, v in enumerate(w.vectors))))
+
+    # Through a one-element array, so that the shared parts are computed once.
+    once = F.transform(F.array(F.struct(held.alias("held"), squares.alias("squares"))), lambda p: scored(p["held"], p["squares"]))
+    return F.element_at(once, 1)
 
 
 def scan_licenses(docs: DataFrame, path: Column | None = None, threshold: float = 0.7, templates: list[tuple[str, str]] | None = None) -> DataFrame:
