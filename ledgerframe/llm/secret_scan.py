@@ -294,9 +294,10 @@ def train(docs: DataFrame, sample_docs: int = 300, sample_chars: int = 20_000, s
     The sample is the ``sample_docs`` documents of up to ``sample_chars``
     characters whose text hashes least, and of those ``sample_lines`` lines.
     """
-    text = F.col("text").cast("string")
-    rows = docs.select(text.alias("text")).filter((F.length("text") > 0) & (F.length("text") <= sample_chars)).select("text", F.xxhash64("text").alias("h")).distinct().orderBy("h", "text").limit(sample_docs).collect()
-    lines = [x for r in rows for x in r.text.split("\n") if x.strip()]
+    texts = docs.select(F.col("text").cast("string").alias("text")).filter((F.length("text") > 0) & (F.length("text") <= sample_chars))
+    least = [r.h for r in texts.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(sample_docs).collect()]
+    rows = sorted({r.text for r in texts.filter(F.xxhash64("text").isin(least)).groupBy(F.xxhash64("text")).agg(F.min("text").alias("text")).collect()}) if least else []
+    lines = [x for t in rows for x in t.split("\n") if x.strip()]
     random.Random(3).shuffle(lines)
     own = [(x, [(v, b) for _, _, b, v in base_spans(x)]) for x in lines[:sample_lines]]
     return fit(*_tagged(generated() + own))
