@@ -124,3 +124,17 @@ def best_comparator(stats: DataFrame, by: str = "comparator") -> DataFrame:
 
 def most_recent(sessions: DataFrame, n: int, at: str = "handoff_micros", key: str = "session_id") -> DataFrame:
     return sessions.orderBy(F.desc(at), F.desc(key)).limit(n)
+
+
+def disposition(deltas: DataFrame, tests: DataFrame, classes: DataFrame, by: str = "comparator", least_pos: int = 5, least_neg: int = 3) -> DataFrame:
+    """One row: whether the primary strictly and significantly beats every comparator."""
+    both = deltas.join(tests, by)
+    gates = both.agg(F.bool_and(F.col("numerator") > 0).alias("beats_all"), F.bool_and("significant").alias("significant_against_all"))
+    n = classes.agg(F.min("pos").alias("pos"), F.min("neg").alias("neg"))
+    code = F.when((F.col("pos") < least_pos) | (F.col("neg") < least_neg), "INSUFFICIENT_SAMPLE").when(F.col("beats_all") & F.col("significant_against_all"), "PRIMARY_SIGNAL_CLEARS_PREREGISTERED_GATE").otherwise("DOES_NOT_CLEAR_PREREGISTERED_GATE")
+    # Two single rows.
+    return gates.crossJoin(n).select("beats_all", "significant_against_all", code.alias("disposition"))
+
+
+def classes(rows: DataFrame, by: str = "comparator") -> DataFrame:
+    return _classes(rows, by)

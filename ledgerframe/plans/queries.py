@@ -511,3 +511,73 @@ def mapped_adapter(spark, sf_dir):
 
     profile = {"signed_object": "/payload", "public_key": "/proof/public_key", "signature": "/proof/signature", "fields": {"actor": "/payload/run_id", "kind": "/payload/action"}}
     return _signed(spark, sf_dir).select("event_id", mapper(profile)("raw").alias("m")).select("event_id", "m.payload", "m.error")
+
+
+_LEDGER = f"""WITH RECURSIVE {OUTCOMES.strip()}, newest AS (
+  SELECT *, row_number() OVER (ORDER BY handoff_micros, session_id) AS i FROM (SELECT * FROM outcomes ORDER BY handoff_micros DESC, session_id DESC LIMIT 20)
+), fold AS (
+  SELECT i, '{{"at":' || handoff_micros || ',"session":' || session_id || '}}' AS content, '' AS previous_hash, sha256('{{"at":' || handoff_micros || ',"session":' || session_id || '}}|') AS row_hash FROM newest WHERE i = 1
+  UNION ALL SELECT n.i, '{{"at":' || handoff_micros || ',"session":' || session_id || '}}', f.row_hash, sha256('{{"at":' || handoff_micros || ',"session":' || session_id || '}}|' || f.row_hash) FROM fold f JOIN newest n ON n.i = f.i + 1
+)"""
+
+
+def _ledger(spark, sf_dir):
+    from ..operators import ledger
+
+    newest = evaluation.most_recent(d.outcomes(spark, sf_dir), 20)
+    content = F.to_json(F.struct(F.col("handoff_micros").alias("at"), F.col("session_id").alias("session")))
+    return ledger.build(newest, ["handoff_micros", "session_id"], content)
+
+
+@query(f"{_LEDGER} SELECT CAST(i AS INTEGER) AS index, content, previous_hash, row_hash FROM fold")
+def ledger_hash_chain(spark, sf_dir):
+    return _ledger(spark, sf_dir)
+
+
+@query(f"{_LEDGER} SELECT count(*) AS n, sha256(string_agg(row_hash, ',' ORDER BY i)) AS seal FROM fold")
+def ledger_seal(spark, sf_dir):
+    from ..operators import ledger
+
+    return ledger.seal(_ledger(spark, sf_dir))
+
+
+@query(f"{_LEDGER} SELECT CAST(i AS INTEGER) AS index, i % 5 = 0 AS bad_hash, i % 5 = 1 AND i > 1 AS bad_link FROM fold WHERE i % 5 = 0 OR (i % 5 = 1 AND i > 1)")
+def ledger_faults(spark, sf_dir):
+    from ..operators import ledger
+
+    changed = _ledger(spark, sf_dir).withColumn("row_hash", F.when(F.col("index") % 5 == 0, F.sha2(F.col("row_hash"), 256)).otherwise(F.col("row_hash")))
+    return ledger.faults(changed).select("index", "bad_hash", "bad_link")
+
+
+@query(f"""{_LABELLED}, newest AS (SELECT session_id FROM outcomes ORDER BY handoff_micros DESC, session_id DESC LIMIT 20), train AS (SELECT * FROM labelled WHERE session_id NOT IN (SELECT session_id FROM newest)),
+cand AS (SELECT metric, value AS threshold FROM train UNION SELECT metric, min(value) - 1 FROM train GROUP BY metric UNION SELECT metric, max(value) + 1 FROM train GROUP BY metric),
+c AS (SELECT metric, threshold, count(*) FILTER (y = 1 AND value >= threshold) AS tp, count(*) FILTER (y = 0 AND value < threshold) AS tn, count(*) FILTER (y = 0 AND value >= threshold) AS fp, count(*) FILTER (y = 1 AND value < threshold) AS fn FROM cand JOIN train USING (metric) GROUP BY metric, threshold),
+r AS (SELECT *, {_COUNTED} FROM c), s AS (SELECT metric, threshold, {_RATES} FROM r), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY metric ORDER BY balanced_accuracy_micros DESC, specificity_micros DESC, sensitivity_micros DESC, threshold) = 1)
+SELECT session_id, metric, value, threshold, CAST(value >= threshold AS INTEGER) AS pred FROM labelled JOIN newest USING (session_id) JOIN best USING (metric)""")
+def frozen_predictions(spark, sf_dir):
+    from ..operators import ledger
+
+    rows = d.labelled(spark, sf_dir)
+    newest = evaluation.most_recent(d.outcomes(spark, sf_dir), 20).select("session_id")
+    frozen = evaluation.fit_threshold(rows.join(newest, "session_id", "left_anti"), "high")
+    return ledger.predict(rows.join(newest, "session_id", "left_semi"), frozen, "high").select("session_id", "metric", "value", "threshold", "pred")
+
+
+@query(f"""{_GATE} SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 13 = 0 AND worst <> 0 THEN 'decision_recompute_mismatch' END, CASE WHEN event_id % 19 = 0 THEN 'reason_codes_recompute_mismatch' END], lambda x: x IS NOT NULL), ';') AS errors FROM gate""")
+def decision_recompute(spark, sf_dir):
+    from ..operators import ledger
+
+    rows = decided(spark, sf_dir)
+    claimed = F.when(F.col("event_id") % 13 == 0, "COMMIT").otherwise(F.col("decision"))
+    reasons = F.when(F.col("event_id") % 19 == 0, F.concat("reason_codes", F.array(F.lit("x:y")))).otherwise(F.col("reason_codes"))
+    return rows.select("event_id", F.array_join(ledger.recompute_errors(claimed, F.col("decision"), reasons, F.col("reason_codes")), ";").alias("errors"))
+
+
+@query(f"""{_PAIRS}, {_DELTA}, grid AS (SELECT delta.*, i, j FROM delta, range(0, 21) a(i), range(0, 21) b(j) WHERE i <= dp AND j <= dn),
+w AS (SELECT comparator, numerator, neg * (2 * i - dp) + pos * (2 * j - dn) AS v, factorial(CAST(dp AS INTEGER)) // factorial(CAST(i AS INTEGER)) // factorial(CAST(dp - i AS INTEGER)) * (factorial(CAST(dn AS INTEGER)) // factorial(CAST(j AS INTEGER)) // factorial(CAST(dn - j AS INTEGER))) AS c FROM grid),
+t AS (SELECT comparator, numerator, sum(CASE WHEN v >= numerator THEN c ELSE 0 END)::HUGEINT AS hits, sum(c)::HUGEINT AS total FROM w GROUP BY ALL),
+g AS (SELECT bool_and(numerator > 0) AS beats_all, bool_and(numerator > 0 AND (hits * 1000000 + total - 1) // total <= 50000) AS significant_against_all FROM t), n AS (SELECT min(pos) AS pos, min(neg) AS neg FROM cls)
+SELECT beats_all, significant_against_all, CASE WHEN pos < 5 OR neg < 3 THEN 'INSUFFICIENT_SAMPLE' WHEN beats_all AND significant_against_all THEN 'PRIMARY_SIGNAL_CLEARS_PREREGISTERED_GATE' ELSE 'DOES_NOT_CLEAR_PREREGISTERED_GATE' END AS disposition FROM g, n""")
+def trial_disposition(spark, sf_dir):
+    pairs = d.paired(spark, sf_dir)
+    return evaluation.disposition(evaluation.delta_ba(pairs), evaluation.permutation_test(pairs), evaluation.classes(pairs))
