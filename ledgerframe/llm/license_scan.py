@@ -111,7 +111,7 @@ def _best(terms: Column, w: _Weights) -> Column:
         known = lambda f: F.aggregate(held, F.lit(0.0), lambda a, e: a + f(e))
         norm = F.sqrt(known(lambda e: e["n"] * e["n"] * e["idf"] * e["idf"]) + (squares - known(lambda e: e["n"] * e["n"])) * w.unseen**2)
         dot = lambda v: known(lambda e: e["n"] * e["idf"] * F.coalesce(F.try_element_at(_map(v), e["term"]), F.lit(0.0)))
-        return F.array_max(F.array(*(F.struct(F.round(dot(v) / norm, 9).alias("score"), F.lit(-i).alias("place")) for i, v in enumerate(w.vectors))))
+        return F.array_max(F.array(*(F.struct(F.round(dot(v) / norm, 6).alias("score"), F.lit(-i).alias("place")) for i, v in enumerate(w.vectors))))
 
     # Through a one-element array, so that the shared parts are computed once.
     once = F.transform(F.array(F.struct(held.alias("held"), squares.alias("squares"))), lambda p: scored(p["held"], p["squares"]))

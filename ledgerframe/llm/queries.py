@@ -197,3 +197,96 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op10_pii"] = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents
+), kinds AS (
+  SELECT * FROM (VALUES (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
+    (3, 'card', '[0-9](?:[\x20-]?[0-9])+'), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'), (5, 'iban', '(?:^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?:$|[^A-Za-z0-9])')) k(o, kind, p)
+), cut AS (
+  SELECT r, o, kind, regexp_extract_all(x, p) AS ms, string_split_regex(x, p) AS ps FROM texts, kinds
+), placed AS (
+  SELECT r, o, kind, ms[k] AS v, CAST(list_sum(list_transform(ps[1:k], lambda s: length(s))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda s: length(s))), 0) AS BIGINT) AS b
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM cut)
+), spans AS (
+  SELECT r, o, kind, CASE WHEN o = 5 THEN trim(regexp_replace(v, '^[^A-Za-z0-9]|[^A-Za-z0-9]$', '', 'g')) ELSE v END AS v,
+    CASE WHEN o = 5 AND regexp_matches(v, '^[^A-Za-z0-9]') THEN b + 1 ELSE b END AS b FROM placed
+), digits AS (
+  SELECT *, b + length(v) AS e, regexp_replace(v, '[^0-9]', '', 'g') AS d, replace(v, ' ', '') AS c FROM spans
+), turned AS (
+  SELECT *, substr(c, 5) || substr(c, 1, 4) AS t FROM digits
+), valid AS (
+  SELECT r, o, kind, b, e FROM turned WHERE CASE o
+    WHEN 2 THEN list_aggregate(list_transform(string_split(v, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(TRY_CAST(substr(ltrim(p, '0'), 1, 3) AS INTEGER), 0) <= 255), 'bool_and')
+    WHEN 3 THEN length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(d), i, 1) AS INTEGER)
+      WHEN CAST(substr(reverse(d), i, 1) AS INTEGER) > 4 THEN 2 * CAST(substr(reverse(d), i, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr(reverse(d), i, 1) AS INTEGER) END)) % 10 = 0
+    WHEN 4 THEN length(d) BETWEEN 9 AND 15
+    WHEN 5 THEN list_reduce(list_prepend(0, list_transform(range(1, length(t) + 1), lambda i: CASE WHEN substr(t, i, 1) BETWEEN '0' AND '9' THEN CAST(substr(t, i, 1) AS INTEGER) ELSE ascii(substr(t, i, 1)) - 55 END)),
+      lambda a, n: CASE WHEN n > 9 THEN (a * 100 + n) % 97 ELSE (a * 10 + n) % 97 END) = 1
+    ELSE true END
+), kept AS (
+  SELECT * FROM valid v WHERE o < 5 OR NOT EXISTS (SELECT 1 FROM valid w WHERE w.r = v.r AND w.o IN (1, 2, 4) AND w.b < v.e AND v.b < w.e)
+), per_doc AS (
+  SELECT r, count(*) FILTER (o = 1) AS n1, count(*) FILTER (o = 2) AS n2, count(*) FILTER (o = 3) AS n3, count(*) FILTER (o = 4) AS n4,
+    string_agg(kind || ':' || b || ':' || e, ',' ORDER BY o, b) FILTER (o < 5) AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY o, b) AS every
+  FROM kept GROUP BY r
+)
+SELECT doc_id, CAST(coalesce(n1, 0) AS BIGINT) AS n_email, CAST(coalesce(n2, 0) AS BIGINT) AS n_ip, CAST(coalesce(n3, 0) AS BIGINT) AS n_card, CAST(coalesce(n4, 0) AS BIGINT) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM texts LEFT JOIN per_doc USING (r)
+"""
+
+
+def _license_sql() -> str:
+    from .license_scan import TEMPLATES
+
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(TEMPLATES))
+    terms = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
+    return rf"""
+WITH templates AS (
+  SELECT * FROM (VALUES {values}) t(i, name, text)
+), template_terms AS (
+  SELECT i, term, count(*) AS tf FROM (SELECT i, unnest({terms.format('text')}) AS term FROM templates) GROUP BY ALL
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, text, '/' || source || '/' || lang || '/' || doc_id AS path, '/' || source || '/' || lang AS dir FROM documents
+), n AS (
+  SELECT count(*) AS n FROM docs
+), df AS (
+  SELECT term, count(DISTINCT r) AS df FROM (SELECT r, unnest({terms.format('text')}) AS term FROM docs) WHERE term IN (SELECT term FROM template_terms) GROUP BY term
+), idf AS (
+  SELECT t.term, ln((n + 1) / (coalesce(df, 0) + 1)::DOUBLE) + 1 AS idf FROM (SELECT DISTINCT term FROM template_terms) t LEFT JOIN df USING (term), n
+), vectors AS (
+  SELECT i, term, tf * idf AS w FROM template_terms JOIN idf USING (term)
+), lengths AS (
+  SELECT i, sqrt(sum(w * w)) AS norm FROM vectors GROUP BY i
+), pieces AS (
+  SELECT r, row_number() OVER () AS p, whole, piece FROM (
+    SELECT r, true AS whole, text AS piece FROM docs UNION ALL
+    SELECT r, false, unnest(regexp_split_to_array(text, '\r?\n')) FROM docs UNION ALL
+    SELECT r, false, unnest(list_filter(regexp_split_to_array(text, '\r?\n[ \t]*\r?\n'), lambda x: contains(x, chr(10)))) FROM docs)
+), piece_terms AS (
+  SELECT r, p, whole, term, count(*) AS tf FROM (SELECT r, p, whole, unnest({terms.format('piece')}) AS term FROM pieces) GROUP BY ALL
+), weighed AS (
+  SELECT t.*, t.tf * coalesce(idf, ln(n + 1) + 1) AS w FROM piece_terms t LEFT JOIN idf USING (term), n
+), norms AS (
+  SELECT p, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY p
+), scores AS (
+  SELECT r, whole, v.i, round(sum(t.w * v.w) / any_value(q.norm) / any_value(l.norm), 6) AS score
+  FROM weighed t JOIN vectors v USING (term) JOIN norms q USING (p) JOIN lengths l ON l.i = v.i GROUP BY r, p, whole, v.i
+), best AS (
+  SELECT r, bool_or(whole) AS is_license_file, arg_max(i, (score, -i)) AS i, max(score) AS score FROM scores WHERE score >= 0.7 GROUP BY r
+), owned AS (
+  SELECT d.*, name AS own_license, score AS own_score, coalesce(is_license_file, false) AS is_license_file FROM docs d LEFT JOIN best USING (r) LEFT JOIN templates USING (i)
+), given AS (
+  SELECT dir AS ancestor, arg_min(own_license, (-own_score, own_license)) AS given FROM owned WHERE is_license_file GROUP BY dir
+), nearest AS (
+  SELECT o.r, arg_max(ancestor, length(ancestor)) AS ancestor, arg_max(given, length(ancestor)) AS given FROM owned o JOIN given g ON o.dir = ancestor OR starts_with(o.dir, ancestor || '/') GROUP BY o.r
+)
+SELECT doc_id, path, own_license, own_score, is_license_file, coalesce(own_license, given) AS license, CASE WHEN own_license IS NOT NULL THEN 'own' ELSE ancestor END AS license_from
+FROM owned LEFT JOIN nearest USING (r)"""
+
+
+ORACLE["op5_license_scan"] = _license_sql()
