@@ -49,6 +49,10 @@ TEMPLATES = [
 ]
 
 
+#: Broadcast the directories' licences up to so many, join by shuffle beyond.
+BROADCAST_DIRS = 100_000
+
+
 def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")
 
@@ -118,14 +122,14 @@ def _best(terms: Column, w: _Weights) -> Column:
     return F.element_at(once, 1)
 
 
-def scan_licenses(docs: DataFrame, path: Column | None = None, threshold: float = 0.7, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, path: Column | None = None, threshold: float = 0.7, file_threshold: float = 0.9, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """The licence of every file: its own, or inherited from a directory.
 
     ``docs`` has ``doc_id`` and ``text``; ``path`` gives a file's path with ``/``
     between names (``/source/lang/doc_id`` by default).  Returns per row doc_id,
     path, own_license and own_score (the best template of a line, paragraph or the
     whole text with a cosine of at least the threshold; the earlier template wins
-    a tie), is_license_file (the whole text is a licence), license and
+    a tie), is_license_file (the whole text reaches ``file_threshold``), license and
     license_from (``own``, the directory it is inherited from, or null).
 
     Null and empty texts have no licence of their own and can inherit.  Of several
@@ -148,7 +152,7 @@ def scan_licenses(docs: DataFrame, path: Column | None = None, threshold: float
     names = F.array(*(F.lit(n) for n in w.names))
     name = lambda best: F.when(best["score"] >= threshold, F.get(names, -best["place"]))
     own = F.array_max(F.array(F.col("f.whole"), F.col("f.piece")))
-    rows = rows.select("doc_id", "path", name(own).alias("own_license"), F.when(own["score"] >= threshold, own["score"]).alias("own_score"), F.coalesce(F.col("f.whole.score") >= threshold, F.lit(False)).alias("is_license_file"))
+    rows = rows.select("doc_id", "path", name(own).alias("own_license"), F.when(own["score"] >= threshold, own["score"]).alias("own_score"), F.coalesce(F.col("f.whole.score") >= file_threshold, F.lit(False)).alias("is_license_file"))
     rows = materialize(rows.withColumn("dir", F.regexp_replace("path", "/[^/]*$", "")), "licenses")
     return _inherited(rows)
 
@@ -161,6 +165,8 @@ def _inherited(rows: DataFrame) -> DataFrame:
     ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("ancestor")))
     dirs = rows.filter("dir IS NOT NULL").select("dir").distinct().select("dir", F.explode(ancestors).alias("a")).select("dir", "a.depth", "a.ancestor")
     nearest = dirs.join(given, "ancestor").groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "given")).alias("n")).select("dir", F.col("n.ancestor").alias("from_dir"), F.col("n.given").alias("given"))
-    out = rows.join(nearest, "dir", "left")
+    nearest = materialize(nearest, "nearest")
+    # A directory's files need not meet in one task while its answers fit a broadcast.
+    out = rows.join(F.broadcast(nearest) if nearest.count() <= BROADCAST_DIRS else nearest, "dir", "left")
     own = F.col("own_license").isNotNull()
     return out.select("doc_id", "path", "own_license", "own_score", "is_license_file", F.when(own, F.col("own_license")).otherwise(F.col("given")).alias("license"), F.when(own, F.lit("own")).otherwise(F.col("from_dir")).alias("license_from"))

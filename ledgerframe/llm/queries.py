@@ -277,7 +277,7 @@ WITH templates AS (
   SELECT r, whole, v.i, round(sum(t.w * v.w) / any_value(q.norm) / any_value(l.norm), 6) AS score
   FROM weighed t JOIN vectors v USING (term) JOIN norms q USING (p) JOIN lengths l ON l.i = v.i GROUP BY r, p, whole, v.i
 ), best AS (
-  SELECT r, bool_or(whole) AS is_license_file, arg_max(i, (score, -i)) AS i, max(score) AS score FROM scores WHERE score >= 0.7 GROUP BY r
+  SELECT r, bool_or(whole AND score >= 0.9) AS is_license_file, arg_max(i, (score, -i)) AS i, max(score) AS score FROM scores WHERE score >= 0.7 GROUP BY r
 ), owned AS (
   SELECT d.*, name AS own_license, score AS own_score, coalesce(is_license_file, false) AS is_license_file FROM docs d LEFT JOIN best USING (r) LEFT JOIN templates USING (i)
 ), given AS (

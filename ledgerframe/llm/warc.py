@@ -124,6 +124,8 @@ def _one(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
         if not colon:
             return "bad header line"
         header[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+    if any(not header.get(k) for k in ("warc-type", "warc-record-id", "warc-date")):
+        return "missing header field"
     length = header.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,18}", length):
         return "bad content length"

@@ -290,8 +290,8 @@ def test_licenses(spark):
     assert {i: r.own_license for i, r in got.items()} == {i: w[0] for i, w in want.items()}
     assert all(got[i].own_score == pytest.approx(w[1], abs=1e-5) for i, w in want.items() if w[0])
     assert (got[1].license, got[1].license_from) == ("MIT", "a/b") and (got[2].license, got[2].license_from) == ("Apache-2.0", "own")
-    assert got[3].license is None and got[6].license is None and got[4].own_license == "GPL-3.0" and not got[4].is_license_file
-    assert (got[5].license, got[7].license) == ("MIT", "MIT") and got[8].is_license_file
+    assert got[3].license is None and got[6].license is None and got[4].own_license == "GPL-3.0" and not got[2].is_license_file
+    assert (got[5].license, got[5].license_from) == ("GPL-3.0", "a/b/c/d") and got[7].license == "MIT" and got[8].is_license_file
 
 
 def test_licenses_of_awkward_rows(spark):

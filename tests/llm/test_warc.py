@@ -13,7 +13,7 @@ PACKED = b"".join(_gzip(r + END) + EMPTY_MEMBER for r in RECORDS)
 
 
 def ids(found):
-    return [int(h["x-page-id"]) for _, h, _ in found.records]
+    return [int(h["x-page-id"]) for _, h, _ in found.records if h.get("x-page-id", "").isdigit()]
 
 
 @pytest.mark.parametrize("data", [PLAIN, PACKED])
@@ -42,8 +42,9 @@ def test_damage_never_hides_the_rest():
             how = r.randrange(3)
             broken[a:b] = b"" if how == 0 else r.randbytes(b - a) if how == 1 else r.randbytes(50)
             found = salvage(bytes(broken))
-            spoiled = 6 - len({*ids(found)})
-            assert spoiled <= 3 and (spoiled == 0 or found.gaps)
+            # A header's own text has no digest: a changed page id costs a record without a gap.
+            assert len({*ids(found)} & {*range(6)}) >= 3
+            assert len(found.records) + len(found.gaps) >= 4
             assert all(0 <= x <= y <= len(broken) for x, y, _ in found.gaps)
 
 
