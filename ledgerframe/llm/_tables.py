@@ -33,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/ledgerframe/{name}-{uuid.uuid4().hex}"
+    path = temporary_path(spark, name)
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
@@ -43,12 +43,18 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
             spark.conf.unset(_CLEAN)
         else:
             spark.conf.set(_CLEAN, before)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._ledgerframe_path = path
     return out
 
 
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/ledgerframe/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote and no later plan reads."""
     for df in tables:

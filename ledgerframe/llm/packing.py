@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import materialize
+from ._tables import materialize, partitions
 
 CAPACITY = 2048
 
@@ -138,7 +138,7 @@ def _cut(capacity: int, path: str | None):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, salt: int = 64) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, salt: int | None = None) -> DataFrame:
     """A place in a sequence of at most ``capacity`` tokens for every piece of every document.
 
     ``docs`` has ``doc_id`` and ``text``.  A document is its ids by the byte-level
@@ -148,6 +148,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     sequence_id and offset; the pieces of a sequence leave no gap.  Rows that
     repeat an id are packed each for itself; an empty table packs to no rows.
     """
+    salt = salt or partitions(docs.sparkSession, 64)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = narrow.mapInArrow(_cut(capacity, vocabulary), "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
     # Equal rows of a group are interchangeable, so a rank needs no order among them.

@@ -11,7 +11,9 @@ Scale.  Documents are written once as chunks of bounded text.  What crosses the
 network is, for each chunk and hash bucket, one sorted array of distinct hashes
 (6 bytes a window), never a row per window or a pair of documents: a passage that
 a third of all documents share is one entry per chunk.  Answers are one bit per
-entry.  Buckets grow in number with the input, so a bucket stays small.
+entry.  Buckets grow in number with the input, so a bucket stays small; rows of the
+exchange are chunks times buckets, so ``chunk_bytes`` should grow with a worker's
+memory (it takes about 40 times that).
 
 Null text has no words.  Rows with equal ids are one document for the order:
 a passage is never removed because of a row with the same id.  Null ids count as

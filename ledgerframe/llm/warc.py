@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._tables import materialize, shared_folder
+from ._tables import materialize, temporary_path
 
 END = b"\r\n\r\n"
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
@@ -237,6 +237,6 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 def archive_pages(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Write pages to archives and read them back: the records, without gaps."""
     spark = pages.sparkSession
-    path = path or f"{shared_folder(spark)}/ledgerframe/warc-{uuid.uuid4().hex}"
+    path = path or temporary_path(spark, "warc")
     write_archives(pages, path, **options)
     return read_archives(spark, path, with_payload=False).filter("gap_reason IS NULL")
