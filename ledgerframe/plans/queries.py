@@ -581,3 +581,74 @@ SELECT beats_all, significant_against_all, CASE WHEN pos < 5 OR neg < 3 THEN 'IN
 def trial_disposition(spark, sf_dir):
     pairs = d.paired(spark, sf_dir)
     return evaluation.disposition(evaluation.delta_ba(pairs), evaluation.permutation_test(pairs), evaluation.classes(pairs))
+
+
+@query(f"""WITH {RECEIPTS} SELECT event_id, CASE WHEN event_id % 37 = 0 THEN 'source_schema_unsupported' WHEN event_id % 13 = 0 THEN 'source_issuer_invalid' WHEN event_id % 41 = 0 THEN 'source_sequence_invalid'
+  WHEN sequence > 0 AND event_id % 17 = 0 THEN 'source_parent_hash_invalid' WHEN event_id % 43 = 0 THEN 'source_action_invalid' WHEN event_id % 19 = 0 THEN 'source_evidence_id_invalid' WHEN event_id % 23 = 0 THEN 'source_evidence_hash_invalid' END AS error FROM receipts""")
+def source_payload_errors(spark, sf_dir):
+    from ..operators import validate
+
+    e = F.col("event_id")
+    one = F.struct(F.lit("props").alias("id"), F.when(e % 23 == 0, "beef").otherwise(F.upper("commitment")).alias("sha256"))
+    payload = F.struct(
+        F.when(e % 37 == 0, "source.v0").otherwise(validate.SOURCE_SCHEMA).alias("schema"), F.when(e % 13 == 0, "").otherwise("agent").alias("issuer"), F.col("issued").cast("string").alias("issued_at"), F.col("run_id").cast("string").alias("run_id"),
+        F.when(e % 41 == 0, -1).otherwise(F.col("sequence")).alias("sequence"), F.when(F.col("sequence") > 0, F.when(e % 17 == 0, "x").otherwise(F.col("source_sha256"))).alias("parent_hash"),
+        F.struct(F.col("action").alias("type"), F.when(e % 43 != 0, "lookup").alias("name")).alias("action"), F.lit("c").alias("claim"), F.when(e % 19 == 0, F.array(one, one)).otherwise(F.array(one)).alias("evidence"),
+    )
+    return d.receipts(spark, sf_dir).select("event_id", validate.source_payload(payload).alias("error"))
+
+
+@query("""SELECT conv_id, CASE WHEN NOT contiguous THEN 'transcript_index_not_contiguous' WHEN other THEN 'transcript_role_invalid' END AS error FROM (
+  SELECT conv_id, bool_and(turn = r) AS contiguous, bool_or(role NOT IN ('user', 'assistant', 'tool')) AS other FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r FROM conversations) GROUP BY conv_id)""")
+def transcript_errors(spark, sf_dir):
+    from ..operators import validate
+
+    turn = F.struct(F.col("turn").alias("index"), "role", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("tool_name"))
+    # A conversation is one document; its turns come together as they do in a session file.
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    return rows.select("conv_id", validate.transcript(F.col("turns")).alias("error"))
+
+
+@query(f"WITH {POINTS} SELECT session_id, CASE WHEN bool_or(x > 200000 OR x < 0) THEN 'signal_out_of_range' END AS error FROM points GROUP BY session_id")
+def signal_errors(spark, sf_dir):
+    from ..operators import validate
+
+    scaled = F.when(F.col("x") > 200_000, F.lit(1_000_001)).otherwise(F.col("x"))
+    return d.points(spark, sf_dir).groupBy("session_id").agg(F.collect_list(scaled).alias("s")).select("session_id", validate.signal(F.col("s")).alias("error"))
+
+
+@query(f"""WITH {MEMBERS}, u AS (SELECT DISTINCT session_id FROM members)
+SELECT session_id, CASE session_id % 6 WHEN 1 THEN 'graph_node_hash_invalid' WHEN 2 THEN 'graph_nodes_not_sorted' WHEN 3 THEN 'graph_relation_dangling' WHEN 4 THEN 'graph_supports_invalid' WHEN 5 THEN 'graph_relations_not_sorted' END AS error FROM u""")
+def graph_errors(spark, sf_dir):
+    from ..operators import validate
+
+    k = F.col("session_id") % 6
+    node = lambda i, h: F.struct(i.alias("id"), h.alias("content_hash"))
+    hashed = lambda x: F.when(k == 1, F.upper(F.sha2(x, 256))).otherwise(F.sha2(x, 256))
+    m = d.members(spark, sf_dir)
+    kinds = {n: m.filter(F.col("kind") == n).groupBy("session_id").agg(F.array_sort(F.collect_set("element")).alias(n)) for n in ("claim", "evidence")}
+    g = kinds["claim"].join(kinds["evidence"], "session_id")
+    claims = F.transform("claim", lambda x: node(F.concat(F.lit("c-"), x), hashed(x)))
+    evidence = F.transform("evidence", lambda x: node(F.concat(F.lit("e-"), F.substring(F.sha2(x, 256), 1, 12)), hashed(x)))
+    evidence = F.array_sort(evidence)
+    relations = F.transform(evidence, lambda x: F.struct(x["id"].alias("src"), F.concat(F.lit("c-"), F.get("claim", F.lit(0))).alias("dst"), F.lit("supports").alias("relation_type")))
+    relations = F.when(k == 3, F.transform(relations, lambda r: r.withField("dst", F.lit("nowhere")))).when(k == 4, F.transform(relations, lambda r: r.withField("src", r["dst"]))).when(k == 5, F.concat(relations, F.slice(relations, 1, 1))).otherwise(relations)
+    claims = F.when(k == 2, F.concat(F.array(node(F.lit("z"), F.sha2(F.lit("z"), 256))), claims)).otherwise(claims)
+    return g.select("session_id", claims.alias("c"), evidence.alias("e"), relations.alias("r")).select("session_id", validate.graph(F.col("c"), F.col("e"), F.col("r")).alias("error"))
+
+
+_CONV = """WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS roles FROM conversations GROUP BY conv_id),
+o AS (SELECT *, conv_id % 2 = 0 AS positive, len(list_filter(roles, lambda x: x = 'assistant')) AS total, CASE WHEN conv_id % 2 = 0 THEN len(list_filter(roles[1:conv_id % 4], lambda x: x = 'assistant')) + CASE WHEN conv_id % 10 = 0 THEN 1 ELSE 0 END END AS seen, conv_id % 3 = 0 AS ended FROM c)"""
+
+
+@query(f"""{_CONV} SELECT conv_id, CASE WHEN positive AND coalesce(roles[conv_id % 4 + 1], '') <> 'user' THEN 'outcome_correction_not_by_user'
+  WHEN positive AND conv_id % 10 = 0 THEN 'outcome_turn_count_mismatch' WHEN NOT positive AND total < 3 AND NOT ended THEN 'outcome_window_incomplete' WHEN NOT positive AND least(total, 3) <> 1 THEN 'outcome_turn_count_mismatch' END AS error FROM o""")
+def outcome_errors(spark, sf_dir):
+    from ..operators import validate
+
+    k = F.col("conv_id") % 4
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("events"))
+    seen = F.size(F.filter(F.slice("events", F.lit(1), k.cast("int")), lambda e: e["role"] == "assistant")) + F.when(F.col("conv_id") % 10 == 0, 1).otherwise(0)
+    positive, ended = F.col("conv_id") % 2 == 0, F.col("conv_id") % 3 == 0
+    o = F.struct(positive.cast("int").alias("outcome"), F.when(positive, k).alias("correction_index"), F.when(positive, seen).otherwise(1).alias("observed_turns"), ended.alias("ended"))
+    return rows.select("conv_id", validate.outcome_against(o, F.col("events"), ended, 3).alias("error"))

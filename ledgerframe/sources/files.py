@@ -36,3 +36,28 @@ def append_once(rows: DataFrame, path: str, key: str) -> None:
 def write_once(rows: DataFrame, path: str) -> None:
     """Fails if the path exists."""
     rows.write.mode("errorifexists").parquet(path)
+
+
+def read_manifest(spark: SparkSession, manifest: str, max_files: int = 512, max_bytes: int = 1 << 20, max_total: int = 16 << 20) -> DataFrame:
+    """(index, name, raw) of the files a JSON array of relative paths names, in its order.
+
+    Paths must stay below the manifest's folder; every file must exist; a broken
+    limit fails the read before any content is looked at.
+    """
+    folder = manifest.rsplit("/", 1)[0]
+    names = spark.read.text(manifest, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("index", "name"))
+    bad = F.col("name").isNull() | F.col("name").startswith("/") | F.array_contains(F.split("name", "/"), "..") | F.col("name").contains(":")
+    require_empty(names.filter(bad), "file_manifest_path_escape")
+    listed = names.agg(F.count("*")).first()[0]
+    if listed > max_files:
+        raise ValueError("file_manifest_count_limit_exceeded")
+    # At most max_files names: a bounded list of paths.
+    rows = names.withColumn("path", F.concat(F.lit(f"{folder}/"), "name")).collect()
+    files = spark.read.format("binaryFile").load([r.path for r in rows])
+    sizes = files.agg(F.max("length"), F.sum("length")).first() if rows else (0, 0)
+    if (sizes[0] or 0) > max_bytes:
+        raise ValueError("file_size_limit_exceeded")
+    if (sizes[1] or 0) > max_total:
+        raise ValueError("file_manifest_total_size_limit_exceeded")
+    tail = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+    return names.withColumn("_p", tail(F.concat(F.lit(f"{folder}/"), "name"))).join(files.select(tail("path").alias("_p"), F.col("content").alias("raw")), "_p").select("index", "name", "raw")

@@ -232,3 +232,58 @@ def test_stream_decides_like_batch(spark, tmp_path):
     q = decide_stream(spark.readStream.schema(schema).json(f"{tmp_path}/in"), p, 1_704_067_300_000_000).writeStream.format("memory").queryName("decided").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.receipt_id, r.decision) for r in spark.table("decided").collect()) == [(1, "COMMIT"), (2, "DENY")]
+
+
+def test_manifest(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for n in ("b.json", "a.json"):
+        (tmp_path / "d" / n).write_text(n)
+    manifest = tmp_path / "m.json"
+    manifest.write_text('["d/b.json", "d/a.json", "d/b.json"]')
+    got = sorted((r["index"], bytes(r.raw).decode()) for r in files.read_manifest(spark, f"file://{manifest}").collect())
+    assert got == [(0, "b.json"), (1, "a.json"), (2, "b.json")]
+    with pytest.raises(ValueError, match="count_limit"):
+        files.read_manifest(spark, f"file://{manifest}", max_files=2)
+    with pytest.raises(ValueError, match="file_size_limit"):
+        files.read_manifest(spark, f"file://{manifest}", max_bytes=2)
+    for bad in ('["../x"]', '["/etc/passwd"]', '["d/../../x"]'):
+        manifest.write_text(bad)
+        with pytest.raises(ValueError, match="path_escape"):
+            files.read_manifest(spark, f"file://{manifest}")
+
+
+def test_graph_rules(spark):
+    from ledgerframe.operators import validate
+
+    h = "'" + "0" * 64 + "'"
+    node = lambda i: f"named_struct('id', '{i}', 'content_hash', {h})"
+    edge = lambda s, t, k: f"named_struct('src', '{s}', 'dst', '{t}', 'relation_type', '{k}')"
+    none = "cast(array() as array<struct<src:string,dst:string,relation_type:string>>)"
+
+    def code(claims, evidence, relations):
+        c, e = (f"array({', '.join(map(node, x))})" if x else "cast(array() as array<struct<id:string,content_hash:string>>)" for x in (claims, evidence))
+        r = f"array({', '.join(edge(*x) for x in relations)})" if relations else none
+        return one(spark.sql(f"SELECT {c} c, {e} e, {r} r").select(validate.graph(F.col("c"), F.col("e"), F.col("r")).alias("x"))).x
+
+    assert code(["a", "b"], ["e"], [("a", "b", "contradicts"), ("e", "a", "supports")]) is None
+    assert code([], [], []) is None
+    assert code(["a", "a"], [], []) == "graph_node_id_invalid" and code(["a"], ["a"], []) == "graph_node_id_invalid" and code(["a b"], [], []) == "graph_node_id_invalid"
+    assert code(["b", "a"], [], []) == "graph_nodes_not_sorted"
+    assert code(["a"], [], [("a", "x", "depends_on")]) == "graph_relation_dangling"
+    assert code(["a"], ["e"], [("a", "e", "depends_on")]) == "graph_depends_on_invalid"
+    assert code(["a"], ["e"], [("e", "a", "contradicts")]) == "graph_contradicts_invalid"
+    assert code(["a"], ["e"], [("e", "a", "likes")]) == "graph_relation_type_invalid"
+
+
+def test_outcome_rules(spark):
+    from ledgerframe.operators import validate
+
+    def code(outcome, kind, index, observed, ended):
+        q = lambda x: "NULL" if x is None else repr(x)
+        o = spark.sql(f"SELECT named_struct('outcome', {outcome}, 'kind', cast({q(kind)} as string), 'correction_index', cast({q(index)} as int), 'observed_turns', {observed}, 'ended', {str(ended).lower()}) o")
+        return one(o.select(validate.outcome(F.col("o"), ("fix",), 8).alias("x"))).x
+
+    assert code(1, "fix", 0, 3, False) is None and code(0, None, None, 8, False) is None and code(0, None, None, 2, True) is None
+    assert code(2, None, None, 0, True) == "outcome_value_invalid" and code(1, "other", 0, 0, True) == "outcome_kind_invalid"
+    assert code(1, "fix", None, 0, True) == "outcome_correction_index_invalid" and code(0, "fix", None, 8, True) == "outcome_negative_with_correction"
+    assert code(0, None, None, 2, False) == "outcome_window_incomplete" and code(0, None, None, 9, True) == "outcome_window_invalid"
