@@ -53,11 +53,14 @@ def read_manifest(spark: SparkSession, manifest: str, max_files: int = 512, max_
         raise ValueError("file_manifest_count_limit_exceeded")
     # At most max_files names: a bounded list of paths.
     rows = names.withColumn("path", F.concat(F.lit(f"{folder}/"), "name")).collect()
-    files = spark.read.format("binaryFile").load([r.path for r in rows])
-    sizes = files.agg(F.max("length"), F.sum("length")).first() if rows else (0, 0)
+    if not rows:
+        return names.select("index", "name", F.lit(None).cast("binary").alias("raw"))
+    files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").load(sorted({r.path for r in rows}))
+    tail = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+    named = names.withColumn("_p", tail(F.concat(F.lit(f"{folder}/"), "name")))
+    sizes = named.join(files.select(tail("path").alias("_p"), "length"), "_p").agg(F.max("length"), F.sum("length")).first()
     if (sizes[0] or 0) > max_bytes:
         raise ValueError("file_size_limit_exceeded")
     if (sizes[1] or 0) > max_total:
         raise ValueError("file_manifest_total_size_limit_exceeded")
-    tail = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
-    return names.withColumn("_p", tail(F.concat(F.lit(f"{folder}/"), "name"))).join(files.select(tail("path").alias("_p"), F.col("content").alias("raw")), "_p").select("index", "name", "raw")
+    return named.join(files.select(tail("path").alias("_p"), F.col("content").alias("raw")), "_p").select("index", "name", "raw")
