@@ -229,7 +229,7 @@ def repeated_passages(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 <<
     """
     spark = docs.sparkSession
     block = (window + 1) // 2
-    n_buckets = min(1 << 16, n_buckets or partitions(spark))
+    n_buckets = min(1 << 16, n_buckets or 4 * partitions(spark))
     held = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_to_chunks(chunk_bytes), "chunk long, docs binary"), "chunks")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
