@@ -248,8 +248,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     shared = posted.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     found = posted.join(shared, "key").groupBy("node", "rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("ps"))
     found = found.withColumn("take", F.lit(prefix - coordinates) + F.size("ps")).filter("take > 0")
-    # Similar sets differ in size by less than one bucket, so they share one.
-    bucket = F.floor(F.log("n") / F.lit(-log(percent / 100) if percent < 100 else 1.0)).cast("int")
+    # Similar sets differ in size by less than one bucket (wider by a hair, for rounding), so they share one.
+    bucket = F.floor(F.log("n") / F.lit(-log(percent / 100) * (1 + 1e-9) if percent < 100 else 1.0)).cast("int")
     posts = found.select("rep", "n", bucket.alias("own"), F.explode(F.slice("ps", F.lit(1), F.col("take"))).alias("p"))
     posts = posts.select("rep", "n", "own", F.col("p.key").alias("key"), F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("bucket"))
     sizes = posts.groupBy("key", "bucket").agg(F.count("*").alias("members")).filter("members > 1")
