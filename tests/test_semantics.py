@@ -75,8 +75,8 @@ def test_envelopes():
     assert envelopes.inspect(env) == ([], {"a": 1})
     assert envelopes.inspect({**env, "payload": {"a": 2}})[0] == ["payload_hash_mismatch", "signature_invalid"]
     assert envelopes.inspect({**env, "x": 1})[0] == ["envelope_fields_invalid"]
-    assert envelopes.inspect({**env, "payload": 3})[0] == ["payload_invalid"]
-    assert envelopes.inspect({**env, "proof": {}})[0] == ["proof_invalid"]
+    assert envelopes.inspect({**env, "payload": 3}) == (["payload_invalid", "payload_hash_mismatch", "signature_invalid"], {})
+    assert envelopes.inspect({**env, "proof": {}})[0] == ["proof_invalid", "algorithm_unsupported", "signature_invalid"]
     assert envelopes.inspect({**env, "proof": {**env["proof"], "alg": "RSA"}})[0] == ["algorithm_unsupported"]
     with pytest.raises(ValueError, match="adapter_unsigned_mapping_forbidden:b"):
         envelopes.mapper({"signed_object": "/p", "fields": {"a": "/p/x", "b": "/q"}})
@@ -287,3 +287,44 @@ def test_outcome_rules(spark):
     assert code(2, None, None, 0, True) == "outcome_value_invalid" and code(1, "other", 0, 0, True) == "outcome_kind_invalid"
     assert code(1, "fix", None, 0, True) == "outcome_correction_index_invalid" and code(0, "fix", None, 8, True) == "outcome_negative_with_correction"
     assert code(0, None, None, 2, False) == "outcome_window_incomplete" and code(0, None, None, 9, True) == "outcome_window_invalid"
+
+
+def test_receipts_from_bytes_to_decisions(spark):
+    """Signed bytes, evidence and policy to decisions: tampering, trust, size and claims."""
+    import hashlib
+    import json
+
+    from ledgerframe.operators import gateway
+
+    seed, good, bad = "33" * 32, b'{"found":true}', b'{"found":false}'
+    key = ed25519.public_key(bytes.fromhex(seed)).hex()
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    payload = {"schema": "source.v1", "issuer": "a", "issued_at": "2026-07-17T18:59:30Z", "run_id": "r", "sequence": 0, "action": {"type": "tool_call", "name": "lookup"}, "claim": "found", "evidence": [{"id": "out", "sha256": "00" * 32}, {"id": "out2", "sha256": digest(good)}]}
+    env = lambda p=payload, k="agent": dumps(envelopes.issue(p, seed, k))
+    with_evidence = lambda b: {**payload, "evidence": [{"id": "out", "sha256": digest(b)}]}
+    tampered = json.loads(env(with_evidence(good)))
+    tampered["payload"]["claim"] = "other"
+    raws = {"ok": env(with_evidence(good)), "missing": env(with_evidence(good)), "contradicting": env(with_evidence(bad)), "mismatch": env(payload), "tampered": dumps(tampered), "untrusted": env(with_evidence(good), "nobody"), "wrong_key": env(with_evidence(good), "other"), "garbage": b"{", "large": b" " * 5000, "unknown_field": env({**with_evidence(good), "x": 1}), "typed": env({**with_evidence(good), "sequence": True}), "denied": env({**with_evidence(good), "action": {"type": "write", "name": "n"}}), "float": env(with_evidence(b'{"found":1.0}'))}
+    artifacts = [(n, "out", bad if n == "contradicting" else b'{"found":1.0}' if n == "float" else good) for n in raws if n != "missing"]
+    policy = gate.Policy("p", "1", ("tool_call",), ("out",), (gate.Rule("found", "out", "/found", True),), 300)
+    now = 1_784_314_800_000_000  # 2026-07-17T19:00:00Z
+    got = gateway.decide_receipts(spark.createDataFrame([*raws.items()], "receipt_id string, raw binary"), spark.createDataFrame(artifacts, "receipt_id string, evidence_id string, content binary"), spark.createDataFrame([("agent", key), ("other", "11" * 32)], "key_id string, trusted string"), policy, now, max_bytes=4000)
+    out = {r.receipt_id: (r.decision, r.reason_codes) for r in got.collect()}
+    gone = [f"{c}:source_payload_unavailable" for c in ("claim_support", "evidence", "freshness")]
+    assert out["ok"] == ("COMMIT", [])
+    assert out["missing"] == ("QUARANTINE", ["claim_support:claim_artifact_missing:found", "evidence:artifact_missing:out"])
+    assert out["contradicting"] == ("DENY", ["claim_support:claim_fact_mismatch:found"])
+    assert out["mismatch"] == ("DENY", ["evidence:artifact_hash_mismatch:out"])
+    assert out["tampered"] == ("DENY", ["integrity:payload_hash_mismatch", "integrity:signature_invalid", "provenance:source_integrity_failed"])
+    assert out["untrusted"] == ("QUARANTINE", ["provenance:source_key_untrusted"]) and out["wrong_key"] == ("DENY", ["provenance:source_key_mismatch"])
+    assert out["garbage"] == ("DENY", [*gone, "integrity:invalid_json", "normalization:source_payload_unavailable", "policy:source_payload_unavailable", "provenance:source_integrity_failed"])
+    assert out["large"] == ("DENY", [*gone, *(f"{c}:source_size_limit_exceeded" for c in ("integrity", "normalization")), "policy:source_payload_unavailable", "provenance:source_size_limit_exceeded"])
+    assert out["unknown_field"] == ("DENY", ["normalization:source_unknown:x"]) and out["typed"] == ("DENY", ["normalization:source_sequence_invalid"])
+    assert out["denied"] == ("DENY", ["policy:action_not_allowed"]) and out["float"] == ("DENY", ["claim_support:claim_evidence_invalid_json:found"])
+
+
+def test_typed_equality():
+    from ledgerframe.operators.gateway import same
+
+    assert same(1, 1) and same({"a": 1}, {"a": 1}) and same(None, None)
+    assert not same(True, 1) and not same(1, True) and not same("1", 1)
