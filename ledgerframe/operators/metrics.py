@@ -27,6 +27,15 @@ class Profile:
     phi_min: int = 200_000
     stability_delta: int = 10_000
 
+    def __post_init__(self) -> None:
+        values = [*vars(self).values()]
+        if any(type(v) is not int or not 0 <= v < 2**53 for v in values):
+            raise ValueError("profile_value_invalid")
+        if self.claim_weight + self.evidence_weight + self.relation_weight != SCALE:
+            raise ValueError("profile_weights_invalid")
+        if self.epsilon_window < 1 or self.smoothing_window < 1:
+            raise ValueError("profile_window_invalid")
+
 
 def smooth(points: DataFrame, window: int, key: str = "session_id", order: str = "i", value: str = "x") -> DataFrame:
     """Adds ``smoothed``: the floor of the trailing mean."""
