@@ -23,6 +23,9 @@ _own: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share; one of our own only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        set_on_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = set_on_context.get() if set_on_context.isDefined() else None
     if not found:
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="ledgerframe-"))
