@@ -174,9 +174,14 @@ _HANDOFF = f"""{_BOTH}, decisions AS (
 
 
 def _decisions(spark, sf_dir):
-    one = decided(spark, sf_dir).filter("event_id % 11 <> 0").select("source_sha256", F.lit(POLICY.sha256).alias("policy_sha256"), "verdict", "decision")
-    two = decided(spark, sf_dir, STRICT).select("source_sha256", F.lit(STRICT.sha256).alias("policy_sha256"), "verdict", "decision")
-    return one.unionByName(two)
+    """Decisions of both policies on every receipt, from one pass over the receipts."""
+    both = d.receipts(spark, sf_dir)
+    for name, policy in (("one", POLICY), ("two", STRICT)):
+        both = gate.decide(both, d.checks(policy), policy)
+        made = F.struct(F.lit(policy.sha256).alias("policy_sha256"), "verdict", "decision")
+        both = both.withColumn(name, made).drop("verdict", "decision", "reason_codes")
+    kept = F.array_compact(F.array(F.when(F.col("event_id") % 11 != 0, F.col("one")), F.col("two")))
+    return both.select("source_sha256", F.explode(kept).alias("x")).select("source_sha256", "x.*")
 
 
 def _admitted(spark, sf_dir):
