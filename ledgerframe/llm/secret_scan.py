@@ -187,11 +187,15 @@ def fit(f: np.ndarray, line: np.ndarray, tags: np.ndarray, rounds: int = 150, ra
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     forbidden = np.zeros((3, 3))
     forbidden[0, 2] = -30.0  # inside never follows outside
-    flat = f.astype(np.int64) + offsets[:-1, None]
+    # Tokens with equal features share their scores and gradients.
+    combos, combo = np.unique(f.T, axis=0, return_inverse=True)
+    combo = combo.ravel()
+    flat = combos.T.astype(np.int64) + offsets[:-1, None]
     used = np.concatenate([begin[: active[t]] + t for t in range(steps)])
     truth = {"w": np.zeros_like(params["w"]), "m": np.zeros((3, 3)), "s": np.bincount(tags[begin], minlength=3).astype(float)}
+    by_combo = np.bincount(combo[used] * 3 + tags[used], minlength=3 * len(combos)).reshape(-1, 3)
     for row in flat:
-        np.add.at(truth["w"], (row[used], tags[used]), 1)
+        np.add.at(truth["w"], row, by_combo)
     for t in range(1, steps):
         np.add.at(truth["m"], (tags[begin[: active[t]] + t - 1], tags[begin[: active[t]] + t]), 1)
 
@@ -200,7 +204,7 @@ def fit(f: np.ndarray, line: np.ndarray, tags: np.ndarray, rounds: int = 150, ra
         return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
     for it in range(1, rounds + 1):
-        e = sum(params["w"][row] for row in flat)
+        e = sum(params["w"][row] for row in flat)[combo]
         moves, start = params["m"] + forbidden, params["s"] + np.array([0, 0, -30.0])
         alpha = [start + e[begin]]
         for t in range(1, steps):
@@ -221,9 +225,10 @@ def fit(f: np.ndarray, line: np.ndarray, tags: np.ndarray, rounds: int = 150, ra
                 grad["m"] += np.exp(alpha[t - 1][:k, :, None] + inner - total[:k, None, None]).sum(axis=0)
                 beta[:k] = lse(inner, 2)
         grad["s"] = p[begin].sum(axis=0)
-        for row in flat:
-            for tag in range(3):
-                grad["w"][:, tag] += np.bincount(row[used], weights=p[used, tag], minlength=offsets[-1])
+        for tag in range(3):
+            mass = np.bincount(combo[used], weights=p[used, tag], minlength=len(combos))
+            for row in flat:
+                grad["w"][:, tag] += np.bincount(row, weights=mass, minlength=offsets[-1])
         for k, v in params.items():
             g = (truth[k] - grad[k]) / len(begin) - penalty * v
             m1, m2 = moment[k]
@@ -321,7 +326,7 @@ def _scan(model, shard_bytes: int, with_text: bool, kept: list[str]):
                         e += 1
                     a, b = int(w.starts[t] - offsets[i]), int(w.ends[e] - offsets[i])
                     spans = found.setdefault(i, [])
-                    if not any(x < b and a < y for x, _, y, _ in spans if _ != "crf"):
+                    if not any(x < b and a < y for x, _, y, _ in spans):
                         spans.append((a, "crf", b, a))
                 n = len(piece)
                 counts = np.zeros((3, n), np.int64)
