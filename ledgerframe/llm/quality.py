@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import LOWER, SPACED, U, Words, buffers, pieces
+from ._words import SPACED, U, Words, buffers, pieces
 
 PASSAGE = 64
 HASHED = 1 << 11
