@@ -4,10 +4,12 @@ Method (Dong et al., "Efficient k-nearest neighbor graph construction for generi
 similarity measures", 2011).  A neighbour graph starts from the leaves of a few
 random-projection trees and is refined by local joins: the neighbours of a node,
 forward and reverse, meet each other.  Only edges close enough to lead to a link
-take part.  A node whose list is full of links is saturated; its list is enlarged
-to its whole component, which is compared in blocks.  Recall is audited against
-brute force on a bounded sample, and more trees are grown until it is high enough.
-Edges at or above the threshold stay.
+take part.  Lists are cut to the best k, links are not: all links of a leaf or join
+go on to the components, as connections of its linked pieces.  A node whose list is
+full of links is saturated; saturated nodes are searched again, with lists of nodes
+outside their own components, until no components merge.  Components are compared
+in blocks.  Recall is audited against brute force on a bounded sample, and more
+trees are grown until it is high enough.
 
 Scale.  Vectors are grouped by label and dimension; equal vectors are one class.
 Leaves and local joins are groups of bounded size: a crowded leaf is dealt to
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +32,7 @@ from .components import components
 
 BITS = 24
 _AUDIT_COLUMNS = "a long, node long"
+_EDGES = "u long, v long, sim double, link boolean"
 
 
 def _prepare(trees: int, seed: int, kind: str):
@@ -62,41 +65,59 @@ def _unit(raws: pa.ChunkedArray, kind: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _leaf(k: int, floor: float, kind: str):
-    """The best neighbours of each node among those of one leaf."""
+def _leaf(k: int, floor: float, threshold: float, kind: str):
+    """The best neighbours of each node among those of one leaf, and the leaf's links."""
 
     def run(table: pa.Table) -> pa.Table:
         node = np.asarray(table.column("node"))
-        s = _unit(table.column("raw"), kind)
-        s = s @ s.T
-        np.fill_diagonal(s, -2)
-        return _best(node, s, k, np.full(len(node), floor))
+        return _best(node, _apart(table, kind), k, np.full(len(node), floor), threshold)
 
     return run
 
 
-def _best(node: np.ndarray, s: np.ndarray, k: int, above: np.ndarray) -> pa.Table:
+def _apart(table: pa.Table, kind: str) -> np.ndarray:
+    """Cosines of nodes of different components; -2 within one."""
+    s = _unit(table.column("raw"), kind)
+    s = s @ s.T
+    component = np.asarray(table.column("component"))
+    s[component[:, None] == component] = -2
+    return s
+
+
+def _best(node: np.ndarray, s: np.ndarray, k: int, above: np.ndarray, threshold: float) -> pa.Table:
     top = min(k, len(node) - 1)
     if top < 1:
-        u = v = sim = np.zeros(0)
+        u = v = sim = a = b = np.zeros(0)
     else:
         at = np.argpartition(-s, top - 1, axis=1)[:, :top]
         sim = np.take_along_axis(s, at, axis=1)
         ok = sim >= above[:, None]
         u, v, sim = np.repeat(node, top).reshape(-1, top)[ok], node[at][ok], sim[ok]
-    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "sim": pa.array(sim, pa.float64())})
+        a, b = _pieces(node, s >= threshold)
+    u, v, sim = np.concatenate([u, a]), np.concatenate([v, b]), np.concatenate([sim, np.ones(len(a))])
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "sim": pa.array(sim, pa.float64()), "link": pa.array(np.arange(len(u)) >= len(u) - len(a))})
+
+
+def _pieces(node: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node's connection to the least one that links of the group lead to."""
+    some = np.flatnonzero(linked.any(axis=1))
+    node, linked = node[some], linked[np.ix_(some, some)]
+    least = node
+    while len(node):
+        nearer = np.minimum(least, np.where(linked, least, np.iinfo(np.int64).max).min(axis=1))
+        if (nearer == least).all():
+            break
+        least = nearer
+    return least[least != node], node[least != node]
 
 
-def _local_join(k: int, kind: str):
-    """Better neighbours among the members of one neighbourhood."""
+def _local_join(k: int, threshold: float, kind: str):
+    """Better neighbours among the members of one neighbourhood, and their links."""
 
     def run(table: pa.Table) -> pa.Table:
         node, first = np.unique(np.asarray(table.column("node")), return_index=True)
         table = table.take(pa.array(first))
-        s = _unit(table.column("raw"), kind)
-        s = s @ s.T
-        np.fill_diagonal(s, -2)
-        return _best(node, s, k, np.asarray(table.column("worst")))
+        return _best(node, _apart(table, kind), k, np.asarray(table.column("worst")), threshold)
 
     return run
 
@@ -144,9 +165,22 @@ def _brute(sample, threshold: float, kind: str):
 
 
 def _top(edges: DataFrame, k: int) -> DataFrame:
-    """The k best neighbours of each node; at most k rows a task and node come together."""
-    once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    return once.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))).filter(F.col("r") <= k)
+    """The k best neighbours of each node, and all links; at most k rows a task and node come together."""
+    once = edges.groupBy("u", "v", "link").agg(F.max("sim").alias("sim"))
+    of = Window.partitionBy("u", F.when(F.col("link"), F.col("v"))).orderBy(F.desc("sim"), "v")
+    return once.withColumn("r", F.row_number().over(of)).filter(F.col("r") <= k)
+
+
+def _leaves(nodes: DataFrame, first: int, trees: int, leaf: int) -> GroupedData:
+    """The leaves of some trees, about ``leaf`` nodes each."""
+    sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    depth = F.greatest(F.lit(0), F.least(F.lit(BITS), F.ceil(F.log2(F.col("n") / leaf)).cast("int")))
+    grown = nodes.join(sizes, ["label", "dim"]).select("node", "raw", "component", "label", "dim", depth.alias("depth"), F.posexplode(F.slice("codes", 1 + first, trees)).alias("tree", "code"))
+    grown = grown.withColumn("cell", F.expr(f"shiftright(code, {BITS} - depth)"))
+    cell = ["label", "dim", "tree", "cell"]
+    crowd = grown.groupBy(*cell).agg(F.ceil(F.count("*") / (4 * leaf)).alias("parts"))
+    grown = grown.join(crowd, cell).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
+    return grown.groupBy(*cell, "part")
 
 
 def linked_components(vectors: DataFrame, threshold: float = 0.93, k: int = 10, trees: int = 10, leaf: int = 64, rounds: int = 6, recall: float = 0.99, audit: int = 512, retries: int = 2, report: dict | None = None) -> DataFrame:
@@ -175,37 +209,32 @@ def linked_components(vectors: DataFrame, threshold: float = 0.93, k: int = 10,
     classes = prepared.groupBy("label", "dim", "raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("codes").alias("codes"))
     # A node is a class; its number is unlike other nodes' even where ids repeat.
     nodes = materialize(classes.withColumn("node", F.xxhash64("rep", "label", "dim", "raw")), "nodes")
-    sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    depth = F.greatest(F.lit(0), F.least(F.lit(BITS), F.ceil(F.log2(F.col("n") / leaf)).cast("int")))
+    alone = nodes.withColumn("component", F.col("node"))
     floor = max(-1.0, 2 * threshold**2 - 1)  # an edge on a path of two to a link is no wider than twice its angle
     edges, missed = None, None
     for attempt in range(retries + 1):
-        grown = nodes.join(sizes, ["label", "dim"]).select("node", "raw", "label", "dim", depth.alias("depth"), F.posexplode(F.slice("codes", 1 + attempt * trees, trees)).alias("tree", "code"))
-        grown = grown.withColumn("cell", F.expr(f"shiftright(code, {BITS} - depth)"))
-        cell = ["label", "dim", "tree", "cell"]
-        crowd = grown.groupBy(*cell).agg(F.ceil(F.count("*") / (4 * leaf)).alias("parts"))
-        grown = grown.join(crowd, cell).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
-        found = grown.groupBy(*cell, "part").applyInArrow(_leaf(k, floor, kind), "u long, v long, sim double")
-        graph = materialize(_top(found if edges is None else found.unionByName(edges.select("u", "v", "sim")), k), "graph")
+        found = _leaves(alone, attempt * trees, trees, leaf).applyInArrow(_leaf(k, floor, threshold, kind), _EDGES)
+        graph = materialize(_top(found if edges is None else found.unionByName(edges.drop("r")), k), "graph")
         before = -1
         for _ in range(rounds):
             # Links of nodes that are not saturated: what another round can still add to.
-            open_ = graph.groupBy("u").agg(F.sum((F.col("sim") >= threshold).cast("int")).alias("links")).filter(F.col("links") < k).agg(F.sum("links")).first()[0] or 0
+            open_ = graph.filter("NOT link").groupBy("u").agg(F.sum((F.col("sim") >= threshold).cast("int")).alias("links")).filter(F.col("links") < k).agg(F.sum("links")).first()[0] or 0
             if open_ == before:
                 break
             before = open_
-            finer = materialize(_refined(graph, nodes, k, kind), "graph")
+            finer = materialize(_refined(graph, alone, k, threshold, kind), "graph")
             discard(graph)
             graph = finer
         edges = graph
         links = edges.filter(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
         joined = materialize(components(links if missed is None else links.unionByName(missed)), "components")
+        joined = _bridged(edges, nodes, joined, k, floor, threshold, kind, trees * (retries + 1), leaf, rounds)
         missed_now, score = _audited(nodes, joined, threshold, kind, audit, attempt)
         if report is not None:
             report.setdefault("recall", []).append(score)
         if missed_now is not None:
             missed = missed_now if missed is None else missed.unionByName(missed_now)
-            joined = materialize(components(links.unionByName(missed)), "components")
+            joined = _merged(joined, missed_now)
         if score >= recall:
             break
     counts = _links(nodes, joined, threshold, kind)
@@ -238,18 +267,60 @@ def _flawed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int64())], ["vec_id"])
 
 
-def _refined(graph: DataFrame, nodes: DataFrame, k: int, kind: str) -> DataFrame:
-    """One round of neighbours-of-neighbours: forward and reverse lists of a node meet."""
-    worst = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("low")).select(F.col("u").alias("node"), F.when(F.col("n") >= k, F.col("low")).otherwise(-1.0).alias("worst"))
-    forward = graph.select(F.col("u").alias("middle"), F.col("v").alias("node"))
-    reverse = graph.select(F.col("v").alias("middle"), F.col("u").alias("node"))
+def _refined(graph: DataFrame, nodes: DataFrame, k: int, threshold: float, kind: str, floor: float = -1.0, beside: DataFrame | None = None) -> DataFrame:
+    """One round of neighbours-of-neighbours: forward and reverse lists of a node meet.
+
+    Neighbours ``beside`` the lists take part too.
+    """
+    lists = graph.filter("NOT link")
+    worst = lists.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("low")).select(F.col("u").alias("node"), F.when(F.col("n") >= k, F.col("low")).otherwise(floor).alias("worst"))
+    around = lists.select("u", "v") if beside is None else lists.select("u", "v").unionByName(beside)
+    forward = around.select(F.col("u").alias("middle"), F.col("v").alias("node"))
+    reverse = around.select(F.col("v").alias("middle"), F.col("u").alias("node"))
     # All reverse neighbours take part, in chunks of about 2k, each with the forward list.
     chunks = reverse.groupBy("middle").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / (2 * k))).cast("int").alias("chunks"))
     back = reverse.join(chunks, "middle").select("middle", "node", F.pmod(F.xxhash64("node", "middle"), F.col("chunks")).cast("int").alias("chunk"))
     ahead = forward.join(chunks, "middle", "left").select("middle", "node", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"))
-    members = back.unionByName(ahead).distinct().join(nodes.select("node", "raw"), "node").join(worst, "node")
-    found = members.groupBy("middle", "chunk").applyInArrow(_local_join(k, kind), "u long, v long, sim double")
-    return _top(found.unionByName(graph.select("u", "v", "sim")), k)
+    members = back.unionByName(ahead).distinct().join(nodes.select("node", "raw", "component"), "node").join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(floor)))
+    found = members.groupBy("middle", "chunk").applyInArrow(_local_join(k, threshold, kind), _EDGES)
+    return _top(found.unionByName(graph.drop("r")), k)
+
+
+def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links (a, b)."""
+    stars = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return materialize(components(stars.unionByName(links)), "components")
+
+
+def _bridged(edges: DataFrame, nodes: DataFrame, joined: DataFrame, k: int, floor: float, threshold: float, kind: str, trees: int, leaf: int, rounds: int) -> DataFrame:
+    """Components after a search for links between saturated nodes of different ones.
+
+    Only a pair whose ends are both saturated can have been cut from both lists.
+    Each pass fills the lists from outside a node's component, so none is full of
+    links it has; passes go on until one finds no link.
+    """
+    lists = edges.filter("NOT link")
+    full = lists.filter(F.col("sim") >= threshold).groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("u")
+    saturated = materialize(nodes.join(full.withColumnRenamed("u", "node"), "node"), "saturated")
+    beside = lists.join(full, "u", "left_semi").select("u", "v")
+    while not saturated.isEmpty():
+        placed = saturated.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        outside = materialize(_top(_leaves(placed, 0, trees, leaf).applyInArrow(_leaf(k, floor, threshold, kind), _EDGES), k), "outside")
+        for _ in range(rounds):
+            if outside.isEmpty() or not outside.filter("link").isEmpty():
+                break
+            finer = materialize(_refined(outside, placed, k, threshold, kind, floor, beside), "outside")
+            discard(outside)
+            outside = finer
+        across = outside.filter("link").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        merges = not across.isEmpty()
+        if merges:
+            joined = _merged(joined, across)
+        discard(outside)
+        if not merges:
+            break
+    discard(saturated)
+    return joined
 
 
 def _audited(nodes: DataFrame, joined: DataFrame, threshold: float, kind: str, audit: int, seed: int) -> tuple[DataFrame | None, float]:

@@ -50,6 +50,29 @@ def test_saturated_lists_are_enlarged(spark):
     assert result(got) == [(i, 149, 0) for i in range(150)]
 
 
+def test_links_across_saturated_groups(spark):
+    """Two tight groups, every list full of its own group's links: the links across count."""
+    r = np.random.default_rng(5)
+    near, far = np.eye(16)[0], 0.95 * np.eye(16)[0] + np.sqrt(1 - 0.95**2) * np.eye(16)[1]
+    rows = [(i, ((near if i < 40 else far) + r.normal(0, 0.004, 16)).astype(np.float32).tolist(), 1) for i in range(80)]
+    got = linked_components(spark.createDataFrame(rows, SCHEMA), audit=0, retries=0)
+    assert result(got) == brute(rows, 0.93) == [(i, 79, 0) for i in range(80)]
+
+
+def test_saturated_components_are_searched_again(spark):
+    """Links that no leaf or join has met are found by lists from outside the component."""
+    from ledgerframe.llm.embedding_dedup import _bridged, _prepare
+
+    r = np.random.default_rng(6)
+    near, far = np.eye(16)[0], 0.95 * np.eye(16)[0] + np.sqrt(1 - 0.95**2) * np.eye(16)[1]
+    rows = [(i, ((near if i < 40 else far) + r.normal(0, 0.004, 16)).astype(np.float32).tolist(), 1) for i in range(80)]
+    nodes = spark.createDataFrame(rows, SCHEMA).selectExpr("vec_id", "cast(label as long) label", "embedding").mapInArrow(_prepare(4, 1, "<f4"), "vec_id long, label long, dim int, raw binary, codes array<long>").withColumnRenamed("vec_id", "node")
+    edges = spark.createDataFrame([(i, i // 40 * 40 + (i + j) % 40, 0.99, False, j) for i in range(80) for j in (1, 2, 3)], "u long, v long, sim double, link boolean, r int")
+    joined = spark.createDataFrame([(i, i // 40 * 40) for i in range(80)], "node long, component long")
+    got = _bridged(edges, nodes, joined, 3, 0.72, 0.93, "<f4", 4, 64, 2)
+    assert {(x.node, x.component) for x in got.collect()} == {(i, 0) for i in range(80)}
+
+
 def test_no_vectors(spark):
     assert linked_components(spark.createDataFrame([], SCHEMA)).collect() == []
     assert result(linked_components(spark.createDataFrame([(1, None, 1), (2, [1.0], None), (None, [1.0], 1)], SCHEMA))) == [(-1, 0, -1), (1, 0, 1), (2, 0, 2)]
