@@ -9,11 +9,12 @@ go on to the components, as connections of its linked pieces.  A node whose list
 full of links is saturated; saturated nodes are searched again, with lists of nodes
 outside their own components, until no components merge.  Components are compared
 in blocks.  Recall is audited against brute force on a bounded sample, and more
-trees are grown until it is high enough.
+trees are grown until it is high enough; where they do not suffice, the labels that
+miss links are compared whole, in blocks.
 
 Scale.  Vectors are grouped by label and dimension; equal vectors are one class.
-Leaves and local joins are groups of bounded size: a crowded leaf is dealt to
-several by a salt, and a hub's reverse neighbours come in chunks, all of them.
+Leaves and local joins are groups of bounded size: a crowded leaf is split by
+projections from its own mean, then by a salt, and a hub's reverse neighbours come in chunks, all of them.
 Links inside a component are counted in its tasks, not sent as pairs.
 """
 
@@ -31,6 +32,7 @@ from ._tables import discard, materialize
 from .components import components
 
 BITS = 24
+SPREAD = 12
 _AUDIT_COLUMNS = "a long, node long"
 _EDGES = "u long, v long, sim double, link boolean"
 
@@ -122,6 +124,40 @@ def _local_join(k: int, threshold: float, kind: str):
     return run
 
 
+def _spread(seed: int, kind: str):
+    """Projections on SPREAD directions of the row's tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = np.zeros((batch.num_rows, SPREAD))
+            dims, trees = (np.asarray(batch.column(c)) for c in ("dim", "tree"))
+            for dim, tree in {*zip(dims.tolist(), trees.tolist(), strict=True)}:
+                at = np.flatnonzero((dims == dim) & (trees == tree))
+                p[at] = _unit(batch.column("raw").take(pa.array(at)), kind) @ np.random.default_rng([seed, dim, tree]).normal(size=(dim, SPREAD))
+            yield batch.append_column("p", pa.array(p.tolist(), pa.list_(pa.float64())))
+
+    return run
+
+
+def _between(threshold: float, kind: str):
+    """Connections by links between two blocks, of nodes that are not in one component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        block, node, component = (np.asarray(table.column(c)) for c in ("mine", "node", "component"))
+        x = _unit(table.column("raw"), kind)
+        p, q = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        linked = (x[p] @ x[q].T >= threshold) & (component[p][:, None] != component[q])
+        p, q = p[linked.any(axis=1)], q[linked.any(axis=0)]
+        both = np.union1d(p, q)
+        square = np.zeros((len(both), len(both)), bool)
+        square[np.ix_(np.searchsorted(both, p), np.searchsorted(both, q))] = linked[np.ix_(linked.any(axis=1), linked.any(axis=0))]
+        a, b = _pieces(node[both], square | square.T)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _count(threshold: float, kind: str):
     """Links of each node to the other block of a pair, each copy of a vector counted."""
 
@@ -171,16 +207,28 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("r", F.row_number().over(of)).filter(F.col("r") <= k)
 
 
-def _leaves(nodes: DataFrame, first: int, trees: int, leaf: int) -> GroupedData:
-    """The leaves of some trees, about ``leaf`` nodes each."""
+def _leaves(nodes: DataFrame, first: int, trees: int, leaf: int, kind: str) -> GroupedData:
+    """The leaves of some trees, about ``leaf`` nodes each.
+
+    A crowded one is split by the sides on which its nodes lie of its mean, so that
+    near nodes stay together; what is still crowded then is dealt by a salt.
+    """
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     depth = F.greatest(F.lit(0), F.least(F.lit(BITS), F.ceil(F.log2(F.col("n") / leaf)).cast("int")))
     grown = nodes.join(sizes, ["label", "dim"]).select("node", "raw", "component", "label", "dim", depth.alias("depth"), F.posexplode(F.slice("codes", 1 + first, trees)).alias("tree", "code"))
-    grown = grown.withColumn("cell", F.expr(f"shiftright(code, {BITS} - depth)"))
     cell = ["label", "dim", "tree", "cell"]
-    crowd = grown.groupBy(*cell).agg(F.ceil(F.count("*") / (4 * leaf)).alias("parts"))
-    grown = grown.join(crowd, cell).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
-    return grown.groupBy(*cell, "part")
+    grown = grown.withColumn("cell", F.expr(f"shiftright(code, {BITS} - depth)")).select("node", "raw", "component", *cell)
+    parts = F.ceil(F.count("*") / (4 * leaf)).alias("parts")
+    dealt = grown.join(grown.groupBy(*cell).agg(parts), cell)
+    crowded = dealt.filter("parts > 1")
+    crowded = crowded.mapInArrow(_spread(first + 1, kind), T.StructType([*crowded.schema, T.StructField("p", T.ArrayType(T.DoubleType()))]))
+    means = crowded.groupBy(*cell).agg(F.array(*(F.avg(F.col("p")[i]) for i in range(SPREAD))).alias("mean"))
+    side = F.expr("aggregate(sequence(0, least(size(p), cast(ceil(log2(parts)) as int) + 1) - 1), 0, (c, i) -> 2 * c + if(p[i] > mean[i], 1, 0))")
+    crowded = crowded.join(means, cell).select("node", "raw", "component", *cell, side.alias("side"))
+    crowded = crowded.join(crowded.groupBy(*cell, "side").agg(parts), [*cell, "side"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
+    calm = dealt.filter("parts = 1").withColumn("side", F.lit(0)).withColumn("part", F.lit(0).cast("long"))
+    both = ["node", "raw", "component", *cell, "side", "part"]
+    return calm.select(*both).unionByName(crowded.select(*both)).groupBy(*cell, "side", "part")
 
 
 def linked_components(vectors: DataFrame, threshold: float = 0.93, k: int = 10, trees: int = 10, leaf: int = 64, rounds: int = 6, recall: float = 0.99, audit: int = 512, retries: int = 2, report: dict | None = None) -> DataFrame:
@@ -196,7 +244,7 @@ def linked_components(vectors: DataFrame, threshold: float = 0.93, k: int = 10,
     and rows with a null label or id, link with nothing; a null id has no
     component_id and is kept.  Equal vectors link with each other; rows that
     repeat an id are one node for components.  ``report`` receives the audited
-    recall of each attempt.
+    recall of each attempt, and of each comparison of whole labels after them.
     """
     spark = vectors.sparkSession
     element = vectors.schema["embedding"].dataType
@@ -213,7 +261,7 @@ def linked_components(vectors: DataFrame, threshold: float = 0.93, k: int = 10,
     floor = max(-1.0, 2 * threshold**2 - 1)  # an edge on a path of two to a link is no wider than twice its angle
     edges, missed = None, None
     for attempt in range(retries + 1):
-        found = _leaves(alone, attempt * trees, trees, leaf).applyInArrow(_leaf(k, floor, threshold, kind), _EDGES)
+        found = _leaves(alone, attempt * trees, trees, leaf, kind).applyInArrow(_leaf(k, floor, threshold, kind), _EDGES)
         graph = materialize(_top(found if edges is None else found.unionByName(edges.drop("r")), k), "graph")
         before = -1
         for _ in range(rounds):
@@ -237,6 +285,15 @@ def linked_components(vectors: DataFrame, threshold: float = 0.93, k: int = 10,
             joined = _merged(joined, missed_now)
         if score >= recall:
             break
+    while score < recall:
+        # More trees do not suffice: labels that miss links are compared whole, which leaves none to miss there.
+        joined = _compared(nodes, joined, missed_now, threshold, kind)
+        attempt += 1
+        missed_now, score = _audited(nodes, joined, threshold, kind, audit, attempt)
+        if report is not None:
+            report["recall"].append(score)
+        if missed_now is not None:
+            joined = _merged(joined, missed_now)
     counts = _links(nodes, joined, threshold, kind)
     per_node = nodes.join(counts, "node", "left").join(joined, "node", "left")
     per_node = materialize(per_node.select("label", "dim", "raw", "node", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "counted")
@@ -305,7 +362,7 @@ def _bridged(edges: DataFrame, nodes: DataFrame, joined: DataFrame, k: int, floo
     beside = lists.join(full, "u", "left_semi").select("u", "v")
     while not saturated.isEmpty():
         placed = saturated.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        outside = materialize(_top(_leaves(placed, 0, trees, leaf).applyInArrow(_leaf(k, floor, threshold, kind), _EDGES), k), "outside")
+        outside = materialize(_top(_leaves(placed, 0, trees, leaf, kind).applyInArrow(_leaf(k, floor, threshold, kind), _EDGES), k), "outside")
         for _ in range(rounds):
             if outside.isEmpty() or not outside.filter("link").isEmpty():
                 break
@@ -324,7 +381,11 @@ def _bridged(edges: DataFrame, nodes: DataFrame, joined: DataFrame, k: int, floo
 
 
 def _audited(nodes: DataFrame, joined: DataFrame, threshold: float, kind: str, audit: int, seed: int) -> tuple[DataFrame | None, float]:
-    """Links of a bounded sample that brute force finds and the graph's components miss; recall."""
+    """Links of a bounded sample that brute force finds and the graph's components miss; recall.
+
+    Recall is a mean over sampled vectors that have links, or over their components
+    if that is less: neither many links nor many vectors of one group hide the others'.
+    """
     spark = nodes.sparkSession
     rows = nodes.select("node", "label", "dim", "raw").orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(audit).collect()
     groups: dict = {}
@@ -334,16 +395,31 @@ def _audited(nodes: DataFrame, joined: DataFrame, threshold: float, kind: str, a
     true = nodes.select("node", "label", "dim", "raw").mapInArrow(_brute(spark.sparkContext.broadcast(sample), threshold, kind), _AUDIT_COLUMNS)
     c = joined.withColumnRenamed("node", "x")
     placed = true.join(c.select(F.col("x").alias("a"), F.col("component").alias("ca")), "a", "left").join(c.select(F.col("x").alias("node"), F.col("component").alias("cb")), "node", "left")
-    placed = materialize(placed.select("a", F.col("node").alias("b"), F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).alias("same")), "audit")
-    total, hit = placed.agg(F.count("*"), F.coalesce(F.sum(F.col("same").cast("int")), F.lit(0))).first()
-    return (placed.filter("NOT same").select("a", "b") if hit < total else None), hit / total if total else 1.0
+    placed = materialize(placed.select("a", F.col("node").alias("b"), "ca", F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).alias("same")), "audit")
+    each = placed.groupBy("a").agg(F.avg(F.col("same").cast("int")).alias("found"), F.first("ca").alias("ca"))
+    groups = each.groupBy(F.coalesce("ca", "a")).agg(F.sum("found").alias("found"), F.count("*").alias("n"))
+    by_vector, by_group = groups.agg(F.sum("found") / F.sum("n"), F.avg(F.col("found") / F.col("n"))).first()
+    score = 1.0 if by_vector is None else min(by_vector, by_group)
+    return (placed.filter("NOT same").select("a", "b") if score < 1 else None), score
+
+
+def _blocks(rows: DataFrame, by: list[str], block: int) -> GroupedData:
+    """Each pair (i, j) of blocks of each group's nodes; ``mine`` is a node's block."""
+    size = rows.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(size, by).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("mine"), j).alias("i"), F.greatest(F.col("mine"), j).alias("j")))
+    tasks = dealt.withColumn("t", F.explode(pair)).drop("blocks")
+    return tasks.withColumns({"i": F.col("t.i"), "j": F.col("t.j")}).drop("t").groupBy(*by, "i", "j")
+
+
+def _compared(nodes: DataFrame, joined: DataFrame, missed: DataFrame, threshold: float, kind: str, block: int = 1024) -> DataFrame:
+    """Components after all nodes of the missed links' labels have met."""
+    labels = missed.select(F.col("a").alias("node")).join(nodes, "node").select("label", "dim").distinct()
+    rows = nodes.select("node", "label", "dim", "raw").join(labels, ["label", "dim"]).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return _merged(joined, _blocks(rows, ["label", "dim"], block).applyInArrow(_between(threshold, kind), "a long, b long"))
 
 
 def _links(nodes: DataFrame, joined: DataFrame, threshold: float, kind: str, block: int = 1024) -> DataFrame:
     """Links of each node to other nodes, counted inside components, block by block."""
-    size = joined.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = joined.join(size, "component").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("mine"), j).alias("i"), F.greatest(F.col("mine"), j).alias("j")))
-    tasks = dealt.join(nodes.select("node", "raw", "copies"), "node").select("component", "node", "raw", "copies", "mine", F.explode(pair).alias("t"))
-    tasks = tasks.select("component", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "node", "raw", "copies", "mine")
-    return tasks.groupBy("component", "i", "j").applyInArrow(_count(threshold, kind), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    rows = joined.join(nodes.select("node", "raw", "copies"), "node")
+    return _blocks(rows, ["component"], block).applyInArrow(_count(threshold, kind), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))

@@ -73,6 +73,58 @@ def test_saturated_components_are_searched_again(spark):
     assert {(x.node, x.component) for x in got.collect()} == {(i, 0) for i in range(80)}
 
 
+def pairs_beside_a_crowd(n=300, pairs=200, d=16):
+    """One group of differing near copies, and pairs with one link each."""
+    r = np.random.default_rng(7)
+    base, rows = r.normal(size=d), []
+    for i in range(n):
+        rows.append((i, (base + r.normal(0, 0.02, d)).astype(np.float32).tolist(), 1))
+    for i in range(n, n + 2 * pairs, 2):
+        v = r.normal(size=d)
+        rows += [(i + j, (v + r.normal(0, 0.05, d)).astype(np.float32).tolist(), 1) for j in range(2)]
+    return rows
+
+
+def test_missed_small_groups_lower_the_recall(spark):
+    """All links of a crowd are found, no link of the pairs: recall is not near 1."""
+    from ledgerframe.llm.embedding_dedup import _audited, _prepare
+
+    nodes = spark.createDataFrame(pairs_beside_a_crowd(), SCHEMA).selectExpr("vec_id", "cast(label as long) label", "embedding").mapInArrow(_prepare(1, 1, "<f4"), "vec_id long, label long, dim int, raw binary, codes array<long>").withColumnRenamed("vec_id", "node")
+    joined = spark.createDataFrame([(i, 0) for i in range(300)], "node long, component long")
+    missed, score = _audited(nodes, joined, 0.93, "<f4", 512, 0)
+    assert score < 0.01 and missed.count() > 200
+
+
+def test_labels_with_missed_links_are_compared_whole(spark):
+    """Trees that find nearly nothing, no local joins, no retries: all links come in the end."""
+    rows, report = pairs_beside_a_crowd(60, 60), {}
+    got = linked_components(spark.createDataFrame(rows, SCHEMA), trees=1, leaf=1, rounds=0, retries=0, audit=40, report=report)
+    assert result(got) == brute(rows, 0.93)
+    assert report["recall"][0] < 0.9 and report["recall"][-1] == 1.0
+
+
+def test_crowded_leaf_keeps_near_nodes_together(spark):
+    """One crowded leaf: most near pairs of it meet within the part they are dealt to."""
+    from ledgerframe.llm.embedding_dedup import _leaves, _prepare
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    base = r.normal(size=16)
+    rows = []
+    for i in range(0, 800, 2):
+        v = base + r.normal(0, 0.01, 16)
+        rows += [(i + j, (v + r.normal(0, 0.0001, 16)).astype(np.float32).tolist(), 1) for j in range(2)]
+    nodes = spark.createDataFrame(rows, SCHEMA).selectExpr("vec_id", "cast(label as long) label", "embedding").mapInArrow(_prepare(1, 1, "<f4"), "vec_id long, label long, dim int, raw binary, codes array<long>").selectExpr("vec_id as node", "label", "dim", "raw", "array(0L) as codes", "vec_id as component")
+
+    def met(table):
+        node = {*table.column("node").to_pylist()}
+        return pa.table({"n": pa.array([len(node)], pa.int64()), "pairs": pa.array([sum(i % 2 == 0 and i + 1 in node for i in node)], pa.int64())})
+
+    got = _leaves(nodes, 0, 1, 8, "<f4").applyInArrow(met, "n long, pairs long").collect()
+    assert max(g.n for g in got) < 100 and sum(g.n for g in got) == 800
+    assert sum(g.pairs for g in got) > 350
+
+
 def test_no_vectors(spark):
     assert linked_components(spark.createDataFrame([], SCHEMA)).collect() == []
     assert result(linked_components(spark.createDataFrame([(1, None, 1), (2, [1.0], None), (None, [1.0], 1)], SCHEMA))) == [(-1, 0, -1), (1, 0, 1), (2, 0, 2)]
