@@ -484,7 +484,7 @@ _SEED, _OTHER = "33" * 32, "44" * 32
 
 
 def _signed(spark, sf_dir):
-    """An envelope for every 50th receipt's run head; some changed after signing, some by another key."""
+    """An envelope for each run's first receipt, as in the SQL; some changed after signing, some by another key."""
     from ..operators.envelopes import sign_column
 
     r = d.receipts(spark, sf_dir).filter("sequence = 0")
