@@ -1,7 +1,8 @@
 """Licences of files, by Spark's own expressions only.
 
 Method.  Headers (lines and paragraphs) and whole files are compared with licence
-templates by the cosine of sparse TF-IDF vectors.  A directory's licence file
+templates by the cosine of sparse TF-IDF vectors, whole files with the complete
+texts in ``licenses/`` as well.  A directory's licence file
 licenses what lies below it: a file without a licence of its own takes that of the
 nearest ancestor directory, found by joins on paths.
 
@@ -18,8 +19,10 @@ and a directory of a third of all files is no group of its own.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from math import log, sqrt
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +52,9 @@ TEMPLATES = [
 ]
 
 
+#: Complete licence texts, for whole files only.
+FILE_TEMPLATES = [(f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
+
 #: Broadcast the directories' licences up to so many, join by shuffle beyond.
 BROADCAST_DIRS = 100_000
 
@@ -92,9 +98,23 @@ class _Weights:
                 rest -= x * x
         self.anchors = sorted(anchors)
 
+    def least_terms(self, threshold: float) -> list[int]:
+        """Distinct terms of each template that a text must hold to reach the threshold."""
+        out = []
+        for v in self.vectors:
+            mass, n = 0.0, 0
+            for x in sorted(v.values(), reverse=True):
+                if mass >= threshold**2 - 1e-6:
+                    break
+                mass, n = mass + x * x, n + 1
+            out.append(n)
+        return out
+
 
 def _map(values: dict[str, float]) -> Column:
-    return F.create_map(*(F.lit(x) for kv in sorted(values.items()) for x in kv))
+    if len(values) < 500:
+        return F.create_map(*(F.lit(x) for kv in sorted(values.items()) for x in kv))
+    return F.from_json(F.lit(json.dumps(values)), "map<string,double>")
 
 
 def _best(terms: Column, w: _Weights) -> Column:
@@ -129,7 +149,8 @@ def scan_licenses(docs: DataFrame, path: Column | None = None, threshold: float
     between names (``/source/lang/doc_id`` by default).  Returns per row doc_id,
     path, own_license and own_score (the best template of a line, paragraph or the
     whole text with a cosine of at least the threshold; the earlier template wins
-    a tie), is_license_file (the whole text reaches ``file_threshold``), license and
+    a tie; for a complete licence text that licence), is_license_file (the whole text
+    reaches ``file_threshold``), license and
     license_from (``own``, the directory it is inherited from, or null).
 
     Null and empty texts have no licence of their own and can inherit.  Of several
@@ -139,8 +160,10 @@ def scan_licenses(docs: DataFrame, path: Column | None = None, threshold: float
     """
     templates = templates or TEMPLATES
     docs = docs.withColumns({"text": F.col("text").cast("string"), "path": path if path is not None else F.concat_ws("/", F.lit(""), "source", "lang", F.col("doc_id").cast("string"))})
-    vocabulary = sorted({t for _, text in templates for t in _words(text)})
-    w = _Weights(*document_frequencies(docs, vocabulary), templates, threshold)
+    file_templates = FILE_TEMPLATES
+    vocabulary = sorted({t for _, text in [*templates, *file_templates] for t in _words(text)})
+    counted = document_frequencies(docs, vocabulary)
+    w = _Weights(*counted, templates, threshold)
     anchors = F.array(*(F.lit(a) for a in w.anchors))
     has_anchor = lambda terms: F.arrays_overlap(terms, anchors)
     whole = _terms(F.col("text"))
@@ -148,11 +171,20 @@ def scan_licenses(docs: DataFrame, path: Column | None = None, threshold: float
     pieces = F.filter(F.transform(parts, _terms), has_anchor)
     gate = has_anchor(F.split(F.lower("text"), "[^a-z0-9]+"))
     found = F.when(gate, F.struct(_best(whole, w).alias("whole"), F.array_max(F.transform(pieces, lambda t: _best(t, w))).alias("piece")))
-    rows = docs.select("doc_id", "path", found.alias("f"))
+    complete = _Weights(*counted, file_templates, file_threshold)
+    held = F.array_distinct(whole)
+    enough = [F.size(F.array_intersect(held, F.array(*(F.lit(t) for t in sorted(v))))) >= n for v, n in zip(complete.vectors, complete.least_terms(file_threshold), strict=True)]
+    file = F.when(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), F.array(*(F.lit(a) for a in complete.anchors))) & F.greatest(*enough, F.lit(False)), _best(whole, complete))
+    rows = docs.select("doc_id", "path", found.alias("f"), file.alias("file"))
     names = F.array(*(F.lit(n) for n in w.names))
     name = lambda best: F.when(best["score"] >= threshold, F.get(names, -best["place"]))
     own = F.array_max(F.array(F.col("f.whole"), F.col("f.piece")))
-    rows = rows.select("doc_id", "path", name(own).alias("own_license"), F.when(own["score"] >= threshold, own["score"]).alias("own_score"), F.coalesce(F.col("f.whole.score") >= file_threshold, F.lit(False)).alias("is_license_file"))
+    # A complete text names the licence, whatever notice it quotes.
+    is_file = F.coalesce(F.col("file.score") >= file_threshold, F.lit(False))
+    file_name = F.get(F.array(*(F.lit(n) for n in complete.names)), -F.col("file.place"))
+    own_license = F.when(is_file, file_name).otherwise(name(own))
+    own_score = F.when(is_file, F.col("file.score")).when(own["score"] >= threshold, own["score"])
+    rows = rows.select("doc_id", "path", own_license.alias("own_license"), own_score.alias("own_score"), (is_file | F.coalesce(F.col("f.whole.score") >= file_threshold, F.lit(False))).alias("is_license_file"))
     rows = materialize(rows.withColumn("dir", F.regexp_replace("path", "/[^/]*$", "")), "licenses")
     return _inherited(rows)
 

@@ -294,6 +294,21 @@ def test_licenses(spark):
     assert (got[5].license, got[5].license_from) == ("GPL-3.0", "a/b/c/d") and got[7].license == "MIT" and got[8].is_license_file
 
 
+def test_complete_licence_files_are_inherited(spark):
+    """Complete texts with a holder's line license what lies below them."""
+    from pathlib import Path
+
+    texts = {f.stem: f.read_text() for f in (Path(__file__).parents[2] / "ledgerframe/llm/licenses").glob("*.txt")}
+    mit = texts["MIT"].replace("Copyright (c)", "Copyright (c) 2020 Jo Doe")
+    rows = [("m/LICENSE", mit), ("m/a/x.py", "x = 1")] + [(f"{n}/{f}", t) for n, text in sorted(texts.items()) if n != "MIT" for f, t in (("LICENSE", text), ("y.py", "y = 2"))]
+    rows += [("q/x.py", mit + "and much more of another text " * 40), ("q/y.py", "z = 3")]
+    df = spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(rows)], "doc_id long, text string, p string")
+    got = {r.path: r for r in scan_licenses(df, F.col("p")).collect()}
+    assert got["m/LICENSE"].is_license_file and (got["m/a/x.py"].license, got["m/a/x.py"].license_from) == ("MIT", "m")
+    assert {n: got[f"{n}/y.py"].license for n in texts if n != "MIT"} == {n: n for n in texts if n != "MIT"}
+    assert not got["q/x.py"].is_license_file and got["q/y.py"].license is None
+
+
 def test_licenses_of_awkward_rows(spark):
     got = scan_licenses(clashing(frame(spark))).collect()
     assert len(got) == len(corpus()) and not any(r.own_license for r in got)
