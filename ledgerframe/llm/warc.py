@@ -76,14 +76,22 @@ def _records(gzip_members: bool, date: str):
     return run
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = 5000, gzip_members: bool = False, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, path: str, records_per_file: int = 5000, gzip_members: bool = False, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 128 << 20) -> None:
     """Write a record per row of ``pages`` (page_id, url, html) to archives below ``path``.
 
     The payload is the html in UTF-8, null as no bytes.  Of rows with equal
     payloads those with the least page_id (rows that repeat it included) are
     responses, the others revisit it; null ids come last.
+
+    An archive holds at most ``records_per_file`` records and, unless it is of one
+    record, about ``file_bytes``: pages are written by size, each doubling in a pass
+    of its own with half the records.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    weight = F.octet_length("html") + F.coalesce(F.octet_length("url"), F.lit(0)) + F.lit(1024.0)
+    level = F.least(F.greatest(F.ceil(F.log2(weight * records_per_file / file_bytes)), F.lit(0)), F.lit(records_per_file.bit_length())).cast("int")
+    pages = pages.withColumn("level", level)
+    levels = sorted(r.level for r in pages.select("level").distinct().collect()) or [0]
     seen = pages.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"))
     first = seen.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"), F.count("*").alias("n"), F.count("page_id").alias("known"))
     first = materialize(first.filter("n > 1 AND known > 0 AND (last > refers_to OR known < n)").select("sha", "refers_to"), "first")
@@ -93,13 +101,15 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 5000, gz
     else:
         joined = pages.withColumn("sha", F.sha1(F.col("html").cast("binary"))).join(F.broadcast(first) if n <= _BROADCAST_ROWS else first, "sha", "left")
         marked = joined.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("refers_to")), F.col("refers_to")))
-    rows = marked.select("page_id", "url", "html", "refers_to").mapInArrow(_records(gzip_members, date), "value binary")
-    writer = rows.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", records_per_file)
-    if gzip_members:
-        writer = writer.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
-    else:
-        writer = writer.option("lineSep", END.decode())
-    writer.text(path)
+    for i, at in enumerate(levels):
+        part = marked if len(levels) == 1 else marked.filter(F.col("level") == at)
+        rows = part.select("page_id", "url", "html", "refers_to").mapInArrow(_records(gzip_members, date), "value binary")
+        writer = rows.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", max(1, records_per_file >> at))
+        if gzip_members:
+            writer = writer.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
+        else:
+            writer = writer.option("lineSep", END.decode())
+        (writer.mode("append") if i else writer).text(path)
 
 
 @dataclass

@@ -90,3 +90,15 @@ def test_gaps_are_rows(spark, tmp_path):
 def test_no_pages(spark, tmp_path):
     write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/w")
     assert read_archives(spark, f"file://{tmp_path}/w").collect() == []
+
+
+def test_large_pages_come_in_archives_of_bounded_size(spark, tmp_path):
+    """Files are cut by bytes as well as by records; no page is lost."""
+    sizes = [10] * 60 + [300_000] * 12 + [900_000] * 3 + [3_000_000]
+    rows = [(i, f"http://h/{i}", f"{i}-".ljust(n, "x")) for i, n in enumerate(sizes)]
+    path = f"file://{tmp_path}/w"
+    write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, file_bytes=1 << 20)
+    files = sorted(f.stat().st_size for f in (tmp_path / "w").glob("part-*"))
+    assert files[-1] < 3_010_000 and all(n <= 1 << 20 for n in files[:-1]) and len(files) < 20
+    got = read_archives(spark, path).collect()
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in got) == [(i, h) for i, _, h in rows]
