@@ -22,12 +22,23 @@ def break_even(rows: DataFrame, key: str, depth: str, candidate: str, baseline:
     return rows.groupBy(key).agg(F.min(F.when(F.col(candidate) <= F.col(baseline), F.col(depth))).alias("break_even_depth"))
 
 
-def nearest_rank(rows: DataFrame, key: str, value: str, fraction: float) -> DataFrame:
-    """The value at index ``int((n - 1) * fraction + 0.999999)`` of each group's sorted values."""
-    w = Window.partitionBy(key)
-    ranked = rows.withColumns({"_r": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
+def nearest_rank(rows: DataFrame, key: str, value: str, fraction: float, ranges: int = 200) -> DataFrame:
+    """The value at index ``int((n - 1) * fraction + 0.999999)`` of each group's sorted values.
+
+    Values are counted, the counts summed along ranges of about equal size, and only
+    the range that holds the index is sorted.  Nulls come first.
+    """
+    counts = rows.groupBy(F.col(key).alias("_k"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    cuts = rows.groupBy(F.col(key).alias("_j")).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)]).alias("_cuts"), F.count("*").alias("_n"))
     at = F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.floor((F.col("_n") - 1) * fraction + 0.999999)))
-    return ranked.filter(F.col("_r") == at).select(key, F.round(value, 3).alias("percentile_value"))
+    place = F.when(F.col("_v").isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
+    placed = counts.join(cuts, F.col("_k").eqNullSafe(F.col("_j"))).select("_k", "_v", "_c", at.alias("_at"), place.alias("_b"))
+    totals = placed.groupBy("_k", "_b").agg(F.sum("_c").alias("_m"), F.first("_at").alias("_at"))
+    start = F.sum("_m").over(Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")
+    hit = totals.withColumn("_start", start).filter("_start <= _at AND _at < _start + _m").select(F.col("_k").alias("_j"), F.col("_b").alias("_i"), "_start")
+    inside = placed.join(hit, F.col("_k").eqNullSafe(F.col("_j")) & (F.col("_b") == F.col("_i")))
+    end = F.col("_start") + F.sum("_c").over(Window.partitionBy("_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("_end", end).filter("_end - _c <= _at AND _at < _end").select(F.col("_k").alias(key), F.round("_v", 3).alias("percentile_value"))
 
 
 def medians(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -328,3 +328,19 @@ def test_typed_equality():
 
     assert same(1, 1) and same({"a": 1}, {"a": 1}) and same(None, None)
     assert not same(True, 1) and not same(1, True) and not same("1", 1)
+
+
+def test_nearest_rank_sorts_no_whole_group(spark):
+    """Equal to sorting each group, with ties, nulls and a null key; no group is sorted."""
+    from ledgerframe.operators import costs
+
+    rows = [("a", float(i * 37 % 1009)) for i in range(3000)] + [("b", 1.0)] * 50 + [("b", 2.0)] * 3 + [("c", None)] * 9 + [("c", 5.0), (None, 3.0), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for fraction in (0.0, 0.5, 0.95, 1.0):
+        got = costs.nearest_rank(df, "k", "v", fraction)
+        want = {}
+        for k in {k for k, _ in rows}:
+            v = sorted((x for j, x in rows if j == k), key=lambda x: (x is not None, x or 0.0))
+            want[k] = v[max(0, min(len(v) - 1, int((len(v) - 1) * fraction + 0.999999)))]
+        assert {r.k: r.percentile_value for r in got.collect()} == want and got.count() == len(want)
+    assert "row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
