@@ -21,12 +21,18 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set."""
+    """The folder all executors share; one of our own where none is set and all run in this machine.
+
+    A cluster without the setting is refused: its executors would write to their own
+    disks, and a table read from the driver's would come out empty.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_on_context = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = set_on_context.get() if set_on_context.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="ledgerframe-"))
         found = _own[0]

@@ -16,7 +16,9 @@ is no single group.
 
 from __future__ import annotations
 
+import json
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,6 +76,7 @@ def patterns(counts: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
             bin_ += [length] * n
             room -= length * n
             left.take(length, n)
+        most = Counter(bin_)
         while room and len(bin_) > 1:
             small = bin_[-1]
             a, b = left.best_two(room + small)
@@ -85,10 +88,12 @@ def patterns(counts: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
             left.give(small, 1)
             bin_ = sorted([*bin_, a, b], reverse=True)
             room -= a + b - small
-        used, n = np.unique(bin_, return_counts=True)
-        times = 1 + int((left.counts[used] // n).min())
-        for length, k in zip(used.tolist(), n.tolist(), strict=True):
-            if times > 1:
+            most |= Counter(bin_)
+        # Packing one bin at a time would make this bin again while as much of each length is left as it once held.
+        used = Counter(bin_)
+        times = 1 + max(0, min((int(left.counts[x]) + k - most[x]) // k for x, k in used.items()))
+        if times > 1:
+            for length, k in used.items():
                 left.take(length, k * (times - 1))
         out.append((times, bin_))
     return out
@@ -109,25 +114,33 @@ def places(made: list[tuple[int, list[int]]], capacity: int) -> np.ndarray:
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
-def _tokenizer(path: str | None):
-    """Ids of a text by the byte-level BPE; the two library files hold one vocabulary."""
+def _tokenizer(vocabulary: str | None, tokenizer: str | None):
+    """The ids of a text as the tokenizers file gives them without a template.
+
+    Its added tokens (``<|endoftext|>``) stand for themselves wherever their strings
+    occur in a text, as that library has it by default.  The ids between them come from
+    the tiktoken file, which holds the same vocabulary.
+    """
     import base64
 
     import public_tokenizers
     import tiktoken
 
-    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+    with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
 
 
-def _cut(capacity: int, path: str | None):
+def _cut(capacity: int, vocabulary: str | None, tokenizer: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokenizer(path)
+        tokens = _tokenizer(vocabulary, tokenizer)
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for row, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)):
-                ids = np.append(tokens.encode_to_numpy(text.as_py() or "", disallowed_special=()), 0).astype("<u4")
+                ids = np.append(tokens(text.as_py() or ""), 0).astype("<u4")
                 n = len(ids)
                 cuts = [0, n] if n <= capacity else [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -138,19 +151,25 @@ def _cut(capacity: int, path: str | None):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, salt: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, tokenizer: str | None = None, salt: int | None = None) -> DataFrame:
     """A place in a sequence of at most ``capacity`` tokens for every piece of every document.
 
     ``docs`` has ``doc_id`` and ``text``.  A document is its ids by the byte-level
-    BPE, special strings taken as ordinary text, then id 0; null is the empty
-    text.  Only longer documents are cut, so that all pieces but the first have
-    ``capacity`` tokens.  Returns doc_id, piece, start, length, ids_crc32,
-    sequence_id and offset; the pieces of a sequence leave no gap.  Rows that
-    repeat an id are packed each for itself; an empty table packs to no rows.
+    BPE, the strings of the tokenizer's special tokens included, then id 0.  Only longer documents are cut, so
+    that all pieces but the first have ``capacity`` tokens.  Returns doc_id, piece,
+    start, length, ids_crc32, sequence_id and offset; the pieces of a sequence leave
+    no gap.  ``vocabulary`` and ``tokenizer`` are the paths of the tiktoken and the
+    tokenizers file.
+
+    Nulls: a null text is the empty text, one piece of id 0; a null id stays null.
+    Empty texts are one piece of id 0, very long ones are cut as above.  Ties: pieces
+    of one length take its places in an order of their hashes.  Rows that repeat an id
+    are packed each for itself.  An empty table packs to no rows.  Other columns of
+    ``docs``, whatever their names, are not read.
     """
     salt = salt or partitions(docs.sparkSession, 64)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cut = narrow.mapInArrow(_cut(capacity, vocabulary), "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
+    cut = narrow.mapInArrow(_cut(capacity, vocabulary, tokenizer), "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
     # Equal rows of a group are interchangeable, so a rank needs no order among them.
     cut = materialize(cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row"), F.lit(salt))), "pieces")
     groups = cut.groupBy("length", "part").agg(F.count("*").alias("n"))

@@ -99,25 +99,32 @@ def test_decontaminate_nothing(spark):
 # --- packing
 
 
-def test_tokenizer_files_agree():
+def library_ids(texts):
+    """Ids by the tokenizers library as it comes, without a template."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    own = packing._tokenizer(None)
-    for text in ("", " ", "a b\n\n  c", "é日本 ß\x00", "<|endoftext|> x", "don't 123 !!! ...", LONG[:500], "🙂‍↔️ ok"):
-        assert t.encode(text, add_special_tokens=False).ids == own.encode_to_numpy(text, disallowed_special=()).tolist()
+    return [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+SPECIAL = ["<|endoftext|>", "<|endoftext|> x", "a <|endoftext|>b", "  <|endoftext|>  \n c", "<|endoftext|><|endoftext|>", "<|endoftext|", "<|ENDOFTEXT|>", "x" * 3000 + "<|endoftext|>" + "y " * 3000]
+
+
+def test_ids_are_the_library_s():
+    texts = ["", " ", "a b\n\n  c", "é日本 ß\x00", "don't 123 !!! ...", LONG[:500], "🙂‍↔️ ok", *SPECIAL]
+    own = packing._tokenizer(None, None)
+    assert [own(t).tolist() for t in texts] == library_ids(texts)
+    assert library_ids(["<|endoftext|> x"]) == [[50256, 2124]]
 
 
 @pytest.mark.parametrize("capacity", [16, 64, 2048])
 def test_pack(spark, capacity):
-    own = packing._tokenizer(None)
-    rows = corpus()
-    got = packing.pack(clashing(frame(spark)), capacity, salt=4).toPandas()
+    rows = corpus() + [(5000 + i, t, "en", "s", 0) for i, t in enumerate(SPECIAL)]
+    got = packing.pack(clashing(frame(spark, rows)), capacity, salt=4).toPandas()
     want = []
-    for i, t, *_ in rows:
-        ids = np.array([*own.encode_ordinary(t or ""), 0], "<u4")
+    for (i, *_), ids in zip(rows, library_ids([t or "" for _, t, *_ in rows])):
+        ids = np.array([*ids, 0], "<u4")
         first = len(ids) % capacity or capacity
         cuts = [0, *range(first, len(ids) + 1, capacity)] if len(ids) > capacity else [0, len(ids)]
         want += [(key(i), k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
@@ -146,6 +153,39 @@ def test_patterns_use_every_piece_once():
         assert (used == counts).all()
 
 
+def one_bin_at_a_time(pieces, capacity):
+    """Best-two-fit as it reads, piece by piece: bins as sorted tuples."""
+    left, bins = sorted(pieces, reverse=True), []
+    while left:
+        bin_ = []
+        while fit := next((x for x in left if x <= capacity - sum(bin_)), None):
+            bin_.append(fit)
+            left.remove(fit)
+        while len(bin_) > 1 and sum(bin_) < capacity:
+            small = min(bin_)
+            room = capacity - sum(bin_) + small
+            pairs = [(a + b, -min(a, b)) for i, a in enumerate(left) for b in left[i + 1 :] if a + b <= room]
+            if not pairs or max(pairs)[0] <= small:
+                break
+            total, least = max(pairs)
+            for x in (-least, total + least):
+                left.remove(x)
+                bin_.append(x)
+            bin_.remove(small)
+            left = sorted([*left, small], reverse=True)
+        bins.append(tuple(sorted(bin_)))
+    return sorted(bins)
+
+
+@pytest.mark.parametrize("capacity,n,low", [(10, 60, 1), (30, 120, 1), (30, 120, 6), (100, 150, 20), (100, 150, 30), (7, 100, 1)])
+def test_patterns_are_best_two_fit_by_document(capacity, n, low):
+    r = np.random.default_rng(capacity + n + low)
+    for _ in range(4):
+        pieces = r.integers(low, capacity + 1, n).tolist()
+        made = [tuple(sorted(b)) for k, b in packing.patterns(np.bincount(pieces, minlength=capacity + 1), capacity) for _ in range(k)]
+        assert sorted(made) == one_bin_at_a_time(pieces, capacity)
+
+
 def test_best_two_expands_the_gap():
     # 6 + 3 leaves a gap of 1; giving up the 3 makes room for 2 + 2.
     counts = np.zeros(11, np.int64)
