@@ -13,7 +13,9 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
@@ -39,6 +41,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def carried(docs: DataFrame, columns: list[str] | None) -> list[Column]:
+    """One struct column of columns to take along, or none: their names meet no others there."""
+    return [] if columns is None else [F.struct(*(F.col(f"`{c}`") for c in columns)).alias("carried")]
+
+
+def fields_of(df: DataFrame, *more: str) -> T.StructType:
+    """The schema of a DataFrame with more columns, given as ``name type``."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(", ".join(more)).fields])
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it."""
     spark = df.sparkSession

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import carried, fields_of
 from ._words import ALNUM, Words, buffers, covered, pieces
 from .fm_index import FMIndex
 
@@ -161,33 +162,36 @@ def _without(text: pa.Array, words: Words, hit: np.ndarray, n_hit: np.ndarray) -
     return pa.array(out, pa.string())
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, shard_bytes: int = 4 << 20, with_text: bool = True, keep: list[str] | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, shard_bytes: int = 4 << 20, with_text: bool = True, carry: list[str] | None = None) -> DataFrame:
     """Which words of each document lie in a passage of the benchmark.
 
     ``docs`` has ``doc_id`` and ``text``, ``benchmark`` has ``item_id`` and
     ``text``.  A-Z are lower-cased; words are runs of digits, letters a-z and
     characters beyond ASCII.  A phrase is ``window`` consecutive words of an item,
-    or all words of an item with fewer.  Returns per row the columns of ``keep``
-    (of ``docs``; doc_id by default), n_words, n_hit (words inside an occurrence), n_items and items_sha256 (items with an
-    occurrence), contaminated, and with ``with_text`` clean_text: the text
-    without its removal spans.
-
-    Null texts have no words; items without words or with a null id have no
-    phrases; an empty benchmark hits nothing.  Rows that repeat an id are judged
-    each for itself; items that repeat an id count once.
+    or all words of an item with fewer.  Returns per row doc_id, carried (a struct of
+    the columns of ``docs`` named by ``carry``, if any), n_words, n_hit (words inside
+    an occurrence), n_items and items_sha256 (items with an occurrence),
+    contaminated, and with ``with_text`` clean_text: the text without its removal
+    spans.
+
+    Nulls: a null text has no words and stays null in clean_text; items with a null id
+    or text have no phrases.  Empty texts have no words.  Very long texts are searched
+    whole, a text longer than ``shard_bytes`` as a shard of its own.  Ties and repeats:
+    rows that repeat an id are judged each for itself, items that repeat an id count
+    once.  Empty tables: an empty benchmark hits nothing, no documents give no rows.
+    Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    keep = keep or ["doc_id"]
-    out = docs.select(*keep, F.col("text").cast("string").alias("_text"), F.lit(None).cast("binary").alias("_hits"), F.lit(None).cast("array<string>").alias("_items"))
-    kept = "".join(f"`{n}` {t}, " for n, t in docs.select(*keep).dtypes)
+    head = docs.select("doc_id", *carried(docs, carry))
+    out = docs.select("doc_id", *carried(docs, carry), F.col("text").cast("string").alias("_text"), F.lit(None).cast("binary").alias("_hits"), F.lit(None).cast("array<string>").alias("_items"))
     for k in range(blocks):
         # At most about block_bytes come to the driver and are broadcast at a time.
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         sent = spark.sparkContext.broadcast(phrases([r.item_id for r in rows], [r.text for r in rows], window))
         last = k == blocks - 1
-        schema = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", clean_text string" * with_text if last else "_text string, _hits binary, _items array<string>"
-        out = out.mapInArrow(_search(sent, last, shard_bytes, with_text, keep), kept + schema)
+        made = ["n_words long", "n_hit long", "n_items long", "items_sha256 string", "contaminated boolean", *["clean_text string"] * with_text] if last else ["_text string", "_hits binary", "_items array<string>"]
+        out = out.mapInArrow(_search(sent, last, shard_bytes, with_text, head.columns), fields_of(head, *made))
     return out

@@ -7,7 +7,8 @@ learned tanh layer.  Gated attention weights ``softmax(w . (tanh(V h) * sigmoid(
 are learned from the documents' labels, and a logistic output scores the weighted
 passage representation.
 
-The classifier is fit on a bounded sample of labelled documents (``sample_docs``);
+The classifier is fit on a bounded sample of labelled documents (``sample_docs`` of
+them, ``sample_chars`` characters of each);
 scoring is one pass over all documents without a shuffle, with a model of some
 hundred kilobytes.  Inputs of a score are the text alone.
 """
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import carried, fields_of
 from ._words import SPACED, U, Words, buffers, pieces
 
 PASSAGE = 64
@@ -114,6 +116,32 @@ def _forward(p: dict, stats: np.ndarray, words: np.ndarray, doc: np.ndarray, n:
     return x, h, tv, su, alpha, bag, bag @ p["o"] + p["c"]
 
 
+def slopes(p: dict, stats: np.ndarray, bucket: np.ndarray, n_words: np.ndarray, doc: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean log loss of bags of passages and its gradient.
+
+    ``bucket`` holds the passages' words one after the other, ``n_words`` of each.
+    """
+    avg = np.add.reduceat(p["E"][bucket], np.cumsum(n_words) - n_words) / n_words[:, None]
+    x, h, tv, su, alpha, bag, z = _forward(p, stats, avg, doc, len(labels))
+    loss = float(np.mean(np.logaddexp(0, z) - labels * z))
+    dz = (1 / (1 + np.exp(-z)) - labels) / len(labels)
+    g = {"o": bag.T @ dz, "c": dz.sum()}
+    dbag = dz[:, None] * p["o"]
+    dh = alpha[:, None] * dbag[doc]
+    dalpha = (h * dbag[doc]).sum(axis=1)
+    da = alpha * (dalpha - np.bincount(doc, weights=alpha * dalpha, minlength=len(labels))[doc])
+    g["w"] = (tv * su).T @ da
+    dg = da[:, None] * p["w"]
+    dtv, dsu = dg * su * (1 - tv**2), dg * tv * su * (1 - su)
+    g["V"], g["U"] = h.T @ dtv, h.T @ dsu
+    dh += dtv @ p["V"].T + dsu @ p["U"].T
+    dpre = dh * (1 - h**2)
+    g["W"], g["b"] = x.T @ dpre, dpre.sum(axis=0)
+    davg = (dpre @ p["W"].T)[:, N_STATS:] / n_words[:, None]
+    g["E"] = np.stack([np.bincount(bucket, weights=np.repeat(davg[:, j], n_words), minlength=HASHED) for j in range(WORD)], axis=1)
+    return loss, g
+
+
 def fit(texts: list[str], labels: list[int], epochs: int = 30, seed: int = 5, penalty: float = 1e-4, rate: float = 0.01, batch: int = 256) -> Model:
     """Learn encoder, gated attention and output together by Adam on the log loss."""
     labels = np.array(labels, float)
@@ -141,24 +169,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 30, seed: int = 5, pe
             k = np.concatenate([np.arange(low[i], high[i]) for i in own])
             d_k = np.repeat(np.arange(len(own)), high[own] - low[own])
             words_k = np.concatenate([np.arange(first[i], first[i] + n_words[i]) for i in k])
-            cuts = np.cumsum(n_words[k]) - n_words[k]
-            avg = np.add.reduceat(p["E"][bucket[words_k]], cuts) / n_words[k][:, None]
-            x, h, tv, su, alpha, bag, z = _forward(p, stats[k], avg, d_k, len(own))
-            dz = (1 / (1 + np.exp(-z)) - labels[own]) / len(own)
-            g = {"o": bag.T @ dz, "c": dz.sum()}
-            dbag = dz[:, None] * p["o"]
-            dh = alpha[:, None] * dbag[d_k]
-            dalpha = (h * dbag[d_k]).sum(axis=1)
-            da = alpha * (dalpha - np.bincount(d_k, weights=alpha * dalpha, minlength=len(own))[d_k])
-            g["w"] = (tv * su).T @ da
-            dg = da[:, None] * p["w"]
-            dtv, dsu = dg * su * (1 - tv**2), dg * tv * su * (1 - su)
-            g["V"], g["U"] = h.T @ dtv, h.T @ dsu
-            dh += dtv @ p["V"].T + dsu @ p["U"].T
-            dpre = dh * (1 - h**2)
-            g["W"], g["b"] = x.T @ dpre, dpre.sum(axis=0)
-            davg = (dpre @ p["W"].T)[:, N_STATS:] / n_words[k][:, None]
-            g["E"] = np.stack([np.bincount(bucket[words_k], weights=np.repeat(davg[:, j], n_words[k]), minlength=HASHED) for j in range(WORD)], axis=1)
+            _, g = slopes(p, stats[k], bucket[words_k], n_words[k], d_k, labels[own])
             step += 1
             for name, v in p.items():
                 q = g[name] + penalty * v
@@ -175,14 +186,20 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_chars: int = 20_000, label: str = "quality") -> Model:
     """A model from a bounded sample of labelled documents that are not held out.
 
-    The sample is the ``sample_docs`` documents of up to ``sample_chars``
-    characters whose id hashes least.  Labels that are null or not 0 or 1 are left
-    out, of repeated labels of one document the least counts.
+    The sample is the ``sample_docs`` labelled documents whose id hashes least; of a
+    text of more than ``sample_chars`` characters it has sixteen stretches, spread
+    evenly from its first word to its last, of ``sample_chars`` in all.  Labels that
+    are null or not 0 or 1 are left out, of repeated labels of one document the least
+    counts, of repeated documents the least text.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).alias("label"))
     known = known.select("doc_id", "label", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_docs)
     # The sample is bounded by sample_docs rows of three numbers.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.length("text") <= sample_chars).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).orderBy("doc_id").collect()
+    n, width = F.char_length("text"), sample_chars // 16
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.substring(F.col("text"), (F.floor((n - width) * i / 15) + 1).cast("int"), F.lit(width))), "\n")
+    drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    drawn = drawn.withColumn("text", F.when(n > sample_chars, spread).otherwise(F.col("text")))
+    rows = drawn.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).orderBy("doc_id").collect()
     return fit([r.text for r in rows], [r.label for r in rows])
 
 
@@ -192,27 +209,30 @@ def _score(model, shard_bytes: int):
         for batch in batches:
             for piece in pieces(batch, "text", shard_bytes):
                 s = m.score(Words(*buffers(piece.column("text")), SPACED, False))
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in piece.schema.names), pa.array(s, pa.float64())], [*piece.schema.names, "score"])
+                kept = [c for c in piece.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array(s, pa.float64())], [*kept, "score"])
 
     return run
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, model: Model | None = None, keep: list[str] | None = None, threshold: float = 0.3, shard_bytes: int = 4 << 20) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, model: Model | None = None, carry: list[str] | None = None, threshold: float = 0.3, shard_bytes: int = 4 << 20) -> DataFrame:
     """A quality score for every whole text.
 
     ``docs`` has ``doc_id`` and ``text``, ``labels`` has ``doc_id`` and
-    ``quality``.  Returns the columns of ``keep`` (of ``docs``; doc_id by
-    default), held_out, score (0 to 1, higher: label 1 likelier) and predicted (1
-    if the score reaches the threshold).
-
-    Null and empty texts, and texts of white space, have the smoothed rate of
-    label 1 among such texts of the sample.  Without labels the score is 0.5.
-    Rows that repeat an id are scored each for itself; a null id is not held out.
+    ``quality``.  Returns per row doc_id, carried (a struct of the columns of ``docs``
+    named by ``carry``, if any), held_out, score (0 to 1, higher: label 1 likelier)
+    and predicted (1 if the score reaches the threshold).
+
+    Nulls: a null text is the empty text; a null id is not held out; a null label is
+    none.  Empty texts, and texts of white space, have the smoothed rate of label 1
+    among such texts of the sample.  Very long texts are scored whole.  Ties and
+    repeats: rows that repeat an id are scored each for itself, equal texts alike.
+    Empty tables: without labels the score is 0.5, no documents give no rows.  Other
+    columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model or train(docs, labels))
-    keep = keep or ["doc_id"]
-    rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    rows = rows.withColumn("text", F.col("text").cast("string"))
-    scored = rows.mapInArrow(_score(sent, shard_bytes), ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, ("score", "double")]))
-    return scored.select(*keep, F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    head = docs.select("doc_id", *carried(docs, carry))
+    rows = docs.select("doc_id", *carried(docs, carry), F.col("text").cast("string").alias("text"))
+    scored = rows.mapInArrow(_score(sent, shard_bytes), fields_of(head, "score double"))
+    return scored.select(*head.columns, F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -3,14 +3,18 @@
 The field tags the tokens of a line as begin, inside or outside of a secret.
 Its features are a token's shape (length, digits, cases, hex, class changes,
 known prefixes), neighbouring words (secret keywords before it, lengths next to
-it, the delimiter before it) and a file feature (share of code-like tokens).
-It is trained by maximum likelihood (forward-backward, Adam) on generated lines
-that hold secrets of many kinds and on a bounded sample of the corpus's own
-lines, labelled by the patterns.  Lines are decoded by Viterbi.  A line where no
-token can gain from leaving "outside", whatever the transitions, needs no
-decoding: outside throughout is its best path.
-
-One pass, no shuffle; the model is a few kilobytes.
+it, the delimiter before it, a dot or equals sign that joins it to a neighbour) and
+a file feature (share of code-like tokens).  It is trained by maximum likelihood
+(forward-backward, Adam) on generated lines that hold secrets of many kinds and on a
+bounded sample of the corpus's own lines: what the patterns match there is a secret,
+and a line with a token that looks like one and that they do not match is left out,
+for it is no proof of either.  Lines are decoded by Viterbi.  A line where no token
+can gain from leaving "outside", whatever the transitions, needs no decoding:
+outside throughout is its best path.
+
+Training reads the documents twice to draw its sample (hashes of texts, then the
+lines of a bounded number of texts); the scan is one pass without a shuffle, with a
+model of a few kilobytes.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import carried, fields_of
 from ._words import LOWER, U, Words, buffers, pieces
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -52,7 +58,13 @@ _LENGTHS = np.array([4, 6, 8, 12, 16, 20, 24, 32, 40, 64])
 _KEYWORDS = [b"password", b"passwd", b"pwd", b"passphrase", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"key", b"auth", b"authorization", b"bearer", b"credential", b"credentials", b"access_key", b"private_key", b"client_secret", b"access_token"]
 _PREFIXES = [b"AKIA", b"ASIA", b"ghp_", b"gho_", b"ghs_", b"xoxb", b"xoxp", b"AIza", b"eyJh", b"sk-", b"pk_", b"sk_"]
 #: Values of each feature, in the order of ``features``.
-SIZES = (11, 6, 8, 4, 5, 2, 3, 2, 2, 4, 11, 11, 3)
+SIZES = (11, 6, 8, 4, 5, 2, 3, 2, 2, 4, 11, 11, 3, 3, 3)
+#: A token can only be inside a secret if a dot or equals sign joins it to the one before.
+GLUE = 13
+_JOINED = np.zeros((SIZES[GLUE], 3))
+_JOINED[0, 2] = -30.0
+#: Lines are cut to so many tokens for training.
+CHAIN = 60
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -117,7 +129,10 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(len(w.counts)), w.counts)
     codes = np.bincount(doc, weights=code, minlength=len(w.counts)) / np.maximum(w.counts, 1)
     file = np.searchsorted([0.02, 0.2], codes)[doc]
-    out = (bucket, digits, case, hexed, rate, foreign, head, before, second, delimiter, after, prior, file)
+    last = data[np.maximum(w.starts - 1, 0)]
+    glue = np.where(same & (gap == 1), np.where(last == 0x2E, 1, np.where(last == 0x3D, 2, 0)), 0)
+    onward = np.append(glue[1:], 0)
+    out = (bucket, digits, case, hexed, rate, foreign, head, before, second, delimiter, after, prior, file, glue, onward)
     return np.stack([x.astype(np.uint8) for x in out]), line
 
 
@@ -174,10 +189,15 @@ class Field:
 
 
 def fit(f: np.ndarray, line: np.ndarray, tags: np.ndarray, rounds: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Field:
-    """Maximum likelihood by forward-backward and Adam over lines of up to 60 tokens."""
+    """Maximum likelihood by forward-backward and Adam; of a longer line each ``CHAIN`` tokens are a chain."""
     begin = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
     size = np.diff(np.append(begin, len(line)))
-    begin, size = begin[size <= 60], size[size <= 60]
+    parts = -(-size // CHAIN)
+    within = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin, size = np.repeat(begin, parts) + within * CHAIN, np.minimum(np.repeat(size, parts) - within * CHAIN, CHAIN)
+    tags = tags.copy()
+    tags[begin[tags[begin] == 2]] = 1
+    tags[(tags == 2) & (f[GLUE] == 0)] = 1
     order = np.argsort(-size, kind="stable")
     begin, size = begin[order], size[order]
     steps = int(size[0])
@@ -191,42 +211,41 @@ def fit(f: np.ndarray, line: np.ndarray, tags: np.ndarray, rounds: int = 150, ra
     combos, combo = np.unique(f.T, axis=0, return_inverse=True)
     combo = combo.ravel()
     flat = combos.T.astype(np.int64) + offsets[:-1, None]
-    used = np.concatenate([begin[: active[t]] + t for t in range(steps)])
+    used = np.concatenate([begin[: active[t]] + t for t in range(steps)])  # step by step
+    at = np.concatenate([[0], np.cumsum(active)])
     truth = {"w": np.zeros_like(params["w"]), "m": np.zeros((3, 3)), "s": np.bincount(tags[begin], minlength=3).astype(float)}
-    by_combo = np.bincount(combo[used] * 3 + tags[used], minlength=3 * len(combos)).reshape(-1, 3)
+    combo = combo[used]
+    by_combo = np.bincount(combo * 3 + tags[used], minlength=3 * len(combos)).reshape(-1, 3)
     for row in flat:
         np.add.at(truth["w"], row, by_combo)
     for t in range(1, steps):
         np.add.at(truth["m"], (tags[begin[: active[t]] + t - 1], tags[begin[: active[t]] + t]), 1)
 
-    def lse(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
     for it in range(1, rounds + 1):
-        e = sum(params["w"][row] for row in flat)[combo]
-        moves, start = params["m"] + forbidden, params["s"] + np.array([0, 0, -30.0])
-        alpha = [start + e[begin]]
-        for t in range(1, steps):
-            k = active[t]
-            alpha.append(lse(alpha[-1][:k, :, None] + moves, 1) + e[begin[:k] + t])
-        beta = np.zeros((len(begin), 3))
-        total = np.empty(len(begin))
+        e = sum(params["w"][row] for row in flat) + _JOINED[combos[:, GLUE]]
+        moves, start = np.exp(params["m"] + forbidden), params["s"] + np.array([0, 0, -30.0])
+        likely = np.exp(e - e.max(axis=1, keepdims=True))[combo]
+        # Forward and backward by probabilities, scaled at each step.
+        scaled = lambda x: (x / x.sum(axis=1, keepdims=True), x.sum(axis=1, keepdims=True))
+        alpha, total = [], []
         for t in range(steps):
-            ends = np.arange(active[t + 1] if t + 1 < steps else 0, active[t])
-            total[ends] = lse(alpha[t][ends], 1)
+            k = active[t]
+            a, n = scaled((alpha[-1][:k] @ moves if t else np.exp(start - start.max())) * likely[at[t] : at[t + 1]])
+            alpha.append(a)
+            total.append(n)
+        beta = np.ones((len(begin), 3))
         grad = {"w": np.zeros_like(params["w"]), "m": np.zeros((3, 3)), "s": np.zeros(3)}
-        p = np.zeros_like(e)
+        p = np.zeros((len(combo), 3))
         for t in range(steps - 1, -1, -1):
             k = active[t]
-            p[begin[:k] + t] = np.exp(alpha[t] + beta[:k] - total[:k, None])
+            p[at[t] : at[t + 1]] = alpha[t] * beta[:k]
             if t:
-                inner = (e[begin[:k] + t] + beta[:k])[:, None, :] + moves
-                grad["m"] += np.exp(alpha[t - 1][:k, :, None] + inner - total[:k, None, None]).sum(axis=0)
-                beta[:k] = lse(inner, 2)
-        grad["s"] = p[begin].sum(axis=0)
+                inner = likely[at[t] : at[t + 1]] * beta[:k] / total[t]
+                grad["m"] += moves * (alpha[t - 1][:k].T @ inner)
+                beta[:k] = inner @ moves.T
+        grad["s"] = p[: len(begin)].sum(axis=0)
         for tag in range(3):
-            mass = np.bincount(combo[used], weights=p[used, tag], minlength=len(combos))
+            mass = np.bincount(combo, weights=p[:, tag], minlength=len(combos))
             for row in flat:
                 grad["w"][:, tag] += np.bincount(row, weights=mass, minlength=offsets[-1])
         for k, v in params.items():
@@ -236,6 +255,7 @@ def fit(f: np.ndarray, line: np.ndarray, tags: np.ndarray, rounds: int = 150, ra
             m2[:] = 0.99 * m2 + 0.01 * g * g
             v += rate * (m1 / (1 - 0.9**it)) / (np.sqrt(m2 / (1 - 0.99**it)) + 1e-9)
     tables = [params["w"][a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    tables[GLUE] = tables[GLUE] + _JOINED
     return Field(tables, params["m"] + forbidden, params["s"] + np.array([0, 0, -30.0]))
 
 
@@ -250,7 +270,7 @@ def generated(seed: int = 7, n: int = 1500) -> list[tuple[str, list[tuple[int, i
         before, after = (" ".join(word() for _ in range(r.randint(0, 8))) for _ in range(2))
         if r.random() < 0.5:
             key = r.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_token", "client_secret", "auth", "Bearer", "private_key", ""])
-            value = r.choice([lambda: of(hexes, 20, 64), lambda: of(b64, 20, 60), lambda: "AKIA" + of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 16), lambda: "ghp_" + of(b64[:62], 30, 36), lambda: "sk-" + of(b64[:62], 24, 48), lambda: "xoxb-" + of("0123456789", 10, 12) + "-" + of(b64[:62], 20, 24), lambda: of(b64[:62] + "_-", 10, 20) if key else of(b64[:62], 24, 40)])()
+            value = r.choice([lambda: of(hexes, 20, 64), lambda: of(b64, 20, 60), lambda: "AKIA" + of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 16), lambda: "ghp_" + of(b64[:62], 30, 36), lambda: "sk-" + of(b64[:62], 24, 48), lambda: "xoxb-" + of("0123456789", 10, 12) + "-" + of(b64[:62], 20, 24), lambda: of(b64[:62] + "_-", 10, 20) if key else of(b64[:62], 24, 40), lambda: ".".join(("eyJ" + of(b64[:62], 12, 30), of(b64[:62] + "_-", 30, 80), of(b64[:62] + "_-", 30, 50))), lambda: "SG." + of(b64[:62] + "_-", 18, 24) + "." + of(b64[:62] + "_-", 30, 44), lambda: of(b64, 26, 62) + "=" * r.randint(1, 2)])()
             glue = r.choice([" = ", "=", ": ", ":", ' = "', '="', '": "', " "]) if key and key != "Bearer" else " "
             line = f"{before} {key}{glue}".lstrip() if key else f"{before} ".lstrip()
             at = len(line)
@@ -260,7 +280,7 @@ def generated(seed: int = 7, n: int = 1500) -> list[tuple[str, list[tuple[int, i
                 line += '"'
             out.append((f"{line} {after}", spans))
         else:
-            item = r.choice([lambda: of("0123456789", 1, 12), lambda: f"{r.randint(1, 12)}/{r.randint(1, 28)}/{r.randint(1990, 2030)}", lambda: f"https://{word()}.example.com/{word()}/{r.randint(1, 9999)}", lambda: f"{word()}_{word()}_{word()} = {r.randint(0, 99)}", lambda: f"{word()}.{word()}@{word()}.org", lambda: word().upper() + "-" + of("0123456789", 2, 5), lambda: f"+{of('0123456789', 2, 3)} {of('0123456789', 3, 4)} {of('0123456789', 3, 4)}", lambda: "".join(word() for _ in range(4)), lambda: f"{r.choice(['token', 'secret', 'password', 'key'])} {word()} {word()}", lambda: f"{word()} = \"{word()} {word()}\"", lambda: f"{of('0123456789', 4, 4)} {of('0123456789', 4, 4)} {of('0123456789', 4, 4)} {of('0123456789', 4, 4)}"])()
+            item = r.choice([lambda: ".".join(word() for _ in range(r.randint(2, 4))) + "()", lambda: f"v{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 99)}", lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), lambda: f"www.{word()}.example.com/{word()}?{word()}={r.randint(1, 999)}&{word()}={word()}", lambda: f"{word()}={word()}", lambda: f"{word()}_{word()}.tar.gz", lambda: "-".join(of(hexes, n, n) for n in (8, 4, 4, 4, 12)), lambda: "".join(word().title() for _ in range(r.randint(2, 4))), lambda: f"{word()}{r.randint(0, 9999)}", lambda: f"{word()}.{r.randint(10, 99)}@mail{r.randint(0, 9)}.example.com", lambda: f"+1 ({of('0123456789', 3, 3)}) {of('0123456789', 3, 3)}-{of('0123456789', 4, 4)}", lambda: of("0123456789", 12, 19), lambda: of("0123456789", 1, 12), lambda: f"{r.randint(1, 12)}/{r.randint(1, 28)}/{r.randint(1990, 2030)}", lambda: f"https://{word()}.example.com/{word()}/{r.randint(1, 9999)}", lambda: f"{word()}_{word()}_{word()} = {r.randint(0, 99)}", lambda: f"{word()}.{word()}@{word()}.org", lambda: word().upper() + "-" + of("0123456789", 2, 5), lambda: f"+{of('0123456789', 2, 3)} {of('0123456789', 3, 4)} {of('0123456789', 3, 4)}", lambda: "".join(word() for _ in range(4)), lambda: f"{r.choice(['token', 'secret', 'password', 'key'])} {word()} {word()}", lambda: f"{word()} = \"{word()} {word()}\"", lambda: f"{of('0123456789', 4, 4)} {of('0123456789', 4, 4)} {of('0123456789', 4, 4)} {of('0123456789', 4, 4)}"])()
             out.append((f"{before} {item} {after}", []))
     return out
 
@@ -293,19 +313,32 @@ def _tagged(lines: list[tuple[str, list[tuple[int, int]]]]) -> tuple[np.ndarray,
     return f, line, tags
 
 
-def train(docs: DataFrame, sample_docs: int = 300, sample_chars: int = 20_000, sample_lines: int = 2_000) -> Field:
+def _lookalike(text: str, known: list[tuple[int, int]]) -> bool:
+    """Whether a line holds something beside the known spans that might be a secret."""
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{10,}", text):
+        x = m[0]
+        mixed = bool(re.search("[0-9]", x)) + bool(re.search("[a-z]", x)) + bool(re.search("[A-Z]", x[1:]))
+        if mixed >= 2 and not any(a < m.end() and m.start() < b for a, b in known):
+            return True
+    return False
+
+
+def train(docs: DataFrame, sample_docs: int = 300, sample_lines: int = 2_000, line_chars: int = 400) -> Field:
     """A field for a corpus, from generated lines and a bounded sample of its own.
 
-    The sample is the ``sample_docs`` documents of up to ``sample_chars``
-    characters whose text hashes least, and of those ``sample_lines`` lines.
+    The sample is ``sample_lines`` lines of the ``sample_docs`` texts that hash least;
+    of a longer line each ``line_chars`` characters count as one.
     """
-    texts = docs.select(F.col("text").cast("string").alias("text")).filter((F.length("text") > 0) & (F.length("text") <= sample_chars))
+    texts = docs.select(F.col("text").cast("string").alias("text")).filter(F.length("text") > 0)
     least = [r.h for r in texts.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(sample_docs).collect()]
-    rows = sorted({r.text for r in texts.filter(F.xxhash64("text").isin(least)).groupBy(F.xxhash64("text")).agg(F.min("text").alias("text")).collect()}) if least else []
-    lines = [x for t in rows for x in t.split("\n") if x.strip()]
-    random.Random(3).shuffle(lines)
-    own = [(x, [(v, b) for _, _, b, v in base_spans(x)]) for x in lines[:sample_lines]]
-    return fit(*_tagged(generated() + own))
+    lines = []
+    if least:
+        of = texts.filter(F.xxhash64("text").isin(least)).select(F.explode(F.split("text", "\n")).alias("line"))
+        cut = of.select(F.explode(F.regexp_extract_all("line", F.lit(rf".{{1,{line_chars}}}(?:\s|$)|\S{{{line_chars}}}"), F.lit(0))).alias("line"))
+        drawn = cut.filter(F.trim("line") != "").distinct().orderBy(F.xxhash64("line"), "line").limit(sample_lines)
+        lines = [r.line for r in drawn.collect()]
+    own = [(x, [(v, b) for _, _, b, v in base_spans(x)]) for x in lines]
+    return fit(*_tagged(generated() + [(x, spans) for x, spans in own if not _lookalike(x, spans)]))
 
 
 def _scan(model, shard_bytes: int, with_text: bool, kept: list[str]):
@@ -314,7 +347,7 @@ def _scan(model, shard_bytes: int, with_text: bool, kept: list[str]):
         for batch in batches:
             for piece in pieces(batch, "_text", shard_bytes):
                 data, offsets = buffers(piece.column("_text"))
-                found = _base_of_shard(data, offsets)
+                found, added = _base_of_shard(data, offsets), {}
                 w = Words(data, offsets, _TOKEN, False)
                 f, line = features(w)
                 tags = field.decode(f, line)
@@ -325,9 +358,12 @@ def _scan(model, shard_bytes: int, with_text: bool, kept: list[str]):
                     while e + 1 < len(tags) and tags[e + 1] == 2 and e + 1 < w.bounds[i + 1] and line[e + 1] == line[t]:
                         e += 1
                     a, b = int(w.starts[t] - offsets[i]), int(w.ends[e] - offsets[i])
-                    spans = found.setdefault(i, [])
-                    if not any(x < b and a < y for x, _, y, _ in spans):
-                        spans.append((a, "crf", b, a))
+                    padding = data[w.ends[e] : min(w.ends[e] + 2, offsets[i + 1])] == 0x3D
+                    b += int(padding.cumprod().sum())
+                    added.setdefault(i, []).append((a, "crf", b, a))
+                for i, spans in added.items():
+                    covering = _union(found.get(i, []))
+                    found.setdefault(i, []).extend(x for x in spans if not _inside(x, covering))
                 n = len(piece)
                 counts = np.zeros((3, n), np.int64)
                 empty = hashlib.sha256(b"").hexdigest()
@@ -373,6 +409,23 @@ def _base_of_shard(data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tupl
     return found
 
 
+def _union(spans: list[tuple[int, str, int, int]]) -> tuple[list[int], list[int]]:
+    """Begins and ends of the runs that spans cover together."""
+    begins, ends = [], []
+    for a, _, b, _ in sorted(spans):
+        if begins and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    return begins, ends
+
+
+def _inside(span: tuple[int, str, int, int], runs: tuple[list[int], list[int]]) -> bool:
+    k = bisect_right(runs[0], span[0]) - 1
+    return k >= 0 and span[2] <= runs[1][k]
+
+
 def _redacted(raw: bytes, spans: list[tuple[int, int]]) -> str:
     out, at = [], 0
     for a, b in sorted(spans):
@@ -384,25 +437,29 @@ def _redacted(raw: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "replace")
 
 
-def scan_secrets(docs: DataFrame, model: Field | None = None, shard_bytes: int = 4 << 20, with_text: bool = True, keep: list[str] | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, model: Field | None = None, shard_bytes: int = 4 << 20, with_text: bool = True, carry: list[str] | None = None) -> DataFrame:
     """Secrets in every whole text.
 
     ``docs`` has ``doc_id`` and ``text``.  Pattern spans are whole matches, in
     code points, end exclusive: ``assign`` (a keyword, an assignment and a value
     of 6 or more characters), ``access`` (AKIA keys of 20 or more), ``hex`` (24 or
-    more hex digits).  Spans that only the field finds have the kind ``crf`` and
-    overlap no other.  Returns per row the columns of ``keep``
-    (of ``docs``; doc_id by default), n_assign, n_access, n_hex, base_sha256 (of the pattern spans as kind:start:end by start, then kind,
-    comma-joined), spans (all, joined likewise), and with ``with_text``
-    clean_text, where secret values read ``[SECRET]``.
-
-    Null and empty texts have no spans (a null text stays null in clean_text).
-    Rows that repeat an id are judged each for itself.
+    more hex digits).  Spans of the field have the kind ``crf``; one that pattern spans
+    cover is left out.  Returns per row doc_id, carried (a struct of the columns of
+    ``docs`` named by ``carry``, if any), n_assign, n_access, n_hex, base_sha256 (of
+    the pattern spans as kind:start:end by start, then kind, comma-joined), spans
+    (all, joined likewise), and with ``with_text`` clean_text, where secret values
+    read ``[SECRET]``.
+
+    Nulls: a null text is the empty text, and stays null in clean_text.  Empty texts
+    have no spans.  Very long texts are scanned whole, a text longer than
+    ``shard_bytes`` as a shard of its own.  Ties and repeats: spans that start
+    together go by kind; rows that repeat an id are judged each for itself.  No
+    documents give no rows (the field then comes from the generated lines).  Other
+    columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model or train(docs))
-    keep = keep or ["doc_id"]
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    kept = "".join(f"`{n}` {t}, " for n, t in docs.select(*keep).dtypes)
-    schema = kept + "n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", clean_text string" * with_text
-    return rows.mapInArrow(_scan(sent, shard_bytes, with_text, keep), schema)
+    head = docs.select("doc_id", *carried(docs, carry))
+    rows = docs.select("doc_id", *carried(docs, carry), F.col("text").cast("string").alias("_text"))
+    schema = fields_of(head, "n_assign long", "n_access long", "n_hex long", "base_sha256 string", "spans string", *["clean_text string"] * with_text)
+    return rows.mapInArrow(_scan(sent, shard_bytes, with_text, head.columns), schema)
