@@ -1,8 +1,9 @@
 """Personal data in documents, by Spark's own expressions only.
 
 Method.  Regular expressions propose spans; validators confirm them (Luhn for
-cards, mod-97 for international bank account numbers, ranges for addresses, digit
-counts for telephones); words near a span adjust its score.
+cards, mod-97 for international bank account numbers, ranges for addresses and US
+social security numbers, digit counts for telephones); words near a span, before or
+after it, raise its score, and an added span without the score it needs goes.
 
 A text is split by a pattern, and the pieces' lengths give each match's place in
 code points, so nothing leaves the JVM.  A pattern runs only on texts that hold a
@@ -17,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 _LOCAL = "[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: Three, two and four digits that stand alone; no number has 000, 666 or 9 at its begin, 00 or 0000.
+SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 #: One separator between two digits becomes this private character, any such in the text another.
 _JOIN, _OTHER = "", ""
 CARD = rf"[0-9{_JOIN}]{{2,}}+"
@@ -34,8 +37,11 @@ WORDS = {
     "card": "card|visa|mastercard|amex|credit|debit|payment|karte|carte|tarjeta",
     "phone": "phone|tel|call|mobile|fax|telefon|téléphone|teléfono",
     "iban": "iban|account|bank|konto|compte|cuenta|swift|bic",
+    "ssn": "ssn|social security|social|taxpayer|tin|itin",
 }
-_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.5, "iban": 0.95}
+#: Score of a confirmed span in percent; a context word raises it to the middle between itself and 100.
+PRIOR = {"email": 90, "ip": 60, "card": 80, "phone": 50, "iban": 90, "ssn": 40}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÉ", "abcdefghijklmnopqrstuvwxyzé"
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -97,41 +103,49 @@ def proposals(text: Column) -> dict[str, Column]:
         "ip": F.when(number & text.rlike(r"[0-9]\.[0-9]"), F.filter(_matches(text, IP), lambda x: _parts_ok(x["value"]))).otherwise(_none()),
         "card": F.when(number & text.rlike("(?:[0-9][ -]?){12}[0-9]"), F.filter(_matches(_joined(text), CARD), lambda x: F.when(n(x).between(13, 19), luhn(_digits(x["value"]))).otherwise(False))).otherwise(_none()),
         "phone": F.when(text.contains("+"), F.filter(_matches(text, PHONE), lambda x: n(x).between(9, 15))).otherwise(_none()),
+        "ssn": F.when(number & text.rlike("[0-9]-[0-9]{2}-[0-9]"), _matches(text, SSN)).otherwise(_none()),
         "iban": F.when(number & text.rlike("(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}"), F.filter(_matches(text, IBAN), lambda x: mod97(F.replace(x["value"], F.lit(" "), F.lit(""))))).otherwise(_none()),
     }
 
 
-def find_personal_data(docs: DataFrame, least_score: float = 0.0, with_text: bool = True) -> DataFrame:
+def find_personal_data(docs: DataFrame, least_score: float = 0.5, with_text: bool = True) -> DataFrame:
     """Personal data in every whole text.
 
     ``docs`` has ``doc_id`` and ``text``.  Spans are in code points, end
     exclusive.  ``email``, ``ip``, ``card`` and ``phone`` are the base kinds;
-    ``iban`` spans come on top and never replace one.  A span's score is its
-    kind's prior, raised to the middle between itself and 1 by a context word near
-    it; added spans below ``least_score`` go, base spans stay.  Returns per row
-    doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (base spans as
-    kind:start:end by kind as listed, then start, comma-joined), spans (all,
-    joined likewise), found (kind, start, end, score), and with ``with_text``
+    ``iban`` and ``ssn`` spans come on top and never replace one.  A span's score is
+    its kind's prior, raised to the middle between itself and 1 by a context word
+    that stands within ``CONTEXT`` characters before or after it; added spans below
+    ``least_score`` go, base spans stay.  Returns per row doc_id, n_email, n_ip,
+    n_card, n_phone, base_sha256 (base spans as kind:start:end by kind as listed, then
+    start, comma-joined), spans (all, joined likewise), scores (theirs in percent, in
+    the same order), found (kind, start, end, score), and with ``with_text``
     clean_text, where the found values are masked by their kind.
 
-    Null and empty texts have no spans (a null text stays null in clean_text).
-    Rows that repeat an id are judged each for itself.
+    Nulls: a null text is the empty text, and stays null in clean_text; a null id
+    stays null.  Empty texts have no spans.  Very long texts are searched whole.  Ties
+    and repeats: of base and added spans that overlap the base one counts (a card
+    excepted, which can be part of an account number); rows that repeat an id are
+    judged each for itself.  No documents give no rows.  Other columns, whatever their
+    names, are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("original"))
     rows = rows.withColumn("text", F.coalesce("original", F.lit("")))
     rows = rows.withColumns({f"m_{k}": v for k, v in proposals(F.col("text")).items()})
 
     def scored(kind: str) -> Column:
-        near = lambda x: F.lower(F.substring(F.col("text"), F.greatest(x["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(x["start"], F.lit(CONTEXT)).cast("int")))
-        score = lambda x: F.when(near(x).rlike(rf"(?<![a-z])(?:{WORDS[kind]})(?![a-z])"), (1 + _PRIOR[kind]) / 2).otherwise(_PRIOR[kind])
+        low = lambda at, n: F.translate(F.substring(F.col("text"), at.cast("int"), n.cast("int")), _UPPER, _LOWER)
+        told = lambda part: part.rlike(rf"(?<![a-z])(?:{WORDS[kind]})(?![a-z])")
+        near = lambda x: told(low(F.greatest(x["start"] - CONTEXT + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT)))) | told(low(x["end"] + 1, F.lit(CONTEXT)))
+        score = lambda x: F.when(near(x), (100 + PRIOR[kind]) // 2).otherwise(PRIOR[kind]) / 100
         return F.transform(F.col(f"m_{kind}"), lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score(x).alias("score")))
 
-    base = F.concat(*(scored(k) for k in KINDS[:4]))
-    rows = rows.withColumn("base", base)
-    extra = F.filter(scored("iban"), lambda x: (x["score"] >= least_score) & ~F.exists(F.filter("base", lambda b: b["kind"] != "card"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    rows = rows.withColumn("base", F.concat(*(scored(k) for k in KINDS[:4])))
+    free = lambda x: ~F.exists(F.filter("base", lambda b: b["kind"] != "card"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    extra = F.filter(F.concat(*(scored(k) for k in KINDS[4:])), lambda x: (x["score"] >= least_score) & free(x))
     rows = rows.withColumn("found", F.concat("base", extra))
     named = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    out = rows.select("doc_id", *(F.size(f"m_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]), F.sha2(named("base"), 256).alias("base_sha256"), named("found").alias("spans"), "found", *(["original"] if with_text else []))
+    out = rows.select("doc_id", *(F.size(f"m_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]), F.sha2(named("base"), 256).alias("base_sha256"), named("found").alias("spans"), F.array_join(F.transform("found", lambda x: F.round(x["score"] * 100).cast("int").cast("string")), ",").alias("scores"), "found", *(["original"] if with_text else []))
     return out.withColumn("clean_text", _masked(F.col("original"), F.col("found"))).drop("original") if with_text else out
 
 

@@ -199,12 +199,18 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-ORACLE["op10_pii"] = r"""
+def _personal_sql() -> str:
+    """Spans by splitting texts, and the scores that the words near them give."""
+    from .pii import _LOWER, _UPPER, CONTEXT, KINDS, PRIOR, WORDS
+
+    near = " ".join(f"WHEN {o} THEN '(^|[^a-z])(?:{WORDS[kind]})($|[^a-z])'" for o, kind in enumerate(KINDS, 1))
+    prior = " ".join(f"WHEN {o} THEN {PRIOR[kind]}" for o, kind in enumerate(KINDS, 1))
+    return r"""
 WITH texts AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents
 ), kinds AS (
   SELECT * FROM (VALUES (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
-    (3, 'card', '[0-9](?:[\x20-]?[0-9])+'), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'), (5, 'iban', '(?:^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?:$|[^A-Za-z0-9])')) k(o, kind, p)
+    (3, 'card', '[0-9](?:[\x20-]?[0-9])+'), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'), (5, 'iban', '(?:^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?:$|[^A-Za-z0-9])'), (6, 'ssn', '[0-9-]+')) k(o, kind, p)
 ), cut AS (
   SELECT r, o, kind, regexp_extract_all(x, p) AS ms, string_split_regex(x, p) AS ps FROM texts, kinds
 ), placed AS (
@@ -225,18 +231,26 @@ WITH texts AS (
     WHEN 4 THEN length(d) BETWEEN 9 AND 15
     WHEN 5 THEN list_reduce(list_prepend(0, list_transform(range(1, length(t) + 1), lambda i: CASE WHEN substr(t, i, 1) BETWEEN '0' AND '9' THEN CAST(substr(t, i, 1) AS INTEGER) ELSE ascii(substr(t, i, 1)) - 55 END)),
       lambda a, n: CASE WHEN n > 9 THEN (a * 100 + n) % 97 ELSE (a * 10 + n) % 97 END) = 1
+    WHEN 6 THEN regexp_full_match(v, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND NOT regexp_matches(v, '^(000|666|9)|-00-|-0000$')
     ELSE true END
+), scored AS (
+  SELECT v.*, CASE WHEN regexp_matches(substr(t, greatest(b - @CONTEXT, 0) + 1, least(b, @CONTEXT)), word) OR regexp_matches(substr(t, e + 1, @CONTEXT), word) THEN (100 + prior) // 2 ELSE prior END AS score
+  FROM (SELECT *, CASE o @NEAR END AS word, CASE o @PRIOR END AS prior FROM valid) v JOIN (SELECT r, translate(x, '@UPPER', '@LOWER') AS t FROM texts) USING (r)
 ), kept AS (
-  SELECT * FROM valid v WHERE o < 5 OR NOT EXISTS (SELECT 1 FROM valid w WHERE w.r = v.r AND w.o IN (1, 2, 4) AND w.b < v.e AND v.b < w.e)
+  SELECT * FROM scored v WHERE o < 5 OR (score >= 50 AND NOT EXISTS (SELECT 1 FROM valid w WHERE w.r = v.r AND w.o IN (1, 2, 4) AND w.b < v.e AND v.b < w.e))
 ), per_doc AS (
   SELECT r, count(*) FILTER (o = 1) AS n1, count(*) FILTER (o = 2) AS n2, count(*) FILTER (o = 3) AS n3, count(*) FILTER (o = 4) AS n4,
-    string_agg(kind || ':' || b || ':' || e, ',' ORDER BY o, b) FILTER (o < 5) AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY o, b) AS every
+    string_agg(kind || ':' || b || ':' || e, ',' ORDER BY o, b) FILTER (o < 5) AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY o, b) AS every,
+    string_agg(CAST(score AS VARCHAR), ',' ORDER BY o, b) AS scores
   FROM kept GROUP BY r
 )
 SELECT doc_id, CAST(coalesce(n1, 0) AS BIGINT) AS n_email, CAST(coalesce(n2, 0) AS BIGINT) AS n_ip, CAST(coalesce(n3, 0) AS BIGINT) AS n_card, CAST(coalesce(n4, 0) AS BIGINT) AS n_phone,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans, coalesce(scores, '') AS scores
 FROM texts LEFT JOIN per_doc USING (r)
-"""
+""".replace("@CONTEXT", str(CONTEXT)).replace("@NEAR", near).replace("@PRIOR", prior).replace("@UPPER", _UPPER).replace("@LOWER", _LOWER)
+
+
+ORACLE["op10_pii"] = _personal_sql()
 
 
 def _license_sql() -> str:

@@ -392,15 +392,41 @@ def test_personal_data(spark):
     assert sorted((key(r.doc_id), r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == sorted(want)
 
 
+PERSONAL = [
+    (1, "My IBAN: GB82 WEST 1234 5698 7654 32."), (2, "GB82 WEST 1234 5698 7654 33"), (3, "e-mail a@b.de now"), (4, None),
+    (5, "SSN 123-45-6789"), (6, "123-45-6789 is the number"), (7, "123-45-6789 is their social security number"), (8, "ssn 000-45-6789 ssn 123-00-6789 ssn 900-45-6789 ssn 666-45-6789 ssn 123-45-0000"),
+    (9, "ssn 123-45-67890 ssn 1-123-45-6789"), (10, "x" * 60 + " 123-45-6789 " + "y" * 47 + " ssn"), (11, "no. 123-45-6789 " + "y " * 24 + "ssn"), (12, "+1 123-45-6789 ssn"),
+    (13, "GB82WEST12345698765432"), (14, "TÉLÉPHONE +49 30 123456 and Visa 4111111111111111"), (15, "hotel +49 30 123456"), (16, "ssn 123-45-6789 123-45-6788, 123-45-6787"), (17, ""),
+]
+
+
 def test_personal_data_extras(spark):
-    rows = [(1, "My IBAN: GB82 WEST 1234 5698 7654 32.", "", "", 0), (2, "GB82 WEST 1234 5698 7654 33", "", "", 0), (3, "e-mail a@b.de now", "", "", 0), (4, None, "", "", 0)]
-    got = {r.doc_id: r for r in find_personal_data(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got[1].spans == "iban:9:36" and got[1].clean_text == "My IBAN: [IBAN]." and got[1].found[0].score == pytest.approx(0.975)
+    got = {r.doc_id: r for r in find_personal_data(spark.createDataFrame([(i, t, "", "", 0) for i, t in PERSONAL], SCHEMA)).collect()}
+    assert got[1].spans == "iban:9:36" and got[1].clean_text == "My IBAN: [IBAN]." and got[1].found[0].score == pytest.approx(0.95)
     assert got[2].spans == "" and got[3].found[0].score == pytest.approx(0.95) and got[3].clean_text == "e-mail [EMAIL] now"
     assert got[4].clean_text is None and got[4].spans == ""
+    # Context decides on a social security number: before, after, near enough.
+    assert [got[i].spans for i in (5, 6, 7, 8, 9, 10, 11)] == ["ssn:4:15", "", "ssn:0:11", "", "", "", ""]
+    assert got[11].spans == "" and got[12].spans == "phone:0:14"
+    assert (got[13].spans, got[13].scores) == ("iban:0:22", "90")
+    assert (got[14].spans, got[14].scores) == ("card:33:49,phone:10:23", "90,75") and got[15].scores == "50"
+    assert got[16].spans == "ssn:4:15,ssn:16:27,ssn:29:40"
     assert find_personal_data(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_personal_data_against_sql(spark, tmp_path):
+    """Added kinds, scores and context on rows that the tables lack."""
+    from compare import oracle, rows as of
+    from ledgerframe.llm.queries import ORACLE, QUERIES
+
+    rows = [(i, t, "", "", 0) for i, t in PERSONAL] + [(100 + i, f"{a} {t} {b}", "", "", 0) for i, (a, (_, t), b) in enumerate((a, p, b) for a in ("call", "é bank", "") for p in PERSONAL[:16] for b in ("", "host", "ssn"))]
+    frame(spark, rows).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    (tmp_path / "sql").mkdir()
+    frame(spark, rows).toPandas().to_parquet(tmp_path / "sql" / "documents.parquet")
+    got = QUERIES["op10_pii"](spark, str(tmp_path)).toPandas()
+    assert of(got) == of(oracle(ORACLE["op10_pii"], str(tmp_path / "sql")))
+
+
 # --- licences
 
 
