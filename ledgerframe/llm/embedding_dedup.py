@@ -37,36 +37,46 @@ _AUDIT_COLUMNS = "a long, node long"
 _EDGES = "u long, v long, sim double, link boolean"
 
 
+_PREPARED = "vec_id long, label long, dim int, raw binary, codes array<long>"
+
+
 def _prepare(trees: int, seed: int, kind: str):
-    """Valid vectors as bytes, with a code of BITS projection signs for each tree."""
+    """Vectors as bytes, with a code of BITS projection signs for each tree; null for one that links with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
+        places = 1 << np.arange(BITS - 1, -1, -1)
         for batch in batches:
-            ids, labels, raws, dims, codes = [], [], [], [], []
-            for i, label, x in zip(batch.column("vec_id").to_pylist(), batch.column("label").to_pylist(), batch.column("embedding"), strict=True):
-                v = x.values.to_numpy(zero_copy_only=False) if x.is_valid and x.values is not None else np.zeros(0)
-                norm = np.linalg.norm(v.astype(np.float64)) if len(v) and x.values.null_count == 0 else 0.0
-                if not np.isfinite(norm) or norm == 0:
-                    continue
-                ids.append(i)
-                labels.append(label)
-                raws.append(v.astype(kind).tobytes())
-                dims.append(len(v))
-                if len(v) not in planes:
-                    planes[len(v)] = np.random.default_rng([seed, len(v)]).normal(size=(trees * BITS, len(v)))
-                signs = (planes[len(v)] @ (v / norm) > 0).reshape(trees, BITS)
-                codes.append((signs @ (1 << np.arange(BITS - 1, -1, -1))).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int64()), pa.array(dims, pa.int32()), pa.array(raws, pa.binary()), pa.array(codes, pa.list_(pa.int64()))], ["vec_id", "label", "dim", "raw", "codes"])
+            column = batch.column("embedding")
+            begin = column.offsets.to_numpy()
+            dims, begin = np.diff(begin), begin[:-1]
+            every = column.values.to_numpy(zero_copy_only=False)  # a null component is not a number here
+            raws, codes = np.full(len(batch), None, object), np.full(len(batch), None, object)
+            for dim in np.unique(dims[dims > 0]).tolist():
+                at = np.flatnonzero(dims == dim)
+                x = every[begin[at][:, None] + np.arange(dim)]
+                good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+                at, x = at[good], x[good]
+                if dim not in planes:
+                    planes[dim] = np.random.default_rng([seed, dim]).normal(size=(trees * BITS, dim)).T
+                signs = (_scaled(x.astype(np.float64)) @ planes[dim] > 0).reshape(len(at), trees, BITS)
+                for i, raw, code in zip(at.tolist(), x.astype(kind), (signs @ places).tolist(), strict=True):
+                    raws[i], codes[i] = raw.tobytes(), code
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(dims, pa.int32()), pa.array(raws, pa.binary()), pa.array(codes, pa.list_(pa.int64()))], ["vec_id", "label", "dim", "raw", "codes"])
 
     return run
 
 
-def _unit(raws: pa.ChunkedArray, kind: str) -> np.ndarray:
-    x = np.stack([np.frombuffer(r.as_buffer(), kind) for r in raws]).astype(np.float64)
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; by their largest component first, so that no square is lost or too large."""
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=np.finfo(np.float64).tiny)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _unit(raws: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return _scaled(np.stack([np.frombuffer(r.as_buffer(), kind) for r in raws]).astype(np.float64))
+
+
 def _leaf(k: int, floor: float, threshold: float, kind: str):
     """The best neighbours of each node among those of one leaf, and the leaf's links."""
 
@@ -240,11 +250,15 @@ def linked_components(vectors: DataFrame, threshold: float = 0.93, k: int = 10,
     (other rows linked directly), component_id (least vec_id reachable, itself
     included) and kept (vec_id = component_id).
 
-    Vectors that are null, empty, zero or hold a null or non-finite component,
-    and rows with a null label or id, link with nothing; a null id has no
-    component_id and is kept.  Equal vectors link with each other; rows that
-    repeat an id are one node for components.  ``report`` receives the audited
-    recall of each attempt, and of each comparison of whole labels after them.
+    Nulls and empties: vectors that are null, empty, zero or hold a null or non-finite
+    component, and rows with a null label or id, link with nothing; a null id has no
+    component_id and is kept.  Components of any finite size count, since vectors are
+    scaled before they are squared.  Very long vectors are compared whole.  Ties and
+    repeats: a cosine of the threshold itself links; equal vectors link with each
+    other; rows that repeat an id are one node for components.  An empty table gives
+    no rows.  Other columns, whatever their names, are not read.  ``report`` receives
+    the audited recall of each attempt, and of each comparison of whole labels after
+    them.
     """
     spark = vectors.sparkSession
     element = vectors.schema["embedding"].dataType
@@ -253,7 +267,8 @@ def linked_components(vectors: DataFrame, threshold: float = 0.93, k: int = 10,
         vectors = vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
     valid = rows.filter("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL")
-    prepared = materialize(valid.mapInArrow(_prepare(trees * (retries + 1), 17, kind), "vec_id long, label long, dim int, raw binary, codes array<long>"), "vectors")
+    read = materialize(valid.mapInArrow(_prepare(trees * (retries + 1), 17, kind), _PREPARED), "vectors")
+    prepared = read.filter("raw IS NOT NULL")
     classes = prepared.groupBy("label", "dim", "raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("codes").alias("codes"))
     # A node is a class; its number is unlike other nodes' even where ids repeat.
     nodes = materialize(classes.withColumn("node", F.xxhash64("rep", "label", "dim", "raw")), "nodes")
@@ -303,27 +318,13 @@ def linked_components(vectors: DataFrame, threshold: float = 0.93, k: int = 10,
     least = member.groupBy("component").agg(F.min("vec_id").alias("least"))
     star = member.join(least, "component").select(F.col("least").alias("a"), F.col("vec_id").alias("b"))
     ids = materialize(components(star), "ids")
-    counted = valid.mapInArrow(_prepare(1, 17, kind), "vec_id long, label long, dim int, raw binary, codes array<long>").select("vec_id", "label", "dim", "raw")
-    by_vector = per_node.select("label", "dim", "raw", "n_links")
-    good = counted.join(by_vector, ["label", "dim", "raw"]).select("vec_id", "n_links")
+    good = member.select("vec_id", "n_links")
     odd = rows.filter("vec_id IS NULL OR label IS NULL OR embedding IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"))
-    flawed = valid.mapInArrow(_flawed, "vec_id long").select("vec_id", F.lit(0).cast("long").alias("n_links"))
+    flawed = read.filter("raw IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"))
     out = good.unionByName(odd).unionByName(flawed).join(ids.select(F.col("node").alias("vec_id"), "component"), "vec_id", "left")
     return out.select("vec_id", "n_links", F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.col("component").isNull() | (F.col("component") == F.col("vec_id")), F.lit(True)).alias("kept"))
 
 
-def _flawed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids of rows whose vector can link with nothing."""
-    for batch in batches:
-        bad = []
-        for i, x in zip(batch.column("vec_id").to_pylist(), batch.column("embedding"), strict=True):
-            v = x.values.to_numpy(zero_copy_only=False).astype(np.float64) if x.values is not None else np.zeros(0)
-            norm = np.linalg.norm(v) if len(v) and x.values.null_count == 0 else 0.0
-            if not np.isfinite(norm) or norm == 0:
-                bad.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int64())], ["vec_id"])
-
-
 def _refined(graph: DataFrame, nodes: DataFrame, k: int, threshold: float, kind: str, floor: float = -1.0, beside: DataFrame | None = None) -> DataFrame:
     """One round of neighbours-of-neighbours: forward and reverse lists of a node meet.
 
@@ -419,7 +420,7 @@ def _compared(nodes: DataFrame, joined: DataFrame, missed: DataFrame, threshold:
     return _merged(joined, _blocks(rows, ["label", "dim"], block).applyInArrow(_between(threshold, kind), "a long, b long"))
 
 
-def _links(nodes: DataFrame, joined: DataFrame, threshold: float, kind: str, block: int = 1024) -> DataFrame:
+def _links(nodes: DataFrame, joined: DataFrame, threshold: float, kind: str, block: int = 2048) -> DataFrame:
     """Links of each node to other nodes, counted inside components, block by block."""
     rows = joined.join(nodes.select("node", "raw", "copies"), "node")
     return _blocks(rows, ["component"], block).applyInArrow(_count(threshold, kind), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))

@@ -133,3 +133,18 @@ def test_no_vectors(spark):
 def test_doubles(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 1e-9], 1), (3, [0.0, 1.0], 1)]
     assert result(linked_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long"))) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
+def test_huge_and_tiny_vectors(spark):
+    """Components whose squares overflow or vanish: finite, not zero, so they link."""
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1e200], 1), (3, [3e-200, 3e-200], 1), (4, [5e-324, 5e-324], 1), (5, [float("inf"), 1.0], 1), (6, [1e308, -1e308], 1), (7, [0.0, -0.0], 1)]
+    got = linked_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long"))
+    assert result(got) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 0, 5), (6, 0, 6), (7, 0, 7)]
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = vectors(n=40)
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("node", "raw", "dim", "codes", "component", "component_id", "n_links", "kept", "rep", "copies", "a", "b", "u", "v", "sim")})
+    assert result(linked_components(docs)) == brute(rows, 0.93)
