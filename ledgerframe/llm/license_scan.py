@@ -2,7 +2,8 @@
 
 Method.  Headers (lines and paragraphs) and whole files are compared with licence
 templates by the cosine of sparse TF-IDF vectors, whole files with the complete
-texts in ``licenses/`` as well.  A directory's licence file
+texts in ``licenses/`` as well.  A licence file is a complete text, or a notice that
+makes up a good part of its file.  A directory's licence file
 licenses what lies below it: a file without a licence of its own takes that of the
 nearest ancestor directory, found by joins on paths.
 
@@ -55,8 +56,8 @@ TEMPLATES = [
 #: Complete licence texts, for whole files only.
 FILE_TEMPLATES = [(f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
 
-#: Broadcast the directories' licences up to so many, join by shuffle beyond.
-BROADCAST_DIRS = 100_000
+#: Broadcast the directories' licences up to so many bytes of paths, join by shuffle beyond.
+BROADCAST_BYTES = 8 << 20
 
 
 def _terms(text: Column) -> Column:
@@ -142,7 +143,7 @@ def _best(terms: Column, w: _Weights) -> Column:
     return F.element_at(once, 1)
 
 
-def scan_licenses(docs: DataFrame, path: Column | None = None, threshold: float = 0.7, file_threshold: float = 0.9, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, path: Column | None = None, threshold: float = 0.7, file_threshold: float = 0.9, notice_share: float = 0.4, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """The licence of every file: its own, or inherited from a directory.
 
     ``docs`` has ``doc_id`` and ``text``; ``path`` gives a file's path with ``/``
@@ -150,16 +151,19 @@ def scan_licenses(docs: DataFrame, path: Column | None = None, threshold: float
     path, own_license and own_score (the best template of a line, paragraph or the
     whole text with a cosine of at least the threshold; the earlier template wins
     a tie; for a complete licence text that licence), is_license_file (the whole text
-    reaches ``file_threshold``), license and
-    license_from (``own``, the directory it is inherited from, or null).
-
-    Null and empty texts have no licence of their own and can inherit.  Of several
-    licence files in one directory that with the best score counts, then the
-    least name.  A null path inherits nothing.  Rows that repeat an id are judged
-    each for itself.
+    reaches ``file_threshold``, or a line or paragraph that does holds at least
+    ``notice_share`` of the text's words), license and license_from (``own``, the
+    directory it is inherited from, or null).
+
+    Nulls and empty texts: they have no licence of their own and can inherit; a null
+    path, or a null source or lang in the default one, is skipped.  Very long texts
+    are read whole.  Ties and repeats: of several licence files in one directory that
+    with the best score counts, then the least name; rows that repeat an id are judged
+    each for itself.  An empty table gives no rows.  Other columns, whatever their
+    names, are not read.
     """
     templates = templates or TEMPLATES
-    docs = docs.withColumns({"text": F.col("text").cast("string"), "path": path if path is not None else F.concat_ws("/", F.lit(""), "source", "lang", F.col("doc_id").cast("string"))})
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), (path if path is not None else F.concat_ws("/", F.lit(""), "source", "lang", F.col("doc_id").cast("string"))).alias("path"))
     file_templates = FILE_TEMPLATES
     vocabulary = sorted({t for _, text in [*templates, *file_templates] for t in _words(text)})
     counted = document_frequencies(docs, vocabulary)
@@ -170,21 +174,24 @@ def scan_licenses(docs: DataFrame, path: Column | None = None, threshold: float
     parts = F.concat(F.split("text", r"\r?\n"), F.filter(F.split("text", r"\r?\n[ \t]*\r?\n"), lambda p: p.contains("\n")))
     pieces = F.filter(F.transform(parts, _terms), has_anchor)
     gate = has_anchor(F.split(F.lower("text"), "[^a-z0-9]+"))
-    found = F.when(gate, F.struct(_best(whole, w).alias("whole"), F.array_max(F.transform(pieces, lambda t: _best(t, w))).alias("piece")))
+    scored = F.transform(pieces, lambda t: F.struct(_best(t, w).alias("best"), F.size(t).alias("words")))
+    found = F.when(gate, F.struct(_best(whole, w).alias("whole"), scored.alias("pieces"), F.size(whole).alias("words")))
     complete = _Weights(*counted, file_templates, file_threshold)
     held = F.array_distinct(whole)
     enough = [F.size(F.array_intersect(held, F.array(*(F.lit(t) for t in sorted(v))))) >= n for v, n in zip(complete.vectors, complete.least_terms(file_threshold), strict=True)]
     file = F.when(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), F.array(*(F.lit(a) for a in complete.anchors))) & F.greatest(*enough, F.lit(False)), _best(whole, complete))
     rows = docs.select("doc_id", "path", found.alias("f"), file.alias("file"))
+    piece = F.array_max(F.transform("f.pieces", lambda p: p["best"]))
+    notice = F.array_max(F.transform(F.filter("f.pieces", lambda p: p["best"]["score"] >= file_threshold), lambda p: p["words"])) >= notice_share * F.col("f.words")
     names = F.array(*(F.lit(n) for n in w.names))
     name = lambda best: F.when(best["score"] >= threshold, F.get(names, -best["place"]))
-    own = F.array_max(F.array(F.col("f.whole"), F.col("f.piece")))
+    own = F.array_max(F.array(F.col("f.whole"), piece))
     # A complete text names the licence, whatever notice it quotes.
     is_file = F.coalesce(F.col("file.score") >= file_threshold, F.lit(False))
     file_name = F.get(F.array(*(F.lit(n) for n in complete.names)), -F.col("file.place"))
     own_license = F.when(is_file, file_name).otherwise(name(own))
     own_score = F.when(is_file, F.col("file.score")).when(own["score"] >= threshold, own["score"])
-    rows = rows.select("doc_id", "path", own_license.alias("own_license"), own_score.alias("own_score"), (is_file | F.coalesce(F.col("f.whole.score") >= file_threshold, F.lit(False))).alias("is_license_file"))
+    rows = rows.select("doc_id", "path", own_license.alias("own_license"), own_score.alias("own_score"), (is_file | F.coalesce(F.col("f.whole.score") >= file_threshold, F.lit(False)) | F.coalesce(notice, F.lit(False))).alias("is_license_file"))
     rows = materialize(rows.withColumn("dir", F.regexp_replace("path", "/[^/]*$", "")), "licenses")
     return _inherited(rows)
 
@@ -199,6 +206,7 @@ def _inherited(rows: DataFrame) -> DataFrame:
     nearest = dirs.join(given, "ancestor").groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "given")).alias("n")).select("dir", F.col("n.ancestor").alias("from_dir"), F.col("n.given").alias("given"))
     nearest = materialize(nearest, "nearest")
     # A directory's files need not meet in one task while its answers fit a broadcast.
-    out = rows.join(F.broadcast(nearest) if nearest.count() <= BROADCAST_DIRS else nearest, "dir", "left")
+    size = nearest.agg(F.sum(F.octet_length("dir") + F.octet_length("from_dir") + 64)).first()[0] or 0
+    out = rows.join(F.broadcast(nearest) if size <= BROADCAST_BYTES else nearest, "dir", "left")
     own = F.col("own_license").isNotNull()
     return out.select("doc_id", "path", "own_license", "own_score", "is_license_file", F.when(own, F.col("own_license")).otherwise(F.col("given")).alias("license"), F.when(own, F.lit("own")).otherwise(F.col("from_dir")).alias("license_from"))

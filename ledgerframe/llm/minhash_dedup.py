@@ -224,9 +224,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     doc_id, n_shingles, component_id (least doc_id reachable, itself included)
     and kept (doc_id = component_id).
 
-    Null or empty texts have an empty set and link with nothing.  Rows with equal
-    ids are one node.  Rows with a null id link with nothing, have no
-    component_id, and are kept.
+    Nulls: a null text has an empty set; rows with a null id link with nothing, have no
+    component_id, and are kept.  Empty texts have an empty set and link with nothing.
+    Very long texts have their whole set, beyond the size of a batch too.  Ties and
+    repeats: a similarity of the limit itself links; rows with equal ids are one node.
+    An empty table gives no rows.  Other columns, whatever their names, are not read.
     """
     least = match_threshold(coordinates, percent)
     meet = min(meet, least)

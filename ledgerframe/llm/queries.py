@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -194,9 +195,11 @@ FROM embeddings LEFT JOIN least ON x = vec_id LEFT JOIN counts ON a = vec_id
 
 @query
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` has no paths: a file lies in /source/lang, one of over 400 characters in a folder below it."""
     from .license_scan import scan_licenses
 
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    folder = F.when(F.length("text") > 400, "articles")
+    return scan_licenses(table(spark, sf_dir, "documents"), F.concat_ws("/", F.lit(""), "source", "lang", folder, F.col("doc_id").cast("string")))
 
 
 def _personal_sql() -> str:
@@ -265,7 +268,7 @@ WITH templates AS (
 ), template_terms AS (
   SELECT i, term, count(*) AS tf FROM (SELECT i, unnest({terms.format('text')}) AS term FROM templates) GROUP BY ALL
 ), docs AS (
-  SELECT row_number() OVER () AS r, doc_id, text, '/' || source || '/' || lang || '/' || doc_id AS path, '/' || source || '/' || lang AS dir FROM documents
+  SELECT *, dir || '/' || doc_id AS path FROM (SELECT row_number() OVER () AS r, doc_id, text, '/' || source || '/' || lang || CASE WHEN length(text) > 400 THEN '/articles' ELSE '' END AS dir FROM documents)
 ), n AS (
   SELECT count(*) AS n FROM docs
 ), df AS (
@@ -286,12 +289,14 @@ WITH templates AS (
 ), weighed AS (
   SELECT t.*, t.tf * coalesce(idf, ln(n + 1) + 1) AS w FROM piece_terms t LEFT JOIN idf USING (term), n
 ), norms AS (
-  SELECT p, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY p
+  SELECT p, sqrt(sum(w * w)) AS norm, sum(tf) AS words FROM weighed GROUP BY p
 ), scores AS (
-  SELECT r, whole, v.i, round(sum(t.w * v.w) / any_value(q.norm) / any_value(l.norm), 6) AS score
+  SELECT r, whole, v.i, round(sum(t.w * v.w) / any_value(q.norm) / any_value(l.norm), 6) AS score, any_value(q.words) AS words
   FROM weighed t JOIN vectors v USING (term) JOIN norms q USING (p) JOIN lengths l ON l.i = v.i GROUP BY r, p, whole, v.i
+), sizes AS (
+  SELECT r, sum(tf) AS every FROM piece_terms WHERE whole GROUP BY r
 ), best AS (
-  SELECT r, bool_or(whole AND score >= 0.9) AS is_license_file, arg_max(i, (score, -i)) AS i, max(score) AS score FROM scores WHERE score >= 0.7 GROUP BY r
+  SELECT r, bool_or(score >= 0.9 AND (whole OR words >= 0.4 * every)) AS is_license_file, arg_max(i, (score, -i)) AS i, max(score) AS score FROM scores JOIN sizes USING (r) WHERE score >= 0.7 GROUP BY r
 ), owned AS (
   SELECT d.*, name AS own_license, score AS own_score, coalesce(is_license_file, false) AS is_license_file FROM docs d LEFT JOIN best USING (r) LEFT JOIN templates USING (i)
 ), given AS (

@@ -8,16 +8,14 @@ all ``window``-word runs around them; overlapping runs that an earlier document
 holds too join to maximal exact repeats, and their words go.
 
 Scale.  Documents are written once as chunks of bounded text.  What crosses the
-network is, for each chunk and hash bucket, one sorted array of distinct hashes
-(6 bytes a window), never a row per window or a pair of documents: a passage that
-a third of all documents share is one entry per chunk.  Answers are one bit per
-entry.  Buckets grow in number with the input, so a bucket stays small; rows of the
-exchange are chunks times buckets, so ``chunk_bytes`` should grow with a worker's
-memory (it takes about 40 times that).
-
-Null text has no words.  Rows with equal ids are one document for the order:
-a passage is never removed because of a row with the same id.  Null ids count as
-larger than every id and as one document.
+network is, for each chunk and hash bucket, one sorted array of distinct hashes, never
+a row per window or a pair of documents: a passage that a third of all documents
+share is one entry per chunk.  Anchors take 6 bytes (a false one only costs a look
+around it), the runs that decide on words 14, more than 112 bits with the bucket's
+number.  Answers are one bit per entry.  The number of buckets follows from the
+bytes of the texts, so that one holds about ``bucket_bytes`` of keys whatever their
+number; rows of the exchange are chunks times buckets, so ``chunk_bytes`` should grow
+with a worker's memory (it takes about 40 times that).
 """
 
 from __future__ import annotations
@@ -35,7 +33,10 @@ from ._tables import materialize, partitions
 from ._words import SPACED, U, Words, buffers, covered, pieces
 
 _LATE = np.iinfo(np.int64).max
-_LOW = U((1 << 48) - 1)
+#: A key's low bits, which cross the network; the others name its bucket.
+_BITS = 44
+_LOW = U((1 << _BITS) - 1)
+_MOST_BUCKETS = 1 << 64 - _BITS
 
 
 def _to_chunks(chunk_bytes: int):
@@ -51,7 +52,7 @@ def _to_chunks(chunk_bytes: int):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(table)
-            return pa.RecordBatch.from_pydict({"chunk": [(part << 32) + k], "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict({"chunk": [(part << 32) + k], "size": [size], "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
         for batch in batches:
             for piece in pieces(batch, "text", chunk_bytes):
@@ -76,18 +77,18 @@ def _open(blob: bytes) -> tuple[np.ndarray, Words, pa.Table]:
 
 
 def _buckets(h: np.ndarray, n: int) -> np.ndarray:
-    """Bucket of each hash by its top 16 bits, in ascending order of the hash."""
-    return ((h >> U(48)) * U(n) >> U(16)).astype(np.int64)
+    """Bucket of each hash by its top 32 bits."""
+    return ((h >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
 
 def _pack(h: np.ndarray) -> bytes:
-    """The low 48 bits of sorted hashes, six bytes each."""
+    """The low bits of sorted hashes, six bytes each."""
     return np.ascontiguousarray((h & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
 def _wide(h: np.ndarray, n_buckets: int) -> np.ndarray:
     """The key that six bytes and a bucket number stand for."""
-    return (U(1) << U(48)) * _buckets(h, n_buckets).astype(U) + (h & _LOW)
+    return (_buckets(h, n_buckets).astype(U) << U(_BITS)) + (h & _LOW)
 
 
 def _unpack(raw: bytes) -> np.ndarray:
@@ -107,13 +108,20 @@ def _flags(raw: bytes, n: int) -> np.ndarray:
 
 def _rows(chunk: int, key: np.ndarray, n_buckets: int, columns: dict) -> pa.RecordBatch:
     """One row per bucket for sorted keys; columns: name to a function of a slice."""
-    cuts = np.searchsorted(key >> U(48), np.arange(n_buckets + 1, dtype=U))
+    cuts = np.searchsorted(key >> U(_BITS), np.arange(n_buckets + 1, dtype=U))
     full = np.flatnonzero(np.diff(cuts))
     made = {"bucket": pa.array(full, pa.int32()), "chunk": pa.array(np.full(len(full), chunk), pa.int64())}
     made |= {name: pa.array([f(slice(cuts[b], cuts[b + 1])) for b in full], pa.binary()) for name, f in columns.items()}
     return pa.RecordBatch.from_pydict(made)
 
 
+def _firsts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where one of the keys differs from the one before."""
+    first = np.ones(len(sorted_keys[0]), bool)
+    first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])
+    return first
+
+
 class _Probes:
     """Distinct rolling windows of a chunk, which are aligned blocks, and in how many documents."""
 
@@ -144,13 +152,13 @@ class _Runs:
         at, key = words.windows(h, window, seed=2)
         anchors = np.concatenate([[0], np.cumsum(hit)])
         near = anchors[at + window - block + 1] > anchors[at] if len(at) else np.zeros(0, bool)
+        more = words.windows(h, window, seed=4)[1][near]
         at, key = at[near], _wide(key[near], n_buckets)
         row = np.repeat(np.arange(len(words.counts)), words.counts)[at] if len(at) else at
-        order = np.argsort(key)
-        self.at, sorted_key = at[order], key[order]
-        first = np.ones(len(key), bool)
-        first[1:] = sorted_key[1:] != sorted_key[:-1]
-        self.key, self.group = sorted_key[first], np.cumsum(first) - 1
+        order = np.lexsort((more, key))
+        self.at, sorted_key, more = at[order], key[order], more[order]
+        first = _firsts(sorted_key, more)
+        self.key, self.more, self.group = sorted_key[first], more[first], np.cumsum(first) - 1
         self.doc_at = ids[row][order]
         starts = np.flatnonzero(first)
         self.doc = np.minimum.reduceat(self.doc_at, starts) if len(starts) else np.zeros(0, np.int64)
@@ -172,17 +180,18 @@ def _joined(answers: pa.Table, n: int) -> np.ndarray:
 
 
 _PROBES = "bucket int, chunk long, keys binary, aligned binary, shared binary"
-_RUNS = "bucket int, chunk long, keys binary, docs binary"
+_RUNS = "bucket int, chunk long, keys binary, more binary, docs binary"
 _ANSWERS = "chunk long, bucket int, n int, bits binary"
 
 
 def _merge(table: pa.Table) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
     """Chunks, sizes, all keys of a bucket, and which key is which distinct one."""
     keys = [_unpack(x.as_py()) for x in table.column("keys")]
-    all_keys = np.concatenate(keys)
-    order = np.argsort(all_keys)
-    first = np.ones(len(order), bool)
-    first[1:] = all_keys[order][1:] != all_keys[order][:-1]
+    parts = [np.concatenate(keys)]
+    if "more" in table.column_names:
+        parts.append(np.frombuffer(b"".join(table.column("more").to_pylist()), "<u8"))
+    order = np.lexsort(parts[::-1])
+    first = _firsts(*(x[order] for x in parts))
     return table.column("chunk").to_pylist(), [len(k) for k in keys], order, np.flatnonzero(first), np.cumsum(first) - 1
 
 
@@ -216,7 +225,7 @@ def _find_earlier(table: pa.Table) -> pa.Table:
     return _answers(table.column("bucket")[0].as_py(), chunks, sizes, least < doc)
 
 
-def repeated_passages(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20, n_buckets: int | None = None, with_text: bool = True) -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 << 20, bucket_bytes: int = 32 << 20, with_text: bool = True) -> DataFrame:
     """Documents without the passages that an earlier document holds.
 
     ``docs`` has ``doc_id`` and ``text``.  Words are runs of characters other
@@ -225,11 +234,19 @@ def repeated_passages(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 <<
     judged on the input.  Returns per row doc_id, n_words, n_removed, kept_text
     (kept words joined by one space; left out without ``with_text``) and
     kept_sha256.
+
+    Nulls: a null text has no words; null ids count as larger than every id and as
+    one document.  Empty texts have no words.  Very long texts are compared whole, a
+    text longer than ``chunk_bytes`` as a chunk of its own.  Ties and repeats: rows
+    with equal ids are one document for the order, so a passage never goes because of
+    a row with the same id.  An empty table gives no rows.  Other columns, whatever
+    their names, are not read.
     """
     spark = docs.sparkSession
     block = (window + 1) // 2
-    n_buckets = min(1 << 16, n_buckets or 4 * partitions(spark))
-    held = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_to_chunks(chunk_bytes), "chunk long, docs binary"), "chunks")
+    held = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_to_chunks(chunk_bytes), "chunk long, size long, docs binary"), "chunks")
+    size = held.agg(F.sum("size")).first()[0] or 0
+    n_buckets = min(_MOST_BUCKETS, max(4 * partitions(spark), -(-size // bucket_bytes)))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,11 +258,11 @@ def repeated_passages(docs: DataFrame, window: int = 13, chunk_bytes: int = 4 <<
     anchors = materialize(held.mapInArrow(probe, _PROBES).groupBy("bucket").applyInArrow(_find_anchors, _ANSWERS), "anchors")
 
     def extend(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        made = [pa.RecordBatch.from_pydict({n: pa.array([], t) for n, t in (("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()))})]
+        made = [pa.RecordBatch.from_pydict({n: pa.array([], t) for n, t in (("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("more", pa.binary()), ("docs", pa.binary()))})]
         for chunk, blob in zip(chunks.column("chunk").to_pylist(), chunks.column("docs"), strict=True):
             ids, words, _ = _open(blob.as_buffer())
             r = _runs(words, ids, answers)
-            made.append(_rows(chunk, r.key, n_buckets, {"keys": lambda s, r=r: _pack(r.key[s]), "docs": lambda s, r=r: zlib.compress(r.doc[s].astype("<i8").tobytes(), 1)}))
+            made.append(_rows(chunk, r.key, n_buckets, {"keys": lambda s, r=r: _pack(r.key[s]), "more": lambda s, r=r: r.more[s].astype("<u8").tobytes(), "docs": lambda s, r=r: zlib.compress(r.doc[s].astype("<i8").tobytes(), 1)}))
         return pa.Table.from_batches(made)
 
     def _runs(words: Words, ids: np.ndarray, answers: pa.Table) -> _Runs:

@@ -33,7 +33,7 @@ END = b"\r\n\r\n"
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Broadcast the table of revisits up to so many rows, join by shuffle beyond.
+#: Broadcast the table of revisits (48 bytes a row) up to so many rows, join by shuffle beyond.
 _BROADCAST_ROWS = 100_000
 
 
@@ -169,20 +169,30 @@ def _plain(data: bytes, out: Salvage, base: int | None = None) -> None:
         out.gaps.append((bad if base is None else base, len(data) if base is None else base, why))
 
 
+def _inflated(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes | None, int]:
+    """Content and end of the gzip member that begins at a place, or None; fed in steps, so no rest is copied."""
+    if data[at : at + 3] != b"\x1f\x8b\x08":
+        return None, at
+    z, out = zlib.decompressobj(31), []
+    try:
+        while not z.eof and at < len(data):
+            out.append(z.decompress(data[at : at + step]))
+            at += step
+    except zlib.error:
+        return None, at
+    return (b"".join(out), min(at, len(data)) - len(z.unused_data)) if z.eof else (None, at)
+
+
 def _members(data: bytes, out: Salvage) -> None:
     at, bad, why = 0, -1, ""
     while at < len(data):
-        z = zlib.decompressobj(31)
-        try:
-            plain = z.decompress(data[at:]) if data[at : at + 3] == b"\x1f\x8b\x08" else None
-        except zlib.error:
-            plain = None
+        plain, end = _inflated(data, at)
         inner = Salvage()
-        if plain is not None and z.eof:
+        if plain is not None:
             _plain(plain, inner, at)
-        if plain is None or not z.eof or inner.gaps and not inner.records:
+        if plain is None or inner.gaps and not inner.records:
             if bad < 0:
-                bad, why = at, "bad gzip member" if plain is None or not z.eof else inner.gaps[0][2]
+                bad, why = at, "bad gzip member" if plain is None else inner.gaps[0][2]
             following = data.find(b"\x1f\x8b\x08", at + 1)
             at = following if following >= 0 else len(data)
             continue
@@ -190,7 +200,6 @@ def _members(data: bytes, out: Salvage) -> None:
             out.gaps.append((bad, at, why))
             bad = -1
         out.records += inner.records
-        end = len(data) - len(z.unused_data)
         out.gaps += [(at, end, reason) for _, _, reason in inner.gaps]
         at = end
     if bad >= 0:
@@ -245,8 +254,18 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
-    """Write pages to archives and read them back: the records, without gaps."""
+    """Write pages to archives and read them back: the records, one for each row of ``pages``.
+
+    A gap in these archives, just written, fails the job: a page would be missing.
+
+    Nulls: a null html is no bytes, a null url about:blank; a null id stays null and
+    comes last.  Empty and very long pages are records like others; an archive of one
+    long page may pass ``file_bytes``.  Ties and repeats: of equal payloads those with
+    the least page_id are responses, rows that repeat it included.  An empty table
+    gives no rows.  Other columns, whatever their names, are not read.
+    """
     spark = pages.sparkSession
     path = path or temporary_path(spark, "warc")
     write_archives(pages, path, **options)
-    return read_archives(spark, path, with_payload=False).filter("gap_reason IS NULL")
+    gap = F.concat(F.lit("archive_damaged:"), "archive", F.lit(":"), "gap_reason")
+    return read_archives(spark, path, with_payload=False).filter(F.when(F.col("gap_reason").isNull(), True).otherwise(F.raise_error(gap).cast("boolean")))
