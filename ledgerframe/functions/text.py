@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: All characters that Unicode counts as white space, and the four separators of ASCII, for a character class.
+SPACES = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 def is_sha256(x: Column) -> Column:
     """64 hex digits of either case."""
     return F.coalesce(x.rlike("^[0-9A-Fa-f]{64}$"), F.lit(False))
@@ -20,8 +27,8 @@ def is_safe_id(x: Column) -> Column:
 
 
 def lexical_tokens(x: Column) -> Column:
-    """Number of words and of single marks, by Unicode letters and digits."""
-    return F.regexp_count(x, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"))
+    """Number of words and of single marks, by Unicode letters, digits and white space."""
+    return F.regexp_count(x, F.lit(rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACES}]"))
 
 
 def mentions(x: Column, terms: list[str]) -> Column:
@@ -33,3 +40,16 @@ def parse_instant(x: Column, utc_only: bool = False) -> Column:
     """Microseconds since 1970 of ISO-8601 text with an offset (or Z only); else null."""
     offset = "Z$" if utc_only else "(Z|[+-][0-9]{2}:?[0-9]{2})$"
     return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}") & x.rlike(offset), F.unix_micros(F.try_to_timestamp(x)))
+
+
+def parse_now(text: str) -> int:
+    """Microseconds since 1970 of a caller's clock; an offset is needed."""
+    at = datetime.fromisoformat(text[:-1] + "+00:00" if text.endswith("Z") else text)
+    if at.tzinfo is None:
+        raise ValueError("timestamp_timezone_missing")
+    return round((at - datetime(1970, 1, 1, tzinfo=timezone.utc)) / timedelta(microseconds=1))
+
+
+def now_micros() -> int:
+    """The driver's clock, for a caller that has none: read once and passed on as a literal."""
+    return time.time_ns() // 1000

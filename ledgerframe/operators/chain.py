@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import status
+from .gateway import intake
 
 
 def links(items: DataFrame) -> DataFrame:
@@ -31,29 +32,66 @@ def links(items: DataFrame) -> DataFrame:
     return items.withColumn("link_reasons", F.array_compact(F.array(*codes)))
 
 
-def chain_results(linked: DataFrame, max_items: int = 256, intake_status: Column | None = None) -> DataFrame:
-    """One row per chain: status and distinct sorted reasons; a chain over the cap fails with that reason alone."""
+def chain_results(linked: DataFrame, max_items: int = 256, intake_status: Column | None = None, max_bytes: int | None = None) -> DataFrame:
+    """One row per chain: status and distinct sorted reasons; a chain over a cap fails with that reason alone.
+
+    ``linked`` has link_reasons, and where they are known item_reasons and size (bytes).
+    """
     intake = status.rank(intake_status) if intake_status is not None else F.lit(0)
+    reasons = F.concat("item_reasons", "link_reasons") if "item_reasons" in linked.columns else F.col("link_reasons")
     rows = linked.withColumn("_rank", F.greatest(intake, F.when(F.size("link_reasons") > 0, 2).otherwise(0)))
+    size = F.sum("size") if "size" in linked.columns else F.lit(0)
     # Reasons are distinct by row already; a chain's are bounded by its item cap.
-    out = rows.groupBy("chain_id").agg(F.count("*").alias("items"), F.max("_rank").alias("rank"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("index") < max_items, F.col("link_reasons")))))).alias("reasons"))
-    over = F.col("items") > max_items
-    return out.select("chain_id", "items", F.when(over, status.FAIL).otherwise(status.name(F.col("rank"))).alias("status"), F.when(over, F.array(F.lit("chain_item_limit_exceeded"))).otherwise(F.col("reasons")).alias("reason_codes"))
+    out = rows.groupBy("chain_id").agg(F.count("*").alias("items"), size.alias("bytes"), F.max("_rank").alias("rank"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("index") < max_items, reasons))))).alias("reasons"))
+    over = F.when(F.col("items") > max_items, "chain_item_limit_exceeded").when(F.lit(max_bytes is not None) & (F.col("bytes") > (max_bytes or 0)), "chain_total_size_limit_exceeded")
+    return out.select("chain_id", "items", F.when(over.isNotNull(), status.FAIL).otherwise(status.name(F.col("rank"))).alias("status"), F.when(over.isNotNull(), F.array(over)).otherwise(F.col("reasons")).alias("reason_codes"))
+
+
+def verify_chains(receipts: DataFrame, trust: DataFrame, chains: DataFrame | None = None, max_source_bytes: int = 1 << 20, max_items: int = 256, max_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+    """Chains of native receipts from their bytes: (results by chain, items).
+
+    ``receipts`` has chain_id, index and raw; ``chains`` (chain_id) names chains that may
+    have no item, which fail as empty.  A chain over a cap is not inspected: its items
+    have no payload.  Results have status, reason_codes, items and tip_hash; items have
+    payload, run_id, issuer, sequence, parent_hash, action, claim, hashes and reasons.
+    """
+    if max_items < 1 or max_bytes < 1:
+        raise ValueError("chain_limit_invalid")
+    caps = receipts.groupBy("chain_id").agg(((F.count("*") > max_items) | (F.sum(F.octet_length("raw")) > max_bytes)).alias("_over"))
+    rows = receipts.join(caps, "chain_id").withColumn("size", F.octet_length("raw")).withColumn("raw", F.when(~F.col("_over"), F.col("raw")))
+    rows = intake(rows, trust, max_source_bytes)
+    names = ("integrity", "provenance", "normalization")
+    told = lambda n: F.transform(F.col(f"{n}.reason_codes"), lambda r: F.concat(F.lit("item:"), F.col("index").cast("string"), F.lit(f":{n}:"), r))
+    p = F.from_json("payload", "run_id string, issuer string, sequence long, parent_hash string, action struct<type:string,name:string>, claim string")
+    rows = rows.withColumns({"item_reasons": F.concat(*map(told, names)), "_intake": status.name(status.worst(*(F.col(f"{n}.status") for n in names))), "_p": p, "envelope_hash": F.coalesce("envelope_hash", F.lit(""))})
+    items = links(rows.select("*", "_p.*").drop("_p"))
+    tips = items.groupBy("chain_id").agg(F.max_by("envelope_hash", "index").alias("tip_hash"), F.max_by("run_id", -F.col("index")).alias("run_id"))
+    results = chain_results(items, max_items, F.col("_intake"), max_bytes).join(tips, "chain_id")
+    if chains is not None:
+        empty = chains.select("chain_id").distinct().join(caps, "chain_id", "left_anti")
+        none = F.lit(None).cast("string")
+        results = results.unionByName(empty.select("chain_id", F.lit(0).cast("long").alias("items"), F.lit(status.FAIL).alias("status"), F.array(F.lit("chain_empty")).alias("reason_codes"), none.alias("tip_hash"), none.alias("run_id")))
+    return results, items.drop("_over", "_intake")
 
 
-def fold_hashes(items: DataFrame, key: str, order: str, content: Column) -> DataFrame:
+def fold_hashes(items: DataFrame, key: str, order: str, content: Column, max_items: int = 4096) -> DataFrame:
     """The running hash of each group: sha256 of the hash so far, ``|`` and the row's content.
 
-    A group is folded in one row, so it must be bounded (chains are, by their item cap).
+    A group is folded in one row, so one over the cap fails the job.
     """
-    rows = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), content.alias("content")))).alias("rows"))
+    n = F.count("*")
+    capped = F.when(n > max_items, F.raise_error(F.lit("chain_item_limit_exceeded")).cast("long")).otherwise(n)
+    # Only rows within the cap are gathered; the count tells of the others.
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    gathered = F.collect_list(F.when(F.col("_place") <= max_items, F.struct(F.col(order).alias("at"), content.alias("content"))))
+    rows = items.withColumn("_place", place).groupBy(key).agg(F.array_sort(gathered).alias("rows"), capped.cast("long").alias("n"))
     fold = F.aggregate("rows", F.lit(""), lambda h, r: F.sha2(F.concat(h, F.lit("|"), r["content"]), 256))
-    return rows.select(key, F.size("rows").cast("long").alias("n"), fold.alias("tip_hash"))
+    return rows.select(key, "n", fold.alias("tip_hash"))
 
 
-def monotone_ledger(rows: DataFrame, group: str, index: str, order: list[str]) -> DataFrame:
-    """Ledger rows whose index has a gap or whose order does not strictly rise."""
-    w = Window.partitionBy(group).orderBy(index)
+def monotone_ledger(rows: DataFrame, group: str, index: list[str], order: list[str]) -> DataFrame:
+    """Ledger rows whose index (the first of ``index``, the others break ties) has a gap or whose order does not strictly rise."""
+    w = Window.partitionBy(group).orderBy(*index)
     here = F.struct(*order)
-    out = rows.withColumns({"gap": F.row_number().over(w) != F.col(index), "disordered": F.coalesce(F.lag(here).over(w) >= here, F.lit(False))})
+    out = rows.withColumns({"gap": F.row_number().over(w) != F.col(index[0]), "disordered": F.coalesce(F.lag(here).over(w) >= here, F.lit(False))})
     return out.filter("gap OR disordered")

@@ -75,11 +75,13 @@ def permutation_test(rows: DataFrame, by: str = "comparator", alpha_micros: int
     """Exact paired randomisation: the share of sign flips that reach the observed difference.
 
     Only two weights occur, so the distribution is a grid of two binomials.  Exact
-    while the binomials fit 63 bits, that is up to 60 discordant pairs of a class.
+    while the binomials fit 63 bits, that is up to 60 discordant pairs of a class; more
+    fail the job.
     """
     ok = lambda c: F.col(c) == F.col("y")
     odd = ok("primary") != ok("other")
-    seen = rows.groupBy(by).agg(F.count_if(odd & (F.col("y") == 1)).cast("int").alias("dp"), F.count_if(odd & (F.col("y") == 0)).cast("int").alias("dn"))
+    capped = lambda n: F.when(n > 60, F.raise_error(F.lit("permutation_pair_limit_exceeded")).cast("int")).otherwise(n.cast("int"))
+    seen = rows.groupBy(by).agg(capped(F.count_if(odd & (F.col("y") == 1))).alias("dp"), capped(F.count_if(odd & (F.col("y") == 0))).alias("dn"))
     grid = delta_ba(rows, by).join(seen, by).join(_classes(rows, by), by)
     grid = grid.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("dp")))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("dn"))))
     value = F.col("neg") * (2 * F.col("i") - F.col("dp")) + F.col("pos") * (2 * F.col("j") - F.col("dn"))
@@ -93,12 +95,15 @@ def bootstrap_interval(rows: DataFrame, by: str = "comparator", low: tuple[int,
     """Exact stratified bootstrap interval of the balanced-accuracy difference, in micros.
 
     Each stratum's sum of n draws from differences -1, 0 and 1 is a trinomial; the
-    strata are convolved.  Exact while each stratum has at most 12 rows or the
-    counts fit 38 digits.
+    strata are convolved.  Exact while the resamples of both strata together fit 38
+    digits after the factor of the quantile (``pos**pos * neg**neg`` below 1e35); more
+    rows fail the job.
     """
     ok = lambda c: (F.col(c) == F.col("y")).cast("int")
     d = ok("primary") - ok("other")
     strata = rows.groupBy(by, "y").agg(*(F.count_if(d == k).cast("int").alias(n) for k, n in ((-1, "a"), (0, "b"), (1, "c")))).withColumn("n", F.col("a") + F.col("b") + F.col("c"))
+    digits = F.sum(F.col("n") * F.log10("n")).over(Window.partitionBy(by))
+    strata = strata.withColumn("n", F.when(digits >= 35, F.raise_error(F.lit("bootstrap_resample_limit_exceeded")).cast("int")).otherwise(F.col("n")))
     power = lambda base, k: F.aggregate(F.array_repeat(base, k), F.lit(1).cast("decimal(38,0)"), lambda x, y: (x * y).cast("decimal(38,0)"))
     cells = strata.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n")))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("i"))))
     ways = (_binomial(F.col("n"), F.col("i")) * _binomial(F.col("n") - F.col("i"), F.col("k"))).cast("decimal(38,0)")
@@ -126,15 +131,30 @@ def most_recent(sessions: DataFrame, n: int, at: str = "handoff_micros", key: st
     return sessions.orderBy(F.desc(at), F.desc(key)).limit(n)
 
 
-def disposition(deltas: DataFrame, tests: DataFrame, classes: DataFrame, by: str = "comparator", least_pos: int = 5, least_neg: int = 3) -> DataFrame:
-    """One row: whether the primary strictly and significantly beats every comparator."""
-    both = deltas.join(tests, by)
-    gates = both.agg(F.bool_and(F.col("numerator") > 0).alias("beats_all"), F.bool_and("significant").alias("significant_against_all"))
-    n = classes.agg(F.min("pos").alias("pos"), F.min("neg").alias("neg"))
-    code = F.when((F.col("pos") < least_pos) | (F.col("neg") < least_neg), "INSUFFICIENT_SAMPLE").when(F.col("beats_all") & F.col("significant_against_all"), "PRIMARY_SIGNAL_CLEARS_PREREGISTERED_GATE").otherwise("DOES_NOT_CLEAR_PREREGISTERED_GATE")
-    # Two single rows.
-    return gates.crossJoin(n).select("beats_all", "significant_against_all", code.alias("disposition"))
+def disposition(rows: DataFrame, tests: DataFrame, by: str = "comparator", least_pos: int = 5, least_neg: int = 3) -> DataFrame:
+    """One row: whether the primary strictly and significantly beats every comparator.
+
+    ``rows`` are paired predictions, ``tests`` the permutation tests.  Balanced
+    accuracies are compared as floored micros; a sample with too few of a class is not
+    significant against anything.
+    """
+    ba = "balanced_accuracy_micros"
+    ours = confusion(rows, [by], pred="primary").select(by, F.col(ba).alias("ours"), (F.col("tp") + F.col("fn")).alias("pos"), (F.col("tn") + F.col("fp")).alias("neg"))
+    theirs = confusion(rows, [by], pred="other").select(by, F.col(ba).alias("theirs"))
+    g = ours.join(theirs, by).join(tests.select(by, "significant"), by)
+    g = g.agg(F.bool_and(F.col("ours") > F.col("theirs")).alias("beats_all"), F.bool_and("significant").alias("all"), ((F.min("pos") >= least_pos) & (F.min("neg") >= least_neg)).alias("enough"))
+    significant = F.col("enough") & F.col("all")
+    code = F.when(~F.col("enough"), "INSUFFICIENT_SAMPLE").when(F.col("beats_all") & significant, "PRIMARY_SIGNAL_CLEARS_PREREGISTERED_GATE").otherwise("DOES_NOT_CLEAR_PREREGISTERED_GATE")
+    return g.select("beats_all", significant.alias("significant_against_all"), code.alias("disposition"))
 
 
 def classes(rows: DataFrame, by: str = "comparator") -> DataFrame:
     return _classes(rows, by)
+
+
+def accuracy_percent(rows: DataFrame, by: str, hit: str) -> DataFrame:
+    """(by, n, correct, accuracy_percent): the share of rows that hit, to one place."""
+    from .costs import round_half_even
+
+    out = rows.groupBy(by).agg(F.count("*").alias("n"), F.count_if(hit).alias("correct"))
+    return out.withColumn("accuracy_percent", round_half_even(F.col("correct") * 100.0 / F.col("n"), 1))

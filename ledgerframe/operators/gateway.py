@@ -12,7 +12,7 @@ from ..functions import status
 from ..functions.strict_json import StrictError, dumps, loads, resolve
 from ..functions.text import parse_instant
 from . import gate
-from .envelopes import inspected
+from .envelopes import AdapterProfile, inspected
 from .validate import SOURCE_SCHEMA
 
 _ACTION = "struct<type:string,name:string>"
@@ -24,110 +24,91 @@ def same(a: Any, b: Any) -> bool:
     return type(a) is type(b) and a == b
 
 
-def _fields(x: dict, label: str, needed: set[str], allowed: set[str]) -> str | None:
-    missing, unknown = sorted(needed - {*x}), sorted({*x} - allowed)
-    return f"{label}_missing:{','.join(missing)}" if missing else f"{label}_unknown:{','.join(unknown)}" if unknown else None
-
-
-def _digest(x: Any) -> bool:
-    return isinstance(x, str) and len(x) == 64 and all(c in "0123456789abcdefABCDEF" for c in x)
-
-
-def source_error(p: dict) -> str | None:
-    """The first error of a source payload with its JSON types."""
-    needed = {"schema", "issuer", "issued_at", "run_id", "sequence", "action", "claim", "evidence"}
-    if code := _fields(p, "source", needed, needed | {"parent_hash", "extensions"}):
-        return code
-    filled = lambda x: isinstance(x, str) and x != ""
-    a, n = p["action"], p["sequence"]
-    early = [
-        (p["schema"] != SOURCE_SCHEMA, "source_schema_unsupported"),
-        *((not filled(p[k]), f"source_{k}_invalid") for k in ("issuer", "issued_at", "run_id")),
-        (type(n) is not int or n < 0, "source_sequence_invalid"),
-        (p.get("parent_hash") is not None and not _digest(p["parent_hash"]), "source_parent_hash_invalid"),
-        (not isinstance(a, dict), "source_action_invalid"),
-    ]
-    code = next((c for wrong, c in early if wrong), None) or _fields(a, "action", {"type", "name"}, {"type", "name", "target"})
-    if code:
-        return code
-    late = [
-        (not (filled(a["type"]) and filled(a["name"])), "source_action_invalid"),
-        ("target" in a and not isinstance(a["target"], str), "source_target_invalid"),
-        (not filled(p["claim"]), "source_claim_invalid"),
-        (not isinstance(p["evidence"], list), "source_evidence_invalid"),
-    ]
-    if code := next((c for wrong, c in late if wrong), None):
-        return code
-    seen: set[str] = set()
-    for e in p["evidence"]:
-        if not isinstance(e, dict):
-            return "source_evidence_entry_invalid"
-        if code := _fields(e, "evidence", {"id", "sha256"}, {"id", "sha256", "media_type"}):
-            return code
-        rules = [(not filled(e["id"]) or e["id"] in seen, "id"), (not _digest(e["sha256"]), "hash"), ("media_type" in e and not isinstance(e["media_type"], str), "media_type")]
-        if code := next((f"source_evidence_{c}_invalid" for wrong, c in rules if wrong), None):
-            return code
-        seen.add(e["id"])
-    return "source_extensions_invalid" if "extensions" in p and not isinstance(p["extensions"], dict) else None
-
-
-def _normalized(payload: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None else source_error(loads(p.encode())) for p in payload], dtype=object)
-
-
-def intake(receipts: DataFrame, trust: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
+def inspections(receipts: DataFrame, adapters: list[AdapterProfile] = [], max_bytes: int = 1 << 20) -> DataFrame:  # noqa: B006  never changed
+    """Adds ``_i``, what each receipt's adapter finds, and ``_limit``, why none looked.
+
+    A receipt's ``source_format`` (native if the column is missing) picks the adapter;
+    an adapter sees no other receipts and none over the limit.
+    """
+    if max_bytes < 1:
+        raise ValueError("max_source_bytes_invalid")
+    rows = receipts if "source_format" in receipts.columns else receipts.withColumn("source_format", F.lit(SOURCE_SCHEMA))
+    known = [SOURCE_SCHEMA, *(a.source_format for a in adapters)]
+    limit = F.when(~F.coalesce(F.octet_length("raw") <= max_bytes, F.lit(False)), "source_size_limit_exceeded").when(~F.coalesce(F.col("source_format").isin(known), F.lit(False)), "source_format_unsupported")
+    rows = rows.withColumn("_limit", limit)
+    mine = lambda name: F.col("_limit").isNull() & (F.col("source_format") == name)
+    looks = [inspected, *(a.inspected for a in adapters)]
+    for k, (name, look) in enumerate(zip(known, looks, strict=True)):
+        rows = rows.withColumn(f"_i{k}", look(F.when(mine(name), F.col("raw"))))
+    found = F.coalesce(*(F.when(mine(name), F.col(f"_i{k}")) for k, name in enumerate(known)))
+    return rows.withColumn("_i", found).drop(*(f"_i{k}" for k in range(len(known))))
+
+
+def intake(receipts: DataFrame, trust: DataFrame, max_bytes: int = 1 << 20, adapters: list[AdapterProfile] = []) -> DataFrame:  # noqa: B006  never changed
     """Adds integrity, provenance and normalization checks, the payload and hashes to receipts.
 
     ``receipts`` has raw bytes, ``trust`` has key_id and trusted.  A payload that
     fails integrity is kept; it is null if the bytes are too large, do not parse or
     hold no object, and {} counts as none.
     """
-    small = F.octet_length("raw") <= max_bytes
-    rows = receipts.withColumn("_small", F.coalesce(small, F.lit(False))).withColumn("_i", inspected(F.when(F.col("_small"), F.col("raw"))))
-    rows = rows.withColumns({"payload": F.when(F.col("_small") & (F.col("_i.payload") != "{}"), F.col("_i.payload")), "key_id": F.col("_i.key_id")})
-    rows = rows.withColumn("_n", F.pandas_udf(_normalized, "string")("payload")).join(trust, "key_id", "left")
-    large = ~F.col("_small")
-    errors = F.when(large, F.array(F.lit("source_size_limit_exceeded"))).otherwise(F.col("_i.errors"))
+    rows = inspections(receipts, adapters, max_bytes)
+    pinned = trust.groupBy(F.col("key_id").alias("_key")).agg(F.max("trusted").alias("trusted"))
+    rows = rows.join(pinned, F.col("_i.key_id") == F.col("_key"), "left")
+    errors, native, limit = F.col("_i.errors"), F.col("source_format") == SOURCE_SCHEMA, F.col("_limit")
+    checked = lambda s, code: gate.check(F.lit(s), code)
+    unread = lambda own: F.when(native, own).otherwise("foreign_receipt_unavailable")
+    looked = lambda c: F.when(limit.isNotNull(), checked(status.UNAVAILABLE, limit)).otherwise(c)
     sound = F.size(errors) == 0
-    one = lambda s, c: F.struct(s.alias("status"), F.array(F.lit(c)).alias("reason_codes"))
-    unavailable, fail = F.lit(status.UNAVAILABLE), F.lit(status.FAIL)
-    none = F.struct(F.lit(status.PASS).alias("status"), F.array().cast("array<string>").alias("reason_codes"))
-    provenance = F.when(large, one(unavailable, "source_size_limit_exceeded")).when(~sound, one(unavailable, "source_integrity_failed")).otherwise(gate.provenance_check(F.col("_i.public_key"), F.col("trusted")))
-    normalization = F.when(large, one(unavailable, "source_size_limit_exceeded")).when(F.col("_i.payload").isNull(), one(unavailable, "source_payload_unavailable")).when(F.col("payload").isNull(), one(fail, "source_missing:action,claim,evidence,issued_at,issuer,run_id,schema,sequence")).when(F.col("_n").isNotNull(), F.struct(fail.alias("status"), F.array("_n").alias("reason_codes"))).otherwise(none)
-    out = rows.withColumns({"integrity": F.struct(F.when(sound, status.PASS).otherwise(status.FAIL).alias("status"), errors.alias("reason_codes")), "provenance": provenance, "normalization": normalization, "source_sha256": F.sha2("raw", 256), "envelope_hash": F.col("_i.envelope_hash")})
-    return out.drop("_small", "_i", "_n", "trusted")
+    integrity = F.struct(F.when(sound, status.PASS).otherwise(status.FAIL).alias("status"), errors.alias("reason_codes"), F.coalesce("_i.integrity_details", F.lit("{}")).alias("details"))
+    provenance = F.when(~F.col("_i.readable"), checked(status.UNAVAILABLE, unread("source_integrity_failed"))).when(~sound, checked(status.UNAVAILABLE, F.lit("source_integrity_failed"))).otherwise(gate.provenance_check(F.col("_i.public_key"), F.col("trusted"), F.col("_i.key_id")))
+    normalization = F.when(~F.col("_i.readable"), checked(status.UNAVAILABLE, unread("source_payload_unavailable"))).when(F.col("_i.normalization").isNotNull(), checked(status.FAIL, F.col("_i.normalization"))).otherwise(gate.check(F.lit(status.PASS), details=F.col("_i.normalization_details")))
+    out = rows.withColumns({
+        "payload": F.when(F.col("_i.payload") != "{}", F.col("_i.payload")), "key_id": F.col("_i.key_id"),
+        "integrity": F.when(limit == "source_size_limit_exceeded", checked(status.FAIL, limit)).otherwise(looked(integrity)), "provenance": looked(provenance), "normalization": looked(normalization),
+        "source_sha256": F.sha2("raw", 256), "envelope_hash": F.col("_i.envelope_hash"),
+    })
+    return out.drop("_i", "_limit", "_key", "trusted")
 
 
 def claim_support(policy: gate.Policy):
     """A function of a map of artifacts: the check of all claim rules, strictly parsed."""
     rules = [(r.rule_id, r.evidence_id, r.pointer, dumps(r.expected)) for r in policy.claim_rules]
 
-    def one(artifacts: dict) -> tuple[str, list[str]]:
+    needed = {r.evidence_id for r in policy.claim_rules}
+
+    def parsed(content: Any) -> Any:
+        try:
+            return loads(content.encode() if isinstance(content, str) else bytes(content))
+        except StrictError as e:
+            return e
+
+    def one(artifacts: dict) -> tuple[str, list[str], str]:
         if not rules:
-            return status.UNAVAILABLE, ["claim_rules_missing"]
-        failed, absent = [], []
+            return status.UNAVAILABLE, ["claim_rules_missing"], '{"evaluated":[]}'
+        documents = {k: parsed(v) for k, v in artifacts.items() if k in needed and v is not None}
+        failed, absent, seen = [], [], []
         for rule, evidence, pointer, expected in rules:
-            if evidence not in artifacts:
+            document = documents.get(evidence)
+            if evidence not in documents:
                 absent.append(f"claim_artifact_missing:{rule}")
-                continue
-            try:
-                document = loads(bytes(artifacts[evidence]))
-            except StrictError:
+            elif isinstance(document, StrictError):
                 failed.append(f"claim_evidence_invalid_json:{rule}")
-                continue
-            try:
-                if not same(resolve(document, pointer), loads(expected)):
-                    failed.append(f"claim_fact_mismatch:{rule}")
-            except StrictError:
-                failed.append(f"claim_fact_missing:{rule}")
+            else:
+                try:
+                    matched = same(resolve(document, pointer), loads(expected))
+                except StrictError:
+                    failed.append(f"claim_fact_missing:{rule}")
+                    continue
+                seen.append({"rule_id": rule, "evidence_id": evidence, "pointer": pointer, "matched": matched})
+                failed += [] if matched else [f"claim_fact_mismatch:{rule}"]
         worst = status.FAIL if failed else status.UNAVAILABLE if absent else status.PASS
-        return worst, sorted(failed + absent)
+        return worst, sorted(failed + absent), dumps({"evaluated": seen}).decode()
 
     def checked(ids: pd.Series, contents: pd.Series) -> pd.DataFrame:
         made = [one({} if i is None else dict(zip(i, c, strict=True))) for i, c in zip(ids, contents, strict=True)]
-        return pd.DataFrame(made, columns=["status", "reason_codes"])
+        return pd.DataFrame(made, columns=["status", "reason_codes", "details"])
 
-    return lambda artifacts: F.pandas_udf(checked, "struct<status:string, reason_codes:array<string>>")(F.map_keys(artifacts), F.map_values(artifacts))
+    return lambda artifacts: F.pandas_udf(checked, "struct<status:string, reason_codes:array<string>, details:string>")(F.map_keys(artifacts), F.map_values(artifacts))
 
 
 def commitment(evidence: Column, required: str) -> Column:
@@ -135,26 +116,39 @@ def commitment(evidence: Column, required: str) -> Column:
     return F.get(F.reverse(F.filter(evidence, lambda e: e["id"] == required)), F.lit(0))["sha256"]
 
 
-def decide_receipts(receipts: DataFrame, artifacts: DataFrame, trust: DataFrame, policy: gate.Policy, now_micros: int, side_effect: Column | None = None, max_bytes: int = 1 << 20) -> DataFrame:
-    """Decisions on (receipt_id, raw) with artifacts (receipt_id, evidence_id, content).
+def evidence_of(policy: gate.Policy, evidence: Column, artifacts: Column) -> Column:
+    """All required evidence of a policy: the worst status, reasons in the policy's order."""
+    if not policy.required_evidence:
+        return gate.check(F.lit(status.PASS), details=F.lit('{"verified":[]}'))
+    parts = [gate.evidence_check(e, commitment(evidence, e), F.try_element_at(artifacts, F.lit(e))) for e in policy.required_evidence]
+    good = F.array_compact(F.array(*(F.when(p["status"] == status.PASS, F.lit(e)) for e, p in zip(policy.required_evidence, parts, strict=True))))
+    return F.struct(status.name(status.worst(*(p["status"] for p in parts))).alias("status"), F.flatten(F.array(*(p["reason_codes"] for p in parts))).alias("reason_codes"), F.to_json(F.struct(good.alias("verified"))).alias("details"))
 
-    A receipt's artifacts are those its policy requires; they come together in one
-    map, as many as the policy names.
-    """
-    needed = artifacts.filter(F.col("evidence_id").isin(*policy.required_evidence)).groupBy("receipt_id", "evidence_id").agg(F.max("content").alias("content"))
-    maps = needed.groupBy("receipt_id").agg(F.map_from_entries(F.collect_list(F.struct("evidence_id", "content"))).alias("_a"))
-    rows = intake(receipts, trust, max_bytes).join(maps, "receipt_id", "left").withColumn("_p", F.from_json("payload", _TYPED))
-    rows = rows.withColumn("_claim", claim_support(policy)(F.col("_a")))
+
+def assessments(policy: gate.Policy, now_micros: int) -> dict[str, Column]:
+    """The seven assessments of rows that have been taken in, with artifacts ``_a`` by evidence id."""
+    p = F.from_json("payload", _TYPED)
     gone = gate.check(F.lit(status.UNAVAILABLE), F.lit("source_payload_unavailable"))
     present = lambda c: F.when(F.col("payload").isNull(), gone).otherwise(c)
-    parts = [gate.evidence_check(e, commitment(F.col("_p.evidence"), e), F.try_element_at("_a", F.lit(e))) for e in policy.required_evidence]
-    worst = status.name(status.worst(*(p["status"] for p in parts))) if parts else F.lit(status.PASS)
-    evidence = F.struct(worst.alias("status"), F.flatten(F.array(*(p["reason_codes"] for p in parts))).alias("reason_codes")) if parts else gate.check(worst)
-    checks = {
+    return {
         "integrity": F.col("integrity"), "provenance": F.col("provenance"), "normalization": F.col("normalization"),
-        "policy": present(gate.action_check(F.col("_p.action.type"), policy)),
-        "freshness": present(gate.freshness_check(parse_instant(F.col("_p.issued_at")), now_micros, policy)),
-        "evidence": present(evidence),
-        "claim_support": present(F.col("_claim")),
+        "policy": present(gate.action_check(p["action"]["type"], policy)),
+        "freshness": present(gate.freshness_check(parse_instant(p["issued_at"]), now_micros, policy)),
+        "evidence": present(evidence_of(policy, p["evidence"], F.col("_a"))),
+        "claim_support": present(claim_support(policy)(F.col("_a"))),
     }
-    return gate.decide(rows, checks, policy, side_effect).drop("_a", "_p", "_claim")
+
+
+def artifact_maps(artifacts: DataFrame, policy: gate.Policy) -> DataFrame:
+    """(receipt_id, _a): each receipt's artifacts by evidence id, as many as its policy requires."""
+    needed = artifacts.filter(F.col("evidence_id").isin(*policy.required_evidence)).groupBy("receipt_id", "evidence_id").agg(F.max("content").alias("content"))
+    return needed.groupBy("receipt_id").agg(F.map_from_entries(F.collect_list(F.struct("evidence_id", "content"))).alias("_a"))
+
+
+def decide_receipts(receipts: DataFrame, artifacts: DataFrame, trust: DataFrame, policy: gate.Policy, now_micros: int, side_effect: Column | None = None, max_bytes: int = 1 << 20, adapters: list[AdapterProfile] = [], keep: bool = False) -> DataFrame:  # noqa: B006  never changed
+    """Decisions on (receipt_id, raw) with artifacts (receipt_id, evidence_id, content).
+
+    With ``keep`` the assessments, which a signed decision holds, are kept.
+    """
+    rows = intake(receipts, trust, max_bytes, adapters).join(artifact_maps(artifacts, policy), "receipt_id", "left")
+    return gate.decide(rows, assessments(policy, now_micros), policy, side_effect, keep).drop("_a")

@@ -7,6 +7,8 @@ a missing field is null.
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,73 @@ from ..functions.text import is_lower_sha256, is_safe_id, is_sha256
 SOURCE_SCHEMA = "source.v1"
 
 
+def exact_fields(x: dict, label: str, needed: set[str], allowed: set[str]) -> str | None:
+    missing, unknown = sorted(needed - {*x}), sorted({*x} - allowed)
+    return f"{label}_missing:{','.join(missing)}" if missing else f"{label}_unknown:{','.join(unknown)}" if unknown else None
+
+
+def _digest(x: Any) -> bool:
+    return isinstance(x, str) and len(x) == 64 and all(c in "0123456789abcdefABCDEF" for c in x)
+
+
+def source_error(p: dict) -> str | None:
+    """The first error of a source payload with its JSON types."""
+    needed = {"schema", "issuer", "issued_at", "run_id", "sequence", "action", "claim", "evidence"}
+    if code := exact_fields(p, "source", needed, needed | {"parent_hash", "extensions"}):
+        return code
+    filled = lambda x: isinstance(x, str) and x != ""
+    a, n = p["action"], p["sequence"]
+    early = [
+        (p["schema"] != SOURCE_SCHEMA, "source_schema_unsupported"),
+        *((not filled(p[k]), f"source_{k}_invalid") for k in ("issuer", "issued_at", "run_id")),
+        (type(n) is not int or n < 0, "source_sequence_invalid"),
+        (p.get("parent_hash") is not None and not _digest(p["parent_hash"]), "source_parent_hash_invalid"),
+        (not isinstance(a, dict), "source_action_invalid"),
+    ]
+    code = next((c for wrong, c in early if wrong), None) or exact_fields(a, "action", {"type", "name"}, {"type", "name", "target"})
+    if code:
+        return code
+    late = [
+        (not (filled(a["type"]) and filled(a["name"])), "source_action_invalid"),
+        ("target" in a and not isinstance(a["target"], str), "source_target_invalid"),
+        (not filled(p["claim"]), "source_claim_invalid"),
+        (not isinstance(p["evidence"], list), "source_evidence_invalid"),
+    ]
+    if code := next((c for wrong, c in late if wrong), None):
+        return code
+    seen: set[str] = set()
+    for e in p["evidence"]:
+        if not isinstance(e, dict):
+            return "source_evidence_entry_invalid"
+        if code := exact_fields(e, "evidence", {"id", "sha256"}, {"id", "sha256", "media_type"}):
+            return code
+        rules = [(not filled(e["id"]) or e["id"] in seen, "id"), (not _digest(e["sha256"]), "hash"), ("media_type" in e and not isinstance(e["media_type"], str), "media_type")]
+        if code := next((f"source_evidence_{c}_invalid" for wrong, c in rules if wrong), None):
+            return code
+        seen.add(e["id"])
+    return "source_extensions_invalid" if "extensions" in p and not isinstance(p["extensions"], dict) else None
+
+
+#: A decision receipt's fields, verdicts and decisions.
+DECISION_SCHEMA = "decision.v1"
+DECISION_FIELDS = {"schema", "gate_id", "issued_at", "source_format", "source_sha256", "policy", "verdict", "decision", "reason_codes", "side_effect_observed", "assessments"}
+VERDICTS = ("VERIFIED", "REJECTED", "UNDECIDABLE")
+DECISIONS = ("COMMIT", "QUARANTINE", "DENY", "NO_BADGE", "ROLLBACK_REQUEST")
+
+
+def decision_error(p: dict) -> str | None:
+    """The first error of a decision payload with its JSON types."""
+    if code := exact_fields(p, "decision", DECISION_FIELDS, DECISION_FIELDS):
+        return code
+    filled = lambda k: isinstance(p[k], str) and p[k] != ""
+    holds = {
+        "schema_unsupported": p["schema"] == DECISION_SCHEMA, "gate_id_invalid": filled("gate_id"), "issued_at_invalid": filled("issued_at"), "source_format_invalid": filled("source_format"),
+        "source_hash_invalid": _digest(p["source_sha256"]), "verdict_invalid": p["verdict"] in VERDICTS, "disposition_invalid": p["decision"] in DECISIONS, "side_effect_invalid": isinstance(p["side_effect_observed"], bool),
+        "reasons_invalid": isinstance(p["reason_codes"], list) and all(isinstance(x, str) for x in p["reason_codes"]), "policy_invalid": isinstance(p["policy"], dict), "assessments_invalid": isinstance(p["assessments"], dict),
+    }
+    return next((f"decision_{k}" for k, ok in holds.items() if not ok), None)
+
+
 def first_error(*rules: tuple[Column, str]) -> Column:
     """Rules are (what is wrong, code); a null condition counts as wrong."""
     return F.coalesce(*(F.when(F.coalesce(wrong, F.lit(True)), code) for wrong, code in rules))

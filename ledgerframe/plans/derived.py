@@ -58,10 +58,17 @@ def checks(policy: Policy) -> dict[str, Column]:
         "policy": gate.action_check(F.col("action"), policy),
         "freshness": gate.freshness_check(F.col("issued"), NOW, policy),
         "evidence": gate.evidence_check("props", F.col("commitment"), F.col("artifact")),
-        "claim_support": gate.claim_check(policy.claim_rules[0], F.col("artifact")),
+        "claim_support": claims(policy, F.col("artifact")),
     }
 
 
+def claims(policy: Policy, artifact: Column) -> Column:
+    """All claim rules on the one artifact of a receipt."""
+    from ..operators.gateway import claim_support
+
+    return claim_support(policy)(F.when(artifact.isNotNull(), F.create_map(F.lit("props"), artifact)))
+
+
 def decisions_sql(name: str, policy: Policy) -> str:
     actions = ", ".join(f"'{a}'" for a in policy.allowed_actions)
     return f"""

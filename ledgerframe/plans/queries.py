@@ -100,7 +100,7 @@ def evidence_commitment_join(spark, sf_dir):
 @query(f"""WITH {RECEIPTS} SELECT event_id, CASE WHEN artifact IS NULL THEN 'unavailable' WHEN json_extract_string(artifact, '$.ok') = '1' THEN 'pass' ELSE 'fail' END AS status,
   CASE WHEN artifact IS NULL THEN 'claim_artifact_missing:ok' WHEN json_extract_string(artifact, '$.ok') = '1' THEN '' ELSE 'claim_fact_mismatch:ok' END AS reasons FROM receipts""")
 def claim_pointer_equality(spark, sf_dir):
-    return _one_check(spark, sf_dir, gate.claim_check(POLICY.claim_rules[0], F.col("artifact")))
+    return _one_check(spark, sf_dir, d.claims(POLICY, F.col("artifact")))
 
 
 @query("""WITH trust AS (SELECT 'agent-' || i AS key_id, CASE WHEN i = 3 THEN sha256('other') ELSE sha256('key-' || i) END AS trusted FROM range(0, 4) t(i))
@@ -173,8 +173,10 @@ _HANDOFF = f"""{_BOTH}, decisions AS (
 )"""
 
 
-def _decisions(spark, sf_dir):
-    """Decisions of both policies on every receipt, from one pass over the receipts."""
+def _decisions(spark, sf_dir, allowed_only=False):
+    """Decisions on every receipt from one pass over the receipts: of both policies, or of the allowed one."""
+    if allowed_only:
+        return decided(spark, sf_dir).filter("event_id % 11 != 0").select("source_sha256", F.lit(POLICY.sha256).alias("policy_sha256"), "verdict", "decision")
     both = d.receipts(spark, sf_dir)
     for name, policy in (("one", POLICY), ("two", STRICT)):
         both = gate.decide(both, d.checks(policy), policy)
@@ -185,7 +187,7 @@ def _decisions(spark, sf_dir):
 
 
 def _admitted(spark, sf_dir):
-    return handoff.admit(d.receipts(spark, sf_dir).withColumn("claim", F.col("props")), _decisions(spark, sf_dir), _ALLOWED, max_action=7)
+    return handoff.admit(d.receipts(spark, sf_dir).withColumn("claim", F.col("props")), _decisions(spark, sf_dir, allowed_only=True), _ALLOWED, max_action=7)
 
 
 @query(f"{_HANDOFF} SELECT run_id, sequence, coalesce(excluded, '') AS excluded FROM admitted")
@@ -233,24 +235,33 @@ def handoff_render(spark, sf_dir):
     return handoff.render(shown)
 
 
-_TOKENS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))"
+_TOKENS = r"coalesce(len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\x09-\x0d\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]')), 0)"
 
 
-@query(f"SELECT doc_id, CAST({_TOKENS.format('text')} AS INTEGER) AS n_tokens FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, CAST({_TOKENS.format('text')} AS INTEGER) AS n_tokens FROM documents")
 def lexical_token_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", text.lexical_tokens(F.col("text")).alias("n_tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(text.lexical_tokens(F.col("text")), F.lit(0)).alias("n_tokens"))
+
+
+def _half_even(x: str) -> str:
+    """One place of a double by its exact value, an exact half to even, as SQL: fractions in units of 2**-60."""
+    unit = "1152921504606846976::HUGEINT"
+    parts = f"(CAST((abs({x}) - floor(abs({x}))) * 1152921504606846976::DOUBLE AS HUGEINT) * 10)"
+    low = f"(CAST(floor(abs({x})) AS HUGEINT) * 10 + {parts} // {unit})"
+    rest = f"({parts} % {unit} * 2)"
+    return f"sign({x}) * ({low} + CASE WHEN {rest} > {unit} THEN 1 WHEN {rest} < {unit} THEN 0 ELSE {low} % 2 END)::DOUBLE / 10.0::DOUBLE"
 
 
 _COSTS = f"WITH t AS (SELECT conv_id, turn, CAST({_TOKENS.format('text')} AS BIGINT) AS full_cost, least(CAST({_TOKENS.format('text')} AS BIGINT), 40) + 12 AS short_cost FROM conversations)"
 
 
 def _costs(spark, sf_dir):
-    n = text.lexical_tokens(F.col("text")).cast("long")
+    n = F.coalesce(text.lexical_tokens(F.col("text")), F.lit(0)).cast("long")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", n.alias("full_cost"), (F.least(n, F.lit(40)) + 12).alias("short_cost"))
 
 
 @query(f"""{_COSTS}, s AS (SELECT conv_id, CAST(sum(full_cost) AS BIGINT) AS full_tokens, CAST(sum(short_cost) AS BIGINT) AS short_tokens FROM t GROUP BY conv_id)
-SELECT *, CASE WHEN full_tokens = 0 THEN 0.0 ELSE round((full_tokens - short_tokens) * 100.0::DOUBLE / full_tokens, 1) END AS reduction_percent FROM s""")
+SELECT full_tokens, short_tokens, conv_id, CASE WHEN full_tokens = 0 THEN 0.0::DOUBLE ELSE {_half_even('(full_tokens - short_tokens) * 100.0::DOUBLE / full_tokens')} END AS reduction_percent FROM s""")
 def token_cost_tracks(spark, sf_dir):
     s = _costs(spark, sf_dir).groupBy("conv_id").agg(F.sum("full_cost").alias("full_tokens"), F.sum("short_cost").alias("short_tokens"))
     return s.withColumn("reduction_percent", costs.percent_reduction(F.col("full_tokens"), F.col("short_tokens")))
@@ -430,12 +441,12 @@ def bootstrap_ci(spark, sf_dir):
     return evaluation.bootstrap_interval(d.paired(spark, sf_dir))
 
 
-@query("""SELECT user_id, idx, gap, disordered FROM (SELECT user_id, event_id % 50 AS idx, row_number() OVER w <> event_id % 50 AS gap, coalesce(lag({'ts': ts, 'id': event_id}) OVER w >= {'ts': ts, 'id': event_id}, false) AS disordered
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 50 ORDER BY event_id) AS one FROM events) WHERE one = 1 WINDOW w AS (PARTITION BY user_id ORDER BY event_id % 50)) WHERE gap OR disordered""")
+@query("""SELECT user_id, event_id, gap, disordered FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY idx, event_id) <> idx AS gap, coalesce(lag({'ts': ts, 'id': event_id}) OVER (PARTITION BY user_id ORDER BY idx, event_id) >= {'ts': ts, 'id': event_id}, false) AS disordered
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS idx FROM events)) WHERE gap OR disordered""")
 def ledger_monotone(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("idx", F.col("event_id") % 50)
-    one = e.withColumn("one", F.row_number().over(Window.partitionBy("user_id", "idx").orderBy("event_id"))).filter("one = 1")
-    return chain.monotone_ledger(one, "user_id", "idx", ["ts", "event_id"]).select("user_id", "idx", "gap", "disordered")
+    # Every event is a ledger row; some have the index of the row after them.
+    index = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) + F.when(F.col("event_id") % 50 == 0, 1).otherwise(0)
+    return chain.monotone_ledger(table(spark, sf_dir, "events").withColumn("idx", index), "user_id", ["idx", "event_id"], ["ts", "event_id"]).select("user_id", "event_id", "gap", "disordered")
 
 
 @query("SELECT event_id, late BETWEEN 0 AND 600000000 AS in_time FROM (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS late FROM events) WHERE late IS NOT NULL")
@@ -484,22 +495,22 @@ _SEED, _OTHER = "33" * 32, "44" * 32
 
 
 def _signed(spark, sf_dir):
-    """An envelope for each run's first receipt, as in the SQL; some changed after signing, some by another key."""
+    """An envelope for each receipt; some changed after signing, some by another key."""
     from ..operators.envelopes import sign_column
 
-    r = d.receipts(spark, sf_dir).filter("sequence = 0")
+    r = d.receipts(spark, sf_dir)
     payload = F.to_json(F.struct(F.col("action"), F.col("event_id"), F.col("run_id")))
     return r.select("event_id", sign_column(payload, F.when(F.col("event_id") % 5 == 0, _OTHER).otherwise(_SEED)).alias("raw")).withColumn("raw", F.when(F.col("event_id") % 7 == 0, F.replace("raw", F.lit('"run_id"'), F.lit('"run_iD"'))).otherwise(F.col("raw")))
 
 
-@query(f"WITH {RECEIPTS} SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'payload_hash_mismatch;signature_invalid' ELSE '' END AS errors FROM receipts WHERE sequence = 0")
+@query(f"WITH {RECEIPTS} SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'payload_hash_mismatch;signature_invalid' ELSE '' END AS errors FROM receipts")
 def envelope_inspection(spark, sf_dir):
     from ..operators.envelopes import inspected
 
     return _signed(spark, sf_dir).select("event_id", inspected("raw").alias("i")).select("event_id", F.array_join("i.errors", ";").alias("errors"))
 
 
-@query(f"WITH {RECEIPTS} SELECT event_id, event_id % 7 <> 0 AS valid FROM receipts WHERE sequence = 0")
+@query(f"WITH {RECEIPTS} SELECT event_id, event_id % 7 <> 0 AS valid FROM receipts")
 def ed25519_verify(spark, sf_dir):
     from ..functions.ed25519 import verified
     from ..functions.strict_json import pointed
@@ -510,14 +521,6 @@ def ed25519_verify(spark, sf_dir):
     return rows.select("event_id", verified(bare(F.col("key")), bare(F.col("sig")), F.col("message")).alias("valid"))
 
 
-@query(f"""WITH {RECEIPTS} SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN '{{"actor":' || run_id || ',"kind":"' || action || '"}}' END AS payload, CASE WHEN event_id % 7 = 0 THEN 'foreign_signature_invalid' END AS error FROM receipts WHERE sequence = 0""")
-def mapped_adapter(spark, sf_dir):
-    from ..operators.envelopes import mapper
-
-    profile = {"signed_object": "/payload", "public_key": "/proof/public_key", "signature": "/proof/signature", "fields": {"actor": "/payload/run_id", "kind": "/payload/action"}}
-    return _signed(spark, sf_dir).select("event_id", mapper(profile)("raw").alias("m")).select("event_id", "m.payload", "m.error")
-
-
 _LEDGER = f"""WITH RECURSIVE {OUTCOMES.strip()}, newest AS (
   SELECT *, row_number() OVER (ORDER BY handoff_micros, session_id) AS i FROM (SELECT * FROM outcomes ORDER BY handoff_micros DESC, session_id DESC LIMIT 20)
 ), fold AS (
@@ -581,11 +584,14 @@ def decision_recompute(spark, sf_dir):
 @query(f"""{_PAIRS}, {_DELTA}, grid AS (SELECT delta.*, i, j FROM delta, range(0, 21) a(i), range(0, 21) b(j) WHERE i <= dp AND j <= dn),
 w AS (SELECT comparator, numerator, neg * (2 * i - dp) + pos * (2 * j - dn) AS v, factorial(CAST(dp AS INTEGER)) // factorial(CAST(i AS INTEGER)) // factorial(CAST(dp - i AS INTEGER)) * (factorial(CAST(dn AS INTEGER)) // factorial(CAST(j AS INTEGER)) // factorial(CAST(dn - j AS INTEGER))) AS c FROM grid),
 t AS (SELECT comparator, numerator, sum(CASE WHEN v >= numerator THEN c ELSE 0 END)::HUGEINT AS hits, sum(c)::HUGEINT AS total FROM w GROUP BY ALL),
-g AS (SELECT bool_and(numerator > 0) AS beats_all, bool_and(numerator > 0 AND (hits * 1000000 + total - 1) // total <= 50000) AS significant_against_all FROM t), n AS (SELECT min(pos) AS pos, min(neg) AS neg FROM cls)
+ba AS (SELECT comparator, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg, count(*) FILTER (y = 1 AND primary_ = 1) AS tp, count(*) FILTER (y = 0 AND primary_ = 0) AS tn, count(*) FILTER (y = 1 AND other = 1) AS tp2, count(*) FILTER (y = 0 AND other = 0) AS tn2 FROM paired GROUP BY comparator),
+m AS (SELECT comparator, pos, neg, (tp * 1000000 // greatest(pos, 1) + tn * 1000000 // greatest(neg, 1)) // 2 > (tp2 * 1000000 // greatest(pos, 1) + tn2 * 1000000 // greatest(neg, 1)) // 2 AS beats FROM ba),
+n AS (SELECT min(pos) AS pos, min(neg) AS neg, bool_and(beats) AS beats_all FROM m),
+g AS (SELECT bool_and(numerator > 0 AND (hits * 1000000 + total - 1) // total <= 50000) AND any_value(pos >= 5 AND neg >= 3) AS significant_against_all FROM t, n)
 SELECT beats_all, significant_against_all, CASE WHEN pos < 5 OR neg < 3 THEN 'INSUFFICIENT_SAMPLE' WHEN beats_all AND significant_against_all THEN 'PRIMARY_SIGNAL_CLEARS_PREREGISTERED_GATE' ELSE 'DOES_NOT_CLEAR_PREREGISTERED_GATE' END AS disposition FROM g, n""")
 def trial_disposition(spark, sf_dir):
     pairs = d.paired(spark, sf_dir)
-    return evaluation.disposition(evaluation.delta_ba(pairs), evaluation.permutation_test(pairs), evaluation.classes(pairs))
+    return evaluation.disposition(pairs, evaluation.permutation_test(pairs))
 
 
 @query(f"""WITH {RECEIPTS} SELECT event_id, CASE WHEN event_id % 37 = 0 THEN 'source_schema_unsupported' WHEN event_id % 13 = 0 THEN 'source_issuer_invalid' WHEN event_id % 41 = 0 THEN 'source_sequence_invalid'

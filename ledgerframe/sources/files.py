@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.strict_json import canonical
 from ..operators.integrity import require_empty
 
 
@@ -18,6 +19,37 @@ def read_documents(spark: SparkSession, path: str, glob: str = "*.json", max_byt
     return files.select("path", "length", F.col("content").alias("raw"), F.sha2("content", 256).alias("sha256"))
 
 
+def read_json(spark: SparkSession, path: str, glob: str = "*.json", kind: str = "object", max_bytes: int = 1 << 20) -> DataFrame:
+    """(path, sha256, canonical) of strict JSON documents; one that is no ``kind`` (object or array) fails the read."""
+    rows = read_documents(spark, path, glob, max_bytes).select("path", "sha256", canonical("raw").alias("c")).select("path", "sha256", "c.*")
+    wrong = F.coalesce("error", F.when(~F.col("canonical").startswith({"object": "{", "array": "["}[kind]), F.lit(f"json_{kind}_required")))
+    require_empty(rows.select("path", wrong.alias("error")).filter("error IS NOT NULL"), "json_document_invalid")
+    return rows.drop("error")
+
+
+def read_artifacts(spark: SparkSession, manifest: str, max_files: int = 512, max_bytes: int = 8 << 20, max_total: int = 32 << 20) -> DataFrame:
+    """(evidence_id, content) of the files that a JSON object of ids and relative paths names.
+
+    Paths must stay below the manifest's folder; a broken limit fails the read.
+    """
+    folder = manifest.rsplit("/", 1)[0]
+    text = read_json(spark, folder, manifest.rsplit("/", 1)[1]).select("canonical")
+    names = text.select(F.explode(F.from_json("canonical", "map<string,string>")).alias("evidence_id", "name"))
+    return _named(spark, folder, names, "evidence", max_files, max_bytes, max_total).select("evidence_id", F.col("raw").alias("content"))
+
+
+def read_lines(spark: SparkSession, path: str, schema: str, max_bytes: int = 64 << 20) -> DataFrame:
+    """(path, line, row) of JSON-lines files of bounded size: one object a line, blank lines skipped.
+
+    A line that does not parse fails the read with its number.
+    """
+    files = read_documents(spark, path, "*", max_bytes).select("path", F.posexplode(F.split(F.col("raw").cast("string"), "\n")).alias("at", "text"))
+    rows = files.filter(F.trim("text") != "").select("path", (F.col("at") + 1).alias("line"), "text", canonical("text").alias("c"))
+    bad = F.coalesce("c.error", F.when(~F.col("c.canonical").startswith("{"), F.lit("json_object_required")))
+    require_empty(rows.select("path", "line", bad.alias("error")).filter("error IS NOT NULL"), "json_line_invalid")
+    return rows.select("path", "line", F.from_json("text", schema).alias("row"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON-lines file by a fixed schema; blank lines are skipped, ``_bad`` holds lines that do not parse."""
     return spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
@@ -45,22 +77,27 @@ def read_manifest(spark: SparkSession, manifest: str, max_files: int = 512, max_
     limit fails the read before any content is looked at.
     """
     folder = manifest.rsplit("/", 1)[0]
-    names = spark.read.text(manifest, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("index", "name"))
+    text = read_json(spark, folder, manifest.rsplit("/", 1)[1], "array").select("canonical")
+    names = text.select(F.posexplode(F.from_json("canonical", "array<string>")).alias("index", "name"))
+    return _named(spark, folder, names, "file_manifest", max_files, max_bytes, max_total).select("index", "name", "raw")
+
+
+def _named(spark: SparkSession, folder: str, names: DataFrame, label: str, max_files: int, max_bytes: int, max_total: int) -> DataFrame:
+    """Adds ``raw`` to rows with a name below a folder, after all limits hold; every file must exist."""
     bad = F.col("name").isNull() | F.col("name").startswith("/") | F.array_contains(F.split("name", "/"), "..") | F.col("name").contains(":")
-    require_empty(names.filter(bad), "file_manifest_path_escape")
-    listed = names.agg(F.count("*")).first()[0]
-    if listed > max_files:
-        raise ValueError("file_manifest_count_limit_exceeded")
+    require_empty(names.filter(bad), f"{label}_path_escape")
+    if names.agg(F.count("*")).first()[0] > max_files:
+        raise ValueError(f"{label}_count_limit_exceeded")
     # At most max_files names: a bounded list of paths.
-    rows = names.withColumn("path", F.concat(F.lit(f"{folder}/"), "name")).collect()
-    if not rows:
-        return names.select("index", "name", F.lit(None).cast("binary").alias("raw"))
-    files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").load(sorted({r.path for r in rows}))
+    found = names.withColumn("path", F.concat(F.lit(f"{folder}/"), "name")).collect()
+    if not found:
+        return names.withColumn("raw", F.lit(None).cast("binary"))
+    files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").load(sorted({r.path for r in found}))
     tail = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
     named = names.withColumn("_p", tail(F.concat(F.lit(f"{folder}/"), "name")))
     sizes = named.join(files.select(tail("path").alias("_p"), "length"), "_p").agg(F.max("length"), F.sum("length")).first()
     if (sizes[0] or 0) > max_bytes:
         raise ValueError("file_size_limit_exceeded")
     if (sizes[1] or 0) > max_total:
-        raise ValueError("file_manifest_total_size_limit_exceeded")
-    return named.join(files.select(tail("path").alias("_p"), F.col("content").alias("raw")), "_p").select("index", "name", "raw")
+        raise ValueError(f"{label}_total_size_limit_exceeded")
+    return named.join(files.select(tail("path").alias("_p"), F.col("content").alias("raw")), "_p").drop("_p")

@@ -1,21 +1,19 @@
-"""Decisions on a stream of receipts: the batch gate on each micro-batch's rows.
+"""Decisions on a stream of receipts: the batch gate's own columns on each micro-batch.
 
-The gate looks at one row at a time, so the same columns serve a stream; receipts
-that arrive twice within the watermark are decided once.
+Trust and artifacts are static tables that a receipt meets by joins, so every one of
+the seven assessments runs on the stream as it does on a table.  Receipts that arrive
+twice within the watermark are decided once.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import gate
+from ..operators.gateway import decide_receipts
 
 
-def decide_stream(receipts: DataFrame, policy: gate.Policy, now_micros: int, watermark: str = "1 hour") -> DataFrame:
-    """``receipts`` streams receipt_id, issued_at, action_type, evidence_id, commitment and artifact."""
-    once = receipts.withWatermark("issued_at", watermark).dropDuplicatesWithinWatermark(["receipt_id"])
-    issued = F.unix_micros("issued_at")
-    required = policy.required_evidence[0]
-    checks = {"policy": gate.action_check(F.col("action_type"), policy), "freshness": gate.freshness_check(issued, now_micros, policy), "evidence": gate.evidence_check(required, F.col("commitment"), F.col("artifact"))}
-    return gate.decide(once, checks, policy)
+def decide_stream(receipts: DataFrame, artifacts: DataFrame, trust: DataFrame, policy: gate.Policy, now_micros: int, watermark: str = "1 hour", **options) -> DataFrame:
+    """``receipts`` streams receipt_id, arrived_at and raw; the tables and options are ``decide_receipts``'s."""
+    once = receipts.withWatermark("arrived_at", watermark).dropDuplicatesWithinWatermark(["receipt_id"])
+    return decide_receipts(once, artifacts, trust, policy, now_micros, **options)

@@ -3,7 +3,7 @@
 import pytest
 
 from compare import oracle, rows
-from ledgerframe.plans.queries import ORACLE, QUERIES
+from ledgerframe.plans.catalogue import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 from fractions import Fraction
 
 import pytest
@@ -78,8 +79,6 @@ def test_envelopes():
     assert envelopes.inspect({**env, "payload": 3}) == (["payload_invalid", "payload_hash_mismatch", "signature_invalid"], {})
     assert envelopes.inspect({**env, "proof": {}})[0] == ["proof_invalid", "algorithm_unsupported", "signature_invalid"]
     assert envelopes.inspect({**env, "proof": {**env["proof"], "alg": "RSA"}})[0] == ["algorithm_unsupported"]
-    with pytest.raises(ValueError, match="adapter_unsigned_mapping_forbidden:b"):
-        envelopes.mapper({"signed_object": "/p", "fields": {"a": "/p/x", "b": "/q"}})
 
 
 def test_policy_validation():
@@ -222,16 +221,166 @@ def test_integrity(spark):
         integrity.require_empty(a, "gone")
 
 
-def test_stream_decides_like_batch(spark, tmp_path):
+SIGNED_AT = 1_784_314_800_000_000  # 2026-07-17T19:00:00Z
+
+
+@pytest.fixture(scope="module")
+def signed_rows(spark):
+    """Receipts that pass, and one for each way to fail: (receipts, artifacts, trust, policy)."""
+    import hashlib
+    import json
+
+    seed = "33" * 32
+    key = ed25519.public_key(bytes.fromhex(seed)).hex()
+    payload = {"schema": "source.v1", "issuer": "a", "issued_at": "2026-07-17T18:59:30Z", "run_id": "r", "sequence": 0, "action": {"type": "tool_call", "name": "lookup"}, "claim": "found", "evidence": [{"id": "out", "sha256": hashlib.sha256(b'{"found":true}').hexdigest()}, {"id": "two", "sha256": hashlib.sha256(b"x").hexdigest()}]}
+    env = lambda p=payload, k="agent": dumps(envelopes.issue(p, seed, k))
+    tampered = json.loads(env())
+    tampered["payload"]["claim"] = "other"
+    raws = {"ok": env(), "tampered": dumps(tampered), "untrusted": env(k="nobody"), "unsupported": env(), "missing": env(), "denied": env({**payload, "action": {"type": "write", "name": "n"}}), "garbage": b"{", "late": env({**payload, "issued_at": "2026-07-17T17:00:00Z"})}
+    artifacts = [(n, e, c) for n in raws if n != "missing" for e, c in (("out", b'{"found":false}' if n == "unsupported" else b'{"found":true}'), ("two", b"x"))]
+    policy = gate.Policy("p", "1", ("tool_call",), ("out", "two"), (gate.Rule("found", "out", "/found", True),), 300)
+    return raws, spark.createDataFrame(artifacts, "receipt_id string, evidence_id string, content binary"), spark.createDataFrame([("agent", key)], "key_id string, trusted string"), policy
+
+
+def test_stream_decides_like_batch(spark, tmp_path, signed_rows):
+    """All seven assessments run on the stream; a repeated receipt is decided once."""
+    from ledgerframe.operators import gateway
     from ledgerframe.streaming.gate import decide_stream
 
-    p = gate.Policy("p", "1", ("view",), ("e",), (), 10**9)
-    schema = "receipt_id long, issued_at timestamp, action_type string, evidence_id string, commitment string, artifact string"
-    rows = spark.sql("SELECT 1L receipt_id, timestamp'2024-01-01 00:00:00' issued_at, 'view' action_type, 'e' evidence_id, sha2('x', 256) commitment, 'x' artifact UNION ALL SELECT 1L, timestamp'2024-01-01 00:00:00', 'view', 'e', sha2('x', 256), 'x' UNION ALL SELECT 2L, timestamp'2024-01-01 00:00:01', 'view', 'e', sha2('x', 256), 'y'")
-    rows.write.json(f"{tmp_path}/in")
-    q = decide_stream(spark.readStream.schema(schema).json(f"{tmp_path}/in"), p, 1_704_067_300_000_000).writeStream.format("memory").queryName("decided").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted((r.receipt_id, r.decision) for r in spark.table("decided").collect()) == [(1, "COMMIT"), (2, "DENY")]
+    raws, artifacts, trust, policy = signed_rows
+    rows = spark.createDataFrame([*raws.items()], "receipt_id string, raw binary").withColumn("arrived_at", F.lit("2026-07-17 19:00:00").cast("timestamp"))
+    rows.union(rows.filter("receipt_id = 'ok'")).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    decided = decide_stream(stream, artifacts, trust, policy, SIGNED_AT).select("receipt_id", "decision", "reason_codes")
+    q = decided.writeStream.format("memory").queryName("decided").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    batch = gateway.decide_receipts(rows, artifacts, trust, policy, SIGNED_AT).select("receipt_id", "decision", "reason_codes")
+    assert sorted(spark.table("decided").collect()) == sorted(batch.collect())
+    found = {r.receipt_id: r.decision for r in batch.collect()}
+    assert found == {"ok": "COMMIT", "tampered": "DENY", "untrusted": "QUARANTINE", "unsupported": "DENY", "missing": "QUARANTINE", "denied": "DENY", "garbage": "DENY", "late": "QUARANTINE"}
+    none = gate.Policy("p", "1", ("tool_call",), (), (), 300)
+    assert {r.decision for r in gateway.decide_receipts(rows.filter("receipt_id = 'ok'"), artifacts, trust, none, SIGNED_AT).collect()} == {"QUARANTINE"}
+
+
+def test_signed_decisions(spark, signed_rows):
+    """Issued decisions verify; each change shows, and a wrong decision shows though its signature holds."""
+    import json
+
+    from ledgerframe.operators import decisions, gateway
+
+    raws, artifacts, trust, policy = signed_rows
+    rows = spark.createDataFrame([*raws.items()], "receipt_id string, raw binary")
+    decided = gateway.decide_receipts(rows, artifacts, trust, policy, SIGNED_AT, keep=True)
+    seed = "66" * 32
+    made = {r.receipt_id: json.loads(r.decision_receipt) for r in decisions.issue_decisions(decided, policy, "receiver", seed, "2026-07-17T19:00:00Z").collect()}
+    checks = made["ok"]["payload"]["assessments"]
+    assert checks["freshness"] == {"status": "pass", "reason_codes": [], "details": {"age_seconds": 30}} and checks["evidence"]["details"] == {"verified": ["out", "two"]}
+    assert checks["provenance"]["details"] == {"key_id": "agent"} and checks["normalization"]["details"] == {"schema": "source.v1"} and checks["claim_support"]["details"] == {"evaluated": [{"rule_id": "found", "evidence_id": "out", "pointer": "/found", "matched": True}]}
+    assert made["denied"]["payload"]["assessments"]["policy"]["details"] == {"action_type": "write"}
+    signed = lambda p: envelopes.issue(p, seed, "receiver")
+    p = made["tampered"]["payload"]
+    cases = {
+        "good": made["ok"], "wrong": signed({**p, "verdict": "VERIFIED", "decision": "COMMIT"}), "reasons": signed({**p, "reason_codes": []}), "hash": signed({**p, "policy": {**p["policy"], "max_age_seconds": 301}}),
+        "policy": signed({**p, "policy": {k: v for k, v in p["policy"].items() if k != "version"}}), "stamp": signed({**p, "policy": {k: v for k, v in p["policy"].items() if k != "sha256"}}), "set": signed({**p, "assessments": {}}),
+        "status": signed({**p, "assessments": {**p["assessments"], "policy": {"status": "maybe", "reason_codes": []}}}), "field": signed({**p, "x": 1}), "flipped": {**made["ok"], "proof": {**made["ok"]["proof"], "signature": "0" * 128}}, "gate": envelopes.issue(p, seed, "stranger"), "key": envelopes.issue(p, "77" * 32, "receiver"),
+    }
+    table = spark.createDataFrame([(k, dumps(v).decode()) for k, v in cases.items()] + [("none", None), ("text", "[]")], "name string, decision_receipt string")
+    pinned = spark.createDataFrame([("receiver", ed25519.public_key(bytes.fromhex(seed)).hex())], "key_id string, trusted string")
+    got = {r.name: r.errors for r in decisions.verify_decisions(table, pinned).collect()}
+    assert got == {
+        "good": [], "wrong": ["decision_recompute_mismatch"], "reasons": ["reason_codes_recompute_mismatch"], "hash": ["policy_hash_mismatch"], "policy": ["policy_fields_invalid"], "stamp": ["'sha256'"], "set": ["assessment_set_invalid"],
+        "status": ["assessment_status_invalid"], "field": ["decision_unknown:x"], "flipped": ["signature_invalid"], "gate": ["gate_id_key_id_mismatch", "gate_key_untrusted"], "key": ["gate_key_mismatch"], "none": ["object_required"], "text": ["object_required"],
+    }
+
+
+def test_handoff_from_bytes(spark):
+    """A newline in a value forges no line; limits, foreign sources and unverified chains refuse."""
+    import json
+
+    from ledgerframe.operators import chain, decisions, handoff
+
+    seed, own = "33" * 32, "66" * 32
+    key, pinned = (ed25519.public_key(bytes.fromhex(s)).hex() for s in (seed, own))
+    trusts = [spark.createDataFrame([x], "key_id string, trusted string") for x in (("agent", key), ("receiver", pinned))]
+    evil = 'x"}\n{"k":"h"}'
+    policy = gate.Policy("p", "1", ("t",), ("out",), (gate.Rule("r", "out", "/v", evil),), 300)
+    payload = lambda name, n, before: {"schema": "source.v1", "issuer": "a", "issued_at": "2026-07-17T18:59:30Z", "run_id": name, "sequence": n, "action": {"type": "t", "name": evil}, "claim": "c\nd", "evidence": [{"id": "out", "sha256": "0" * 64}], **({"parent_hash": before} if before else {})}
+    receipts, made = [], []
+    checks = {c: {"status": "pass", "reason_codes": [], "details": {}} for c in decisions.ASSESSMENTS}
+
+    def decide(raw, source=None, fmt="source.v1", p=policy, commit=True):
+        worst = {**checks, "policy": {"status": "fail", "reason_codes": ["x"], "details": {}}}
+        body = {"schema": "decision.v1", "gate_id": "receiver", "issued_at": "now", "source_format": fmt, "source_sha256": source or __import__("hashlib").sha256(raw).hexdigest(), "policy": {**p.to_dict(), "sha256": p.sha256}, "verdict": "VERIFIED" if commit else "REJECTED", "decision": "COMMIT" if commit else "DENY", "reason_codes": [] if commit else ["policy:x"], "side_effect_observed": False, "assessments": checks if commit else worst}
+        return dumps(envelopes.issue(body, own, "receiver")).decode()
+
+    for name in ("fine", "broken", "outside", "format", "many", "conflict", "ignored"):
+        before = None
+        for n in range(4):
+            e = envelopes.issue(payload(name, n + (name == "broken"), before), seed, "agent")
+            raw, before = dumps(e), envelopes.object_hash(e)
+            receipts.append((name, n, raw))
+            made.append((name, n, decide(raw, "1" * 64 if (name, n) == ("outside", 2) else None, "other" if (name, n) == ("format", 1) else "source.v1")))
+            if name == "conflict" and n == 3:
+                made.append((name, 9, decide(raw, commit=False)))
+            if name == "ignored" and n == 3:
+                made.append((name, 9, decide(raw, p=gate.Policy("q", "1", ("t",), ("out",), (), 300), commit=False)))
+            made += [("many", 10 + n * 100 + k, decide(raw)) for k in range(4)] if name == "many" else []
+    results, items = chain.verify_chains(spark.createDataFrame(receipts, "chain_id string, index int, raw binary"), trusts[0])
+    run = lambda **k: {r.chain_id: r for r in handoff.project(results, items, spark.createDataFrame(made, "chain_id string, index int, decision_receipt string"), trusts[1], [policy.sha256], max_decisions=12, **k).collect()}
+    got = run()
+    lines = got["fine"].prompt.split("\n")
+    assert len(lines) == 5 and lines[-1] == "" and all(json.loads(x) for x in lines[:-1]) and "c\\nd" not in got["fine"].prompt
+    assert json.loads(lines[0]) == {"s": "handoff.v1", "k": "h", "run": "fine", "n": 4, "tip": got["fine"].tip_hash[:16], "ok": 4, "show": 3, "drop": 0, "pn": 1, "ps": envelopes.object_hash([policy.sha256])[:16]}
+    assert json.loads(lines[1]) == {"k": "i", "seq": 1, "a": evil, "facts": [["out", "/v", evil]]}
+    assert got["broken"].refused == "handoff_chain_not_verified" and got["broken"].prompt is None
+    assert got["outside"].refused == "handoff_decision_source_outside_chain:2" and got["format"].refused == "handoff_decision_source_format_invalid:1"
+    assert got["many"].refused == "handoff_decision_limit_exceeded"
+    assert got["conflict"].accepted_count == 3 and got["conflict"].excluded_by_reason == {"eligible_non_commit_or_conflict": 1}
+    assert got["ignored"].ignored_decision_count == 1 and got["ignored"].accepted_count == 4
+    assert run(max_fact_bytes=10)["fine"].refused == "handoff_fact_size_limit_exceeded"
+    with pytest.raises(ValueError, match="handoff_policy_allowlist_invalid"):
+        handoff.policy_hashes([])
+
+
+def test_adapter_profiles():
+    from ledgerframe.plans.signed import PROFILE
+
+    profile = envelopes.AdapterProfile(PROFILE)
+    assert profile.renamed([{"name": "a", "digest": "b", "type": "t"}, {"name": "a"}]) == [{"id": "a", "sha256": "b", "media_type": "t"}, {"id": "a", "sha256": None}]
+    fields = PROFILE["fields"]
+    for change, code in (
+        ({"extra": 1}, "adapter_profile_fields_invalid"), ({"profile_id": ""}, "adapter_profile_id_invalid"), ({"signed_object": "x"}, "adapter_signed_object_invalid"), ({"source_format": "source.v1"}, "adapter_native_format_reserved"),
+        ({"proof": {}}, "adapter_proof_invalid"), ({"fields": {}}, "adapter_mapping_fields_invalid"), ({"fields": {**fields, "claim": None}}, "adapter_mapping_invalid:claim"), ({"fields": {**fields, "issuer": "/payloads/who"}}, "adapter_unsigned_mapping_forbidden:issuer"),
+        ({"evidence_fields": {"id": "a"}}, "adapter_evidence_fields_invalid"), ({"evidence_fields": {"id": "", "sha256": "b", "media_type": None}}, "adapter_evidence_field_invalid:id"),
+    ):
+        with pytest.raises(ValueError, match=f"^{code}$"):
+            envelopes.AdapterProfile({**PROFILE, **change})
+
+
+def test_rounding_is_the_exact_double_s(spark):
+    from ledgerframe.operators.costs import round_half_even
+
+    values = [12.25, 12.35, 0.15, 0.25, -0.45, -0.15, -12.25, 2.675, 99.95, 0.0] + [(a - b) * 100.0 / a for a in range(1, 60, 7) for b in range(0, 120, 3)]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select("x", round_half_even(F.col("x"), 1).alias("y")).collect()
+    assert [r.y for r in got] == [round(r.x, 1) for r in got] and round(12.25, 1) == 12.2
+
+
+def test_tokens_know_unicode_spaces(spark):
+    from ledgerframe.functions.text import lexical_tokens
+
+    texts = ["a\u00a0b\u3000c", "x\u2003y z_1\u00e9 !?", "a\x1cb\x85c", "\u65e5\u672c \u8a9e\u3002", "a\u200bb"]
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", lexical_tokens(F.col("x")).alias("n")).collect()
+    assert [r.n for r in got] == [len(re.findall(r"\w+|[^\w\s]", r.x)) for r in got]
+
+
+def test_medians(spark):
+    import statistics
+
+    from ledgerframe.operators import costs
+
+    rows = [("a", float(i * 37 % 1009)) for i in range(3000)] + [("b", 1.0), ("b", 4.0), ("c", 2.0), ("c", None), (None, 3.0), (None, 9.0), ("d", None)]
+    got = {r.k: r.median_value for r in costs.medians(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    assert got == {k: statistics.median([v for j, v in rows if j == k and v is not None]) for k in ("a", "b", "c", None)}
 
 
 def test_manifest(spark, tmp_path):
