@@ -116,6 +116,19 @@ def _forward(p: dict, stats: np.ndarray, words: np.ndarray, doc: np.ndarray, n:
     return x, h, tv, su, alpha, bag, bag @ p["o"] + p["c"]
 
 
+def _encoded(texts: list[str], step: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Statistics, word buckets, first words and documents of all passages, and words by text; some texts at a time."""
+    parts, words = [], 0
+    for at in range(0, len(texts), step):
+        w = Words(*buffers(pa.array(texts[at : at + step], pa.large_string())), SPACED, False)
+        stats, bucket, first, doc = encode(w)
+        parts.append((stats, bucket.astype(np.uint16), first + words, doc + at, w.counts))
+        words += len(w)
+    if not parts:
+        return np.zeros((0, N_STATS), np.float32), np.zeros(0, np.uint16), *[np.zeros(0, np.int64)] * 3
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def slopes(p: dict, stats: np.ndarray, bucket: np.ndarray, n_words: np.ndarray, doc: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean log loss of bags of passages and its gradient.
 
@@ -146,10 +159,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = 30, seed: int = 5, pe
     """Learn encoder, gated attention and output together by Adam on the log loss."""
     labels = np.array(labels, float)
     prior = float(np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99))
-    w = Words(*buffers(pa.array(texts, pa.large_string())), SPACED, False)
-    empties = labels[w.counts == 0] if len(labels) else labels
+    stats, bucket, first, doc, counts = _encoded(texts)
+    empties = labels[counts == 0] if len(labels) else labels
     empty = float((empties.sum() + 2 * prior) / (len(empties) + 2))
-    stats, bucket, first, doc = encode(w)
     mean, scale = (stats.mean(axis=0), stats.std(axis=0) + 1e-3) if len(first) else (np.zeros(N_STATS), np.ones(N_STATS))
     stats = (stats - mean) / scale
     r = np.random.default_rng(seed)
@@ -158,9 +170,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = 30, seed: int = 5, pe
     if not len(first):
         return Model(p, mean, scale, empty)
     m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    n_words = np.diff(np.append(first, len(w)))
-    docs = np.flatnonzero(w.counts > 0)
-    low, high = np.searchsorted(doc, np.arange(len(w.counts))), np.searchsorted(doc, np.arange(len(w.counts)), "right")
+    n_words = np.diff(np.append(first, len(bucket)))
+    docs = np.flatnonzero(counts > 0)
+    low, high = np.searchsorted(doc, np.arange(len(counts))), np.searchsorted(doc, np.arange(len(counts)), "right")
     step = 0
     for _ in range(epochs):
         r.shuffle(docs)
