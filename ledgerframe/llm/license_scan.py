@@ -152,7 +152,8 @@ def scan_licenses(docs: DataFrame, path: Column | None = None, threshold: float
     whole text with a cosine of at least the threshold; the earlier template wins
     a tie; for a complete licence text that licence), is_license_file (the whole text
     reaches ``file_threshold``, or a line or paragraph that does holds at least
-    ``notice_share`` of the text's words), license and license_from (``own``, the
+    ``notice_share`` of the words of a file whose name has no extension, or that of
+    plain text), license and license_from (``own``, the
     directory it is inherited from, or null).
 
     Nulls and empty texts: they have no licence of their own and can inherit; a null
@@ -183,6 +184,8 @@ def scan_licenses(docs: DataFrame, path: Column | None = None, threshold: float
     rows = docs.select("doc_id", "path", found.alias("f"), file.alias("file"))
     piece = F.array_max(F.transform("f.pieces", lambda p: p["best"]))
     notice = F.array_max(F.transform(F.filter("f.pieces", lambda p: p["best"]["score"] >= file_threshold), lambda p: p["words"])) >= notice_share * F.col("f.words")
+    # A notice at the head of a short program is that file's alone.
+    notice = notice & F.col("path").rlike(r"(^|/)[^/.]+([.](txt|md|rst))?$")
     names = F.array(*(F.lit(n) for n in w.names))
     name = lambda best: F.when(best["score"] >= threshold, F.get(names, -best["place"]))
     own = F.array_max(F.array(F.col("f.whole"), piece))

@@ -437,7 +437,7 @@ def _redacted(raw: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "replace")
 
 
-def scan_secrets(docs: DataFrame, model: Field | None = None, shard_bytes: int = 4 << 20, with_text: bool = True, carry: list[str] | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, model: Field | None = None, shard_bytes: int = 2 << 20, with_text: bool = True, carry: list[str] | None = None) -> DataFrame:
     """Secrets in every whole text.
 
     ``docs`` has ``doc_id`` and ``text``.  Pattern spans are whole matches, in

@@ -484,6 +484,15 @@ def test_complete_licence_files_are_inherited(spark):
     assert not got["q/x.py"].is_license_file and got["q/y.py"].license is None
 
 
+def test_short_notice_files_are_inherited(spark):
+    """A notice that is most of a file without an extension; in a program it counts for that file alone."""
+    notice = "Some project\nReleased under the MIT License.\nby its authors"
+    rows = [("n/README", notice), ("n/a/b/x.py", "x = 1"), ("p/x.py", notice), ("p/y.py", "y"), ("r/README", notice + " and many more words " * 20), ("r/z.py", "z")]
+    got = {r.path: r for r in scan_licenses(spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(rows)], "doc_id long, text string, p string"), F.col("p")).collect()}
+    assert got["n/README"].is_license_file and (got["n/a/b/x.py"].license, got["n/a/b/x.py"].license_from) == ("MIT", "n")
+    assert got["p/x.py"].own_license == "MIT" and got["p/y.py"].license is None and got["r/README"].own_license == "MIT" and got["r/z.py"].license is None
+
+
 def test_licenses_of_awkward_rows(spark):
     got = scan_licenses(clashing(frame(spark))).collect()
     assert len(got) == len(corpus()) and not any(r.own_license for r in got)
