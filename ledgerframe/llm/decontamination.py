@@ -7,8 +7,9 @@ backwards for all phrases at once through wavelet-tree ranks; occurrences are
 located by sampled suffix positions and merged to removal spans.
 
 Scale.  One pass over the documents without a shuffle.  The benchmark's phrases
-are broadcast in blocks of bounded size: a benchmark beyond ``block_bytes`` takes
-several passes, and spans and items travel along with their document.
+are broadcast in blocks: their table takes four bytes a word of each window, and a
+benchmark whose table exceeds ``block_bytes`` takes several passes, by items, in
+which spans and items travel along with their document.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def phrases(ids: list, texts: list, window: int) -> Phrases:
     """Windows of ``window`` words of each text; a shorter text is one phrase."""
     w = Words(*buffers(pa.array(texts, pa.large_string())), ALNUM, True)
     vocabulary, symbol = np.unique(w.hashes(), return_inverse=True)
-    symbol = symbol.ravel() + 1
+    symbol = (symbol.ravel() + 1).astype(np.int32)
     found: dict[int, list[tuple[np.ndarray, int]]] = {}
     names = sorted({str(i) for i in ids})
     number = {name: k for k, name in enumerate(names)}
@@ -56,7 +57,7 @@ def phrases(ids: list, texts: list, window: int) -> Phrases:
     by_length = {}
     for n, parts in found.items():
         every = np.concatenate([p for p, _ in parts])
-        item = np.concatenate([np.full(len(p), k) for p, k in parts])
+        item = np.concatenate([np.full(len(p), k, np.int32) for p, k in parts])
         distinct, which = np.unique(every, axis=0, return_inverse=True)
         pairs = np.unique(np.stack([which.ravel(), item]), axis=1)
         by_length[n] = distinct, np.searchsorted(pairs[0], np.arange(len(distinct) + 1)), pairs[1]
@@ -162,7 +163,7 @@ def _without(text: pa.Array, words: Words, hit: np.ndarray, n_hit: np.ndarray) -
     return pa.array(out, pa.string())
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, shard_bytes: int = 4 << 20, with_text: bool = True, carry: list[str] | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20, shard_bytes: int = 4 << 20, with_text: bool = True, carry: list[str] | None = None) -> DataFrame:
     """Which words of each document lie in a passage of the benchmark.
 
     ``docs`` has ``doc_id`` and ``text``, ``benchmark`` has ``item_id`` and
@@ -183,12 +184,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    n = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    size = items.agg(F.sum(F.greatest(n - window + 1, F.lit(1)) * (4 * F.least(n, F.lit(window)) + 16) + F.octet_length("item_id") + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     head = docs.select("doc_id", *carried(docs, carry))
     out = docs.select("doc_id", *carried(docs, carry), F.col("text").cast("string").alias("_text"), F.lit(None).cast("binary").alias("_hits"), F.lit(None).cast("array<string>").alias("_items"))
     for k in range(blocks):
-        # At most about block_bytes come to the driver and are broadcast at a time.
+        # Items of at most about block_bytes of phrases come to the driver and are broadcast at a time.
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         sent = spark.sparkContext.broadcast(phrases([r.item_id for r in rows], [r.text for r in rows], window))
         last = k == blocks - 1

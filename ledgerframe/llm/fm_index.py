@@ -101,8 +101,12 @@ class FMIndex:
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases (rows of equal length) that occur: their numbers, and low and high rows."""
-        which = np.arange(len(phrases))
-        last = phrases[:, -1]
+        # Phrases with a symbol that the text lacks go before any step.
+        present = np.diff(self.first) > 0
+        which = np.flatnonzero(present[phrases[:, -1]])
+        for j in range(phrases.shape[1] - 2, -1, -1):
+            which = which[present[phrases[which, j]]]
+        last = phrases[which, -1]
         low, high = self.first[last], self.first[last + 1]
         for j in range(phrases.shape[1] - 2, -1, -1):
             alive = low < high
