@@ -33,7 +33,7 @@ class Profile:
             raise ValueError("profile_value_invalid")
         if self.claim_weight + self.evidence_weight + self.relation_weight != SCALE:
             raise ValueError("profile_weights_invalid")
-        if self.epsilon_window < 1 or self.smoothing_window < 1:
+        if self.epsilon_window < 2 or self.smoothing_window < 1 or self.i_c < 1:
             raise ValueError("profile_window_invalid")
 
 

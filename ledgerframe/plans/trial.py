@@ -1,10 +1,10 @@
-"""Queries of the prospective trial: its ledgers, the unlock, labels and alignment, over the newest twenty sessions."""
+"""Queries of the prospective trial: its documents, its ledgers, the unlock, labels and alignment, the ledgers over the newest twenty sessions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, trial
+from ..operators import evaluation, sessions, trial
 from . import derived as d
 from .derived import OUTCOMES, table
 from .queries import query
@@ -119,3 +119,41 @@ def outcome_labels(spark, sf_dir):
 def trial_alignment(spark, sf_dir):
     s = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id")).distinct()
     return trial.alignment_faults(s, s.filter("session_id % 2 != 0"), s, s.filter("session_id % 3 != 0"), s).select("session_id", F.array_join("missing", ";").alias("missing"))
+
+
+def _document(spark, sf_dir, schema, at, turns, **more):
+    """(conv_id, raw): JSON documents of conversations; every thirteenth has a foreign field in its events."""
+    turn = F.struct(F.col("turn").alias("index"), "role", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("tool_name"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias(turns))
+    c = F.col("conv_id")
+    time = F.when(c % 7 == 0, "2024-01-01T00:00:00+02:00").otherwise("2024-01-01T00:00:00Z").alias(at)
+    made = F.to_json(F.struct(F.lit(schema).alias("schema"), c.cast("string").alias("session_id"), time, turns, *(v.alias(k) for k, v in more.items())), {"ignoreNullFields": "false"})
+    return rows.select("conv_id", F.when(c % 13 == 0, F.replace(made, F.lit('"tool_name":null'), F.lit('"tool_name":null,"late":1'))).otherwise(made).alias("raw"))
+
+
+_TURNS = "WITH turns AS (SELECT conv_id, bool_and(turn = r) AS contiguous, bool_or(role NOT IN ('user', 'assistant', 'tool')) AS other FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r FROM conversations) GROUP BY conv_id)"
+_HEAD_ERRORS = "WHEN conv_id IS NULL THEN '{0}_identity_invalid' WHEN conv_id % 7 = 0 THEN '{0}_time_invalid'"
+_EVENT_ERRORS = "WHEN conv_id % 13 = 0 THEN '{0}_event_fields_invalid' WHEN NOT contiguous THEN 'transcript_index_not_contiguous' WHEN other THEN 'transcript_role_invalid'"
+
+
+@query(f"""{_TURNS} SELECT conv_id, CASE WHEN conv_id % 11 = 0 THEN 'session_fields_invalid' {_HEAD_ERRORS.format('session')} {_EVENT_ERRORS.format('session')}
+  WHEN conv_id % 5 = 0 THEN 'signal_invalid' WHEN conv_id % 5 = 1 THEN 'graph_relation_dangling' END AS error FROM turns""")
+def session_document_errors(spark, sf_dir):
+    c = F.col("conv_id")
+    digest = F.sha2(c.cast("string"), 256)
+    node = lambda name, flag: F.array(F.struct(F.lit(name).alias("id"), digest.alias("content_hash"), F.lit(True).alias(flag)))
+    link = F.struct(F.lit("e").alias("src"), F.when(c % 5 == 1, "x").otherwise("c").alias("dst"), F.lit("supports").alias("relation_type"))
+    graph = F.struct(node("c", "material").alias("claims"), node("e", "observed").alias("evidence"), F.array(link).alias("relations"))
+    measured = F.struct(F.lit(sessions.ALGORITHM).alias("algorithm_id"), F.array(F.lit(1), F.lit(1_000_000)).alias("signal_points_micros"), graph.alias("previous_graph"), graph.alias("current_graph"))
+    docs = _document(spark, sf_dir, sessions.SESSION, "handoff_at_utc", "transcript", measurement_input=measured)
+    raw = F.when(c % 5 == 0, F.replace("raw", F.lit("[1,1000000]"), F.lit("[1.5]"))).otherwise(F.col("raw"))
+    # An outcome has no place in a session.
+    docs = docs.withColumn("raw", F.when(c % 11 == 0, F.replace(raw, F.lit('{"schema"'), F.lit('{"outcome":1,"schema"'))).otherwise(raw))
+    return docs.select("conv_id", sessions.session_error(F.col("raw")).alias("error"))
+
+
+@query(f"{_TURNS} SELECT conv_id, CASE {_HEAD_ERRORS.format('continuation')} WHEN conv_id % 11 = 0 THEN 'continuation_ended_invalid' {_EVENT_ERRORS.format('continuation')} END AS error FROM turns")
+def continuation_document_errors(spark, sf_dir):
+    docs = _document(spark, sf_dir, sessions.CONTINUATION, "started_at_utc", "events", ended=F.lit(True))
+    raw = F.when(F.col("conv_id") % 11 == 0, F.replace("raw", F.lit('"ended":true'), F.lit('"ended":1'))).otherwise(F.col("raw"))
+    return docs.select("conv_id", sessions.continuation_error(raw).alias("error"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strict_json import canonical
+from ..operators import sessions
 from ..operators.integrity import require_empty
+from ..operators.trial import hashed
 
 
 def read_documents(spark: SparkSession, path: str, glob: str = "*.json", max_bytes: int = 1 << 20) -> DataFrame:
@@ -55,6 +57,26 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
 
 
+def _checked(files: DataFrame, error: Column, label: str, parts: list[Column], sha256: Column) -> DataFrame:
+    """The parts of valid documents, each session once; an invalid document or a repeated session fails the read."""
+    require_empty(files.select("path", error.alias("error")).filter("error IS NOT NULL"), f"{label}_invalid")
+    rows = files.select(*parts, "path", sha256.alias("sha256"))
+    require_empty(rows.groupBy("session_id").count().filter("count > 1"), f"{label}_duplicate")
+    return rows
+
+
+def read_sessions(spark: SparkSession, path: str, max_bytes: int = 8 << 20) -> DataFrame:
+    """Valid sessions of a folder of JSON documents, with the hash of each file."""
+    files, raw = read_documents(spark, path, "*.json", max_bytes), F.col("raw").cast("string")
+    return _checked(files, sessions.session_error(raw), "session", sessions.session_columns(raw), F.col("sha256"))
+
+
+def read_continuations(spark: SparkSession, path: str, max_bytes: int = 8 << 20) -> DataFrame:
+    """Valid continuations of a folder of JSON documents, with the hash of each object."""
+    files, raw = read_documents(spark, path, "*.json", max_bytes), F.col("raw").cast("string")
+    return _checked(files, sessions.continuation_error(raw), "continuation", sessions.continuation_columns(raw), hashed(raw, "")["whole"])
+
+
 def append_once(rows: DataFrame, path: str, key: str) -> None:
     """Append rows to a Parquet ledger; a key that is there already fails the append (one writer)."""
     spark = rows.sparkSession
