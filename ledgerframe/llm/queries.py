@@ -309,3 +309,111 @@ FROM owned LEFT JOIN nearest USING (r)"""
 
 
 ORACLE["op5_license_scan"] = _license_sql()
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling_variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+# DuckDB has no crc32: its table of 256 remainders is made from the polynomial, and each run folded byte by byte.
+ORACLE["op11_spelling_variants"] = r"""
+WITH RECURSIVE remainders AS (
+  SELECT list(list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END, CAST(v AS BIGINT)) ORDER BY v) AS t FROM range(0, 256) r(v)
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL
+), hashed AS (
+  SELECT run, n, xor(CAST(4294967295 AS BIGINT), list_reduce(
+    list_transform(range(0, octet_length(encode(doc_id || ':' || run))), lambda i: CAST('0x' || substr(hex(encode(doc_id || ':' || run)), 2 * i + 1, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS h
+  FROM counted, remainders
+), words AS (
+  SELECT w AS word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS w FROM hashed
+  ) WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2
+), keys AS (
+  SELECT word, n, word AS key FROM words
+  UNION
+  SELECT word, n, substr(word, 1, i - 1) || substr(word, i + 1) FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT DISTINCT a.word, a.n, b.word AS near_word, b.n AS near_n FROM keys a JOIN keys b ON a.key = b.key AND a.word <> b.word
+  WHERE abs(length(a.word) - length(b.word)) = 1 AND (a.word = a.key OR b.word = b.key)
+    OR length(a.word) = length(b.word) AND len(list_filter(range(1, length(a.word) + 1), lambda i: substr(a.word, i, 1) <> substr(b.word, i, 1))) = 1
+), best AS (
+  SELECT word, n, count(*) AS n_near, list(near_word ORDER BY near_n DESC, near_word)[1] AS form, max(near_n) AS form_n FROM near GROUP BY ALL
+), forms AS (
+  SELECT word, form, form_n FROM best WHERE form_n >= 10 * n
+), chains AS (
+  SELECT word, form AS root FROM forms
+  UNION
+  SELECT c.word, f.form FROM chains c JOIN forms f ON c.root = f.word
+), last AS (
+  SELECT word, root FROM chains WHERE root NOT IN (SELECT word FROM forms)
+)
+SELECT word, f.form, coalesce(root, word) AS root, words.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, f.form_n
+FROM words LEFT JOIN (SELECT word, n_near FROM best) USING (word) LEFT JOIN forms f USING (word) LEFT JOIN last USING (word)
+"""
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import first_lines
+
+    return first_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+ORACLE["op12_line_dedup"] = r"""
+WITH texts AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents
+), lines AS (
+  SELECT doc_id, i, x[i] AS line, translate(trim(x[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM texts)
+), firsts AS (
+  SELECT key, min(doc_id) AS first_id FROM lines WHERE length(key) >= 10 GROUP BY key
+), marked AS (
+  SELECT doc_id, i, line, coalesce(first_id < doc_id, false) AS dropped FROM lines LEFT JOIN firsts USING (key)
+)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE dropped) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang
+), grams AS (
+  SELECT lang, w[i:i + m - 1] AS x, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM split, range(1, 5) r(m) WHERE len(w) >= m) GROUP BY ALL HAVING count(*) >= 30
+), candidates AS (
+  SELECT lang, x, f AS a FROM grams WHERE len(x) > 1
+), cuts AS (
+  SELECT c.lang, c.x, a, k, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (l.f + r.f) AS BIGINT) AS score
+  FROM (SELECT lang, x, a, unnest(range(1, len(x))) AS k FROM candidates) c
+  JOIN grams l ON l.lang = c.lang AND l.x = c.x[1:k] JOIN grams r ON r.lang = c.lang AND r.x = c.x[k + 1:len(c.x)]
+), lowest AS (
+  SELECT lang, x, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, x[i:i + m - 1] AS x, max(a) AS held
+  FROM (SELECT lang, x, a, m, unnest(range(1, len(x) - m + 2)) AS i FROM candidates, range(2, 4) r(m) WHERE len(x) > m) GROUP BY ALL
+), ranked AS (
+  SELECT lang, array_to_string(x, ' ') AS phrase, a, l, r, score FROM lowest LEFT JOIN inside USING (lang, x) WHERE held IS NULL OR CAST(100 AS HUGEINT) * held < CAST(80 AS HUGEINT) * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM ranked JOIN totals USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
