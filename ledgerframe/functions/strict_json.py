@@ -27,8 +27,8 @@ def _object(pairs: list[tuple[str, Any]]) -> dict:
     """The parser's hook for objects: a name that comes twice is refused."""
     made = dict(pairs)
     if len(made) < len(pairs):
-        again = {k: i for i, (k, _) in enumerate(pairs) if k not in dict(pairs[:i])}
-        raise StrictError(f"duplicate_json_key:{next(k for i, (k, _) in enumerate(pairs) if again[k] != i)}")
+        place: dict[str, int] = {}
+        raise StrictError(f"duplicate_json_key:{next(k for i, (k, _) in enumerate(pairs) if place.setdefault(k, i) != i)}")
     return made
 
 
@@ -60,17 +60,22 @@ def _first_float(value: Any, path: str = "$") -> str | None:
     return next(filter(None, (_first_float(x, name.format(path, k)) for k, x in parts)), None)
 
 
+def _may_be_large(text: str) -> bool:
+    """Few documents come near the limits: the marks tell before any scan of values."""
+    return text.count("[") + text.count("{") > MAX_DEPTH or text.count(",") + text.count(":") >= MAX_NODES // 2
+
+
 def loads(raw: bytes) -> Any:
     """The value of JSON bytes: unique names, integers, bounded depth and size.
 
-    A limit is reported before a number that is no integer, whichever comes first.
+    A limit is reported before a number that is no integer, whichever comes first.  Half
+    a surrogate pair, which no canonical bytes can hold, is invalid.
     """
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
         raise StrictError("invalid_json") from None
-    # Few documents come near the limits: the brackets tell before any scan of values.
-    broken = _limits(text) if text.count("[") + text.count("{") > MAX_DEPTH or text.count(",") + text.count(":") >= MAX_NODES // 2 else None
+    broken = _limits(text) if _may_be_large(text) else None
     if broken == "json_depth_limit_exceeded":
         raise StrictError(broken)
     floats: list[_Float] = []
@@ -89,6 +94,11 @@ def loads(raw: bytes) -> Any:
         raise StrictError(broken)
     if floats:
         raise StrictError(f"float_unsupported:{_first_float(value)}")
+    if "\\u" in text:
+        try:
+            _encoded(value).encode()
+        except UnicodeEncodeError:
+            raise StrictError("invalid_json") from None
     return value
 
 
@@ -118,10 +128,32 @@ def check(value: Any, path: str = "$") -> None:
         raise StrictError(broken)
 
 
-def dumps(value: Any) -> bytes:
-    """Canonical bytes of the receipts' profile: sorted keys, no spaces, UTF-8."""
-    check(value)
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode()
+def _encoded(value: Any) -> str:
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _refuse(number: str) -> Any:
+    raise ValueError(number)
+
+
+def dumps(value: Any, known: bool = False) -> bytes:
+    """Canonical bytes of the receipts' profile: sorted keys, no spaces, UTF-8.
+
+    A value that is ``known`` comes from ``loads`` and is not checked again.  Any other is
+    sound if its text is read back as the same value; only one that is not is walked for
+    the reason.
+    """
+    if known:
+        return _encoded(value).encode()
+    try:
+        text = _encoded(value)
+        sound = not _may_be_large(text) and json.loads(text, parse_float=_refuse) == value
+    except (TypeError, ValueError, RecursionError):
+        sound = False
+    if not sound:
+        check(value)
+        text = _encoded(value)
+    return text.encode()
 
 
 def dumps_ascii(value: Any) -> bytes:
@@ -135,8 +167,8 @@ def pretty(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n"
 
 
-def object_hash(value: Any) -> str:
-    return hashlib.sha256(dumps(value)).hexdigest()
+def object_hash(value: Any, known: bool = False) -> str:
+    return hashlib.sha256(dumps(value, known)).hexdigest()
 
 
 def object_hash_ascii(value: Any) -> str:
@@ -179,7 +211,7 @@ def _canonical(raw: pd.Series) -> pd.DataFrame:
         if x is None:
             return None, None
         try:
-            return dumps(loads(x.encode() if isinstance(x, str) else bytes(x))).decode(), None
+            return dumps(loads(x.encode() if isinstance(x, str) else bytes(x)), known=True).decode(), None
         except StrictError as e:
             return None, str(e)
 
@@ -196,7 +228,7 @@ def _pointed(raw: pd.Series, pointer: pd.Series) -> pd.DataFrame:
         if x is None or p is None:
             return None, None
         try:
-            return dumps(resolve(loads(x.encode() if isinstance(x, str) else bytes(x)), p)).decode(), None
+            return dumps(resolve(loads(x.encode() if isinstance(x, str) else bytes(x)), p), known=True).decode(), None
         except StrictError as e:
             return None, str(e)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import status
+from ..sources.stages import staged
 from .gateway import intake
 
 
@@ -51,15 +52,19 @@ def verify_chains(receipts: DataFrame, trust: DataFrame, chains: DataFrame | Non
     """Chains of native receipts from their bytes: (results by chain, items).
 
     ``receipts`` has chain_id, index and raw; ``chains`` (chain_id) names chains that may
-    have no item, which fail as empty.  A chain over a cap is not inspected: its items
-    have no payload.  Results have status, reason_codes, items and tip_hash; items have
-    payload, run_id, issuer, sequence, parent_hash, action, claim, hashes and reasons.
+    have no item, which fail as empty.  A chain over a cap fails by its counts alone: its
+    receipts are neither inspected nor linked, and not among the items.  Results have
+    status, reason_codes, items and tip_hash; items have payload, run_id, issuer, sequence,
+    parent_hash, action, claim, hashes and reasons.  The intake of the receipts is
+    staged: they are verified once, whatever reads results and items.
     """
     if max_items < 1 or max_bytes < 1:
         raise ValueError("chain_limit_invalid")
-    caps = receipts.groupBy("chain_id").agg(((F.count("*") > max_items) | (F.sum(F.octet_length("raw")) > max_bytes)).alias("_over"))
-    rows = receipts.join(caps, "chain_id").withColumn("size", F.octet_length("raw")).withColumn("raw", F.when(~F.col("_over"), F.col("raw")))
-    rows = intake(rows, trust, max_source_bytes)
+    counted = receipts.groupBy("chain_id").agg(F.count("*").alias("items"), F.sum(F.octet_length("raw")).alias("bytes"))
+    over = F.when(F.col("items") > max_items, "chain_item_limit_exceeded").when(F.col("bytes") > max_bytes, "chain_total_size_limit_exceeded")
+    caps = staged(counted.select("chain_id", "items", over.alias("over")), "caps")
+    rows = receipts.join(caps.filter("over IS NULL").select("chain_id"), "chain_id", "left_semi").withColumn("size", F.octet_length("raw"))
+    rows = staged(intake(rows, trust, max_source_bytes), "taken_in")
     names = ("integrity", "provenance", "normalization")
     told = lambda n: F.transform(F.col(f"{n}.reason_codes"), lambda r: F.concat(F.lit("item:"), F.col("index").cast("string"), F.lit(f":{n}:"), r))
     p = F.from_json("payload", "run_id string, issuer string, sequence long, parent_hash string, action struct<type:string,name:string>, claim string")
@@ -67,11 +72,12 @@ def verify_chains(receipts: DataFrame, trust: DataFrame, chains: DataFrame | Non
     items = links(rows.select("*", "_p.*").drop("_p"))
     tips = items.groupBy("chain_id").agg(F.max_by("envelope_hash", "index").alias("tip_hash"), F.max_by("run_id", -F.col("index")).alias("run_id"))
     results = chain_results(items, max_items, F.col("_intake"), max_bytes).join(tips, "chain_id")
+    none = F.lit(None).cast("string")
+    results = results.unionByName(caps.filter("over IS NOT NULL").select("chain_id", "items", F.lit(status.FAIL).alias("status"), F.array("over").alias("reason_codes"), F.lit("").alias("tip_hash"), none.alias("run_id")))
     if chains is not None:
         empty = chains.select("chain_id").distinct().join(caps, "chain_id", "left_anti")
-        none = F.lit(None).cast("string")
         results = results.unionByName(empty.select("chain_id", F.lit(0).cast("long").alias("items"), F.lit(status.FAIL).alias("status"), F.array(F.lit("chain_empty")).alias("reason_codes"), none.alias("tip_hash"), none.alias("run_id")))
-    return results, items.drop("_over", "_intake")
+    return results, items.drop("_intake")
 
 
 def fold_hashes(items: DataFrame, key: str, order: str, content: Column, max_items: int = 4096) -> DataFrame:

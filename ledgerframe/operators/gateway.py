@@ -44,6 +44,12 @@ def inspections(receipts: DataFrame, adapters: list[AdapterProfile] = [], max_by
     return rows.withColumn("_i", found).drop(*(f"_i{k}" for k in range(len(known))))
 
 
+def pins(trust: DataFrame) -> DataFrame:
+    """(key_id, trusted): the pinned key of each id; an id with two keys fails the job."""
+    one = F.when(F.min("trusted") < F.max("trusted"), F.raise_error(F.concat(F.lit("trust_key_duplicate:"), F.first("key_id")))).otherwise(F.max("trusted"))
+    return trust.groupBy("key_id").agg(one.alias("trusted"))
+
+
 def intake(receipts: DataFrame, trust: DataFrame, max_bytes: int = 1 << 20, adapters: list[AdapterProfile] = []) -> DataFrame:  # noqa: B006  never changed
     """Adds integrity, provenance and normalization checks, the payload and hashes to receipts.
 
@@ -52,7 +58,7 @@ def intake(receipts: DataFrame, trust: DataFrame, max_bytes: int = 1 << 20, adap
     hold no object, and {} counts as none.
     """
     rows = inspections(receipts, adapters, max_bytes)
-    pinned = trust.groupBy(F.col("key_id").alias("_key")).agg(F.max("trusted").alias("trusted"))
+    pinned = pins(trust).withColumnRenamed("key_id", "_key")
     rows = rows.join(pinned, F.col("_i.key_id") == F.col("_key"), "left")
     errors, native, limit = F.col("_i.errors"), F.col("source_format") == SOURCE_SCHEMA, F.col("_limit")
     checked = lambda s, code: gate.check(F.lit(s), code)
@@ -105,7 +111,10 @@ def claim_support(policy: gate.Policy):
         return worst, sorted(failed + absent), dumps({"evaluated": seen}).decode()
 
     def checked(ids: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        made = [one({} if i is None else dict(zip(i, c, strict=True))) for i, c in zip(ids, contents, strict=True)]
+        # Many receipts rest on the same artifacts: each distinct set is parsed once a batch.
+        keys = [() if i is None else tuple(zip(i, c, strict=True)) for i, c in zip(ids, contents, strict=True)]
+        found = {k: one(dict(k)) for k in {*keys}}
+        made = [found[k] for k in keys]
         return pd.DataFrame(made, columns=["status", "reason_codes", "details"])
 
     return lambda artifacts: F.pandas_udf(checked, "struct<status:string, reason_codes:array<string>, details:string>")(F.map_keys(artifacts), F.map_values(artifacts))
@@ -116,17 +125,21 @@ def commitment(evidence: Column, required: str) -> Column:
     return F.get(F.reverse(F.filter(evidence, lambda e: e["id"] == required)), F.lit(0))["sha256"]
 
 
-def evidence_of(policy: gate.Policy, evidence: Column, artifacts: Column) -> Column:
-    """All required evidence of a policy: the worst status, reasons in the policy's order."""
+def evidence_of(policy: gate.Policy, evidence: Column, artifacts: Column, unclear: Column | None = None) -> Column:
+    """All required evidence of a policy: the worst status, reasons in the policy's order.
+
+    An id in ``unclear`` has artifacts of different contents and fails.
+    """
     if not policy.required_evidence:
         return gate.check(F.lit(status.PASS), details=F.lit('{"verified":[]}'))
-    parts = [gate.evidence_check(e, commitment(evidence, e), F.try_element_at(artifacts, F.lit(e))) for e in policy.required_evidence]
+    twice = lambda e: F.lit(False) if unclear is None else F.coalesce(F.array_contains(unclear, e), F.lit(False))
+    parts = [F.when(twice(e), gate.check(F.lit(status.FAIL), F.lit(f"artifact_duplicate:{e}"))).otherwise(gate.evidence_check(e, commitment(evidence, e), F.try_element_at(artifacts, F.lit(e)))) for e in policy.required_evidence]
     good = F.array_compact(F.array(*(F.when(p["status"] == status.PASS, F.lit(e)) for e, p in zip(policy.required_evidence, parts, strict=True))))
     return F.struct(status.name(status.worst(*(p["status"] for p in parts))).alias("status"), F.flatten(F.array(*(p["reason_codes"] for p in parts))).alias("reason_codes"), F.to_json(F.struct(good.alias("verified"))).alias("details"))
 
 
 def assessments(policy: gate.Policy, now_micros: int) -> dict[str, Column]:
-    """The seven assessments of rows that have been taken in, with artifacts ``_a`` by evidence id."""
+    """The seven assessments of rows that have been taken in, with artifacts as ``artifact_maps`` has them."""
     p = F.from_json("payload", _TYPED)
     gone = gate.check(F.lit(status.UNAVAILABLE), F.lit("source_payload_unavailable"))
     present = lambda c: F.when(F.col("payload").isNull(), gone).otherwise(c)
@@ -134,15 +147,25 @@ def assessments(policy: gate.Policy, now_micros: int) -> dict[str, Column]:
         "integrity": F.col("integrity"), "provenance": F.col("provenance"), "normalization": F.col("normalization"),
         "policy": present(gate.action_check(p["action"]["type"], policy)),
         "freshness": present(gate.freshness_check(parse_instant(p["issued_at"]), now_micros, policy)),
-        "evidence": present(evidence_of(policy, p["evidence"], F.col("_a"))),
+        "evidence": present(evidence_of(policy, p["evidence"], F.col("_a"), F.col("_unclear"))),
         "claim_support": present(claim_support(policy)(F.col("_a"))),
     }
 
 
 def artifact_maps(artifacts: DataFrame, policy: gate.Policy) -> DataFrame:
-    """(receipt_id, _a): each receipt's artifacts by evidence id, as many as its policy requires."""
-    needed = artifacts.filter(F.col("evidence_id").isin(*policy.required_evidence)).groupBy("receipt_id", "evidence_id").agg(F.max("content").alias("content"))
-    return needed.groupBy("receipt_id").agg(F.map_from_entries(F.collect_list(F.struct("evidence_id", "content"))).alias("_a"))
+    """(receipt_id, _a, _unclear): each receipt's artifacts by evidence id, as many as its policy requires.
+
+    An id with artifacts of different contents has none, and is among the unclear.
+    """
+    needed = artifacts.filter(F.col("evidence_id").isin(*policy.required_evidence)).groupBy("receipt_id", "evidence_id").agg(F.max("content").alias("content"), (F.min("content") < F.max("content")).alias("unclear"))
+    entry = F.when(~F.col("unclear"), F.struct("evidence_id", "content"))
+    return needed.groupBy("receipt_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_a"), F.collect_list(F.when(F.col("unclear"), F.col("evidence_id"))).alias("_unclear"))
+
+
+def decide_taken_in(rows: DataFrame, artifacts: DataFrame, policy: gate.Policy, now_micros: int, side_effect: Column | None = None, keep: bool = False) -> DataFrame:
+    """Decisions on rows that ``intake`` or ``chain.verify_chains`` took in, by receipt_id: for several policies, one intake serves."""
+    placed = rows.join(artifact_maps(artifacts, policy), "receipt_id", "left")
+    return gate.decide(placed, assessments(policy, now_micros), policy, side_effect, keep).drop("_a", "_unclear")
 
 
 def decide_receipts(receipts: DataFrame, artifacts: DataFrame, trust: DataFrame, policy: gate.Policy, now_micros: int, side_effect: Column | None = None, max_bytes: int = 1 << 20, adapters: list[AdapterProfile] = [], keep: bool = False) -> DataFrame:  # noqa: B006  never changed
@@ -150,5 +173,4 @@ def decide_receipts(receipts: DataFrame, artifacts: DataFrame, trust: DataFrame,
 
     With ``keep`` the assessments, which a signed decision holds, are kept.
     """
-    rows = intake(receipts, trust, max_bytes, adapters).join(artifact_maps(artifacts, policy), "receipt_id", "left")
-    return gate.decide(rows, assessments(policy, now_micros), policy, side_effect, keep).drop("_a")
+    return decide_taken_in(intake(receipts, trust, max_bytes, adapters), artifacts, policy, now_micros, side_effect, keep)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strict_json import dumps, loads, object_hash
+from ..sources.stages import staged
 from .decisions import verify_decisions
 from .validate import SOURCE_SCHEMA
 
@@ -78,7 +79,8 @@ def project(results: DataFrame, items: DataFrame, decisions: DataFrame, trust: D
     index) is invalid, of another format or on a source outside the chain, an accepted
     item's facts (the first item's) pass a limit.  Decisions under policies that are not
     allowed are counted and ignored; any eligible one that is no commit excludes its
-    source.  No row is dropped: a refused chain has a row with its reason.
+    source.  No row is dropped: a refused chain has a row with its reason.  Decisions are
+    staged, and verified once.
     """
     hashes = policy_hashes(allowed)
     if min(max_claims, max_claim, max_action, max_facts, max_fact_bytes) < 1:
@@ -88,10 +90,11 @@ def project(results: DataFrame, items: DataFrame, decisions: DataFrame, trust: D
     key = ["chain_id", "source_sha256"]
     sources = items.select(*key).distinct().withColumn("_in", F.lit(True))
     # A chain with too many decisions is refused unseen.
+    decisions = staged(decisions.select("chain_id", "index", "decision_receipt"), "decisions")
     many = decisions.groupBy("chain_id").agg((F.count("*") > max_decisions).alias("_many"))
     seen = verify_decisions(decisions.join(many.filter("NOT _many"), "chain_id", "left_semi"), trust)
     seen = seen.select("chain_id", "index", "errors", F.col("checked.source_format").alias("format"), F.col("checked.source_sha256").alias("source_sha256"), F.col("checked.policy_sha256").alias("policy"), F.col("checked.verdict").alias("verdict"), F.col("checked.decision").alias("decision"), F.col("checked.facts").alias("facts"))
-    seen = seen.join(sources, key, "left")
+    seen = staged(seen, "checked").join(sources, key, "left")
     at = F.col("index").cast("string")
     code = F.when(F.size("errors") > 0, F.concat(F.lit("handoff_decision_invalid:"), at, F.lit(":"), F.array_join("errors", ","))).when(~F.col("format").eqNullSafe(F.lit(SOURCE_SCHEMA)), F.concat(F.lit("handoff_decision_source_format_invalid:"), at)).when(F.col("_in").isNull(), F.concat(F.lit("handoff_decision_source_outside_chain:"), at))
     seen = seen.withColumns({"code": code, "allowed": F.coalesce(F.col("policy").isin(hashes), F.lit(False))})
