@@ -36,10 +36,40 @@ def mentions(x: Column, terms: list[str]) -> Column:
     return F.exists(F.array(*(F.lit(t) for t in terms)), lambda t: F.lower(x).contains(t))
 
 
+#: ISO-8601: a calendar or week date, any one character, hours and what follows, an offset; groups by name.
+_INSTANT = (
+    r"^(?:(?<y>\d{4})(?<a>-?)(?<m>\d{2})\k<a>(?<d>\d{2})|(?<wy>\d{4})(?<b>-?)W(?<w>\d{2})(?:\k<b>(?<wd>\d))?)(?s:.)"
+    r"(?<h>\d{2})(?:(?<c>:?)(?<mi>\d{2})(?:\k<c>(?<s>\d{2}))?)?(?:[.,](?<f>\d*))?"
+    r"(?:Z|(?<o>[+-])(?<oh>\d{2})(?:(?<e>:?)(?<om>\d{2})(?:\k<e>(?<os>\d{2}))?)?(?:[.,](?<of>\d*))?)\z"
+)
+_GROUPS = ["y", "m", "d", "wy", "w", "wd", "h", "mi", "s", "f", "o", "oh", "om", "os", "of"]
+_DAY, _LAST = 86_400_000_000, 253_402_300_800_000_000
+
+
 def parse_instant(x: Column, utc_only: bool = False) -> Column:
-    """Microseconds since 1970 of ISO-8601 text with an offset (or Z only); else null."""
-    offset = "Z$" if utc_only else "(Z|[+-][0-9]{2}:?[0-9]{2})$"
-    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}") & x.rlike(offset), F.unix_micros(F.try_to_timestamp(x)))
+    """Microseconds since 1970 of ISO-8601 text with an offset (or Z only); else null.
+
+    Dates may be basic, extended or by week; times may stop after hours, minutes or
+    seconds, a fraction counts to six digits; an offset has the same forms and is less
+    than a day.  Blanks are nowhere but between date and time.
+    """
+    parts = F.split(F.regexp_replace(x, _INSTANT, ",".join(f"${{{g}}}" for g in _GROUPS)), ",", -1)
+    part = {g: F.get(parts, F.lit(i)) for i, g in enumerate(_GROUPS)}
+    number = lambda g, other=0: F.coalesce(part[g].try_cast("long"), F.lit(other).cast("long"))
+    fraction = lambda g: F.rpad(F.substring(part[g], 1, 6), 6, "0").cast("long")
+    clock = lambda h, m, s, f: ((number(h) * 60 + number(m)) * 60 + number(s)) * 1_000_000 + fraction(f)
+    date = lambda *texts: F.unix_date(F.concat_ws("-", *texts).try_cast("date")).cast("long")
+    calendar = F.when(number("y") > 0, date(part["y"], part["m"], part["d"]))
+    fourth = date(part["wy"], F.lit("01"), F.lit("04"))  # always in the first week; day 0 was a Thursday
+    monday = fourth - F.pmod(fourth + 3, F.lit(7)) + (number("w") - 1) * 7
+    same_year = F.year(F.date_from_unix_date((monday + 3).cast("int"))) == number("wy")
+    by_week = F.when((number("wy") > 0) & number("w").between(1, 53) & same_year & number("wd", 1).between(1, 7), monday + number("wd", 1) - 1)
+    day = F.when(part["y"] != "", calendar).otherwise(by_week)
+    offset = clock("oh", "om", "os", "of")
+    valid = (number("h") < 24) & (number("mi") < 60) & (number("s") < 60) & (offset < _DAY)
+    at = day * _DAY + clock("h", "mi", "s", "f") - F.when(part["o"] == "-", -offset).otherwise(offset)
+    shaped = x.rlike(_INSTANT) & (x.endswith("Z") if utc_only else F.lit(True))
+    return F.when(shaped & valid & (at >= -62_135_596_800_000_000) & (at < _LAST), at)
 
 
 def parse_now(text: str) -> int:

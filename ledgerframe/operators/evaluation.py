@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exact import Resampled, flips_reaching
 from ..functions.integers import SCALE, ceil_div, div, floor_div
 
 
@@ -64,63 +66,57 @@ def delta_ba(rows: DataFrame, by: str = "comparator") -> DataFrame:
     return signed.groupBy(by).agg(F.sum("d").alias("numerator"), F.first("pos").alias("pos"), F.first("neg").alias("neg")).select(by, "numerator", (2 * F.col("pos") * F.col("neg")).alias("denominator"))
 
 
-def _binomial(n: Column, k: Column) -> Column:
-    """Exact as a decimal, by multiplying and dividing in turn."""
-    one = F.lit(1).cast("decimal(38,0)")
-    step = lambda a, i: div((a * (n - i + 1).cast("decimal(10,0)")).cast("decimal(38,0)"), i.cast("decimal(10,0)")).cast("decimal(38,0)")
-    return F.when(k == 0, one).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), one, step))
-
-
 def permutation_test(rows: DataFrame, by: str = "comparator", alpha_micros: int = 50_000) -> DataFrame:
     """Exact paired randomisation: the share of sign flips that reach the observed difference.
 
-    Only two weights occur, so the distribution is a grid of two binomials.  Exact
-    while the binomials fit 63 bits, that is up to 60 discordant pairs of a class; more
-    fail the job.
+    Spark counts the discordant pairs of each class; the exact shares of any number of
+    them follow from these counts.  Returns per comparator observed (the numerator over
+    2*pos*neg), p_micros (rounded up), significant, discordant_n, and the share's
+    p_numerator and p_denominator as digits.
     """
-    ok = lambda c: F.col(c) == F.col("y")
-    odd = ok("primary") != ok("other")
-    capped = lambda n: F.when(n > 60, F.raise_error(F.lit("permutation_pair_limit_exceeded")).cast("int")).otherwise(n.cast("int"))
-    seen = rows.groupBy(by).agg(capped(F.count_if(odd & (F.col("y") == 1))).alias("dp"), capped(F.count_if(odd & (F.col("y") == 0))).alias("dn"))
-    grid = delta_ba(rows, by).join(seen, by).join(_classes(rows, by), by)
-    grid = grid.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("dp")))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("dn"))))
-    value = F.col("neg") * (2 * F.col("i") - F.col("dp")) + F.col("pos") * (2 * F.col("j") - F.col("dn"))
-    ways = (_binomial(F.col("dp"), F.col("i")) * _binomial(F.col("dn"), F.col("j"))).cast("decimal(38,0)")
-    reach = grid.groupBy(by, "numerator").agg(F.sum(F.when(value >= F.col("numerator"), ways).otherwise(F.lit(0).cast("decimal(38,0)"))).cast("decimal(38,0)").alias("hits"), F.sum(ways).cast("decimal(38,0)").alias("total"))
-    p = ceil_div((F.col("hits") * SCALE).cast("decimal(38,0)"), F.col("total")).cast("long")
-    return reach.select(by, F.col("numerator").alias("observed"), p.alias("p_micros"), ((F.col("numerator") > 0) & (p <= alpha_micros)).alias("significant"))
+    odd = (F.col("primary") == F.col("y")) != (F.col("other") == F.col("y"))
+    seen = rows.groupBy(by).agg(F.count_if(odd & (F.col("y") == 1)).alias("dp"), F.count_if(odd & (F.col("y") == 0)).alias("dn"))
+    counts = delta_ba(rows, by).join(seen, by).join(_classes(rows, by), by)
+
+    def one(r) -> tuple[int, bool, str, str]:
+        hits, total = flips_reaching(int(r.pos), int(r.neg), int(r.dp), int(r.dn), int(r.numerator)), 1 << int(r.dp + r.dn)
+        return -(-hits * SCALE // total), r.numerator > 0 and hits * SCALE <= alpha_micros * total, str(hits), str(total)
+
+    def exact(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([one(r) for r in rows.itertuples()], columns=["p_micros", "significant", "p_numerator", "p_denominator"])
+
+    told = F.pandas_udf(exact, "p_micros long, significant boolean, p_numerator string, p_denominator string")(F.struct("numerator", "pos", "neg", "dp", "dn"))
+    out = counts.withColumn("t", told)
+    return out.select(by, F.col("numerator").alias("observed"), "t.p_micros", "t.significant", (F.col("dp") + F.col("dn")).alias("discordant_n"), "t.p_numerator", "t.p_denominator")
 
 
 def bootstrap_interval(rows: DataFrame, by: str = "comparator", low: tuple[int, int] = (25, 1000), high: tuple[int, int] = (975, 1000)) -> DataFrame:
     """Exact stratified bootstrap interval of the balanced-accuracy difference, in micros.
 
-    Each stratum's sum of n draws from differences -1, 0 and 1 is a trinomial; the
-    strata are convolved.  Exact while the resamples of both strata together fit 38
-    digits after the factor of the quantile (``pos**pos * neg**neg`` below 1e35); more
-    rows fail the job.
+    Spark counts the differences -1, 0 and 1 of each stratum; all resamples of any number
+    of rows follow from these counts.  A quantile is the smallest value with at least its
+    share of the resamples at or below it.  Returns per comparator lower_micros (floor),
+    upper_micros (ceiling), the numerators over 2*pos*neg, and resample_space (digits); a
+    comparator without one of the classes has no row.
     """
     ok = lambda c: (F.col(c) == F.col("y")).cast("int")
     d = ok("primary") - ok("other")
-    strata = rows.groupBy(by, "y").agg(*(F.count_if(d == k).cast("int").alias(n) for k, n in ((-1, "a"), (0, "b"), (1, "c")))).withColumn("n", F.col("a") + F.col("b") + F.col("c"))
-    digits = F.sum(F.col("n") * F.log10("n")).over(Window.partitionBy(by))
-    strata = strata.withColumn("n", F.when(digits >= 35, F.raise_error(F.lit("bootstrap_resample_limit_exceeded")).cast("int")).otherwise(F.col("n")))
-    power = lambda base, k: F.aggregate(F.array_repeat(base, k), F.lit(1).cast("decimal(38,0)"), lambda x, y: (x * y).cast("decimal(38,0)"))
-    cells = strata.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n")))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("i"))))
-    ways = (_binomial(F.col("n"), F.col("i")) * _binomial(F.col("n") - F.col("i"), F.col("k"))).cast("decimal(38,0)")
-    for c, k in (("a", F.col("i")), ("b", F.col("n") - F.col("i") - F.col("k")), ("c", F.col("k"))):
-        ways = (ways * power(F.col(c).cast("decimal(10,0)"), k.cast("int"))).cast("decimal(38,0)")
-    sums = cells.groupBy(by, "y", "n", (F.col("k") - F.col("i")).alias("s")).agg(F.sum(ways).cast("decimal(38,0)").alias("w")).filter("w > 0")
-    pos = sums.filter("y = 1").select(by, F.col("n").alias("pos"), F.col("s").alias("sp"), F.col("w").alias("wp"))
-    neg = sums.filter("y = 0").select(by, F.col("n").alias("neg"), F.col("s").alias("sn"), F.col("w").alias("wn"))
-    both = pos.join(neg, by).withColumn("v", (F.col("sp") * F.col("neg") + F.col("sn") * F.col("pos")).cast("long"))
-    dist = both.groupBy(by, "pos", "neg", "v").agg(F.sum((F.col("wp") * F.col("wn")).cast("decimal(38,0)")).cast("decimal(38,0)").alias("w"))
-    order = Window.partitionBy(by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    dist = dist.withColumns({"cum": F.sum("w").over(order).cast("decimal(38,0)"), "all": F.sum("w").over(Window.partitionBy(by)).cast("decimal(38,0)")})
-    # The smallest value with at least max(1, ceil(q * total)) of the mass at or below it, without the division.
-    reached = lambda q: (F.col("cum") * q[1]).cast("decimal(38,0)") >= (F.col("all") * q[0]).cast("decimal(38,0)")
-    out = dist.groupBy(by, "pos", "neg").agg(F.min(F.when(reached(low), F.col("v"))).alias("lo"), F.min(F.when(reached(high), F.col("v"))).alias("hi"))
-    bottom = (2 * F.col("pos") * F.col("neg")).cast("long")
-    return out.select(by, floor_div(F.col("lo") * SCALE, bottom).alias("lower_micros"), ceil_div(F.col("hi") * SCALE, bottom).alias("upper_micros"))
+    parts = [(f"{name}{k + 1}", F.count_if((F.col("y") == y) & (d == k))) for name, y in (("p", 1), ("n", 0)) for k in (-1, 0, 1)]
+    counts = rows.groupBy(by).agg(*(c.alias(name) for name, c in parts), F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")).filter("pos > 0 AND neg > 0")
+
+    def one(r) -> tuple[int, int, str]:
+        dist = Resampled((int(r.p0), int(r.p1), int(r.p2)), (int(r.n0), int(r.n1), int(r.n2)))
+        return dist.quantile(*low), dist.quantile(*high), str(dist.total)
+
+    def exact(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([one(r) for r in rows.itertuples()], columns=["lo", "hi", "space"])
+
+    told = F.pandas_udf(exact, "lo long, hi long, space string")(F.struct(*(name for name, _ in parts)))
+    out, bottom = counts.withColumn("t", told), (2 * F.col("pos") * F.col("neg")).cast("long")
+    return out.select(
+        by, floor_div(F.col("t.lo") * SCALE, bottom).alias("lower_micros"), ceil_div(F.col("t.hi") * SCALE, bottom).alias("upper_micros"),
+        F.col("t.lo").alias("lower_numerator"), F.col("t.hi").alias("upper_numerator"), F.col("t.space").alias("resample_space"),
+    )
 
 
 def best_comparator(stats: DataFrame, by: str = "comparator") -> DataFrame:

@@ -158,10 +158,10 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 CUTS = {"peak": 190_000, "level": 95_000, "n_points": 30}
 
 
-def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+def paired(spark: SparkSession, sf_dir: str, newest_n: int | None = 20) -> DataFrame:
     from ..operators.evaluation import most_recent
 
-    newest = most_recent(outcomes(spark, sf_dir), 20)
+    newest = outcomes(spark, sf_dir) if newest_n is None else most_recent(outcomes(spark, sf_dir), newest_n)
     wide = predictors(spark, sf_dir).join(newest, "session_id").groupBy("session_id", "y").agg(*(F.max(F.when(F.col("metric") == m, (F.col("value") >= c).cast("int"))).alias(m) for m, c in CUTS.items()))
     return wide.select("session_id", "y", F.col("peak").alias("primary"), F.stack(F.lit(2), F.lit("level"), F.col("level"), F.lit("n_points"), F.col("n_points")).alias("comparator", "other"))
 

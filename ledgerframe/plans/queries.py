@@ -423,7 +423,21 @@ w AS (SELECT comparator, numerator, neg * (2 * i - dp) + pos * (2 * j - dn) AS v
 t AS (SELECT comparator, numerator, sum(CASE WHEN v >= numerator THEN c ELSE 0 END)::HUGEINT AS hits, sum(c)::HUGEINT AS total FROM w GROUP BY ALL)
 SELECT comparator, numerator AS observed, CAST((hits * 1000000 + total - 1) // total AS BIGINT) AS p_micros, numerator > 0 AND (hits * 1000000 + total - 1) // total <= 50000 AS significant FROM t""")
 def permutation_p(spark, sf_dir):
-    return evaluation.permutation_test(d.paired(spark, sf_dir))
+    return evaluation.permutation_test(d.paired(spark, sf_dir)).select("comparator", "observed", "p_micros", "significant")
+
+
+# Binomials by their recurrence; 127 bits hold up to 106 discordant pairs.
+@query(f"""{_PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)}, every AS (
+  SELECT s.session_id, y, CAST(peak >= {d.CUTS["peak"]} AS INTEGER) AS p, CAST(level >= {d.CUTS["level"]} AS INTEGER) AS o1, CAST(n_points >= {d.CUTS["n_points"]} AS INTEGER) AS o2 FROM stats s JOIN outcomes USING (session_id)
+), pairs AS (SELECT y, p, 'level' AS comparator, o1 AS other FROM every UNION ALL SELECT y, p, 'n_points', o2 FROM every
+), k AS (SELECT comparator, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg, count(*) FILTER (y = 1 AND p <> other) AS dp, count(*) FILTER (y = 0 AND p <> other) AS dn FROM pairs GROUP BY comparator
+), o AS (SELECT comparator, CAST(sum(CASE WHEN y = 1 THEN neg ELSE pos END * (CAST(p = y AS INTEGER) - CAST(other = y AS INTEGER))) AS BIGINT) AS numerator FROM pairs JOIN k USING (comparator) GROUP BY comparator
+), b AS (SELECT n, 0 AS i, 1::HUGEINT AS c FROM (SELECT dp AS n FROM k UNION SELECT dn FROM k) UNION ALL SELECT n, i + 1, c * (n - i) // (i + 1) FROM b WHERE i < n
+), t AS (SELECT comparator, numerator, dp + dn AS m, sum(CASE WHEN neg * (2 * x.i - dp) + pos * (2 * z.i - dn) >= numerator THEN x.c * z.c ELSE 0 END)::HUGEINT AS hits, sum(x.c * z.c)::HUGEINT AS total FROM k JOIN o USING (comparator) JOIN b x ON x.n = dp JOIN b z ON z.n = dn GROUP BY ALL)
+SELECT comparator, m AS discordant_n, numerator AS observed, CAST(hits AS VARCHAR) AS p_numerator, CAST(total AS VARCHAR) AS p_denominator, CAST((hits * 1000000 + total - 1) // total AS BIGINT) AS p_micros FROM t""")
+def permutation_all_sessions(spark, sf_dir):
+    """The paired test over every session, not the newest twenty."""
+    return evaluation.permutation_test(d.paired(spark, sf_dir, None)).select("comparator", "discordant_n", "observed", "p_numerator", "p_denominator", "p_micros")
 
 
 _POW = "CASE WHEN {1} = 0 THEN 1::HUGEINT ELSE list_reduce(list_transform(range(0, {1}), lambda q: CAST({0} AS HUGEINT)), lambda x, y: x * y) END"
@@ -438,7 +452,7 @@ cum AS (SELECT *, sum(w) OVER (PARTITION BY comparator ORDER BY v)::HUGEINT AS c
 q AS (SELECT comparator, pos, neg, min(CASE WHEN c >= greatest(1, (t * 25 + 999) // 1000) THEN v END) AS lo, min(CASE WHEN c >= greatest(1, (t * 975 + 999) // 1000) THEN v END) AS hi FROM cum GROUP BY ALL)
 SELECT comparator, CAST(floor(lo * 1000000 / (2.0::DOUBLE * pos * neg)) AS BIGINT) AS lower_micros, CAST(ceil(hi * 1000000 / (2.0::DOUBLE * pos * neg)) AS BIGINT) AS upper_micros FROM q""")
 def bootstrap_ci(spark, sf_dir):
-    return evaluation.bootstrap_interval(d.paired(spark, sf_dir))
+    return evaluation.bootstrap_interval(d.paired(spark, sf_dir)).select("comparator", "lower_micros", "upper_micros")
 
 
 @query("""SELECT user_id, event_id, gap, disordered FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY idx, event_id) <> idx AS gap, coalesce(lag({'ts': ts, 'id': event_id}) OVER (PARTITION BY user_id ORDER BY idx, event_id) >= {'ts': ts, 'id': event_id}, false) AS disordered
