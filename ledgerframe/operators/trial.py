@@ -155,7 +155,8 @@ def unlock(eligibility: DataFrame, predictions: DataFrame, trial_id: str, protoc
     code = F.when((F.col("en") != test_n) | (F.col("pn") != test_n), "unlock_sample_incomplete").when(parse_instant(F.lit(generated_at), utc_only=True) < F.col("last"), "unlock_before_last_prediction")
     fields = {"schema": F.lit(UNLOCK), "trial_id": F.lit(trial_id), "generated_at_utc": F.lit(generated_at), "protocol_sha256": F.lit(protocol_sha256), "freeze_sha256": F.lit(freeze_sha256), "test_n": F.lit(test_n)}
     fields |= {c: F.col(c) for c in ("eligibility_ledger_sha256", "eligibility_chain_tail", "predictions_sha256", "prediction_chain_tail")}
-    made = F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))))
+    # Canonical in ASCII, as every document of the trial is.
+    made = hashed(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields)))), "")["canonical"]
     return rows.select(F.when(code.isNull(), made).alias("unlock"), code.alias("refused"))
 
 

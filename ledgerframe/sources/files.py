@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.strict_json import canonical
+from ..functions.strict_json import canonical, loads
 from ..operators import sessions
 from ..operators.integrity import require_empty
 from ..operators.trial import hashed
@@ -30,14 +34,14 @@ def read_json(spark: SparkSession, path: str, glob: str = "*.json", kind: str =
 
 
 def read_artifacts(spark: SparkSession, manifest: str, max_files: int = 512, max_bytes: int = 8 << 20, max_total: int = 32 << 20) -> DataFrame:
-    """(evidence_id, content) of the files that a JSON object of ids and relative paths names.
+    """(index, evidence_id, content) of the files that a JSON object of ids and relative paths names, in its order.
 
-    Paths must stay below the manifest's folder; a broken limit fails the read.
+    Paths must be text and stay below the manifest's folder; a broken limit fails the
+    read before any content is looked at.
     """
-    folder = manifest.rsplit("/", 1)[0]
-    text = read_json(spark, folder, manifest.rsplit("/", 1)[1]).select("canonical")
-    names = text.select(F.explode(F.from_json("canonical", "map<string,string>")).alias("evidence_id", "name"))
-    return _named(spark, folder, names, "evidence", max_files, max_bytes, max_total).select("evidence_id", F.col("raw").alias("content"))
+    folder, names = _manifest(spark, manifest, dict)
+    files = _named(spark, folder, [(k, k, v) for k, v in names.items()], "evidence", "evidence_manifest", max_files, max_bytes, max_total)
+    return files.select("index", F.col("key").alias("evidence_id"), F.col("raw").alias("content"))
 
 
 def read_lines(spark: SparkSession, path: str, schema: str, max_bytes: int = 64 << 20) -> DataFrame:
@@ -78,7 +82,10 @@ def read_continuations(spark: SparkSession, path: str, max_bytes: int = 8 << 20)
 
 
 def append_once(rows: DataFrame, path: str, key: str) -> None:
-    """Append rows to a Parquet ledger; a key that is there already fails the append (one writer)."""
+    """Append rows to a Parquet ledger; a key that is there already fails the append.
+
+    For one writer; several extend a ledger by ``commits.commit``.
+    """
     spark = rows.sparkSession
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -95,31 +102,53 @@ def write_once(rows: DataFrame, path: str) -> None:
 def read_manifest(spark: SparkSession, manifest: str, max_files: int = 512, max_bytes: int = 1 << 20, max_total: int = 16 << 20) -> DataFrame:
     """(index, name, raw) of the files a JSON array of relative paths names, in its order.
 
-    Paths must stay below the manifest's folder; every file must exist; a broken
-    limit fails the read before any content is looked at.
+    Paths must be text and stay below the manifest's folder; every file must exist; a
+    broken limit fails the read before any content is looked at.
     """
-    folder = manifest.rsplit("/", 1)[0]
-    text = read_json(spark, folder, manifest.rsplit("/", 1)[1], "array").select("canonical")
-    names = text.select(F.posexplode(F.from_json("canonical", "array<string>")).alias("index", "name"))
-    return _named(spark, folder, names, "file_manifest", max_files, max_bytes, max_total).select("index", "name", "raw")
-
-
-def _named(spark: SparkSession, folder: str, names: DataFrame, label: str, max_files: int, max_bytes: int, max_total: int) -> DataFrame:
-    """Adds ``raw`` to rows with a name below a folder, after all limits hold; every file must exist."""
-    bad = F.col("name").isNull() | F.col("name").startswith("/") | F.array_contains(F.split("name", "/"), "..") | F.col("name").contains(":")
-    require_empty(names.filter(bad), f"{label}_path_escape")
-    if names.agg(F.count("*")).first()[0] > max_files:
-        raise ValueError(f"{label}_count_limit_exceeded")
-    # At most max_files names: a bounded list of paths.
-    found = names.withColumn("path", F.concat(F.lit(f"{folder}/"), "name")).collect()
+    folder, names = _manifest(spark, manifest, list)
+    files = _named(spark, folder, [(str(i), x if isinstance(x, str) else "", x) for i, x in enumerate(names)], "file_manifest", "file_manifest", max_files, max_bytes, max_total)
+    return files.select("index", F.col("key").alias("name"), "raw")
+
+
+def _manifest(spark: SparkSession, manifest: str, kind: type) -> tuple[str, Any]:
+    """A manifest's folder and value: one document of bounded size, read by the driver."""
+    folder, name = manifest.rsplit("/", 1)
+    found = read_documents(spark, folder, _literal(name)).select("raw").limit(1).collect()
     if not found:
-        return names.withColumn("raw", F.lit(None).cast("binary"))
-    files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").load(sorted({r.path for r in found}))
-    tail = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
-    named = names.withColumn("_p", tail(F.concat(F.lit(f"{folder}/"), "name")))
-    sizes = named.join(files.select(tail("path").alias("_p"), "length"), "_p").agg(F.max("length"), F.sum("length")).first()
+        raise ValueError(f"manifest_missing:{name}")
+    value = loads(bytes(found[0].raw))
+    if not isinstance(value, kind):
+        raise ValueError("json_object_required" if kind is dict else "json_array_required")
+    return folder, value
+
+
+def _literal(name: str) -> str:
+    """A name whose marks of patterns stand for themselves."""
+    return re.sub(r"([*?\[\]{}\\,^])", r"\\\1", name)
+
+
+def _named(spark: SparkSession, folder: str, entries: list[tuple[str, str, Any]], label: str, kind: str, max_files: int, max_bytes: int, max_total: int) -> DataFrame:
+    """(index, key, raw) of entries (name in messages, key, relative path) after all limits hold; every file must exist."""
+    if len(entries) > max_files:
+        raise ValueError(f"{kind}_count_limit_exceeded")
+    paths = []
+    for shown, _, path in entries:
+        if not isinstance(path, str):
+            raise ValueError(f"{kind}_invalid:{shown}")
+        below = posixpath.normpath(path)
+        # A colon would begin a scheme; "." is the folder itself.
+        if below in (".", "..") or below.startswith(("/", "../")) or ":" in below:
+            raise ValueError(f"{label}_path_escape:{shown}")
+        paths.append(f"{folder}/{below}")
+    local = lambda p: re.sub("^[a-z]+:/+", "/", p)
+    names = spark.createDataFrame([(i, key, local(p)) for i, ((_, key, _), p) in enumerate(zip(entries, paths, strict=True))], "index int, key string, _p string")
+    if not paths:
+        return names.select("index", "key", F.lit(None).cast("binary").alias("raw"))
+    files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").load(sorted({_literal(p) for p in paths}))
+    own = F.regexp_replace("path", "^[a-z]+:/+", "/")
+    sizes = names.join(files.select(own.alias("_p"), "length"), "_p").agg(F.max("length"), F.sum("length")).first()
     if (sizes[0] or 0) > max_bytes:
         raise ValueError("file_size_limit_exceeded")
     if (sizes[1] or 0) > max_total:
         raise ValueError(f"{label}_total_size_limit_exceeded")
-    return named.join(files.select(tail("path").alias("_p"), F.col("content").alias("raw")), "_p").drop("_p")
+    return names.join(files.select(own.alias("_p"), F.col("content").alias("raw")), "_p").drop("_p")
