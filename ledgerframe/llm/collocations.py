@@ -31,6 +31,8 @@ from .substring_dedup import _to_chunks
 
 #: Most words of a phrase.
 DEPTH = 4
+#: Words of a chunk whose pointers are sorted at a time.
+_STRETCH = 1 << 18
 _PATH = [f"w{i}" for i in range(1, DEPTH + 1)]
 _ENDS = np.zeros(256, np.int64)
 _ENDS[[*b".,;:!?\n\x0b\x0c\r"]] = 1
@@ -107,19 +109,27 @@ def _encode(chunks: pa.Table, answers: pa.Table) -> pa.Table:
 
 
 def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pointers of a chunk: a frequent word, a frequent next one, and up to two more; equal ones once with their number."""
+    """Pointers of a chunk: a frequent word, a frequent next one, and up to two more; equal ones of a stretch once with their number."""
     for batch in batches:
         for codes in batch.column("codes"):
-            s = np.concatenate([codes.values.to_numpy(), np.zeros(DEPTH, np.int64)])
-            at = np.flatnonzero((s[:-1] > 0) & (s[1:] > 0))
-            path = [s[at], s[at + 1]]
-            while len(path) < DEPTH:
-                path.append(np.where(path[-1] > 0, s[at + len(path)], 0))
-            order = np.lexsort(path[::-1])
-            path = [x[order] for x in path]
-            starts = np.flatnonzero(_changes(path))
-            n = np.diff(np.concatenate([starts, [len(at)]]))
-            yield pa.RecordBatch.from_pydict({c: x[starts] for c, x in zip(_PATH, path, strict=True)} | {"n": n.astype(np.int64)})
+            whole = codes.values.to_numpy()
+            for begin in range(0, len(whole), _STRETCH):
+                yield _pointers(whole[begin : begin + _STRETCH + DEPTH - 1], _STRETCH)
+
+
+def _pointers(codes: np.ndarray, most: int) -> pa.RecordBatch:
+    """Pointers that begin at one of the first ``most`` places."""
+    s = np.concatenate([codes, np.zeros(DEPTH, np.int64)])
+    at = np.flatnonzero((s[:-1] > 0) & (s[1:] > 0))
+    at = at[: np.searchsorted(at, most)]
+    path = [s[at], s[at + 1]]
+    while len(path) < DEPTH:
+        path.append(np.where(path[-1] > 0, s[at + len(path)], 0))
+    order = np.lexsort(path[::-1])
+    path = [x[order] for x in path]
+    starts = np.flatnonzero(_changes(path))
+    n = np.diff(np.concatenate([starts, [len(at)]]))
+    return pa.RecordBatch.from_pydict({c: x[starts] for c, x in zip(_PATH, path, strict=True)} | {"n": n.astype(np.int64)})
 
 
 def _changes(path: list[np.ndarray]) -> np.ndarray:
@@ -172,7 +182,7 @@ def _dealt_by() -> list[Column]:
     return out
 
 
-def frequent_phrases(docs: DataFrame, least: int = 30, chunk_bytes: int = 8 << 20, task_rows: int = 4 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 30, chunk_bytes: int = 4 << 20, task_rows: int = 4 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words and phrases of up to four words that occur at least so often in a language.
 
     Returns the words (lang, word, code), the phrases (path: codes of their words, f;
