@@ -5,7 +5,7 @@ position; each task streams its range once, the first occurrence of a hash
 names the document that keeps it, and what goes back is which lines fall.  The
 result is a compressed bitmap of kept lines for each document, not text.
 
-Scale.  A hash is uniform, so its top bits name its range and no sampling pass is
+Scale.  A hash (128 bits) is uniform, so its top bits name its range and no sampling pass is
 needed.  Documents are written once as chunks of bounded text, and each chunk
 sends a hash once, with the least document that holds it there: a line that a
 third of all documents share is one row per chunk.  The stream holds one row,
@@ -25,19 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import materialize, partitions
-from ._words import LOWER, SPACED, Words, buffers
+from ._words import LOWER, SPACED, buffers
 from .substring_dedup import _to_chunks
 
 _LATE = np.iinfo(np.int64).max
-#: A permutation of bytes: the hash of permuted bytes serves as a second one.
-_OTHER = np.random.default_rng(12).permutation(256).astype(np.uint8)
-
-
-class _Keys(Words):
-    """Given stretches of bytes as words to hash."""
-
-    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        self.data, self.starts, self.ends = data, starts, ends
 
 
 class _Lines:
@@ -57,15 +48,17 @@ class _Lines:
         points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
         long_enough = points[end] - points[start] >= least
         line, start, end = full[long_enough], start[long_enough], end[long_enough]
-        lowered = LOWER[data]
-        key = _Keys(lowered, start, end).hashes()
-        more = (_Keys(_OTHER[lowered], start, end).hashes() >> np.uint64(32)).astype(np.int64)
+        lowered = LOWER[data].tobytes()
+        digests = [hashlib.blake2b(lowered[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        key, more = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
         doc = np.repeat(ids, self.counts)[line]
-        order = np.lexsort((line, doc, more, key))
+        order = np.lexsort((more, key))
         self.line, key, more, self.doc = line[order], key[order], more[order], doc[order]
         new = np.ones(len(order), bool)
         new[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
-        self.key, self.more, self.first_doc, self.group = key[new], more[new], self.doc[new], np.cumsum(new) - 1
+        starts = np.flatnonzero(new)
+        self.key, self.more, self.group = key[new], more[new], np.cumsum(new) - 1
+        self.first_doc = np.minimum.reduceat(self.doc, starts) if len(starts) else self.doc
 
     def lost(self, elsewhere: np.ndarray) -> np.ndarray:
         """Flags by line; ``elsewhere`` numbers the keys that an earlier document of another chunk holds."""
@@ -136,7 +129,7 @@ def first_lines(docs: DataFrame, least: int = 10, chunk_bytes: int = 4 << 20, ra
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("docs"), strict=True):
                 lines = _open(blob.as_buffer(), least)[2]
                 n = len(lines.key)
-                yield pa.RecordBatch.from_pydict({"key": lines.key.view(np.int64), "more": lines.more, "doc": lines.first_doc, "chunk": np.full(n, chunk), "k": np.arange(n, dtype=np.int32)})
+                yield pa.RecordBatch.from_pydict({"key": lines.key, "more": lines.more, "doc": lines.first_doc, "chunk": np.full(n, chunk), "k": np.arange(n, dtype=np.int32)})
 
     dealt = held.mapInArrow(keys, "key long, more long, doc long, chunk long, k int")
     in_range = F.shiftright(F.shiftrightunsigned("key", 33) * F.lit(ranges).cast("long"), 31).cast("int")
