@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from typing import Any
 
 import pandas as pd
@@ -120,31 +121,42 @@ def project(results: DataFrame, items: DataFrame, decisions: DataFrame, trust: D
     return rows.withColumn("prompt", F.when(F.col("refused").isNull(), render_jsonl(hashes)("run_id", "chain_length", "tip_hash", "accepted_count", "excluded_count", "items")))
 
 
-def render_jsonl(hashes: list[str]):
-    """A function of a handoff's columns: canonical lines, a header and an item each, for a prompt.
+def _item_line(item: Any) -> dict:
+    facts = [loads(x.encode()) for x in item["facts"]]
+    return {"seq": int(item["sequence"]), "a": item["action"], "facts": [[f["evidence_id"], f["pointer"], f["expected"]] for f in facts]}
+
+
+def _lines(header: dict, items: Any) -> str:
+    return "".join(dumps(x).decode() + "\n" for x in ({"k": "h", **header}, *({"k": "i", **i} for i in items)))
+
+
+@functools.lru_cache(64)
+def _seal(hashes: tuple[str, ...]) -> str:
+    return object_hash([*hashes])[:16]
+
+
+def prompt_text(hashes: list[str], run: str, n: int, tip: str, ok: int, drop: int, items: Any) -> str:
+    """A handoff's canonical lines, a header and an item each.
 
     A line holds only what the receiver chose: facts, never a source's claim; text is
     escaped, so no value can begin a line.
     """
-    seal = object_hash(hashes)[:16]
+    header = {"s": HANDOFF_SCHEMA, "run": run, "n": int(n), "tip": (tip or "")[:16], "ok": int(ok), "show": len(items), "drop": int(drop), "pn": len(hashes), "ps": _seal((*hashes,))}
+    return _lines(header, map(_item_line, items))
 
-    def one(run: str, n: int, tip: str, ok: int, drop: int, items: Any) -> str:
-        lines = [{"s": HANDOFF_SCHEMA, "k": "h", "run": run, "n": int(n), "tip": (tip or "")[:16], "ok": int(ok), "show": len(items), "drop": int(drop), "pn": len(hashes), "ps": seal}]
-        for i in items:
-            facts = [loads(x.encode()) for x in i["facts"]]
-            lines.append({"k": "i", "seq": int(i["sequence"]), "a": i["action"], "facts": [[f["evidence_id"], f["pointer"], f["expected"]] for f in facts]})
-        return "".join(dumps(x).decode() + "\n" for x in lines)
 
-    def made(rows: pd.DataFrame) -> pd.Series:
-        return pd.Series([None if r.run_id is None else one(r.run_id, r.chain_length, r.tip_hash, r.accepted_count, r.excluded_count, r.items) for r in rows.itertuples()], dtype=object)
+def unsigned_text(ok: int, items: Any) -> str:
+    """The same selection without any sign of verification: a benchmark's control, no basis of a decision."""
+    return _lines({"s": "unsigned.compact.v1", "ok": int(ok), "show": len(items)}, map(_item_line, items))
 
-    return lambda *columns: F.pandas_udf(made, "string")(F.struct(*columns))
 
+def render_jsonl(hashes: list[str]):
+    """A function of a handoff's columns: ``prompt_text`` for a prompt."""
 
-def unsigned_lines(header: dict, items: list[dict]) -> str:
-    """The same selection without any sign of verification: a benchmark's control, no basis of a decision."""
-    lines = [{"s": "unsigned.compact.v1", "k": "h", **header, "show": len(items)}, *({"k": "i", **i} for i in items)]
-    return "".join(dumps(x).decode() + "\n" for x in lines)
+    def made(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([None if r.run_id is None else prompt_text(hashes, r.run_id, r.chain_length, r.tip_hash, r.accepted_count, r.excluded_count, r.items) for r in rows.itertuples()], dtype=object)
+
+    return lambda *columns: F.pandas_udf(made, "string")(F.struct(*columns))
 
 
 def render(visible: DataFrame, line: str = "line") -> DataFrame:

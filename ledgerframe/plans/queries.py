@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import status, text
-from ..operators import chain, costs, evaluation, gate, handoff, integrity, metrics
+from ..functions import status, text, tokens
+from ..functions import strict_json as sj
+from ..operators import chain, costs, evaluation, gate, handoff, integrity, metrics, replay
+from ..sources.stages import staged
 from . import derived as d
 from .derived import MEMBERS, NOW, OUTCOMES, PAIRED, POINTS, POLICY, PREDICTORS, RECEIPTS, STRICT, decisions_sql, table
 
@@ -252,6 +254,39 @@ def _half_even(x: str) -> str:
     return f"sign({x}) * ({low} + CASE WHEN {rest} > {unit} THEN 1 WHEN {rest} < {unit} THEN 0 ELSE {low} % 2 END)::DOUBLE / 10.0::DOUBLE"
 
 
+_STEP = "'STEP ' || sequence || chr(10) || action || ': ' || props"
+_HEADER = f"""'{{"drop":' || n - ok || ',"k":"h","n":' || n || ',"ok":' || ok || ',"pn":1,"ps":"{sj.object_hash(_ALLOWED)[:16]}","run":"' || run_id || '","s":"handoff.v1","show":' || len(ls) || ',"tip":"' || source_sha256[1:16] || '"}}' || chr(10)"""
+
+
+@query(f"""{_HANDOFF}, taken AS (SELECT run_id, sequence, list('{{"a":"' || action || '","facts":[["props","/ok",1]],"k":"i","seq":' || sequence || '}}' || chr(10)) OVER (PARTITION BY run_id ORDER BY sequence ROWS 2 PRECEDING) AS ls FROM admitted WHERE excluded IS NULL
+), prefixes AS (SELECT a.*, count(*) OVER w AS n, count(*) FILTER (excluded IS NULL) OVER w AS ok, coalesce(last_value(ls IGNORE NULLS) OVER w, []) AS ls FROM admitted a LEFT JOIN taken USING (run_id, sequence) WINDOW w AS (PARTITION BY run_id ORDER BY sequence ROWS UNBOUNDED PRECEDING)
+), texts AS (SELECT run_id, sequence, n, ok, {_STEP} AS step, {_HEADER} || array_to_string(ls, '') AS prompt, '{{"k":"h","ok":' || ok || ',"s":"unsigned.compact.v1","show":' || len(ls) || '}}' || chr(10) || array_to_string(ls, '') AS unsigned FROM prefixes
+), counted AS (SELECT *, sum(CAST({_TOKENS.format('step')} AS BIGINT)) OVER (PARTITION BY run_id ORDER BY sequence ROWS UNBOUNDED PRECEDING) AS full_t, CAST({_TOKENS.format('unsigned')} AS BIGINT) AS unsigned_t, CAST({_TOKENS.format('prompt')} AS BIGINT) AS handoff_t FROM texts
+), added AS (SELECT *, sum(full_t) OVER w AS cf, sum(unsigned_t) OVER w AS cu, sum(handoff_t) OVER w AS ch FROM counted WINDOW w AS (PARTITION BY run_id ORDER BY sequence ROWS UNBOUNDED PRECEDING))
+SELECT run_id AS chain_id, sequence AS index, ok AS accepted_count, CAST(full_t AS BIGINT) AS full_tokens, unsigned_t AS unsigned_tokens, handoff_t AS handoff_tokens, CAST(cf AS BIGINT) AS cumulative_full, CAST(cu AS BIGINT) AS cumulative_unsigned, CAST(ch AS BIGINT) AS cumulative_handoff, sha256(prompt) AS prompt_sha256 FROM added""")
+def prefix_replay(spark, sf_dir):
+    """The handoff of every prefix of every run, and its cost beside the whole transcript's."""
+    handoffs, steps = _prefixes(spark, sf_dir)
+    costs_ = replay.prefix_costs(handoffs, steps, tokens.token_counter("lexical"))
+    return costs_.join(handoffs.select("chain_id", "index", F.sha2("prompt", 256).alias("prompt_sha256")), ["chain_id", "index"]).drop("chain_length")
+
+
+def _prefixes(spark, sf_dir):
+    rows = _admitted(spark, sf_dir).select(F.col("run_id").alias("chain_id"), F.col("run_id").cast("string").alias("run_id"), F.col("sequence").alias("index"), "sequence", F.col("source_sha256").alias("envelope_hash"), "action", "props", "excluded")
+    rows = staged(rows, "admitted")
+    fact = sj.dumps({"rule_id": "ok", "evidence_id": "props", "pointer": "/ok", "expected": 1}).decode()
+    steps = rows.select("chain_id", "index", F.concat(F.lit("STEP "), F.col("sequence").cast("string"), F.lit("\n"), "action", F.lit(": "), "props").alias("step"))
+    return staged(replay.prefix_handoffs(rows.withColumn("facts", F.array(F.lit(fact))), _ALLOWED), "prefixes"), steps
+
+
+@query()
+def prefix_cost_rows_byte_pair(spark, sf_dir):
+    """A row of costs per run by a byte-pair vocabulary."""
+    from public_tokenizers import path
+
+    return replay.cost_rows(replay.prefix_costs(*_prefixes(spark, sf_dir), tokens.token_counter(f"byte_pair:{path('byte_bpe_50k.tiktoken')}")))
+
+
 _COSTS = f"WITH t AS (SELECT conv_id, turn, CAST({_TOKENS.format('text')} AS BIGINT) AS full_cost, least(CAST({_TOKENS.format('text')} AS BIGINT), 40) + 12 AS short_cost FROM conversations)"
 
 
