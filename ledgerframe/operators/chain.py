@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,11 @@ def links(items: DataFrame) -> DataFrame:
     their successor.
     """
     w = Window.partitionBy("chain_id").orderBy("index")
-    before = lambda c: F.lag(c).over(w)
+    return items.withColumn("link_reasons", link_reasons(lambda c: F.lag(c).over(w)))
+
+
+def link_reasons(before: Callable[[str], Column]) -> Column:
+    """Link reasons of an item; ``before`` gives a column of the item before it."""
     first, i = F.col("index") == 0, F.col("index").cast("string")
     both = F.col("run_id").isNotNull() & before("run_id").isNotNull() & ~first
     differs = lambda a, b: ~a.eqNullSafe(b)
@@ -30,7 +36,16 @@ def links(items: DataFrame) -> DataFrame:
         F.when(both & differs(F.col("run_id"), before("run_id")), F.concat(F.lit("chain:run_id_changed:"), i)),
         F.when(both & differs(F.col("issuer"), before("issuer")), F.concat(F.lit("chain:issuer_changed:"), i)),
     ]
-    return items.withColumn("link_reasons", F.array_compact(F.array(*codes)))
+    return F.array_compact(F.array(*codes))
+
+
+def item_columns(rows: DataFrame) -> DataFrame:
+    """Adds item_reasons, ``_intake`` (the worst status) and the payload's fields to rows that were taken in."""
+    names = ("integrity", "provenance", "normalization")
+    told = lambda n: F.transform(F.col(f"{n}.reason_codes"), lambda r: F.concat(F.lit("item:"), F.col("index").cast("string"), F.lit(f":{n}:"), r))
+    p = F.from_json("payload", "run_id string, issuer string, sequence long, parent_hash string, action struct<type:string,name:string>, claim string")
+    rows = rows.withColumns({"item_reasons": F.concat(*map(told, names)), "_intake": status.name(status.worst(*(F.col(f"{n}.status") for n in names))), "_p": p, "envelope_hash": F.coalesce("envelope_hash", F.lit(""))})
+    return rows.select("*", "_p.*").drop("_p")
 
 
 def chain_results(linked: DataFrame, max_items: int = 256, intake_status: Column | None = None, max_bytes: int | None = None) -> DataFrame:
@@ -65,11 +80,7 @@ def verify_chains(receipts: DataFrame, trust: DataFrame, chains: DataFrame | Non
     caps = staged(counted.select("chain_id", "items", over.alias("over")), "caps")
     rows = receipts.join(caps.filter("over IS NULL").select("chain_id"), "chain_id", "left_semi").withColumn("size", F.octet_length("raw"))
     rows = staged(intake(rows, trust, max_source_bytes), "taken_in")
-    names = ("integrity", "provenance", "normalization")
-    told = lambda n: F.transform(F.col(f"{n}.reason_codes"), lambda r: F.concat(F.lit("item:"), F.col("index").cast("string"), F.lit(f":{n}:"), r))
-    p = F.from_json("payload", "run_id string, issuer string, sequence long, parent_hash string, action struct<type:string,name:string>, claim string")
-    rows = rows.withColumns({"item_reasons": F.concat(*map(told, names)), "_intake": status.name(status.worst(*(F.col(f"{n}.status") for n in names))), "_p": p, "envelope_hash": F.coalesce("envelope_hash", F.lit(""))})
-    items = links(rows.select("*", "_p.*").drop("_p"))
+    items = links(item_columns(rows))
     tips = items.groupBy("chain_id").agg(F.max_by("envelope_hash", "index").alias("tip_hash"), F.max_by("run_id", -F.col("index")).alias("run_id"))
     results = chain_results(items, max_items, F.col("_intake"), max_bytes).join(tips, "chain_id")
     none = F.lit(None).cast("string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, sessions, trial
+from ..operators import evaluation, outcomes, sessions, trial
 from . import derived as d
 from .derived import OUTCOMES, table
 from .queries import query
@@ -157,3 +157,33 @@ def continuation_document_errors(spark, sf_dir):
     docs = _document(spark, sf_dir, sessions.CONTINUATION, "started_at_utc", "events", ended=F.lit(True))
     raw = F.when(F.col("conv_id") % 11 == 0, F.replace("raw", F.lit('"ended":true'), F.lit('"ended":1'))).otherwise(F.col("raw"))
     return docs.select("conv_id", sessions.continuation_error(raw).alias("error"))
+
+
+_KINDS, _UNLOCKED = ("corrected",), "ee" * 32
+_PLANTED = ["outcome_fields_invalid", "outcome_phase_invalid", "outcome_phase_mismatch", "outcome_unlock_invalid", "outcome_value_invalid", "outcome_time_invalid", "outcome_continuation_hash_invalid", "outcome_window_invalid", "outcome_metadata_invalid", "outcome_negative_with_correction", "outcome_unlock_mismatch", "outcome_continuation_missing", "outcome_continuation_mismatch", "outcome_label_before_start", "outcome_ended_mismatch", "outcome_correction_not_by_user"]
+
+
+@query(f"""WITH c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT conv_id AS line, CAST(conv_id AS VARCHAR) AS session_id, CASE conv_id % 18 {' '.join(f"WHEN {i} THEN '{code}'" for i, code in enumerate(_PLANTED))} END AS fault FROM c WHERE conv_id % 18 < {len(_PLANTED)}
+UNION ALL SELECT conv_id + 1000000000, CAST(conv_id AS VARCHAR), 'outcome_session_duplicate' FROM c WHERE conv_id % 18 = 16""")
+def outcome_documents(spark, sf_dir):
+    """An outcome row of every conversation; each rule is broken by one kind of them."""
+    turn = F.struct(F.col("turn").alias("index"), "role")
+    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("events"))
+    c = F.col("conv_id")
+    at, began = F.lit("2024-02-01T00:00:00Z"), F.lit("2024-01-01T00:00:00Z")
+    rows = talks.select("conv_id", c.cast("string").alias("session_id"), began.alias("started_at_utc"), "events", (c % 18 != 14).alias("ended"), F.sha2(c.cast("string"), 256).alias("sha256"), (c % 18).alias("k"))
+    k = F.col("k")
+    observed = F.least(F.size(F.filter("events", lambda e: e["role"] == "assistant")), F.lit(3)).cast("long")
+    is_ = lambda *n: k.isin(*n)
+    made = F.struct(
+        F.lit(trial.OUTCOME).alias("schema"), F.when(is_(1), "later").when(is_(2), "calibration").otherwise("prospective").alias("phase"), "session_id", F.when(is_(4), 2).when(is_(15), 1).otherwise(0).alias("outcome"),
+        F.when(is_(9, 15), "corrected").alias("kind"), F.when(is_(15), 1_000_000).alias("correction_message_index"), F.when(is_(6), F.upper("sha256")).when(is_(12), F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("continuation_sha256"),
+        F.when(is_(7), 99).otherwise(observed).alias("window_observed_assistant_turns"), F.lit(True).alias("continuation_ended"), F.when(is_(5), "2024-02-01T00:00:00+00:00").when(is_(13), "2023-12-31T23:59:59Z").otherwise(at).alias("labeled_at_utc"),
+        F.when(is_(3), "ee").when(is_(10), "dd" * 32).when(~is_(2), _UNLOCKED).alias("outcome_unlock_sha256"), F.lit("n").alias("notes"),
+    )
+    told = rows.select("conv_id", "k", F.to_json(made, {"ignoreNullFields": "false"}).alias("raw"))
+    text = F.col("raw")
+    text = F.when(is_(0), F.replace(text, F.lit('{"schema"'), F.lit('{"late":1,"schema"'))).when(is_(8), F.replace(text, F.lit('"continuation_ended":true'), F.lit('"continuation_ended":"true"'))).otherwise(text)
+    lines = told.select(F.explode(F.when(is_(16), F.array(c, c + 1_000_000_000)).otherwise(F.array(c))).alias("line"), text.alias("raw"))
+    return outcomes.outcome_faults(lines, rows.filter("k <> 11"), _KINDS, 3, "prospective", _UNLOCKED)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strict_json import canonical, loads
-from ..operators import sessions
+from ..operators import outcomes, sessions
 from ..operators.integrity import require_empty
 from ..operators.trial import hashed
 
@@ -81,6 +81,18 @@ def read_continuations(spark: SparkSession, path: str, max_bytes: int = 8 << 20)
     return _checked(files, sessions.continuation_error(raw), "continuation", sessions.continuation_columns(raw), hashed(raw, "")["whole"])
 
 
+def read_outcomes(spark: SparkSession, path: str, continuations: DataFrame, kinds: tuple[str, ...], window: int, phase: str, unlock_sha256: str | None = None, max_bytes: int = 64 << 20) -> DataFrame:
+    """Valid outcome rows (line and fields) of one JSON-lines file, each session once; blank lines are skipped.
+
+    The earliest line that breaks a rule fails the read, with the first rule it breaks.
+    """
+    folder, name = path.rsplit("/", 1)
+    lines = read_documents(spark, folder, _literal(name), max_bytes).select(F.posexplode(F.split(F.col("raw").cast("string"), "\n")).alias("at", "raw"))
+    rows = lines.filter(F.trim("raw") != "").select((F.col("at") + 1).alias("line"), "raw")
+    require_empty(outcomes.outcome_faults(rows, continuations, kinds, window, phase, unlock_sha256).orderBy("line"), "outcome_invalid")
+    return rows.select("line", *outcomes.outcome_columns(F.col("raw")))
+
+
 def append_once(rows: DataFrame, path: str, key: str) -> None:
     """Append rows to a Parquet ledger; a key that is there already fails the append.
 
