@@ -9,7 +9,8 @@ nearest ancestor directory, found by joins on paths.
 
 Document frequencies are counted over all documents; terms that no template holds
 count as unseen.  By the Cauchy-Schwarz inequality a piece can only reach the
-threshold if it holds one of a template's weightiest terms, so other pieces are
+threshold if it holds one of a set of a template's terms that weigh enough together.
+The terms that fewest documents hold make up that set, so nearly all other pieces are
 passed over without loss.
 
 Scale.  Two passes over the texts without moving them; only term counts (bounded by
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from collections.abc import Iterable
 from math import log, sqrt
 from pathlib import Path
 
@@ -56,6 +58,11 @@ TEMPLATES = [
 #: Complete licence texts, for whole files only.
 FILE_TEMPLATES = [(f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
 
+#: Licences whose complete texts differ from one above in little but their titles: that one, words of the title, name.
+RETITLED = [("GPL-3.0", "gnu affero general public license", "AGPL-3.0")]
+#: Words of a file in which its title is looked for.
+OPENING = 60
+
 #: Broadcast the directories' licences up to so many bytes of paths, join by shuffle beyond.
 BROADCAST_BYTES = 8 << 20
 
@@ -69,11 +76,11 @@ def _words(text: str) -> list[str]:
 
 
 def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, dict[str, int]]:
-    """Number of documents, and of those with each of some terms."""
-    wanted = F.array(*(F.lit(t) for t in terms))
-    held = F.array_intersect(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), wanted)
-    # One row more for each document counts the documents themselves.
-    rows = docs.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()
+    """Number of documents, and of those with each of some terms (the templates', which are broadcast)."""
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in ["", *terms]], "term string"))
+    # The empty term, added to each document, counts the documents themselves.
+    held = F.array_union(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), F.array(F.lit("")))
+    rows = docs.select(F.explode(held).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n")).collect()
     found = {r.term: r.n for r in rows}
     return found.pop("", 0), found
 
@@ -92,7 +99,8 @@ class _Weights:
             v = {t: x / norm for t, x in v.items()}
             self.vectors.append(v)
             rest = 1.0
-            for t, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
+            # Rare terms first, of those about equally rare the weightiest.
+            for t, x in sorted(v.items(), key=lambda p: (df.get(p[0], 0).bit_length(), -p[1], p[0])):
                 if sqrt(max(rest, 0)) < threshold:
                     break
                 anchors.add(t)
@@ -112,10 +120,14 @@ class _Weights:
         return out
 
 
-def _map(values: dict[str, float]) -> Column:
-    if len(values) < 500:
-        return F.create_map(*(F.lit(x) for kv in sorted(values.items()) for x in kv))
-    return F.from_json(F.lit(json.dumps(values)), "map<string,double>")
+def _map(values: dict, kind: str = "double") -> Column:
+    """A constant map of terms, as one literal to the planner."""
+    return F.from_json(F.lit(json.dumps(values, sort_keys=True)), f"map<string,{kind}>")
+
+
+def _array(terms: Iterable[str]) -> Column:
+    """A constant array of terms (letters and digits), as one literal to the planner."""
+    return F.split(F.lit(" ".join(terms)), " ")
 
 
 def _best(terms: Column, w: _Weights) -> Column:
@@ -124,8 +136,8 @@ def _best(terms: Column, w: _Weights) -> Column:
     Only the distinct terms that some template holds are looked up; the others
     add to the length of the vector by their counts.
     """
-    idf = _map(w.idf)
-    present = F.array_intersect(terms, F.array(*(F.lit(t) for t in sorted(w.idf))))
+    idf, weights = _map(w.idf), _map({t: [v.get(t, 0.0) for v in w.vectors] for t in w.idf}, "array<double>")
+    present = F.array_intersect(terms, _array(sorted(w.idf)))
     count = lambda t: F.size(F.filter(terms, lambda x: x == t)).cast("double")
     held = F.transform(present, lambda t: F.struct(t.alias("term"), count(t).alias("n"), F.element_at(idf, t).alias("idf")))
     start = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("n"), F.lit(0.0).alias("s"))
@@ -135,8 +147,9 @@ def _best(terms: Column, w: _Weights) -> Column:
     def scored(held: Column, squares: Column) -> Column:
         known = lambda f: F.aggregate(held, F.lit(0.0), lambda a, e: a + f(e))
         norm = F.sqrt(known(lambda e: e["n"] * e["n"] * e["idf"] * e["idf"]) + (squares - known(lambda e: e["n"] * e["n"])) * w.unseen**2)
-        dot = lambda v: known(lambda e: e["n"] * e["idf"] * F.coalesce(F.try_element_at(_map(v), e["term"]), F.lit(0.0)))
-        return F.array_max(F.array(*(F.struct(F.round(dot(v) / norm, 6).alias("score"), F.lit(-i).alias("place")) for i, v in enumerate(w.vectors))))
+        add = lambda a, e: F.zip_with(a, F.element_at(weights, e["term"]), lambda x, y: x + e["n"] * e["idf"] * y)
+        dots = F.aggregate(held, F.array_repeat(F.lit(0.0), len(w.vectors)), add)
+        return F.array_max(F.transform(dots, lambda d, i: F.struct(F.round(d / norm, 6).alias("score"), (-i).alias("place"))))
 
     # Through a one-element array, so that the shared parts are computed once.
     once = F.transform(F.array(F.struct(held.alias("held"), squares.alias("squares"))), lambda p: scored(p["held"], p["squares"]))
@@ -150,7 +163,8 @@ def scan_licenses(docs: DataFrame, path: Column | None = None, threshold: float
     between names (``/source/lang/doc_id`` by default).  Returns per row doc_id,
     path, own_license and own_score (the best template of a line, paragraph or the
     whole text with a cosine of at least the threshold; the earlier template wins
-    a tie; for a complete licence text that licence), is_license_file (the whole text
+    a tie; for a complete licence text that licence, by its title where only that tells it
+    from another; of a file of several whole licences the nearest one), is_license_file (the whole text
     reaches ``file_threshold``, or a line or paragraph that does holds at least
     ``notice_share`` of the words of a file whose name has no extension, or that of
     plain text), license and license_from (``own``, the
@@ -169,7 +183,7 @@ def scan_licenses(docs: DataFrame, path: Column | None = None, threshold: float
     vocabulary = sorted({t for _, text in [*templates, *file_templates] for t in _words(text)})
     counted = document_frequencies(docs, vocabulary)
     w = _Weights(*counted, templates, threshold)
-    anchors = F.array(*(F.lit(a) for a in w.anchors))
+    anchors = _array(w.anchors)
     has_anchor = lambda terms: F.arrays_overlap(terms, anchors)
     whole = _terms(F.col("text"))
     parts = F.concat(F.split("text", r"\r?\n"), F.filter(F.split("text", r"\r?\n[ \t]*\r?\n"), lambda p: p.contains("\n")))
@@ -179,9 +193,10 @@ def scan_licenses(docs: DataFrame, path: Column | None = None, threshold: float
     found = F.when(gate, F.struct(_best(whole, w).alias("whole"), scored.alias("pieces"), F.size(whole).alias("words")))
     complete = _Weights(*counted, file_templates, file_threshold)
     held = F.array_distinct(whole)
-    enough = [F.size(F.array_intersect(held, F.array(*(F.lit(t) for t in sorted(v))))) >= n for v, n in zip(complete.vectors, complete.least_terms(file_threshold), strict=True)]
-    file = F.when(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), F.array(*(F.lit(a) for a in complete.anchors))) & F.greatest(*enough, F.lit(False)), _best(whole, complete))
-    rows = docs.select("doc_id", "path", found.alias("f"), file.alias("file"))
+    enough = [F.size(F.array_intersect(held, _array(sorted(v)))) >= n for v, n in zip(complete.vectors, complete.least_terms(file_threshold), strict=True)]
+    file = F.when(F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9]+"), _array(complete.anchors)) & F.greatest(*enough, F.lit(False)), _best(whole, complete))
+    opening = F.array_join(F.slice(whole, 1, OPENING), " ")
+    rows = docs.select("doc_id", "path", found.alias("f"), F.when(file.isNotNull(), F.struct(file.alias("best"), opening.alias("opening"))).alias("file"))
     piece = F.array_max(F.transform("f.pieces", lambda p: p["best"]))
     notice = F.array_max(F.transform(F.filter("f.pieces", lambda p: p["best"]["score"] >= file_threshold), lambda p: p["words"])) >= notice_share * F.col("f.words")
     # A notice at the head of a short program is that file's alone.
@@ -190,10 +205,12 @@ def scan_licenses(docs: DataFrame, path: Column | None = None, threshold: float
     name = lambda best: F.when(best["score"] >= threshold, F.get(names, -best["place"]))
     own = F.array_max(F.array(F.col("f.whole"), piece))
     # A complete text names the licence, whatever notice it quotes.
-    is_file = F.coalesce(F.col("file.score") >= file_threshold, F.lit(False))
-    file_name = F.get(F.array(*(F.lit(n) for n in complete.names)), -F.col("file.place"))
+    is_file = F.coalesce(F.col("file.best.score") >= file_threshold, F.lit(False))
+    file_name = F.get(F.array(*(F.lit(n) for n in complete.names)), -F.col("file.best.place"))
+    for close_to, title, other in RETITLED:
+        file_name = F.when((file_name == close_to) & F.col("file.opening").contains(title), other).otherwise(file_name)
     own_license = F.when(is_file, file_name).otherwise(name(own))
-    own_score = F.when(is_file, F.col("file.score")).when(own["score"] >= threshold, own["score"])
+    own_score = F.when(is_file, F.col("file.best.score")).when(own["score"] >= threshold, own["score"])
     rows = rows.select("doc_id", "path", own_license.alias("own_license"), own_score.alias("own_score"), (is_file | F.coalesce(F.col("f.whole.score") >= file_threshold, F.lit(False)) | F.coalesce(notice, F.lit(False))).alias("is_license_file"))
     rows = materialize(rows.withColumn("dir", F.regexp_replace("path", "/[^/]*$", "")), "licenses")
     return _inherited(rows)

@@ -493,6 +493,24 @@ def test_short_notice_files_are_inherited(spark):
     assert got["p/x.py"].own_license == "MIT" and got["p/y.py"].license is None and got["r/README"].own_license == "MIT" and got["r/z.py"].license is None
 
 
+def test_licenses_that_differ_in_their_titles(spark):
+    from ledgerframe.llm.license_scan import FILE_TEMPLATES
+
+    gpl = dict(FILE_TEMPLATES)["GPL-3.0"]
+    agpl = gpl.replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE").replace("GNU General Public License", "GNU Affero General Public License")
+    rows = [("g/COPYING", gpl), ("g/x.py", "x = 1"), ("a/COPYING", agpl), ("a/y.py", "y = 2")]
+    got = {r.path: r.license for r in scan_licenses(spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(rows)], "doc_id long, text string, p string"), F.col("p")).collect()}
+    assert got == {"g/COPYING": "GPL-3.0", "g/x.py": "GPL-3.0", "a/COPYING": "AGPL-3.0", "a/y.py": "AGPL-3.0"}
+
+
+def test_licenses_of_long_texts(spark):
+    """Megabytes with a notice at the end, and a licence text behind a long preface."""
+    prose = " ".join(f"w{k % 3001}" for k in range(200_000))
+    rows = [("a/x.txt", prose + "\n\n" + TEMPLATES[3][1]), ("b/x.txt", prose), ("c/LICENSE", TEMPLATES[3][1])]
+    got = {r.path: (r.own_license, r.is_license_file) for r in scan_licenses(spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(rows)], "doc_id long, text string, p string"), F.col("p")).collect()}
+    assert got == {"a/x.txt": ("MIT", False), "b/x.txt": (None, False), "c/LICENSE": ("MIT", True)}
+
+
 def test_licenses_of_awkward_rows(spark):
     got = scan_licenses(clashing(frame(spark))).collect()
     assert len(got) == len(corpus()) and not any(r.own_license for r in got)
