@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, outcomes, sessions, trial
+from ..operators import documents, evaluation, outcomes, sessions, trial
 from . import derived as d
 from .derived import OUTCOMES, table
-from .queries import query
+from .queries import _COUNTED, _LABELLED, _RATES, query
 
 PROTOCOL, FREEZE, PROFILE = "aa" * 32, "bb" * 32, "cc" * 32
 FROZEN = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z
@@ -187,3 +187,44 @@ def outcome_documents(spark, sf_dir):
     text = F.when(is_(0), F.replace(text, F.lit('{"schema"'), F.lit('{"late":1,"schema"'))).when(is_(8), F.replace(text, F.lit('"continuation_ended":true'), F.lit('"continuation_ended":"true"'))).otherwise(text)
     lines = told.select(F.explode(F.when(is_(16), F.array(c, c + 1_000_000_000)).otherwise(F.array(c))).alias("line"), text.alias("raw"))
     return outcomes.outcome_faults(lines, rows.filter("k <> 11"), _KINDS, 3, "prospective", _UNLOCKED)
+
+
+_HEAD = {"trial_id": "t", "protocol_sha256": PROTOCOL, "generated_at_utc": "2024-01-16T00:00:00Z", "measurement_contract_sha256": "cc" * 32, "receiver_profile_sha256": PROFILE}
+
+
+def _calibration(spark, sf_dir):
+    """Sessions before the newest, with their hashes and outcomes."""
+    every = d.outcomes(spark, sf_dir)
+    newest = evaluation.most_recent(every, N).select("session_id")
+    sid = F.col("session_id").cast("string")
+    return every.join(newest, "session_id", "left_anti").select(sid.alias("session_id"), _iso(F.col("handoff_micros")).alias("handoff_at_utc"), F.sha2(sid, 256).alias("session_sha256"), F.sha2(F.concat(sid, F.lit("c")), 256).alias("continuation_sha256"), F.col("y").alias("outcome"))
+
+
+_FIT = """'"accuracy_micros":' || accuracy_micros || ',"balanced_accuracy_micros":' || balanced_accuracy_micros || ',"direction":"high","fn":' || fn || ',"fp":' || fp"""
+_FITTED = """',"sensitivity_micros":' || sensitivity_micros || ',"specificity_micros":' || specificity_micros || ',"threshold":' || threshold || ',"tn":' || tn || ',"tp":' || tp"""
+
+
+@query(f"""{_LABELLED}, newest AS (SELECT session_id FROM outcomes ORDER BY handoff_micros DESC, session_id DESC LIMIT {N}), train AS (SELECT * FROM labelled WHERE session_id NOT IN (SELECT session_id FROM newest)),
+cand AS (SELECT metric, value AS threshold FROM train UNION SELECT metric, min(value) - 1 FROM train GROUP BY metric UNION SELECT metric, max(value) + 1 FROM train GROUP BY metric),
+c AS (SELECT metric, threshold, count(*) FILTER (y = 1 AND value >= threshold) AS tp, count(*) FILTER (y = 0 AND value < threshold) AS tn, count(*) FILTER (y = 0 AND value >= threshold) AS fp, count(*) FILTER (y = 1 AND value < threshold) AS fn FROM cand JOIN train USING (metric) GROUP BY metric, threshold),
+r AS (SELECT *, {_COUNTED} FROM c), s AS (SELECT metric, threshold, {_RATES} FROM r), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY metric ORDER BY balanced_accuracy_micros DESC, specificity_micros DESC, sensitivity_micros DESC, threshold) = 1),
+cal AS (SELECT CAST(session_id AS VARCHAR) AS sid, replace(CAST(make_timestamp(handoff_micros) AS VARCHAR), ' ', 'T') || 'Z' AS handoff, y FROM outcomes WHERE session_id NOT IN (SELECT session_id FROM newest)),
+told AS (SELECT count(*) AS n, max(handoff) AS last, string_agg('"' || sid || '"', ',' ORDER BY handoff, sid) AS ids, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg,
+  sha256('[' || string_agg('{{"continuation_sha256":"' || sha256(sid || 'c') || '","outcome":' || y || ',"session_id":"' || sid || '","session_sha256":"' || sha256(sid) || '"}}', ',' ORDER BY handoff, sid) || ']') AS manifest FROM cal),
+fit AS (SELECT metric, {_FIT} AS a, {_FITTED} AS b FROM best),
+safe AS (SELECT *, CASE WHEN neg = 0 THEN 0 ELSE 1000000 END AS spec FROM told)
+SELECT t, sha256(t) AS sha256 FROM (SELECT '{{"calibration_manifest_sha256":"' || manifest || '","calibration_max_handoff_at_utc":"' || last || '","calibration_n":' || n || ',"calibration_selection":{{"input_session_count":{N},"rule":"most_recent_pre_freeze","selected_session_ids":[' || ids || ']}},"comparators":{{'
+  || '"always_safe":{{"accuracy_micros":' || (neg * 1000000 // n) || ',"balanced_accuracy_micros":' || (spec // 2) || ',"fn":' || pos || ',"fp":0,"prediction":0,"sensitivity_micros":0,"specificity_micros":' || spec || ',"tn":' || neg || ',"tp":0,"type":"fixed"}},"n_points":{{' || (SELECT a || b FROM fit WHERE metric = 'n_points') || ',"type":"threshold"}}}}'
+  || ',"generated_at_utc":"2024-01-16T00:00:00Z","measurement_contract_sha256":"{"cc" * 32}","primary":{{' || (SELECT a || ',"metric":"peak"' || b FROM fit WHERE metric = 'peak') || '}},"protocol_sha256":"{PROTOCOL}","receiver_profile_sha256":"{PROFILE}","schema":"freeze.v1","secondary":{{"absent":{{"fit":null,"status":"unavailable"}},"level":{{"fit":{{'
+  || (SELECT a || b FROM fit WHERE metric = 'level') || '}},"status":"frozen"}}}},"trial_id":"t"}}' AS t FROM safe) x""".replace("SELECT t, sha256(t)", "SELECT t AS document, sha256(t)"))
+def freeze_document(spark, sf_dir):
+    """The freeze of all sessions before the newest: fits, manifest, selection."""
+    values = d.predictors(spark, sf_dir).withColumn("session_id", F.col("session_id").cast("string"))
+    return documents.freeze(_calibration(spark, sf_dir), values, ("peak", "high"), {"level": "high", "absent": "low"}, {"n_points": "high"}, _HEAD, N)
+
+
+@query()
+def evaluation_document(spark, sf_dir):
+    """The evaluation of the newest sessions under the freeze above."""
+    frozen = freeze_document(spark, sf_dir).collect()[0].sha256  # one hash, bound by the document
+    return documents.evaluate(d.paired(spark, sf_dir), {"trial_id": "t", "freeze_sha256": frozen, "protocol_sha256": PROTOCOL}, "peak", 50_000, 950_000, 3)
