@@ -43,7 +43,8 @@ _INSTANT = (
     r"(?:Z|(?<o>[+-])(?<oh>\d{2})(?:(?<e>:?)(?<om>\d{2})(?:\k<e>(?<os>\d{2}))?)?(?:[.,](?<of>\d*))?)\z"
 )
 _GROUPS = ["y", "m", "d", "wy", "w", "wd", "h", "mi", "s", "f", "o", "oh", "om", "os", "of"]
-_DAY, _LAST = 86_400_000_000, 253_402_300_800_000_000
+#: A day, and the years 1 to 9999.
+_DAY, _FIRST, _LAST = 86_400_000_000, -62_135_596_800_000_000, 253_402_300_800_000_000
 
 
 def parse_instant(x: Column, utc_only: bool = False) -> Column:
@@ -54,22 +55,32 @@ def parse_instant(x: Column, utc_only: bool = False) -> Column:
     than a day.  Blanks are nowhere but between date and time.
     """
     parts = F.split(F.regexp_replace(x, _INSTANT, ",".join(f"${{{g}}}" for g in _GROUPS)), ",", -1)
+    shaped = x.rlike(_INSTANT) & (x.endswith("Z") if utc_only else F.lit(True))
+    # Through a one-element array, so that the text is matched and split once.
+    return F.when(shaped, F.get(F.transform(F.array(parts), _instant), F.lit(0)))
+
+
+def _instant(parts: Column) -> Column:
+    """Microseconds from the parts of a text of the right shape, or null."""
     part = {g: F.get(parts, F.lit(i)) for i, g in enumerate(_GROUPS)}
-    number = lambda g, other=0: F.coalesce(part[g].try_cast("long"), F.lit(other).cast("long"))
+    number = lambda g, other=0: F.when(part[g] == "", F.lit(other).cast("long")).otherwise(part[g].cast("long"))
     fraction = lambda g: F.rpad(F.substring(part[g], 1, 6), 6, "0").cast("long")
     clock = lambda h, m, s, f: ((number(h) * 60 + number(m)) * 60 + number(s)) * 1_000_000 + fraction(f)
     date = lambda *texts: F.unix_date(F.concat_ws("-", *texts).try_cast("date")).cast("long")
     calendar = F.when(number("y") > 0, date(part["y"], part["m"], part["d"]))
-    fourth = date(part["wy"], F.lit("01"), F.lit("04"))  # always in the first week; day 0 was a Thursday
-    monday = fourth - F.pmod(fourth + 3, F.lit(7)) + (number("w") - 1) * 7
-    same_year = F.year(F.date_from_unix_date((monday + 3).cast("int"))) == number("wy")
-    by_week = F.when((number("wy") > 0) & number("w").between(1, 53) & same_year & number("wd", 1).between(1, 7), monday + number("wd", 1) - 1)
-    day = F.when(part["y"] != "", calendar).otherwise(by_week)
+
+    def week(fourth: Column) -> Column:
+        # The fourth of January is always in the first week; day 0 was a Thursday.
+        monday = fourth - F.pmod(fourth + 3, F.lit(7)) + (number("w") - 1) * 7
+        same_year = F.year(F.date_from_unix_date((monday + 3).cast("int"))) == number("wy")
+        return F.when((number("wy") > 0) & number("w").between(1, 53) & same_year & number("wd", 1).between(1, 7), monday + number("wd", 1) - 1)
+
+    day = F.when(part["y"] != "", calendar).otherwise(F.get(F.transform(F.array(date(part["wy"], F.lit("01"), F.lit("04"))), week), F.lit(0)))
     offset = clock("oh", "om", "os", "of")
+    signed = F.when(part["o"] == "-", -offset).otherwise(offset)
     valid = (number("h") < 24) & (number("mi") < 60) & (number("s") < 60) & (offset < _DAY)
-    at = day * _DAY + clock("h", "mi", "s", "f") - F.when(part["o"] == "-", -offset).otherwise(offset)
-    shaped = x.rlike(_INSTANT) & (x.endswith("Z") if utc_only else F.lit(True))
-    return F.when(shaped & valid & (at >= -62_135_596_800_000_000) & (at < _LAST), at)
+    inside = lambda at: F.when((at >= _FIRST) & (at < _LAST), at)
+    return F.when(valid, F.get(F.transform(F.array(day * _DAY + clock("h", "mi", "s", "f") - signed), inside), F.lit(0)))
 
 
 def parse_now(text: str) -> int:

@@ -139,14 +139,14 @@ def evidence_of(policy: gate.Policy, evidence: Column, artifacts: Column, unclea
 
 
 def assessments(policy: gate.Policy, now_micros: int) -> dict[str, Column]:
-    """The seven assessments of rows that have been taken in, with artifacts as ``artifact_maps`` has them."""
+    """The seven assessments of rows that have been taken in, with ``_issued`` and artifacts as ``artifact_maps`` has them."""
     p = F.from_json("payload", _TYPED)
     gone = gate.check(F.lit(status.UNAVAILABLE), F.lit("source_payload_unavailable"))
     present = lambda c: F.when(F.col("payload").isNull(), gone).otherwise(c)
     return {
         "integrity": F.col("integrity"), "provenance": F.col("provenance"), "normalization": F.col("normalization"),
         "policy": present(gate.action_check(p["action"]["type"], policy)),
-        "freshness": present(gate.freshness_check(parse_instant(p["issued_at"]), now_micros, policy)),
+        "freshness": present(gate.freshness_check(F.col("_issued"), now_micros, policy)),
         "evidence": present(evidence_of(policy, p["evidence"], F.col("_a"), F.col("_unclear"))),
         "claim_support": present(claim_support(policy)(F.col("_a"))),
     }
@@ -164,8 +164,8 @@ def artifact_maps(artifacts: DataFrame, policy: gate.Policy) -> DataFrame:
 
 def decide_taken_in(rows: DataFrame, artifacts: DataFrame, policy: gate.Policy, now_micros: int, side_effect: Column | None = None, keep: bool = False) -> DataFrame:
     """Decisions on rows that ``intake`` or ``chain.verify_chains`` took in, by receipt_id: for several policies, one intake serves."""
-    placed = rows.join(artifact_maps(artifacts, policy), "receipt_id", "left")
-    return gate.decide(placed, assessments(policy, now_micros), policy, side_effect, keep).drop("_a", "_unclear")
+    placed = rows.join(artifact_maps(artifacts, policy), "receipt_id", "left").withColumn("_issued", parse_instant(F.get_json_object("payload", "$.issued_at")))
+    return gate.decide(placed, assessments(policy, now_micros), policy, side_effect, keep).drop("_a", "_unclear", "_issued")
 
 
 def decide_receipts(receipts: DataFrame, artifacts: DataFrame, trust: DataFrame, policy: gate.Policy, now_micros: int, side_effect: Column | None = None, max_bytes: int = 1 << 20, adapters: list[AdapterProfile] = [], keep: bool = False) -> DataFrame:  # noqa: B006  never changed
