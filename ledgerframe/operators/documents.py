@@ -52,6 +52,7 @@ def freeze(calibration: DataFrame, values: DataFrame, primary: tuple[str, str],
     fails the job.  ``head`` goes in as it stands (trial, protocol, time, hashes of the
     contract and the profile).  The manifest's hash binds every session's and
     continuation's bytes and outcome; more sessions than a ledger holds fail the job.
+    Without sessions there is no row.
     """
     directions = {**comparators, **secondary, primary[0]: primary[1]}
     rows = calibration.select("session_id", F.col("outcome").alias("y")).join(values, "session_id").filter(F.col("value").isNotNull())

@@ -212,7 +212,7 @@ cal AS (SELECT CAST(session_id AS VARCHAR) AS sid, replace(CAST(make_timestamp(h
 told AS (SELECT count(*) AS n, max(handoff) AS last, string_agg('"' || sid || '"', ',' ORDER BY handoff, sid) AS ids, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg,
   sha256('[' || string_agg('{{"continuation_sha256":"' || sha256(sid || 'c') || '","outcome":' || y || ',"session_id":"' || sid || '","session_sha256":"' || sha256(sid) || '"}}', ',' ORDER BY handoff, sid) || ']') AS manifest FROM cal),
 fit AS (SELECT metric, {_FIT} AS a, {_FITTED} AS b FROM best),
-safe AS (SELECT *, CASE WHEN neg = 0 THEN 0 ELSE 1000000 END AS spec FROM told)
+safe AS (SELECT *, CASE WHEN neg = 0 THEN 0 ELSE 1000000 END AS spec FROM told WHERE n > 0)
 SELECT t, sha256(t) AS sha256 FROM (SELECT '{{"calibration_manifest_sha256":"' || manifest || '","calibration_max_handoff_at_utc":"' || last || '","calibration_n":' || n || ',"calibration_selection":{{"input_session_count":{N},"rule":"most_recent_pre_freeze","selected_session_ids":[' || ids || ']}},"comparators":{{'
   || '"always_safe":{{"accuracy_micros":' || (neg * 1000000 // n) || ',"balanced_accuracy_micros":' || (spec // 2) || ',"fn":' || pos || ',"fp":0,"prediction":0,"sensitivity_micros":0,"specificity_micros":' || spec || ',"tn":' || neg || ',"tp":0,"type":"fixed"}},"n_points":{{' || (SELECT a || b FROM fit WHERE metric = 'n_points') || ',"type":"threshold"}}}}'
   || ',"generated_at_utc":"2024-01-16T00:00:00Z","measurement_contract_sha256":"{"cc" * 32}","primary":{{' || (SELECT a || ',"metric":"peak"' || b FROM fit WHERE metric = 'peak') || '}},"protocol_sha256":"{PROTOCOL}","receiver_profile_sha256":"{PROFILE}","schema":"freeze.v1","secondary":{{"absent":{{"fit":null,"status":"unavailable"}},"level":{{"fit":{{'
@@ -226,5 +226,5 @@ def freeze_document(spark, sf_dir):
 @query()
 def evaluation_document(spark, sf_dir):
     """The evaluation of the newest sessions under the freeze above."""
-    frozen = freeze_document(spark, sf_dir).collect()[0].sha256  # one hash, bound by the document
-    return documents.evaluate(d.paired(spark, sf_dir), {"trial_id": "t", "freeze_sha256": frozen, "protocol_sha256": PROTOCOL}, "peak", 50_000, 950_000, 3)
+    frozen = freeze_document(spark, sf_dir).collect()  # one hash, bound by the document; none without earlier sessions
+    return documents.evaluate(d.paired(spark, sf_dir), {"trial_id": "t", "freeze_sha256": frozen[0].sha256 if frozen else "", "protocol_sha256": PROTOCOL}, "peak", 50_000, 950_000, 3)
