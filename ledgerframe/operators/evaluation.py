@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exact import Resampled, flips_reaching
+from ..functions.exact import Resampled, digits, flips_reaching
 from ..functions.integers import SCALE, ceil_div, div, floor_div
 
 
@@ -80,7 +80,7 @@ def permutation_test(rows: DataFrame, by: str = "comparator", alpha_micros: int
 
     def one(r) -> tuple[int, bool, str, str]:
         hits, total = flips_reaching(int(r.pos), int(r.neg), int(r.dp), int(r.dn), int(r.numerator)), 1 << int(r.dp + r.dn)
-        return -(-hits * SCALE // total), r.numerator > 0 and hits * SCALE <= alpha_micros * total, str(hits), str(total)
+        return -(-hits * SCALE // total), r.numerator > 0 and hits * SCALE <= alpha_micros * total, digits(hits), digits(total)
 
     def exact(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([one(r) for r in rows.itertuples()], columns=["p_micros", "significant", "p_numerator", "p_denominator"])
@@ -106,7 +106,7 @@ def bootstrap_interval(rows: DataFrame, by: str = "comparator", low: tuple[int,
 
     def one(r) -> tuple[int, int, str]:
         dist = Resampled((int(r.p0), int(r.p1), int(r.p2)), (int(r.n0), int(r.n1), int(r.n2)))
-        return dist.quantile(*low), dist.quantile(*high), str(dist.total)
+        return dist.quantile(*low), dist.quantile(*high), digits(dist.total)
 
     def exact(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([one(r) for r in rows.itertuples()], columns=["lo", "hi", "space"])

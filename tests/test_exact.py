@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from ledgerframe.functions.exact import Resampled, binomials, flips_reaching, resample_sums
+from ledgerframe.functions.exact import Resampled, binomials, digits, flips_reaching, resample_sums
 from ledgerframe.operators import evaluation
 
 
@@ -91,3 +91,15 @@ def test_rows_of_many_sessions(spark):
 def test_no_rows(spark):
     none = spark.createDataFrame([], "comparator string, y int, primary int, other int")
     assert evaluation.permutation_test(none).collect() == evaluation.bootstrap_interval(none).collect() == []
+
+
+def test_more_discordant_pairs_than_a_text_of_an_integer_holds(spark):
+    """16,000 pairs: the share has over 4300 digits."""
+    n, won = 16_000, 8_100
+    pairs = spark.range(n).selectExpr("'a' AS comparator", "CAST(id % 2 AS INT) AS y", f"CAST(IF(id < {won}, id % 2, 1 - id % 2) AS INT) AS primary", f"CAST(IF(id < {won}, 1 - id % 2, id % 2) AS INT) AS other")
+    r = evaluation.permutation_test(pairs).collect()[0]
+    # Classes of one size weigh alike: the flips that suffice are those with as many upward ones.
+    ways = [*binomials(n)]
+    hits, half = sum(ways[won:]), n // 2
+    assert (r.discordant_n, r.observed, len(r.p_numerator)) == (n, half * (2 * won - n), len(digits(hits))) and len(r.p_numerator) > 4300
+    assert (r.p_numerator, r.p_denominator, r.p_micros) == (digits(hits), digits(2**n), -(-hits * 1_000_000 // 2**n))
