@@ -7,7 +7,9 @@ reader recomputes it and compares: ``differences`` names by JSON pointer what is
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
@@ -15,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import evaluation
-from .ledger import _gathered
 from .trial import hashed
 
 FREEZE, EVALUATION = "freeze.v1", "evaluation.v1"
@@ -42,6 +43,27 @@ def _by_name(rows: DataFrame, name: str, value: Column, as_: str) -> DataFrame:
     return rows.select(F.struct(F.col(name).alias("name"), value.alias("value")).alias("e")).agg(F.map_from_entries(F.array_sort(F.collect_list("e"), lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))).alias(as_))
 
 
+def _manifest(entries: DataFrame) -> DataFrame:
+    """One row (n, last, ids, manifest) of entries (at, id, text): how many, the latest time, the ids in order, and the hash of the texts as a list; no row of none.
+
+    The texts are made in parallel.  A hash takes its bytes in order, so they pass one
+    hasher as a sorted stream: only the ids, which the document lists, are held.
+    """
+
+    def fold(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest, last, ids = hashlib.sha256(b"["), None, []
+        for table in tables:
+            for at, id_, text in zip(table["at"], table["id"], table["text"], strict=True):
+                digest.update(("," if ids else "").encode() + text.encode())
+                last = last if at is None else at
+                ids.append(id_)
+        digest.update(b"]")
+        if ids:
+            yield pd.DataFrame({"n": [len(ids)], "last": [last], "ids": [ids], "manifest": [digest.hexdigest()]})
+
+    return entries.repartition(1).sortWithinPartitions("at", "id", "text").mapInPandas(fold, "n long, last string, ids array<string>, manifest string")
+
+
 def freeze(calibration: DataFrame, values: DataFrame, primary: tuple[str, str], secondary: dict[str, str], comparators: dict[str, str], head: dict[str, Any], input_count: int) -> DataFrame:
     """One row (document, sha256): thresholds fitted to the calibration sessions, and what they were fitted to.
 
@@ -51,8 +73,8 @@ def freeze(calibration: DataFrame, values: DataFrame, primary: tuple[str, str],
     secondary metric that any session lacks is unavailable, a primary or a comparator's
     fails the job.  ``head`` goes in as it stands (trial, protocol, time, hashes of the
     contract and the profile).  The manifest's hash binds every session's and
-    continuation's bytes and outcome; more sessions than a ledger holds fail the job.
-    Without sessions there is no row.
+    continuation's bytes and outcome.  The document lists the sessions' ids, so it grows
+    with them; their entries do not come together.  Without sessions there is no row.
     """
     directions = {**comparators, **secondary, primary[0]: primary[1]}
     rows = calibration.select("session_id", F.col("outcome").alias("y")).join(values, "session_id").filter(F.col("value").isNotNull())
@@ -66,8 +88,7 @@ def freeze(calibration: DataFrame, values: DataFrame, primary: tuple[str, str],
     safe = F.struct("session_id", F.lit("always_safe").alias("comparator"), F.col("outcome").alias("y"), F.lit(0).alias("pred"))
     safe = evaluation.confusion(calibration.select(safe.alias("s")).select("s.*"), ["comparator"]).select(F.struct(F.lit("fixed").alias("type"), F.lit(0).alias("prediction"), *RATES).alias("safe"))
     entry = F.struct("session_id", "session_sha256", "continuation_sha256", "outcome")
-    told = _gathered(calibration, [], F.struct("handoff_at_utc", "session_id", hashed(F.to_json(entry), "")["canonical"].alias("text")))
-    told = told.select("n", F.array_max(F.transform("rows", lambda r: r["handoff_at_utc"])).alias("last"), F.transform("rows", lambda r: r["session_id"]).alias("ids"), F.sha2(F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["text"]), ","), F.lit("]")), 256).alias("manifest"))
+    told = _manifest(calibration.select(F.col("handoff_at_utc").alias("at"), F.col("session_id").alias("id"), hashed(F.to_json(entry), "")["canonical"].alias("text")))
     fit = lambda m: F.try_element_at(F.col("fits"), F.lit(m))
     complete = lambda m: F.coalesce(fit(m)["have"] == F.col("n"), F.lit(False))
     needed = lambda m: F.when(complete(m), fit(m)["fit"]).otherwise(F.raise_error(F.lit(f"metric_incomplete:{m}")).cast(fits.schema["fits"].dataType.valueType["fit"].dataType))

@@ -91,3 +91,13 @@ def test_differences(spark):
     ]
     df = spark.createDataFrame([(a, b, i) for i, (a, b, _) in enumerate(cases)], "a string, b string, i int")
     assert {r.i: r.d for r in df.select("i", doc.differences("a", "b").alias("d")).collect()} == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
+def test_more_sessions_than_a_ledger_holds(spark):
+    n = 4500
+    rows = [(f"s{k}", f"2024-02-{k % 9 + 1:02}T00:00:00Z", f"{k:064}", f"{k + 1:064}", int(k % 3 == 0)) for k in range(n)]
+    d = json.loads(frozen(spark, rows).collect()[0].document)
+    ordered = sorted(rows, key=lambda x: (x[1], x[0]))
+    manifest = [{"session_id": s, "session_sha256": h, "continuation_sha256": c, "outcome": y} for s, _, h, c, y in ordered]
+    assert d["calibration_manifest_sha256"] == hashlib.sha256(canonical(manifest).encode()).hexdigest()
+    assert d["calibration_n"] == n and d["calibration_selection"]["selected_session_ids"] == [x[0] for x in ordered]
