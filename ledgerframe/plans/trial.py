@@ -226,5 +226,5 @@ def freeze_document(spark, sf_dir):
 @query()
 def evaluation_document(spark, sf_dir):
     """The evaluation of the newest sessions under the freeze above."""
-    frozen = freeze_document(spark, sf_dir).collect()  # one hash, bound by the document; none without earlier sessions
+    frozen = freeze_document(spark, sf_dir).select("sha256").collect()  # one hash, bound by the document; none without earlier sessions
     return documents.evaluate(d.paired(spark, sf_dir), {"trial_id": "t", "freeze_sha256": frozen[0].sha256 if frozen else "", "protocol_sha256": PROTOCOL}, "peak", 50_000, 950_000, 3)
