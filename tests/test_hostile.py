@@ -90,6 +90,22 @@ def test_batches_of_signatures_equal_single_ones():
     assert ed25519.verify_many([], [], []) == ed25519.sign_many([], []) == []
 
 
+def test_openssl_and_numpy_agree(monkeypatch):
+    """Hostile keys, scalars and points too; Python here has OpenSSL's Ed25519."""
+    messages = [b"message %d" % i for i in range(24)]
+    seeds = [SEEDS[i % 3] for i in range(24)]
+    signatures, keys = ed25519.sign_many(seeds, messages), [ed25519.public_key(s).hex() for s in seeds]
+    small = [bytes(32), (1).to_bytes(32, "little"), (ed25519.P - 1).to_bytes(32, "little"), (ed25519.P + 1).to_bytes(32, "little"), (1 | 1 << 255).to_bytes(32, "little")]
+    forged = [(k, r + (s).to_bytes(32, "little"), b"m") for k in small for r in small for s in (0, 1, ed25519.Q - 1, ed25519.Q)]
+    every = [*zip(keys, [s.hex() for s in signatures], messages), *((k.hex(), s.hex(), m) for k, s, m in forged), (keys[0], signatures[0].hex(), b"")]
+    ask = lambda: ed25519.verify_many(*map(list, zip(*every)))
+    assert ed25519._crypto() is not None
+    native = ask()
+    monkeypatch.setattr(ed25519, "_crypto", lambda: None)
+    assert ask() == native and ed25519.sign_many(seeds, messages) == signatures
+    assert all(native[:24]) and not native[-1]
+
+
 POLICY = Policy("p", "1", ("act",), ("e",), (Rule("r", "e", "/ok", 1),), 10**9)
 
 
