@@ -273,7 +273,7 @@ def prefix_replay(spark, sf_dir):
 
 def _prefixes(spark, sf_dir):
     rows = _admitted(spark, sf_dir).select(F.col("run_id").alias("chain_id"), F.col("run_id").cast("string").alias("run_id"), F.col("sequence").alias("index"), "sequence", F.col("source_sha256").alias("envelope_hash"), "action", "props", "excluded")
-    rows = staged(rows, "admitted")
+    rows = staged(rows, "admitted").repartition(d.tasks(spark, sf_dir), "chain_id")
     fact = sj.dumps({"rule_id": "ok", "evidence_id": "props", "pointer": "/ok", "expected": 1}).decode()
     steps = rows.select("chain_id", "index", F.concat(F.lit("STEP "), F.col("sequence").cast("string"), F.lit("\n"), "action", F.lit(": "), "props").alias("step"))
     return staged(replay.prefix_handoffs(rows.withColumn("facts", F.array(F.lit(fact))), _ALLOWED), "prefixes"), steps
