@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stages import staged
 from . import evaluation
 from .trial import hashed
 
@@ -103,6 +104,38 @@ def freeze(calibration: DataFrame, values: DataFrame, primary: tuple[str, str],
     return _sealed(_one(told, fits, safe), fields)
 
 
+_RULE = "struct<type:string,metric:string,direction:string,threshold:bigint,prediction:int>"
+
+
+def frozen_rules(freeze: DataFrame) -> DataFrame:
+    """(sha256, role, name, metric, direction, threshold, prediction): the rules of a freeze (document, sha256), a row each.
+
+    They are the primary, and every comparator by its name: a threshold on a metric or a
+    fixed prediction.
+    """
+    d = F.from_json("document", f"primary {_RULE}, comparators map<string,{_RULE}>")
+    rule = lambda role, name, metric, r: F.struct(F.lit(role).alias("role"), name.alias("name"), metric.alias("metric"), *(r[c].alias(c) for c in ("direction", "threshold", "prediction")))
+    first = rule("primary", F.col("d.primary.metric"), F.col("d.primary.metric"), F.col("d.primary"))
+    others = F.transform(F.map_entries("d.comparators"), lambda e: rule("comparator", e["key"], F.when(e["value"]["type"] == "threshold", e["key"]), e["value"]))
+    return freeze.select("sha256", d.alias("d")).select("sha256", F.explode(F.concat(F.array(first), others)).alias("r")).select("sha256", "r.*")
+
+
+def frozen_pairs(rules: DataFrame, sessions: DataFrame, values: DataFrame) -> DataFrame:
+    """(comparator, session_id, y, primary, other): what the rules of a freeze predict for sessions it has not seen.
+
+    ``rules`` come from ``frozen_rules``, ``sessions`` has session_id and y, ``values``
+    session_id, metric and value.  A session without a rule's metric fails the job.
+    Predictions are staged: the tests of an evaluation read them, not the tables behind.
+    """
+    met = sessions.select("session_id", "y").crossJoin(F.broadcast(rules)).join(values.filter("value IS NOT NULL"), ["session_id", "metric"], "left")  # a few rules
+    absent = F.raise_error(F.concat(F.lit("metric_incomplete:"), F.col("name"))).cast("int")
+    beyond = F.when(F.col("direction") == "high", F.col("value") >= F.col("threshold")).when(F.col("direction") == "low", F.col("value") <= F.col("threshold")).cast("int")
+    pred = F.when(F.col("metric").isNull(), F.col("prediction")).when(F.col("value").isNull(), absent).otherwise(beyond)
+    met = staged(met.select("session_id", "y", "role", "name", pred.alias("pred")), "predictions")
+    ours = met.filter("role = 'primary'").select("session_id", F.col("pred").alias("primary"))
+    return met.filter("role = 'comparator'").select(F.col("name").alias("comparator"), "session_id", "y", F.col("pred").alias("other")).join(ours, "session_id").select("comparator", "session_id", "y", "primary", "other")
+
+
 def evaluate(pairs: DataFrame, bound: dict[str, Any], primary: str, alpha_micros: int, confidence_micros: int, least_per_class: int) -> DataFrame:
     """One row (document, sha256): the primary against every comparator, and the verdict.
 

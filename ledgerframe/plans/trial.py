@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import documents, evaluation, outcomes, sessions, trial
+from ..sources.stages import staged
 from . import derived as d
 from .derived import OUTCOMES, table
 from .queries import _COUNTED, _LABELLED, _RATES, query
@@ -225,6 +226,8 @@ def freeze_document(spark, sf_dir):
 
 @query()
 def evaluation_document(spark, sf_dir):
-    """The evaluation of the newest sessions under the freeze above."""
-    frozen = freeze_document(spark, sf_dir).select("sha256").collect()  # one hash, bound by the document; none without earlier sessions
-    return documents.evaluate(d.paired(spark, sf_dir), {"trial_id": "t", "freeze_sha256": frozen[0].sha256 if frozen else "", "protocol_sha256": PROTOCOL}, "peak", 50_000, 950_000, 3)
+    """The evaluation of the newest sessions, predicted by the rules of the freeze above; without earlier sessions, which give none, by fixed cuts."""
+    rules = staged(documents.frozen_rules(freeze_document(spark, sf_dir)), "rules")
+    frozen = rules.select("sha256").first()  # one hash, bound by the document
+    pairs = d.paired(spark, sf_dir) if frozen is None else documents.frozen_pairs(rules, evaluation.most_recent(d.outcomes(spark, sf_dir), N), d.predictors(spark, sf_dir))
+    return documents.evaluate(pairs, {"trial_id": "t", "freeze_sha256": frozen.sha256 if frozen else "", "protocol_sha256": PROTOCOL}, "peak", 50_000, 950_000, 3)

@@ -4,9 +4,11 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerframe.operators import documents as doc
 from ledgerframe.operators import evaluation
+from ledgerframe.plans import derived, trial
 
 HEAD = {"trial_id": "t", "protocol_sha256": "aa" * 32, "generated_at_utc": "2024-03-01T00:00:00Z"}
 
@@ -101,3 +103,33 @@ def test_more_sessions_than_a_ledger_holds(spark):
     manifest = [{"session_id": s, "session_sha256": h, "continuation_sha256": c, "outcome": y} for s, _, h, c, y in ordered]
     assert d["calibration_manifest_sha256"] == hashlib.sha256(canonical(manifest).encode()).hexdigest()
     assert d["calibration_n"] == n and d["calibration_selection"]["selected_session_ids"] == [x[0] for x in ordered]
+
+
+def test_rules_of_a_freeze_predict(spark):
+    freeze = frozen(spark, sessions())
+    d = json.loads(freeze.collect()[0].document)
+    high, c = d["primary"]["threshold"], d["comparators"]["c"]["threshold"]
+    rules = doc.frozen_rules(freeze)
+    assert {(r.role, r.name, r.metric, r.direction, r.threshold, r.prediction) for r in rules.collect()} == {("primary", "p", "p", "high", high, None), ("comparator", "always_safe", None, None, None, 0), ("comparator", "c", "c", "high", c, None)}
+    new = spark.createDataFrame([(f"n{k}", k % 2) for k in range(4)], "session_id string, y int")
+    values = [(f"n{k}", m, t - 2 + k) for k in range(4) for m, t in (("p", high), ("c", c), ("q", 0))]
+    got = {(r.comparator, r.session_id): (r.y, r.primary, r.other) for r in doc.frozen_pairs(rules, new, spark.createDataFrame(values, "session_id string, metric string, value int")).collect()}
+    assert got == {(name, f"n{k}"): (k % 2, int(k >= 2), int(k >= 2 and name == "c")) for k in range(4) for name in ("always_safe", "c")}
+    low = rules.withColumn("direction", F.lit("low"))
+    assert {r.session_id: r.primary for r in doc.frozen_pairs(low, new, spark.createDataFrame(values, "session_id string, metric string, value int")).collect()} == {f"n{k}": int(k <= 2) for k in range(4)}
+    with pytest.raises(Exception, match="metric_incomplete:c"):
+        doc.frozen_pairs(rules, new, spark.createDataFrame([v for v in values if v[:2] != ("n1", "c")], "session_id string, metric string, value int")).collect()
+
+
+def test_the_freeze_decides_the_evaluation(spark):
+    sf = "/root/testdata/sf0.01"
+    freeze = json.loads(trial.freeze_document(spark, sf).collect()[0].document)
+    told = json.loads(trial.evaluation_document(spark, sf).collect()[0].document)
+    y = {r.session_id: r.y for r in evaluation.most_recent(derived.outcomes(spark, sf), trial.N).collect()}
+    value = {(r.session_id, r.metric): r.value for r in derived.predictors(spark, sf).collect()}
+    cells = lambda m, t: {name: sum(1 for s in y if y[s] == label and int(value[s, m] >= t) == pred) for name, label, pred in (("tp", 1, 1), ("fn", 1, 0), ("tn", 0, 0), ("fp", 0, 1))}
+    of = lambda part: {k: part[k] for k in ("tp", "fn", "tn", "fp")}
+    assert sorted(told["comparators"]) == ["always_safe", "n_points"]
+    assert of(told["primary"]) == cells("peak", freeze["primary"]["threshold"])
+    assert of(told["comparators"]["n_points"]) == cells("n_points", freeze["comparators"]["n_points"]["threshold"])
+    assert of(told["comparators"]["always_safe"]) == {"tp": 0, "fp": 0, "fn": sum(y.values()), "tn": len(y) - sum(y.values())}
